@@ -8,11 +8,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .domains import domain_reason
-from .numbers import is_number_type
-from .text import FLOAT_TEXT, WS_CLASS, cell_text, is_missing, strip
+from .text import FLOAT_TEXT, WS_CLASS
 
 _WORD = r"\p{L}\p{N}_"
 # Local part starts with a word character; no two points in a row, none at the end.
@@ -41,29 +39,27 @@ def is_good_reason(reason: Column) -> Column:
     return reason.startswith("Valid") | (reason == "Allowed Domain")
 
 
-def checked(c: Column, dtype: T.DataType, name: str | None, reason: Column) -> Column:
+def checked(text: Column, bare: Column, name: str | None, reason: Column) -> Column:
     """``reason`` behind the tests every kind shares: header cell first, then empty."""
-    text = cell_text(c, dtype)
-    empty = is_missing(c, dtype) | (strip(text) == "")
+    empty = F.coalesce(bare, F.lit("")) == ""
     if name is None:
         return F.when(empty, "Empty").otherwise(reason)
     return F.when(text == F.lit(name), "Column Header").when(empty, "Empty").otherwise(reason)
 
 
-def email_domain(text: Column) -> Column:
-    return F.lower(F.substring_index(strip(text), "@", -1))
+# The checks below take text without white space at its ends.
 
 
-def email_reason(
-    text: Column, in_suffixes: Column, in_allowed: Column, in_blocked: Column, bad_format: str = "Invalid Format"
-) -> Column:
-    return F.when(~strip(text).rlike(EMAIL), bad_format).otherwise(
-        domain_reason(email_domain(text), in_suffixes, in_allowed, in_blocked)
-    )
+def email_domain(bare: Column) -> Column:
+    return F.lower(F.substring_index(bare, "@", -1))
+
 
+def email_reason(bare: Column, domain: Column, hits: Sequence[Column], bad_format: str = "Invalid Format") -> Column:
+    """``hits``: is the domain's suffix known, is the domain allowed, is it blocked."""
+    return F.when(~bare.rlike(EMAIL), bad_format).otherwise(domain_reason(domain, *hits))
 
-def phone_reason(text: Column) -> Column:
-    bare = strip(text)
+
+def phone_reason(bare: Column) -> Column:
     digits = F.length(F.regexp_replace(bare, r"\P{Nd}+", ""))
     return (
         F.when(~digits.between(7, 15), "Invalid Length")
@@ -72,8 +68,20 @@ def phone_reason(text: Column) -> Column:
     )
 
 
+# What one or two digits of a layout letter may be.
+_ONE_DIGIT_UP = {
+    "d": "(0?[1-9]|[12][0-9]|3[01])", "M": "(0?[1-9]|1[0-2])",
+    "H": "([01]?[0-9]|2[0-3])", "m": "[0-5]?[0-9]", "s": "[0-5]?[0-9]",
+}
+_TWO_DIGITS = {
+    "d": "(0[1-9]|[12][0-9]|3[01])", "M": "(0[1-9]|1[0-2])",
+    "H": "([01][0-9]|2[0-3])", "m": "[0-5][0-9]", "s": "[0-5][0-9]",
+}
+
+
 def _layout_shape(layout: str) -> str:
-    """A pattern for the outline of text in a date layout, so that other text is never parsed."""
+    """A pattern for the outline of text in a date layout. Text of another outline is never parsed:
+    a failing parse costs far more than a failing match."""
     out = ""
     for part in re.finditer(r"([A-Za-z])\1*|'[^']*'|.", layout):
         token, letter, width = part.group(), part.group(1), len(part.group())
@@ -85,34 +93,35 @@ def _layout_shape(layout: str) -> str:
             out += r"[A-Za-z0-9:+\-/_]+"
         elif letter in "yu":
             out += "[0-9]{2}" if width == 2 else "[0-9]{4}"
+        elif width == 1:
+            out += _ONE_DIGIT_UP.get(letter, "[0-9]{1,2}")
         else:
-            out += "[0-9]{1,2}" if width == 1 else f"[0-9]{{{width}}}"
+            out += _TWO_DIGITS.get(letter, f"[0-9]{{{width}}}") if width == 2 else f"[0-9]{{{width}}}"
     return rf"^{out}\z"
 
 
-def date_reason(text: Column, formats: Sequence[str] | None = None) -> Column:
-    """Valid when one layout parses the whole text. Only text of the right outline is parsed."""
-    bare = strip(text)
-    day = bare if formats else F.regexp_replace(bare, _TIME_OF_DAY, "")
+def day_part(bare: Column) -> Column:
+    """The text without a time of day at its end."""
+    return F.regexp_replace(bare, _TIME_OF_DAY, "")
+
+
+def date_reason(day: Column, formats: Sequence[str]) -> Column:
+    """Valid when one layout parses the whole text."""
     parsed = F.lit(False)
-    for layout in formats or DATE_FORMATS:
-        parsed = parsed | (
-            day.rlike(_layout_shape(layout)) & F.try_to_timestamp(day, F.lit(layout)).isNotNull()
-        )
+    for layout in formats:
+        fits = day.rlike(_layout_shape(layout)) & F.try_to_timestamp(day, F.lit(layout)).isNotNull()
+        parsed = parsed | fits
     return F.when(parsed, "Valid").otherwise("Invalid Format")
 
 
-def numeric_reason(c: Column, dtype: T.DataType) -> Column:
-    if is_number_type(dtype):
-        return F.lit("Valid")
-    return F.when(cell_text(c, dtype).rlike(FLOAT_TEXT), "Valid").otherwise("Invalid Format")
+def numeric_reason(bare: Column) -> Column:
+    return F.when(bare.rlike(FLOAT_TEXT), "Valid").otherwise("Invalid Format")
 
 
-def letters_reason(text: Column, allow_digits: bool = False) -> Column:
+def letters_reason(bare: Column, allow_digits: bool = False) -> Column:
     shape = LETTERS.replace(r"\p{L}", r"\p{L}\p{Nd}") if allow_digits else LETTERS
-    return F.when(strip(text).rlike(shape), "Valid").otherwise("Invalid Character")
+    return F.when(bare.rlike(shape), "Valid").otherwise("Invalid Character")
 
 
-def url_reason(text: Column) -> Column:
-    bare = F.translate(strip(text), "\t\r\n", "")
-    return F.when(bare.rlike(URL), "Valid").otherwise("Invalid Format")
+def url_reason(bare: Column) -> Column:
+    return F.when(F.translate(bare, "\t\r\n", "").rlike(URL), "Valid").otherwise("Invalid Format")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import FLOATING, WHOLE, cell_text
+from .text import FLOATING, WHOLE, apart, cell_text, is_plain
 
 _ASCII_WS = " \t\n\x0b\f\r"
 _NUMBER = (
@@ -57,8 +57,13 @@ def decimals_shown(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (*WHOLE, T.BooleanType)):
         return F.lit(0)
     number = to_number(c, dtype)
-    text = cell_text(number, T.DoubleType())
-    shown = F.when(F.contains(text, F.lit(".")), F.length(F.substring_index(text, ".", -1))).otherwise(0)
+
+    def after_point(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit(".")), F.length(F.substring_index(text, ".", -1))).otherwise(0)
+
+    shown = F.when(is_plain(number), after_point(number.cast("string"))).otherwise(
+        apart(number, lambda n: after_point(cell_text(n, T.DoubleType())))
+    )
     if isinstance(dtype, T.StringType):
         shown = F.when(is_whole_text(c), 0).otherwise(shown)
     return F.when(number.isNotNull(), shown)

@@ -21,6 +21,8 @@ FLOAT_TEXT = (
     rf"(?i)^[{WS_CLASS}]*[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})(e[+-]?{_DIGITS})?"
     rf"|inf(inity)?|nan)[{WS_CLASS}]*\z"
 )
+# Whole numbers that a double holds exactly.
+_SHORT_WHOLE = r"^[+-]?[0-9]{1,15}(\.0*)?\z"
 _PLAIN_FLOAT = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\z"
 
 FLOATING = (T.FloatType, T.DoubleType)
@@ -50,21 +52,37 @@ def no_nan(c: Column, dtype: T.DataType) -> Column:
     return F.nanvl(c, F.lit(None).cast(dtype)) if isinstance(dtype, FLOATING) else c
 
 
+def apart(c: Column, change) -> Column:
+    """``change(c)`` outside the generated row loop, for the rare branch of a hot expression: large
+    expressions in that loop make the method too big to be compiled."""
+    return F.get(F.transform(F.array(c), change), F.lit(0))
+
+
+def is_plain(d: Column) -> Column:
+    """Doubles that Spark spells the way this module does."""
+    size = F.abs(d)
+    return ((size >= 1e-3) & (size < 1e7)) | (d == 0)
+
+
 def float_text(c: Column) -> Column:
     """Shortest spelling of a double: plain from 1e-4 up to 1e16, two-digit exponent outside."""
+    return F.when(is_plain(c), c.cast("string")).otherwise(apart(c, _respelled))
+
+
+def _respelled(c: Column) -> Column:
     raw = c.cast("string")
     size = F.abs(c)
     digits = F.regexp_replace(raw.try_cast("decimal(38,20)").cast("string"), r"0+\z", "")
     plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
     mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0\z", "")
     power = F.substring_index(raw, "E", -1).try_cast("int")
+    steps = F.abs(power).cast("string")
     exponent = F.concat(
         F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")),
+        F.lpad(steps, F.greatest(F.lit(2), F.length(steps)), F.lit("0")),
     )
     return (
-        F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), raw)
-        .when(F.isnan(c), F.lit(None).cast("string"))
+        F.when(F.isnan(c), F.lit(None).cast("string"))
         .when(size == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(F.concat(mantissa, exponent))
@@ -87,26 +105,36 @@ def short_text(c: Column, dtype: T.DataType) -> Column:
     if not isinstance(dtype, FLOATING):
         return cell_text(c, dtype)
     d = c.cast("double")
-    return F.coalesce(F.when(F.rint(d) == d, whole_number_text(d)), cell_text(c, dtype))
+    return (
+        F.when((F.rint(d) == d) & (F.abs(d) < float(2**63)), d.cast("bigint").cast("string"))
+        .when(is_plain(c), c.cast("string"))
+        .otherwise(apart(c, lambda x: F.coalesce(_wide_digits(x.cast("double")), _respelled(x))))
+    )
 
 
-def whole_number_text(d: Column) -> Column:
-    """All digits of a whole double. Exact below 1e37, null from there on."""
+def _wide_digits(d: Column) -> Column:
+    """All digits of a whole double below 1e37; null for other doubles."""
     unit = float(2**62)
     high = F.floor(d / unit)
     low = d - high.cast("double") * unit
     wide = high.cast("decimal(19,0)") * F.lit(str(2**62)).cast("decimal(19,0)") + low.cast("decimal(19,0)")
-    return F.when(F.abs(d) < float(2**63), d.try_cast("bigint").cast("string")).when(
-        F.abs(d) < 1e37, wide.cast("string")
-    )
+    return F.when((F.rint(d) == d) & (F.abs(d) < 1e37), wide.cast("string"))
 
 
 def drop_point_zero(text: Column) -> Column:
     """Text that reads as a whole number is spelled as an integer (``'007'`` -> ``'7'``)."""
-    bare = F.translate(strip(text), "_", "")
-    number = F.when(bare.rlike(_PLAIN_FLOAT), bare.try_cast("double"))
-    whole = F.when(F.rint(number) == number, whole_number_text(number))
-    return F.when(text.rlike(FLOAT_TEXT), F.coalesce(whole, text)).otherwise(text)
+
+    def general(t: Column) -> Column:
+        bare = F.translate(strip(t), "_", "")
+        return F.coalesce(
+            F.when(bare.rlike(_PLAIN_FLOAT), _wide_digits(bare.try_cast("double"))), t
+        )
+
+    return (
+        F.when(text.rlike(_SHORT_WHOLE), F.substring_index(text, ".", 1).cast("bigint").cast("string"))
+        .when(text.rlike(FLOAT_TEXT), apart(text, general))
+        .otherwise(text)
+    )
 
 
 def guard_header(c: Column, text: Column, name: str, changed: Column, on: bool = True) -> Column:

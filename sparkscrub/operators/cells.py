@@ -16,7 +16,7 @@ from ..functions.text import (
     is_missing,
     strip,
 )
-from .common import INVALID, MODIFIED, dtype_of, in_place, mark_column, require, text_of
+from .common import INVALID, MODIFIED, as_text_column, dtype_of, in_place, mark_column, require
 
 
 def mask(
@@ -36,8 +36,8 @@ def mask(
 
 def mask_email(df: DataFrame, col: str, *, flags: bool = False, skip_header_cells: bool = True) -> DataFrame:
     """Keep two characters of the user and the domain; with ``flags`` other cells are invalid."""
-    require(df, col)
-    text = text_of(df, col)
+    df = as_text_column(df, col)
+    text = col_ref(col)
     columns = {col: guard_header(text, text, col, strings.mask_email(text), skip_header_cells)}
     if flags:
         bad = guard_header(F.lit(False), text, col, ~strings.is_maskable_email(text), skip_header_cells)
@@ -112,9 +112,8 @@ def fill_missing(
     if isinstance(dtype, T.StringType):
         fill = F.lit(str(value))
         fill = drop_point_zero(fill) if normalize_ints else fill
-        empty = F.when(cell == F.lit(col), False).otherwise(empty | (strip(cell) == "")) if skip_header_cells else (
-            empty | (strip(cell) == "")
-        )
+        empty = F.coalesce(strip(cell), F.lit("")) == ""
+        empty = F.when(cell == F.lit(col), False).otherwise(empty) if skip_header_cells else empty
     else:
         fill = _typed_fill(df, value, dtype)
     columns = {col: F.when(empty, fill).otherwise(cell)}

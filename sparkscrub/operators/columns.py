@@ -11,7 +11,7 @@ from ..functions import strings
 from ..functions.patterns import java_pattern
 from ..functions.text import col_ref, drop_point_zero, short_text
 from ..plans.lookup import refuse_streams
-from .common import dtype_of, place_after, refuse_existing, require, text_of, unique_name
+from .common import as_text_column, dtype_of, place_after, refuse_existing, require, text_of, unique_name
 
 
 def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -73,10 +73,10 @@ def split_delimiter(
     """Replace ``col`` by ``{col}_part1..k``. ``n_parts`` fixes k and keeps the call lazy; otherwise
     one aggregate finds the widest row. Text beyond ``n_parts`` stays in the last part.
     ``check`` raises when no row has the delimiter."""
-    require(df, col)
     if not delimiter:
         raise ValueError("the delimiter must not be empty")
-    text = text_of(df, col)
+    df = as_text_column(df, col)
+    text = col_ref(col)
     pattern = strings.literal_regex(delimiter)
     if n_parts is None or check:
         refuse_streams(df, "finding the number of parts")
@@ -86,18 +86,22 @@ def split_delimiter(
         if n_parts is None and widest > max_parts:
             raise ValueError(f"splitting {col!r} needs {widest} columns; raise max_parts or give n_parts")
         n_parts = n_parts or widest
-    pieces = F.split(text, pattern, n_parts)
-    new: dict[str, Column] = {}
+    names: list[str] = []
     for i in range(n_parts):
-        name = unique_name(df, f"{col}_part{i + 1}", new)
-        new[name] = F.when(text.isNotNull(), F.coalesce(F.get(pieces, F.lit(i)), F.lit("")))
-    return place_after(df, col, new, keep_anchor=False)
+        names.append(unique_name(df, f"{col}_part{i + 1}", names))
+    # Split once, then read the parts.
+    pieces = col_ref(col)
+    new = {
+        name: F.when(pieces.isNotNull(), F.coalesce(F.get(pieces, F.lit(i)), F.lit("")))
+        for i, name in enumerate(names)
+    }
+    return place_after(df.withColumn(col, F.split(text, pattern, n_parts)), col, new, keep_anchor=False)
 
 
 def split_surname(df: DataFrame, col: str, *, skip_header_cells: bool = True) -> DataFrame:
     """Move the last word to ``{col}_Surname``; missing and blank cells give two empty texts."""
-    require(df, col)
-    text = text_of(df, col)
+    df = as_text_column(df, col)
+    text = col_ref(col)
     first, last = strings.split_last_word(text)
     if skip_header_cells:
         first = F.when(text == F.lit(col), text).otherwise(first)
@@ -125,8 +129,9 @@ def extract_pattern(
         group = min(groups, 1)
     elif not 0 <= group <= groups:
         raise ValueError(f"the pattern has no group {group}")
-    found = F.regexp_extract(text_of(df, col), respelled, group)
-    return place_after(df, col, {new: drop_point_zero(found) if normalize_ints else found})
+    df = place_after(df, col, {new: F.regexp_extract(text_of(df, col), respelled, group)})
+    # A projection of its own: the match is read several times and found once.
+    return df.withColumn(new, drop_point_zero(col_ref(new))) if normalize_ints else df
 
 
 __all__ = [

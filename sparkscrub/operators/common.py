@@ -74,12 +74,21 @@ def mark_column(df: DataFrame, name: str, mark: str, found: Column) -> tuple[str
     return label, (col_ref(label) | hit) if label in df.columns else hit
 
 
+def as_text_column(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name`` as text. Spelling a number is a projection of its own, so that the
+    operation after it reads the text several times but spells it once."""
+    require(df, name)
+    if isinstance(dtype_of(df, name), T.StringType):
+        return df
+    return df.withColumn(name, text_of(df, name))
+
+
 def in_place(
     df: DataFrame, name: str, change, flags: bool = False, skip_header_cells: bool = True
 ) -> DataFrame:
     """Replace column ``name`` by ``change(text)``; with ``flags`` also mark the changed cells."""
-    require(df, name)
-    text = text_of(df, name)
+    df = as_text_column(df, name)
+    text = col_ref(name)
     new = guard_header(text, text, name, change(text), skip_header_cells)
     columns = {name: new}
     if flags:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.domains import DomainRules, any_in, suffix_keys
-from ..functions.text import col_ref
+from ..functions.numbers import is_number_type
+from ..functions.text import col_ref, strip
 from ..plans.lookup import Lookup, materialize, refuse_streams
 from .common import INVALID, REASON, dtype_of, mark_column, require, text_of
 
+_BARE, _VERDICT = "__bare", "__verdict"
 KINDS = ("email", "phone", "date", "numeric", "alphanumeric", "url")
 
 
@@ -48,9 +50,13 @@ def validate_email(
     skip_header_cells: bool = True,
 ) -> DataFrame:
     """Address format, then the domain: common, blocked, allowed, known suffix."""
+    require(df, col)
     rules = _rules(rules, allowed, blocked, suffixes)
-    df, reason, extra = _email_verdict(df, col, rules, strict_compat, "Invalid Format")
-    return _marked(df, col, reason, as_text, skip_header_cells).drop(*extra)
+
+    def verdict(staged: DataFrame, bare: Column) -> tuple[DataFrame, Column]:
+        return _email_verdict(staged, bare, rules, strict_compat, "Invalid Format")
+
+    return _validated(df, col, verdict, as_text, skip_header_cells)
 
 
 def check_email_address(
@@ -64,10 +70,12 @@ def check_email_address(
     strict_compat: bool = False,
 ) -> DataFrame:
     """The address check alone: missing, blank and header cells are addresses of a bad format."""
-    rules = _rules(rules, allowed, blocked, suffixes)
-    df, reason, extra = _email_verdict(df, col, rules, strict_compat, "Invalid Email Format")
+    require(df, col)
+    rules, columns = _rules(rules, allowed, blocked, suffixes), df.columns
+    staged = df.withColumn(_BARE, strip(text_of(df, col)))
+    staged, reason = _email_verdict(staged, F.col(_BARE), rules, strict_compat, "Invalid Email Format")
     verdict = F.coalesce(reason, F.lit("Invalid Email Format"))
-    return _with_verdict(df, col, verdict, as_text=False).drop(*extra)
+    return _with_verdict(staged, columns, col, verdict, as_text=False)
 
 
 def _rules(rules: DomainRules | None, allowed, blocked, suffixes) -> DomainRules:
@@ -80,45 +88,49 @@ def _rules(rules: DomainRules | None, allowed, blocked, suffixes) -> DomainRules
 
 
 def _email_verdict(
-    df: DataFrame, col: str, rules: DomainRules, strict_compat: bool, bad_format: str
-) -> tuple[DataFrame, Column, list[str]]:
-    """(table with lookup columns if any were needed, reason, names of those columns)"""
-    require(df, col)
-    before = df.columns
-    text = text_of(df, col)
-    domain = checks.email_domain(text)
+    df: DataFrame, bare: Column, rules: DomainRules, strict_compat: bool, bad_format: str
+) -> tuple[DataFrame, Column]:
+    df = df.withColumn("__domain", checks.email_domain(bare))
+    domain = F.col("__domain")
     df, blocked = _membership(df, [domain], rules.blocked, "__blocked")
     df, allowed = _membership(df, [domain], rules.allowed, "__allowed")
     df, suffix = _membership(df, suffix_keys(domain, strict_compat), rules.suffixes, "__suffix")
-    reason = checks.email_reason(text, suffix, allowed, blocked, bad_format)
-    return df, reason, [c for c in df.columns if c not in before]
+    return df, checks.email_reason(bare, domain, (suffix, allowed, blocked), bad_format)
+
 
+def _validated(df: DataFrame, col: str, verdict, as_text: bool, skip_header_cells: bool) -> DataFrame:
+    """Mark ``col`` by ``verdict(table, bare text) -> (table, reason)``.
 
-def _marked(df: DataFrame, col: str, reason: Column, as_text: bool, skip_header_cells: bool) -> DataFrame:
-    verdict = checks.checked(col_ref(col), dtype_of(df, col), col if skip_header_cells else None, reason)
-    return _with_verdict(df, col, verdict, as_text)
+    Text that a check reads several times is a column of an earlier projection, computed once.
+    """
+    require(df, col)
+    columns = df.columns
+    staged = df.withColumn(_BARE, strip(text_of(df, col)))
+    staged, reason = verdict(staged, F.col(_BARE))
+    header = col if skip_header_cells else None
+    return _with_verdict(
+        staged, columns, col, checks.checked(text_of(df, col), F.col(_BARE), header, reason), as_text
+    )
 
 
-def _with_verdict(df: DataFrame, col: str, verdict: Column, as_text: bool) -> DataFrame:
-    label, fresh = col + REASON, "__verdict"
-    if label in df.columns:
+def _with_verdict(staged: DataFrame, columns: list[str], col: str, verdict: Column, as_text: bool) -> DataFrame:
+    """``columns`` of the staged table plus the marks that follow from ``verdict``."""
+    label, mark, fresh = col + REASON, col + INVALID, F.col(_VERDICT)
+    judged = staged.withColumn(_VERDICT, verdict)
+    reason = fresh
+    if label in columns and mark in columns:
         # The first failure of a cell keeps its reason when a later check passes.
-        old_bad = col_ref(col + INVALID) if col + INVALID in df.columns else F.lit(False)
-        kept = F.when(old_bad & checks.is_good_reason(F.col(fresh)), col_ref(label)).otherwise(F.col(fresh))
-    else:
-        kept = F.col(fresh)
-    # One projection computes the verdict, the next one reads it twice.
-    df = df.withColumn(fresh, verdict)
-    mark, invalid = mark_column(df, col, INVALID, ~checks.is_good_reason(F.col(fresh)))
-    columns = {mark: invalid, label: kept}
+        reason = F.when(col_ref(mark) & checks.is_good_reason(fresh), col_ref(label)).otherwise(fresh)
+    _, invalid = mark_column(judged.select(*map(col_ref, columns)), col, INVALID, ~checks.is_good_reason(fresh))
+    out = {c: col_ref(c) for c in columns}
     if as_text:
-        columns[col] = F.coalesce(text_of(df, col), F.lit(""))
-    return df.withColumns(columns).drop(fresh)
+        out[col] = F.coalesce(text_of(judged, col), F.lit(""))
+    out |= {mark: invalid, label: reason}
+    return judged.select(*[c.alias(name) for name, c in out.items()])
 
 
 def validate_phone(df: DataFrame, col: str, *, as_text: bool = True, skip_header_cells: bool = True) -> DataFrame:
-    require(df, col)
-    return _marked(df, col, checks.phone_reason(text_of(df, col)), as_text, skip_header_cells)
+    return _validated(df, col, lambda t, bare: (t, checks.phone_reason(bare)), as_text, skip_header_cells)
 
 
 def validate_date(
@@ -130,28 +142,39 @@ def validate_date(
     skip_header_cells: bool = True,
 ) -> DataFrame:
     """Text that one of the layouts parses completely; ``formats`` replaces the usual layouts."""
-    require(df, col)
-    return _marked(df, col, checks.date_reason(text_of(df, col), formats), as_text, skip_header_cells)
+
+    def verdict(staged: DataFrame, bare: Column) -> tuple[DataFrame, Column]:
+        if formats:
+            return staged, checks.date_reason(bare, formats)
+        staged = staged.withColumn("__day", checks.day_part(bare))
+        return staged, checks.date_reason(F.col("__day"), checks.DATE_FORMATS)
+
+    return _validated(df, col, verdict, as_text, skip_header_cells)
 
 
 def validate_numeric(
     df: DataFrame, col: str, *, as_text: bool = True, skip_header_cells: bool = True
 ) -> DataFrame:
     require(df, col)
-    return _marked(df, col, checks.numeric_reason(col_ref(col), dtype_of(df, col)), as_text, skip_header_cells)
+    typed = is_number_type(dtype_of(df, col))
+
+    def verdict(staged: DataFrame, bare: Column) -> tuple[DataFrame, Column]:
+        return staged, F.lit("Valid") if typed else checks.numeric_reason(bare)
+
+    return _validated(df, col, verdict, as_text, skip_header_cells)
 
 
 def validate_alphanumeric(
     df: DataFrame, col: str, *, allow_digits: bool = False, as_text: bool = True, skip_header_cells: bool = True
 ) -> DataFrame:
     """Letters of any script and white space; digits only on request."""
-    require(df, col)
-    return _marked(df, col, checks.letters_reason(text_of(df, col), allow_digits), as_text, skip_header_cells)
+    return _validated(
+        df, col, lambda t, bare: (t, checks.letters_reason(bare, allow_digits)), as_text, skip_header_cells
+    )
 
 
 def validate_url(df: DataFrame, col: str, *, as_text: bool = True, skip_header_cells: bool = True) -> DataFrame:
-    require(df, col)
-    return _marked(df, col, checks.url_reason(text_of(df, col)), as_text, skip_header_cells)
+    return _validated(df, col, lambda t, bare: (t, checks.url_reason(bare)), as_text, skip_header_cells)
 
 
 VALIDATORS = {

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_text, col_ref, is_missing
+from ..functions.text import cell_text, col_ref, is_missing, no_nan
 from ..operators.common import DUPLICATE, INVALID, MARKS, MODIFIED, REASON, is_mark, require
-from .lookup import text_key
+from .lookup import value_key
 
 
 def count_rows(df: DataFrame) -> int:
@@ -35,11 +35,14 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, approx: bool =
     for i, name in enumerate(cols):
         dtype, cell = df.schema[name].dataType, col_ref(name)
         text = cell_text(cell, dtype)
-        key = text_key(text)
-        counted = F.approx_count_distinct(key) if approx else F.count_distinct(key)
+        if approx:
+            counted = F.approx_count_distinct(no_nan(cell, dtype))
+        else:
+            counted = F.count_distinct(value_key(cell, dtype))
+        missing = F.coalesce(F.max(is_missing(cell, dtype)), F.lit(False))
         totals += [
-            counted.alias(f"d{i}"),
-            F.coalesce(F.max(is_missing(cell, dtype)), F.lit(False)).alias(f"m{i}"),
+            (counted + missing.cast("bigint")).alias(f"d{i}"),
+            missing.alias(f"m{i}"),
             F.greatest(F.coalesce(F.max(F.length(text)), F.lit(0)), F.lit(len(name))).alias(f"w{i}"),
         ]
         rows.append(

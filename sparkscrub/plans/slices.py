@@ -13,6 +13,7 @@ from .lookup import refuse_streams
 PREVIEW_ROWS = 1000
 # Rows a final top-k may hold beyond the rows asked for.
 _SLACK = 100_000
+_FEWEST_RANGES = 32
 
 
 def slice_rows(
@@ -77,7 +78,9 @@ def _range_sizes(df: DataFrame, order: list[str]) -> list:
     """Size and end keys of every range, in order: as many rows as there are partitions."""
     keys = df.select(*[col_ref(c).alias(f"k{i}") for i, c in enumerate(order)])
     names = [f"k{i}" for i in range(len(order))]
-    ranged = keys.repartitionByRange(*[F.col(k).asc_nulls_first() for k in names])
+    # A number that is given is kept; otherwise small ranges would be merged into one again.
+    parts = max(_FEWEST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = keys.repartitionByRange(parts, *[F.col(k).asc_nulls_first() for k in names])
     end = F.struct(*names)
     found = (
         ranged.groupBy(F.spark_partition_id().alias("part"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..functions.text import quoted
+from ..functions.text import col_ref, quoted
 from ..operators.common import require
 from ..plans.recipe import Recipe
 
@@ -41,4 +41,7 @@ def drop_duplicates(
     """Keep the first row to arrive per value of ``cols``; state is dropped after ``within``."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     require(stream, event_time, *cols)
+    if isinstance(stream.schema[event_time].dataType, T.TimestampNTZType):
+        # Watermarks need an instant; a local time is read in the session's time zone.
+        stream = stream.withColumn(event_time, col_ref(event_time).cast("timestamp"))
     return stream.withWatermark(quoted(event_time), within).dropDuplicatesWithinWatermark(cols)
