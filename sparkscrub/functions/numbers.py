@@ -30,7 +30,10 @@ def to_number(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DecimalType):
         return c.cast("double")
     text = cell_text(c, dtype)
-    return F.when(text.rlike(_NUMBER), F.btrim(text, F.lit(_ASCII_WS)).try_cast("double"))
+    number = F.btrim(text, F.lit(_ASCII_WS)).try_cast("double")
+    # Digits too large for a double are no number; the word "inf" is one.
+    fits = (F.abs(number) < float("inf")) | F.contains(F.lower(text), F.lit("n"))
+    return F.when(text.rlike(_NUMBER) & fits, number)
 
 
 def is_whole_text(text: Column) -> Column:

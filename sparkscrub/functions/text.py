@@ -114,11 +114,13 @@ def short_text(c: Column, dtype: T.DataType) -> Column:
 
 def _wide_digits(d: Column) -> Column:
     """All digits of a whole double below 1e37; null for other doubles."""
-    unit = float(2**62)
-    high = F.floor(d / unit)
-    low = d - high.cast("double") * unit
-    wide = high.cast("decimal(19,0)") * F.lit(str(2**62)).cast("decimal(19,0)") + low.cast("decimal(19,0)")
-    return F.when((F.rint(d) == d) & (F.abs(d) < 1e37), wide.cast("string"))
+    # Two halves that a double and a decimal both hold exactly.
+    size, unit = F.abs(d), float(2**62)
+    high = F.floor(size / unit)
+    low = size - high.cast("double") * unit
+    wide = high.cast("decimal(19,0)") * F.lit(str(2**62)).cast("decimal(19,0)") + low.cast("bigint").cast("decimal(19,0)")
+    digits = F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), wide.cast("string"))
+    return F.when((F.rint(d) == d) & (size < 1e37), digits)
 
 
 def drop_point_zero(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_ref, no_nan
@@ -25,13 +25,10 @@ def _ranked(df: DataFrame, col: str) -> DataFrame:
             F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place"),
         )
     )
-    # One row per partition: its size is the number of tasks, not the number of values.
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size")).collect()
-    ends, total = {}, 0
-    for part in sorted(sizes, key=lambda s: s["part"]):
-        ends[part["part"]] = total
-        total += part["size"]
-    starts = df.sparkSession.createDataFrame(list(ends.items()), "part bigint, start bigint")
+    # One row per task of the sort, however many values there are: a window over them is small.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
     return placed.join(F.broadcast(starts), "part").select(
         "value", "rows", (F.col("start") + F.col("place") + 1).alias("code")
     )

@@ -72,10 +72,9 @@ def check_email_address(
     """The address check alone: missing, blank and header cells are addresses of a bad format."""
     require(df, col)
     rules, columns = _rules(rules, allowed, blocked, suffixes), df.columns
-    staged = df.withColumn(_BARE, strip(text_of(df, col)))
+    staged = df.withColumn(_BARE, F.coalesce(strip(text_of(df, col)), F.lit("")))
     staged, reason = _email_verdict(staged, F.col(_BARE), rules, strict_compat, "Invalid Email Format")
-    verdict = F.coalesce(reason, F.lit("Invalid Email Format"))
-    return _with_verdict(staged, columns, col, verdict, as_text=False)
+    return _with_verdict(staged, columns, col, reason, as_text=False)
 
 
 def _rules(rules: DomainRules | None, allowed, blocked, suffixes) -> DomainRules:

@@ -104,12 +104,12 @@ class Lookup:
         ).first()
         self.bytes, total = size["bytes"] or 0, size["rows"] or 0
         self.small = self.bytes <= broadcast_limit(spark)
-        self.hot: list = []
+        self.hot_keys: list = []
         if not self.small:
-            floor = HOT_ROWS if hot_rows is None else hot_rows
             # Fewer than _HOT_SHARE values can pass, whatever the size of the data.
-            found = table.where(F.col(rows) > max(floor, total // _HOT_SHARE)).select(key, *self.payload)
-            self.hot = found.collect()
+            cut = max(HOT_ROWS if hot_rows is None else hot_rows, total // _HOT_SHARE)
+            self.hot = table.where(F.col(rows) > cut)
+            self.hot_keys = [row[0] for row in self.hot.select(key).collect()]
 
     def attach(self, df: DataFrame, key: Column, missing: dict[str, object]) -> DataFrame:
         """``df`` plus the payload of its rows' keys; ``missing`` fills rows whose key is unknown.
@@ -129,14 +129,15 @@ class Lookup:
         if self.small:
             return filled(keyed.join(F.broadcast(other), link, "left"))
         # Null and hot keys stay where they are: no shuffle, so no task receives all of them.
-        hot_keys = [row[self.key] for row in self.hot]
         aside = F.col(link).isNull()
-        if hot_keys:
-            aside = aside | F.col(link).isin(hot_keys)
-        hot = df.sparkSession.createDataFrame([tuple(row) for row in self.hot], other.schema)
-        stay = filled(keyed.where(aside).join(F.broadcast(hot), link, "left"))
-        move = filled(keyed.where(~aside).join(other, link, "left"))
-        return move.unionAll(stay)
+        if self.hot_keys:
+            aside = aside | F.col(link).isin(self.hot_keys)
+            hot = self.hot.select(F.col(self.key).alias(link), *self.payload)
+            stay = keyed.where(aside).join(F.broadcast(hot), link, "left")
+        else:
+            stay = keyed.where(aside)
+            stay = stay.withColumns({p: F.lit(None).cast(self.table.schema[p].dataType) for p in self.payload})
+        return filled(keyed.where(~aside).join(other, link, "left")).unionAll(filled(stay))
 
 
 def refuse_streams(df: DataFrame, what: str) -> None:

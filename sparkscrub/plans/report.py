@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import cell_text, col_ref, is_missing, no_nan
+from ..functions.text import WHOLE, cell_text, col_ref, is_missing, no_nan
 from ..operators.common import DUPLICATE, INVALID, MARKS, MODIFIED, REASON, is_mark, require
 from .lookup import value_key
 
@@ -34,7 +35,6 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, approx: bool =
     totals, rows = [], []
     for i, name in enumerate(cols):
         dtype, cell = df.schema[name].dataType, col_ref(name)
-        text = cell_text(cell, dtype)
         if approx:
             counted = F.approx_count_distinct(no_nan(cell, dtype))
         else:
@@ -43,7 +43,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, approx: bool =
         totals += [
             (counted + missing.cast("bigint")).alias(f"d{i}"),
             missing.alias(f"m{i}"),
-            F.greatest(F.coalesce(F.max(F.length(text)), F.lit(0)), F.lit(len(name))).alias(f"w{i}"),
+            F.greatest(F.coalesce(_widest(cell, dtype), F.lit(0)), F.lit(len(name))).alias(f"w{i}"),
         ]
         rows.append(
             F.struct(
@@ -57,6 +57,13 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, approx: bool =
     return df.agg(*totals).select(F.inline(F.array(*rows)))
 
 
+def _widest(cell: Column, dtype: T.DataType) -> Column:
+    """Length of the longest cell text. No whole number is longer than the least or the greatest."""
+    if isinstance(dtype, WHOLE):
+        return F.greatest(*[F.length(end(cell).cast("string")) for end in (F.min, F.max)])
+    return F.max(F.length(cell_text(cell, dtype)))
+
+
 def diff_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: added and removed columns, rows before and after (one job)."""
     old, new = data_columns(before), data_columns(after)

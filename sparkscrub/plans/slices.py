@@ -11,7 +11,7 @@ from ..functions.text import col_ref
 from .lookup import refuse_streams
 
 PREVIEW_ROWS = 1000
-# Rows a final top-k may hold beyond the rows asked for.
+# Rows a final top-k may hold beyond twice the rows asked for.
 _SLACK = 100_000
 _FEWEST_RANGES = 32
 
@@ -58,7 +58,7 @@ def _window_of_keys(df: DataFrame, order: list[str], n: int, slack: int) -> tupl
         total = sum(r["size"] for r in ranges)
         if start is None:
             start = max(0, (total - n) // 2)
-        if total <= n + slack:
+        if total <= 2 * n + slack:
             return near, start
         kept, seen, skipped = [], 0, 0
         for r in ranges:

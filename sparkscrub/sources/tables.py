@@ -119,6 +119,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, name in enumerate(texts):
         cell = col_ref(name)
         whole = is_whole_text(cell) & F.btrim(cell).try_cast("bigint").isNotNull()
+        whole = F.when(cell.isNotNull(), whole)
         tests += [
             F.bool_and(whole).alias(f"w{i}"),
             F.bool_and(is_float_text(cell)).alias(f"f{i}"),
