@@ -47,7 +47,7 @@ from .plans.report import (
     validation_summary,
 )
 from .plans.slices import slice_rows
-from .sources.tables import infer_types, read_table, write_table
+from .sources.tables import infer_types, read_domain_list, read_table, write_table
 
 __all__ = [
     "DomainRules",
@@ -73,6 +73,7 @@ __all__ = [
     "merge_columns",
     "preview",
     "profile",
+    "read_domain_list",
     "read_table",
     "reason_counts",
     "remove_duplicates",

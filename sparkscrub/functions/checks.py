@@ -10,13 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .domains import domain_reason
-from .text import FLOAT_TEXT, WS_CLASS
+from .text import FLOAT_BARE, WS_CLASS
 
 _WORD = r"\p{L}\p{N}_"
-# Local part starts with a word character; no two points in a row, none at the end.
-EMAIL = (
-    rf"^(?!.*\.\.)(?!.*\.\z)[{_WORD}][{_WORD}.%+\-]{{0,63}}@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\z"
-)
+# The user part starts with a word character.
+EMAIL = rf"^[{_WORD}][{_WORD}.%+\-]{{0,63}}+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\z"
 PHONE = rf"^\+?[0-9{WS_CLASS}\-()]{{7,20}}\z"
 LETTERS = rf"^[\p{{L}}{WS_CLASS}]+\z"
 URL = r"(?i)^[\x00-\x20]*https?://[^/?#]+"
@@ -56,7 +54,8 @@ def email_domain(bare: Column) -> Column:
 
 def email_reason(bare: Column, domain: Column, hits: Sequence[Column], bad_format: str = "Invalid Format") -> Column:
     """``hits``: is the domain's suffix known, is the domain allowed, is it blocked."""
-    return F.when(~bare.rlike(EMAIL), bad_format).otherwise(domain_reason(domain, *hits))
+    well_formed = ~F.contains(bare, F.lit("..")) & bare.rlike(EMAIL)
+    return F.when(~well_formed, bad_format).otherwise(domain_reason(domain, *hits))
 
 
 def phone_reason(bare: Column) -> Column:
@@ -115,7 +114,7 @@ def date_reason(day: Column, formats: Sequence[str]) -> Column:
 
 
 def numeric_reason(bare: Column) -> Column:
-    return F.when(bare.rlike(FLOAT_TEXT), "Valid").otherwise("Invalid Format")
+    return F.when(bare.rlike(FLOAT_BARE), "Valid").otherwise("Invalid Format")
 
 
 def letters_reason(bare: Column, allow_digits: bool = False) -> Column:

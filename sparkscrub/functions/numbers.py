@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 from .text import FLOATING, WHOLE, apart, cell_text, is_plain
 
 _ASCII_WS = " \t\n\x0b\f\r"
+_SPACE = r"[ \t\n\x0B\f\r]*+"
 _NUMBER = (
-    r"(?i)^[ \t\n\x0B\f\r]*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?)[ \t\n\x0B\f\r]*\z"
+    rf"(?i)^{_SPACE}[+-]?(?:(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:e[+-]?[0-9]++)?+|inf(?:inity)?){_SPACE}\z"
 )
-_INTEGER = r"^[ \t\n\x0B\f\r]*[+-]?[0-9]+[ \t\n\x0B\f\r]*\z"
+_INTEGER = rf"^{_SPACE}[+-]?[0-9]++{_SPACE}\z"
 
 
 def is_number_type(dtype: T.DataType) -> bool:

@@ -34,8 +34,15 @@ def mask_email(text: Column) -> Column:
     return F.regexp_replace(text, _EMAIL_PARTS, "$1***@$2")
 
 
+def single_spaced(text: Column) -> Column:
+    """Words with one space between them and none around. Spark keeps the compiled pattern of a
+    replacement but compiles the pattern of every ``split`` again, so words are cut at this space."""
+    return F.regexp_replace(strip(text), f"[{WS_CLASS}]+", " ")
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{WS_CLASS}]+"), lambda w: w != "")
+    """The words of a text; blank text gives one empty word."""
+    return F.split(single_spaced(text), " ")
 
 
 def mask_words(text: Column) -> Column:
@@ -69,17 +76,20 @@ def keep_letters(text: Column) -> Column:
     return F.regexp_replace(text, rf"[^\p{{L}}{WS_CLASS}]+", "")
 
 
-def split_last_word(text: Column) -> tuple[Column, Column]:
-    """(all words but the last, last word); a single word has an empty last word."""
-    parts = words(text)
-    blank = F.coalesce((strip(text) == "") | (F.lower(strip(text)) == "nan"), F.lit(True))
-    several = F.size(parts) > 1
-    rest = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), " ")
-    first = F.when(blank, "").when(several, rest).otherwise(strip(text))
-    last = F.when(blank, "").when(several, F.try_element_at(parts, F.lit(-1))).otherwise("")
-    return first, last
+def split_last_word(spaced: Column) -> tuple[Column, Column]:
+    """(all words but the last, last word) of single-spaced text; one word alone comes first."""
+    blank = F.coalesce((spaced == "") | (F.lower(spaced) == "nan"), F.lit(True))
+    several = F.contains(spaced, F.lit(" "))
+    last = F.substring_index(spaced, " ", -1)
+    rest = F.left(spaced, F.length(spaced) - F.length(last) - 1)
+    return (
+        F.when(blank, "").when(several, rest).otherwise(spaced),
+        F.when(blank | ~several, "").otherwise(last),
+    )
 
 
 def literal_regex(text: str) -> str:
-    """``text`` as a Java pattern that matches exactly itself."""
+    """``text`` as a Java pattern that matches exactly itself; one character needs no compiling."""
+    if len(text) == 1:
+        return "\\" + text if text in r".$|()[{^?*+\\" else text
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"

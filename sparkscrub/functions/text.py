@@ -15,15 +15,16 @@ WHITESPACE = "".join(chr(code) for first, last in _WS_RANGES for code in range(f
 # The same set as the inside of a character class.
 WS_CLASS = "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in _WS_RANGES)
 
-# Text that reads as a floating-point number: digit groups may be joined by "_".
-_DIGITS = r"\p{Nd}+(_\p{Nd}+)*"
-FLOAT_TEXT = (
-    rf"(?i)^[{WS_CLASS}]*[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})(e[+-]?{_DIGITS})?"
-    rf"|inf(inity)?|nan)[{WS_CLASS}]*\z"
+# Text that reads as a floating-point number: digit groups may be joined by "_". Possessive
+# quantifiers ("++") make text that almost fits fail in one pass.
+_DIGITS = r"\p{Nd}++(?:_\p{Nd}++)*+"
+FLOAT_BARE = (
+    rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?+)?+|\.{_DIGITS})(?:e[+-]?{_DIGITS})?+|inf(?:inity)?|nan)\z"
 )
+FLOAT_TEXT = FLOAT_BARE.replace("^", f"^[{WS_CLASS}]*+", 1).replace(r"\z", rf"[{WS_CLASS}]*+\z")
 # Whole numbers that a double holds exactly.
 _SHORT_WHOLE = r"^[+-]?[0-9]{1,15}(\.0*)?\z"
-_PLAIN_FLOAT = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\z"
+_PLAIN_FLOAT = r"(?i)^[+-]?(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:e[+-]?[0-9]++)?+\z"
 
 FLOATING = (T.FloatType, T.DoubleType)
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)

@@ -80,7 +80,8 @@ def split_delimiter(
     pattern = strings.literal_regex(delimiter)
     if n_parts is None or check:
         refuse_streams(df, "finding the number of parts")
-        widest = df.agg(F.max(F.size(F.split(text, pattern, -1)))).first()[0] or 1
+        cuts = (F.length(text) - F.length(F.replace(text, F.lit(delimiter), F.lit("")))) / len(delimiter)
+        widest = int(df.agg(F.max(cuts)).first()[0] or 0) + 1
         if widest < 2:
             raise ValueError(f"no cell of {col!r} has the delimiter {delimiter!r}")
         if n_parts is None and widest > max_parts:
@@ -101,12 +102,14 @@ def split_delimiter(
 def split_surname(df: DataFrame, col: str, *, skip_header_cells: bool = True) -> DataFrame:
     """Move the last word to ``{col}_Surname``; missing and blank cells give two empty texts."""
     df = as_text_column(df, col)
-    text = col_ref(col)
-    first, last = strings.split_last_word(text)
+    text, spaced = col_ref(col), "__spaced"
+    df = df.withColumn(spaced, strings.single_spaced(text))
+    first, last = strings.split_last_word(F.col(spaced))
     if skip_header_cells:
         first = F.when(text == F.lit(col), text).otherwise(first)
         last = F.when(text == F.lit(col), "").otherwise(last)
-    return place_after(df, col, {col: first, unique_name(df, f"{col}_Surname"): last})
+    surname = unique_name(df, f"{col}_Surname")
+    return place_after(df, col, {col: first, surname: last}).drop(spaced)
 
 
 def extract_pattern(

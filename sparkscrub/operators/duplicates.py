@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_ref
-from ..plans.lookup import Lookup, cell_key, materialize, refuse_streams, value_key
+from ..plans.lookup import Lookup, cell_keys, materialize, refuse_streams, value_key
 from .common import DUPLICATE, dtype_of, mark_column, require
 
+_FOUND = "__is_duplicate"
+
 
 def mark_duplicates(
     df: DataFrame, cols: str | Sequence[str], *, hot_rows: int | None = None
@@ -23,21 +25,20 @@ def mark_duplicates(
     cols = [cols] if isinstance(cols, str) else list(dict.fromkeys(cols))
     require(df, *cols)
     refuse_streams(df, "marking duplicates")
-    lookup = duplicate_values(df, cols, hot_rows)
-    found = "__is_duplicate"
-    for c in cols:
-        df = lookup.attach(df, cell_key(col_ref(c), dtype_of(df, c)), {found: False})
-        label, marked = mark_column(df, c, DUPLICATE, F.col(found))
-        df = df.withColumn(label, marked).drop(found)
+    keys = cell_keys({c: (col_ref(c), dtype_of(df, c)) for c in cols})
+    lookup = duplicate_values(df, list(keys.values()), hot_rows)
+    for c, key in keys.items():
+        df = lookup.attach(df, key, {_FOUND: False})
+        label, marked = mark_column(df, c, DUPLICATE, F.col(_FOUND))
+        df = df.withColumn(label, marked).drop(_FOUND)
     return df
 
 
-def duplicate_values(df: DataFrame, cols: Sequence[str], hot_rows: int | None = None) -> Lookup:
-    """The keys that occur at least twice in the pooled ``cols``."""
-    keys = [cell_key(col_ref(c), dtype_of(df, c)) for c in cols]
+def duplicate_values(df: DataFrame, keys: Sequence[Column], hot_rows: int | None = None) -> Lookup:
+    """The keys that occur at least twice in the pooled ``keys``; null is one of them."""
     pool = df.select(keys[0].alias("key") if len(keys) == 1 else F.explode(F.array(*keys)).alias("key"))
     counts = pool.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return Lookup(materialize(counts.withColumn("__is_duplicate", F.lit(True))), "key", "rows", hot_rows)
+    return Lookup(materialize(counts.withColumn(_FOUND, F.lit(True))), "key", "rows", hot_rows)
 
 
 def remove_duplicates(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,30 +12,50 @@ from ..functions import checks
 from ..functions.domains import DomainRules, any_in, suffix_keys
 from ..functions.numbers import is_number_type
 from ..functions.text import col_ref, strip
-from ..plans.lookup import Lookup, materialize, refuse_streams
+from ..plans.lookup import attach_known, materialize, refuse_streams
 from .common import INVALID, REASON, dtype_of, mark_column, require, text_of
 
 _BARE, _VERDICT = "__bare", "__verdict"
+_HITS = ("__suffix", "__allowed", "__blocked")
 KINDS = ("email", "phone", "date", "numeric", "alphanumeric", "url")
 
 
-def _membership(df: DataFrame, keys: list[Column], values, label: str) -> tuple[DataFrame, Column]:
-    """Is any of ``keys`` in ``values``? Collections become a literal set. A DataFrame of any size
-    is joined by :class:`Lookup`, which measures it first."""
+def _listed(df: DataFrame, keys: list[Column], values, label: str) -> DataFrame:
+    """``df`` with the truth column ``label``: is any of ``keys`` in ``values``?
+
+    Collections become a literal set. A DataFrame of any size is joined by :class:`Lookup`, which
+    measures it first; keys that are common in the data are part of the lookup even if not listed.
+    """
     if not isinstance(values, DataFrame):
-        return df, any_in(keys, values)
-    refuse_streams(df, "a list given as a DataFrame")
-    listed = values.select(F.lower(F.trim(col_ref(values.columns[0]))).alias("key"))
-    listed = listed.where(F.col("key") != "").distinct()
-    hits = F.lit(False)
+        return df.withColumn(label, any_in(keys, values))
+    listed = values.select(F.lower(F.trim(col_ref(values.columns[0]))).alias("probe")).distinct()
+    hits = []
     for i, key in enumerate(keys):
-        # Any key may be common in the data, so hot ones are found on the data side.
-        found = df.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-        name = f"{label}{i}"
-        table = materialize(found.join(listed, "key", "left_semi").withColumn(name, F.lit(True)))
-        df = Lookup(table, "key", "rows").attach(df, key, {name: False})
-        hits = hits | F.col(name)
-    return df, hits
+        hit = f"{label}{i}"
+        counted = df.select(key.alias("probe")).groupBy("probe").agg(F.count(F.lit(1)).alias("rows"))
+        marked = counted.join(listed.withColumn(hit, F.lit(True)), "probe", "left").na.fill(False, [hit])
+        df = attach_known(df, key, marked, "probe", [hit])
+        hits.append(F.col(hit))
+    return df.withColumn(label, reduce(lambda a, b: a | b, hits)).drop(*[f"{label}{i}" for i in range(len(keys))])
+
+
+def _domain_hits(df: DataFrame, rules: DomainRules, strict_compat: bool) -> DataFrame:
+    """``df`` with the truth columns ``_HITS`` for its ``__domain``. Lists given as DataFrames are
+    compared with the distinct domains, which the rows then look up."""
+    lists = (rules.suffixes, rules.allowed, rules.blocked)
+
+    def with_hits(table: DataFrame, domain: Column) -> DataFrame:
+        for label, values in zip(_HITS, lists):
+            keys = suffix_keys(domain, strict_compat) if values is rules.suffixes else [domain]
+            table = _listed(table, keys, values, label)
+        return table
+
+    if not any(isinstance(values, DataFrame) for values in lists):
+        return with_hits(df, F.col("__domain"))
+    refuse_streams(df, "a list given as a DataFrame")
+    domains = df.groupBy(F.col("__domain").alias("domain")).agg(F.count(F.lit(1)).alias("rows"))
+    marked = with_hits(materialize(domains), F.col("domain"))
+    return attach_known(df, F.col("__domain"), marked, "domain", list(_HITS))
 
 
 def validate_email(
@@ -90,11 +111,8 @@ def _email_verdict(
     df: DataFrame, bare: Column, rules: DomainRules, strict_compat: bool, bad_format: str
 ) -> tuple[DataFrame, Column]:
     df = df.withColumn("__domain", checks.email_domain(bare))
-    domain = F.col("__domain")
-    df, blocked = _membership(df, [domain], rules.blocked, "__blocked")
-    df, allowed = _membership(df, [domain], rules.allowed, "__allowed")
-    df, suffix = _membership(df, suffix_keys(domain, strict_compat), rules.suffixes, "__suffix")
-    return df, checks.email_reason(bare, domain, (suffix, allowed, blocked), bad_format)
+    df = _domain_hits(df, rules, strict_compat)
+    return df, checks.email_reason(bare, F.col("__domain"), [F.col(h) for h in _HITS], bad_format)
 
 
 def _validated(df: DataFrame, col: str, verdict, as_text: bool, skip_header_cells: bool) -> DataFrame:

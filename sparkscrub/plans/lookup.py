@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import cell_text, no_nan, quoted
+from ..functions.text import WHOLE, cell_text, no_nan, quoted
 
 # Values longer than this many bytes are compared by their SHA-256 digest.
 _DIGEST_FROM = 64
@@ -48,25 +48,28 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def text_key(text: Column) -> Column:
-    """A never-null comparison key of bounded length: short text itself, long text by digest."""
-    return F.coalesce(
-        F.when(F.octet_length(text) <= _DIGEST_FROM, F.concat(F.lit("="), text)).otherwise(
-            F.concat(F.lit("#"), F.sha2(text, 256))
-        ),
-        F.lit("-"),
+    """A comparison key of bounded length: short text itself, long text by digest; null stays null."""
+    return F.when(F.octet_length(text) <= _DIGEST_FROM, F.concat(F.lit("="), text)).otherwise(
+        F.concat(F.lit("#"), F.sha2(text, 256))
     )
 
 
 def value_key(c: Column, dtype: T.DataType) -> Column:
     """Comparison key by value: numbers and dates as they are, text bounded, missing null."""
-    if isinstance(dtype, T.StringType):
-        return F.when(c.isNotNull(), text_key(c))
-    return no_nan(c, dtype)
+    return text_key(c) if isinstance(dtype, T.StringType) else no_nan(c, dtype)
 
 
-def cell_key(c: Column, dtype: T.DataType) -> Column:
-    """Comparison key by cell text, shared by columns of different types; missing is one value."""
-    return text_key(cell_text(c, dtype))
+def cell_keys(columns: dict[str, tuple[Column, T.DataType]]) -> dict[str, Column]:
+    """Comparison keys by cell text, shared by all ``columns``; missing is null.
+
+    Whole numbers, and dates and truth values of one type, are equal when their texts are.
+    """
+    kinds = {type(dtype) for _, dtype in columns.values()}
+    if kinds <= set(WHOLE):
+        return {name: c.cast("bigint") for name, (c, _) in columns.items()}
+    if len(kinds) == 1 and kinds <= {T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType}:
+        return {name: c for name, (c, _) in columns.items()}
+    return {name: text_key(cell_text(c, dtype)) for name, (c, dtype) in columns.items()}
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -90,41 +93,42 @@ def row_bytes(df: DataFrame, columns: list[str]) -> Column:
 
 class Lookup:
     """A written table ``key, payload..., rows``: at most one row per key, ``rows`` = rows with it.
+    The row of the null key, if there is one, stands for missing cells.
 
     ``hot_rows`` is the smallest row count a hot value may have; tests lower it.
     """
 
     def __init__(self, table: DataFrame, key: str, rows: str, hot_rows: int | None = None):
-        self.key, self.rows = key, rows
+        self.key, self.table = key, table
         self.payload = [c for c in table.columns if c not in (key, rows)]
-        self.table = table
-        spark = table.sparkSession
+        of_null = F.max(F.when(F.col(key).isNull(), F.struct(*self.payload)))
         size = table.agg(
-            F.sum(row_bytes(table, [key, *self.payload])).alias("bytes"), F.sum(rows).alias("rows")
+            F.sum(row_bytes(table, [key, *self.payload])).alias("bytes"),
+            F.sum(rows).alias("rows"),
+            of_null.alias("of_null"),
         ).first()
-        self.bytes, total = size["bytes"] or 0, size["rows"] or 0
-        self.small = self.bytes <= broadcast_limit(spark)
+        self.bytes, total, self.of_null = size["bytes"] or 0, size["rows"] or 0, size["of_null"]
+        self.small = self.bytes <= broadcast_limit(table.sparkSession)
         self.hot_keys: list = []
         if not self.small:
             # Fewer than _HOT_SHARE values can pass, whatever the size of the data.
             cut = max(HOT_ROWS if hot_rows is None else hot_rows, total // _HOT_SHARE)
-            self.hot = table.where(F.col(rows) > cut)
+            self.hot = table.where((F.col(rows) > cut) & F.col(key).isNotNull())
             self.hot_keys = [row[0] for row in self.hot.select(key).collect()]
 
-    def attach(self, df: DataFrame, key: Column, missing: dict[str, object]) -> DataFrame:
-        """``df`` plus the payload of its rows' keys; ``missing`` fills rows whose key is unknown.
-
-        Null keys never match.
-        """
+    def attach(self, df: DataFrame, key: Column, unknown: dict[str, object]) -> DataFrame:
+        """``df`` plus the payload of its rows' keys; ``unknown`` is for keys the table does not have."""
         link = "__lookup_key"
         keyed = df.withColumn(link, key)
-        other = self.table.select(F.col(self.key).alias(link), *self.payload)
+        other = self.table.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias(link), *self.payload)
 
         def filled(joined: DataFrame) -> DataFrame:
-            return joined.select(
-                *[joined[quoted(c)] for c in df.columns],
-                *[F.coalesce(joined[p], F.lit(missing[p])).alias(p) for p in self.payload],
-            )
+            out = [joined[quoted(c)] for c in df.columns]
+            for p in self.payload:
+                null_value = F.lit(unknown[p] if self.of_null is None else self.of_null[p])
+                found = F.coalesce(joined[p], F.lit(unknown[p]))
+                out.append(F.when(joined[link].isNull(), null_value).otherwise(found).alias(p))
+            return joined.select(*out)
 
         if self.small:
             return filled(keyed.join(F.broadcast(other), link, "left"))
@@ -140,6 +144,16 @@ class Lookup:
         return filled(keyed.where(~aside).join(other, link, "left")).unionAll(filled(stay))
 
 
+def attach_known(df: DataFrame, key: Column, counted: DataFrame, name: str, marks: list[str]) -> DataFrame:
+    """``df`` plus the truth columns ``marks`` of ``counted`` (``name, rows, marks``: one row per key
+    of ``df``). Only keys with a mark, and keys common enough to be hot, are kept for the join."""
+    worth = F.col("rows") > HOT_ROWS
+    for mark in marks:
+        worth = worth | F.col(mark)
+    table = materialize(counted.where(worth).select(name, "rows", *marks))
+    return Lookup(table, name, "rows").attach(df, key, dict.fromkeys(marks, False))
+
+
 def refuse_streams(df: DataFrame, what: str) -> None:
     if df.isStreaming:
         raise ValueError(f"{what} needs the whole table and does not run on a stream")

@@ -175,8 +175,9 @@ def preview(
     n: int = PREVIEW_ROWS,
     *,
     order_by: str | Sequence[str],
+    position: str = "head",
     flags: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """(the first ``n`` rows, the same rows after ``operation``)."""
-    before = slice_rows(df, "head", n, order_by=order_by)
+    """(``n`` rows at the ``head``, ``middle`` or ``tail``, the same rows after ``operation``)."""
+    before = slice_rows(df, position, n, order_by=order_by)
     return before, run_operation(before, operation, order_by=order_by, flags=flags)

@@ -110,6 +110,12 @@ def _typed(name: str, dtype: T.DataType) -> Column:
     return F.btrim(cell).try_cast(dtype).alias(name) if not isinstance(dtype, T.StringType) else cell.alias(name)
 
 
+def read_domain_list(spark: SparkSession, path: str) -> DataFrame:
+    """A list of domains or suffixes, one per line; blank lines and ``//`` comments are skipped."""
+    line = F.trim(F.col("value"))
+    return spark.read.text(path).select(line.alias("domain")).where("domain <> '' AND domain NOT LIKE '//%'")
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Give text columns the narrowest type that holds every cell, found by one aggregate."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]

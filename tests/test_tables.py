@@ -250,3 +250,5 @@ def test_preview(spark):
     before, after = ss.preview(df, {"key": "op_trim", "column": "t"}, 3, order_by="id")
     assert [r.t for r in before.collect()] == [" 0", " 1", " 2"]
     assert [(r.t, r.t__modified) for r in after.orderBy("id").collect()] == [("0", True), ("1", True), ("2", True)]
+    middle = ss.preview(df, {"key": "op_trim", "column": "t"}, 2, order_by="id", position="middle")[1]
+    assert sorted(r.t for r in middle.collect()) == ["24", "25"]

@@ -178,3 +178,33 @@ def test_summary(spark):
     assert counts == {("v", "Valid"): 1, ("v", "Invalid Format"): 1, ("v", "Empty"): 1, ("w", "Valid"): 3}
     empty = ss.validation_summary(df.where("false")).first()
     assert (empty.total, empty.rate) == (0, 0.0)
+
+
+def test_common_unlisted_domains_are_not_shuffled(spark, monkeypatch):
+    """A domain that fills the table stays out of the shuffle although no list names it."""
+    from pyspark.sql import functions as F
+
+    from sparkscrub.plans import lookup
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(lookup, "HOT_ROWS", 50)
+    try:
+        host = F.when(F.col("id") % 3 > 0, "big.com").otherwise(F.concat(F.lit("h"), F.col("id") % 40, F.lit(".com")))
+        df = spark.range(600).select("id", F.concat(F.lit("a@"), host).alias("v"))
+        blocked = spark.range(600).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("d")).where("id < 10")
+        out = ss.validate_email(df, "v", blocked=blocked)
+        hot = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "big.com" in line]
+        assert hot, "the common domain is set aside"
+        found = {r.v__reason: r.n for r in out.groupBy("v__reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+        expected = sum(1 for i in range(600) if i % 3 == 0 and i % 40 < 10)
+        assert found == {"Blocked Domain": expected, "Valid Commercial": 600 - expected}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_suffix_list_from_a_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("// a comment\n\nco.uk\n *.ck \n")
+    suffixes = ss.read_domain_list(spark, str(tmp_path / "list.txt"))
+    assert sorted(r.domain for r in suffixes.collect()) == ["*.ck", "co.uk"]
+    assert verdict(spark, "email", "a@x.co.uk", suffixes=suffixes) == (True, "Valid Domain")
