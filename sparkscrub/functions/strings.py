@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS_CLASS, drop_point_zero, strip
+from .text import WHITESPACE, WS_CLASS, drop_point_zero
 
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 _EMAIL_PARTS = r"^([^@]{1,2})[^@]*@([^@\n]+)\n?\z"
@@ -34,15 +34,19 @@ def mask_email(text: Column) -> Column:
     return F.regexp_replace(text, _EMAIL_PARTS, "$1***@$2")
 
 
+def _plain_spaces(text: Column) -> Column:
+    """Every white-space character as a space. Words are then cut at this one character: Spark
+    compiles the pattern of a ``split`` again for every row unless it is a single character."""
+    return F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+
+
 def single_spaced(text: Column) -> Column:
-    """Words with one space between them and none around. Spark keeps the compiled pattern of a
-    replacement but compiles the pattern of every ``split`` again, so words are cut at this space."""
-    return F.regexp_replace(strip(text), f"[{WS_CLASS}]+", " ")
+    """Words with one space between them and none around."""
+    return F.regexp_replace(F.trim(_plain_spaces(text)), "  +", " ")
 
 
 def words(text: Column) -> Column:
-    """The words of a text; blank text gives one empty word."""
-    return F.split(single_spaced(text), " ")
+    return F.filter(F.split(_plain_spaces(text), " "), lambda w: w != "")
 
 
 def mask_words(text: Column) -> Column:
