@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITESPACE, WS_CLASS, drop_point_zero
+from .text import WHITESPACE, WS_CLASS, drop_point_zero_of_two
 
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 _EMAIL_PARTS = r"^([^@]{1,2})[^@]*@([^@\n]+)\n?\z"
@@ -19,7 +19,7 @@ def mask(text: Column, normalize_ints: bool = True, strict_compat: bool = False)
         return F.concat(F.left(text, F.lit(k)), F.repeat(F.lit("*"), size - 2 * k), F.right(text, F.lit(k)))
 
     def tidy(c: Column) -> Column:
-        return drop_point_zero(c) if normalize_ints else c
+        return drop_point_zero_of_two(c) if normalize_ints else c
 
     single = tidy(F.concat(text, text)) if strict_compat else F.lit("*")
     return F.when(size > 4, edges(2)).when(size > 2, edges(1)).when(size == 1, single).otherwise(tidy(text))

@@ -23,7 +23,7 @@ FLOAT_BARE = (
 )
 FLOAT_TEXT = FLOAT_BARE.replace("^", f"^[{WS_CLASS}]*+", 1).replace(r"\z", rf"[{WS_CLASS}]*+\z")
 # Whole numbers that a double holds exactly.
-_SHORT_WHOLE = r"^[+-]?[0-9]{1,15}(\.0*)?\z"
+_SHORT_WHOLE = r"^[+-]?(?:[0-9]{1,15}+(?:\.0*+)?+|\.0++)\z"
 _PLAIN_FLOAT = r"(?i)^[+-]?(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:e[+-]?[0-9]++)?+\z"
 
 FLOATING = (T.FloatType, T.DoubleType)
@@ -134,12 +134,22 @@ def drop_point_zero(text: Column) -> Column:
         )
 
     return (
-        F.when(text.rlike(_SHORT_WHOLE), F.substring_index(text, ".", 1).cast("bigint").cast("string"))
+        F.when(text.rlike(_SHORT_WHOLE), _digits(text))
         .when(text.rlike(FLOAT_TEXT), apart(text, general))
         .otherwise(text)
     )
 
 
+def drop_point_zero_of_two(text: Column) -> Column:
+    """:func:`drop_point_zero` for text of at most two characters."""
+    bare = strip(text)
+    return F.when(bare.rlike(_SHORT_WHOLE), _digits(bare)).otherwise(text)
+
+
+def _digits(text: Column) -> Column:
+    return text.try_cast("double").try_cast("bigint").cast("string")
+
+
 def guard_header(c: Column, text: Column, name: str, changed: Column, on: bool = True) -> Column:
     """Cells that repeat the column name (stray header rows) keep their value."""
     return F.when(text == F.lit(name), c).otherwise(changed) if on else changed

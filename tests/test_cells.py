@@ -26,6 +26,11 @@ def one(spark, value, op, col="v", kind="string"):
         ("05", "5"),
         ("1.", "1"),
         ("-0", "0"),
+        (".0", "0"),
+        (" 5", "5"),
+        ("5\t", "5"),
+        (".5", ".5"),
+        ("--", "--"),
         ("😀😀😀😀😀", "😀😀*😀😀"),
         ("v", "v"),
     ],
