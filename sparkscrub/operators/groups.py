@@ -11,14 +11,16 @@ from .common import dtype_of, require, unique_name
 
 
 def _ranked(df: DataFrame, col: str) -> DataFrame:
-    """Written table ``value, rows, code``. The distinct values are range-sorted over many tasks;
-    a value's code is its place in its own partition plus the sizes of the partitions before it."""
+    """Written table ``value, rows, code``; missing, if there is any, is a value with code 0.
+
+    The distinct values are range-sorted over many tasks; a value's code is its place in its own
+    partition plus the sizes of the partitions before it. Missing sorts last and moves no code.
+    """
     value = no_nan(col_ref(col), dtype_of(df, col))
-    values = df.select(value.alias("value")).where(F.col("value").isNotNull())
-    counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+    counted = df.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
     # Written before partitions are counted: a second sort could cut the ranges elsewhere.
     placed = materialize(
-        counted.orderBy("value").select(
+        counted.orderBy(F.col("value").asc_nulls_last()).select(
             "value",
             "rows",
             F.shiftrightunsigned(F.monotonically_increasing_id(), 33).alias("part"),
@@ -29,16 +31,15 @@ def _ranked(df: DataFrame, col: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), "part").select(
-        "value", "rows", (F.col("start") + F.col("place") + 1).alias("code")
-    )
+    code = F.when(F.col("value").isNull(), 0).otherwise(F.col("start") + F.col("place") + 1)
+    return placed.join(F.broadcast(starts), "part").select("value", "rows", code.alias("code"))
 
 
 def distinct_codes(df: DataFrame, col: str) -> DataFrame:
     """The mapping ``(value, code)``; its row count is the number of distinct values."""
     require(df, col)
     refuse_streams(df, "group codes")
-    return _ranked(df, col).select("value", "code")
+    return _ranked(df, col).where("value IS NOT NULL").select("value", "code")
 
 
 def distinct_group(df: DataFrame, col: str, *, hot_rows: int | None = None) -> DataFrame:

@@ -101,19 +101,21 @@ class Lookup:
     def __init__(self, table: DataFrame, key: str, rows: str, hot_rows: int | None = None):
         self.key, self.table = key, table
         self.payload = [c for c in table.columns if c not in (key, rows)]
-        of_null = F.max(F.when(F.col(key).isNull(), F.struct(*self.payload)))
+        is_null = F.col(key).isNull()
         size = table.agg(
             F.sum(row_bytes(table, [key, *self.payload])).alias("bytes"),
             F.sum(rows).alias("rows"),
-            of_null.alias("of_null"),
+            F.max(F.when(is_null, F.struct(*self.payload))).alias("of_null"),
+            F.max(F.when(is_null, F.col(rows))).alias("null_rows"),
         ).first()
         self.bytes, total, self.of_null = size["bytes"] or 0, size["rows"] or 0, size["of_null"]
         self.small = self.bytes <= broadcast_limit(table.sparkSession)
-        self.hot_keys: list = []
+        self.hot_keys, self.null_is_hot = [], False
         if not self.small:
             # Fewer than _HOT_SHARE values can pass, whatever the size of the data.
             cut = max(HOT_ROWS if hot_rows is None else hot_rows, total // _HOT_SHARE)
-            self.hot = table.where((F.col(rows) > cut) & F.col(key).isNotNull())
+            self.null_is_hot = (size["null_rows"] or 0) > cut
+            self.hot = table.where((F.col(rows) > cut) & ~is_null)
             self.hot_keys = [row[0] for row in self.hot.select(key).collect()]
 
     def attach(self, df: DataFrame, key: Column, unknown: dict[str, object]) -> DataFrame:
@@ -132,15 +134,13 @@ class Lookup:
 
         if self.small:
             return filled(keyed.join(F.broadcast(other), link, "left"))
-        # Null and hot keys stay where they are: no shuffle, so no task receives all of them.
-        aside = F.col(link).isNull()
-        if self.hot_keys:
-            aside = aside | F.col(link).isin(self.hot_keys)
-            hot = self.hot.select(F.col(self.key).alias(link), *self.payload)
-            stay = keyed.where(aside).join(F.broadcast(hot), link, "left")
-        else:
-            stay = keyed.where(aside)
-            stay = stay.withColumns({p: F.lit(None).cast(self.table.schema[p].dataType) for p in self.payload})
+        if not (self.hot_keys or self.null_is_hot):
+            return filled(keyed.join(other, link, "left"))
+        # Hot keys stay where they are: no shuffle, so no task receives all rows of one of them.
+        # Nulls have no match anyway and stay too.
+        aside = F.col(link).isNull() | F.col(link).isin(self.hot_keys) if self.hot_keys else F.col(link).isNull()
+        hot = self.hot.select(F.col(self.key).alias(link), *self.payload)
+        stay = keyed.where(aside).join(F.broadcast(hot), link, "left")
         return filled(keyed.where(~aside).join(other, link, "left")).unionAll(filled(stay))
 
 
