@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# The built-in number formats that show a date or a time.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 _ROWS = "path string, row_no bigint, cells array<string>"
 _BATCH = 5000
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of every workbook under ``path``; row 1 of each names its columns, which must
-    agree. All cells are text, blank cells are null. Adds ``source_path`` and ``source_row``."""
+    """Active sheet of every workbook under ``path``; row 1 of each names its columns, which must
+    agree. All cells are text (dates as
+    ``yyyy-MM-dd HH:mm:ss``), blank cells are null. Adds ``source_path`` and ``source_row``."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.xlsx")
@@ -34,7 +38,9 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     if len(headers) != 1:
         raise ValueError(f"the workbooks under {path!r} have {'different headers' if headers else 'no header'}")
     names = headers[0]["cells"]
-    body = rows.where("row_no > 1")
+    wide = F.raise_error(F.concat(F.lit("a row has more cells than the header: "), "path", F.lit(" row "), "row_no"))
+    cells = F.when(F.size("cells") > len(names), wide).otherwise(F.col("cells"))
+    body = rows.where("row_no > 1").withColumn("cells", cells)
     return body.select(
         *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)],
         F.col("path").alias("source_path"),
@@ -66,28 +72,36 @@ def _sheet_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _read_sheet(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
-    """(row number, cell texts) of the first sheet, streamed."""
+    """(row number, cell texts) of the active sheet, streamed."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = _shared_texts(book)
-        with book.open(_first_sheet(book)) as sheet:
+        root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        settings = root.find(_MAIN + "workbookPr")
+        from_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+        shared, dated = _shared_texts(book), _date_styles(book)
+        with book.open(_active_sheet(book, root)) as sheet:
             for _, element in ElementTree.iterparse(sheet):
                 if element.tag != _MAIN + "row":
                     continue
                 cells: list[str | None] = []
                 for cell in element.iter(_MAIN + "c"):
-                    at = _column_number(cell.get("r", "")) if cell.get("r") else len(cells)
+                    at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
                     cells += [None] * (at - len(cells))
-                    cells.append(_cell_value(cell, shared))
+                    cells.append(_cell_text(cell, shared, dated, from_1904))
+                while cells and cells[-1] is None:
+                    cells.pop()
                 yield int(element.get("r", 0)), cells
                 element.clear()
 
 
-def _first_sheet(book: zipfile.ZipFile) -> str:
-    first = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_MAIN}sheets/{_MAIN}sheet")
-    for link in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
-        if link.get("Id") == first.get(_LINK):
-            target = link.get("Target")
-            return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+def _active_sheet(book: zipfile.ZipFile, root: ElementTree.Element) -> str:
+    view = root.find(f"{_MAIN}bookViews/{_MAIN}workbookView")
+    sheets = root.findall(f"{_MAIN}sheets/{_MAIN}sheet")
+    active = int(view.get("activeTab", 0)) if view is not None else 0
+    link = sheets[active if active < len(sheets) else 0].get(_LINK)
+    for target in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+        if target.get("Id") == link:
+            path = target.get("Target")
+            return path.lstrip("/") if path.startswith("/") else f"xl/{path}"
     raise ValueError("the workbook has no sheet")
 
 
@@ -98,6 +112,25 @@ def _shared_texts(book: zipfile.ZipFile) -> list[str]:
     return ["".join(t.text or "" for t in item.iter(_MAIN + "t")) for item in texts]
 
 
+def _date_styles(book: zipfile.ZipFile) -> set[str]:
+    """The style numbers whose number format shows a date or a time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {f.get("numFmtId"): f.get("formatCode", "") for f in root.iter(_MAIN + "numFmt")}
+
+    def shows_date(number: str) -> bool:
+        if number not in own:
+            return int(number) in _DATE_FORMATS
+        # Letters in quotes, brackets and escapes are not part of the layout.
+        layout = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.', "", own[number].split(";")[0])
+        return re.search("[dmyhs]", layout, re.IGNORECASE) is not None
+
+    formats = root.find(_MAIN + "cellXfs")
+    styles = [] if formats is None else list(formats)
+    return {str(i) for i, style in enumerate(styles) if shows_date(style.get("numFmtId", "0"))}
+
+
 def _column_number(reference: str) -> int:
     number = 0
     for letter in re.match(r"[A-Z]+", reference).group():
@@ -105,7 +138,7 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
-def _cell_value(cell: ElementTree.Element, shared: list[str]) -> str | None:
+def _cell_text(cell: ElementTree.Element, shared: list[str], dated: set[str], from_1904: bool) -> str | None:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(_MAIN + "t"))
@@ -116,4 +149,17 @@ def _cell_value(cell: ElementTree.Element, shared: list[str]) -> str | None:
         return shared[int(value.text)]
     if kind == "b":
         return "True" if value.text == "1" else "False"
-    return value.text
+    if kind != "n":
+        return value.text
+    if cell.get("s") in dated:
+        return _date_text(float(value.text), from_1904)
+    return value.text if value.text.lstrip("-").isdigit() else repr(float(value.text))
+
+
+def _date_text(days: float, from_1904: bool) -> str:
+    """A day number as text; numbers below one are times of day."""
+    start = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+    if not from_1904 and 1 <= days < 60:
+        days += 1  # this calendar has a 29 February 1900
+    moment = start + timedelta(milliseconds=round(days * 86_400_000))
+    return str(moment.time() if 0 <= days < 1 else moment)

@@ -83,6 +83,8 @@ def workbook(path, rows):
                 continue
             if isinstance(value, bool):
                 cells += f'<c r="{at}" t="b"><v>{int(value)}</v></c>'
+            elif isinstance(value, tuple):
+                cells += f'<c r="{at}" s="{value[1]}"><v>{value[0]}</v></c>'
             elif isinstance(value, (int, float)):
                 cells += f'<c r="{at}"><v>{value}</v></c>'
             elif value.startswith("="):
@@ -104,6 +106,12 @@ def workbook(path, rows):
             '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
             '<Relationship Id="rId7" Target="worksheets/sheet9.xml"/></Relationships>',
         )
+        book.writestr(
+            "xl/styles.xml",
+            f'<styleSheet {MAIN}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/>'
+            f'<numFmt numFmtId="171" formatCode="0.0&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/>'
+            f'<xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>',
+        )
         book.writestr("xl/sharedStrings.xml", f"<sst {MAIN}>{texts}</sst>")
         book.writestr("xl/worksheets/sheet9.xml", f"<worksheet {MAIN}><sheetData>{body}</sheetData></worksheet>")
 
@@ -122,6 +130,21 @@ def test_workbooks(spark, tmp_path):
         ss.read_table(spark, str(tmp_path), "xlsx")
 
 
+def test_workbook_rows_wider_than_the_header_are_not_cut(spark, tmp_path):
+    workbook(tmp_path / "w.xlsx", [("a",), ("1", "2")])
+    with pytest.raises(Exception, match="more cells than the header"):
+        ss.read_table(spark, str(tmp_path), "xlsx", infer=False).collect()
+
+
+def test_workbook_numbers_and_dates(spark, tmp_path):
+    cells = ((45292, 1), (45292.5, 2), (0.25, 1), (1, 1), (45292, 3), (45292, 0), 1e-3, 12)
+    workbook(tmp_path / "d.xlsx", [tuple(f"c{i}" for i in range(len(cells))), cells])
+    row = ss.read_table(spark, str(tmp_path), "xlsx", infer=False).first()
+    assert tuple(row)[: len(cells)] == (
+        "2024-01-01 00:00:00", "2024-01-01 12:00:00", "06:00:00", "1900-01-01 00:00:00", "45292", "45292", "0.001", "12",
+    )
+
+
 def test_work_folder_comes_from_the_session(spark):
     assert work_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
