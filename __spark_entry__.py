@@ -461,7 +461,8 @@ def validate_url(spark, sf_dir):
 
 def _validated_parts(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
-    for col, kind in (("p_name", "alphanumeric"), ("p_brand", "alphanumeric"), ("p_size", "numeric"), ("p_type", "url")):
+    kinds = {"p_name": "alphanumeric", "p_brand": "alphanumeric", "p_size": "numeric", "p_type": "url"}
+    for col, kind in kinds.items():
         part = ss.validate(part, col, kind)
     return part
 

@@ -19,7 +19,8 @@ WS_CLASS = "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in _WS_RAN
 # quantifiers ("++") make text that almost fits fail in one pass.
 _DIGITS = r"\p{Nd}++(?:_\p{Nd}++)*+"
 FLOAT_BARE = (
-    rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?+)?+|\.{_DIGITS})(?:e[+-]?{_DIGITS})?+|inf(?:inity)?|nan)\z"
+    rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?+)?+|\.{_DIGITS})(?:e[+-]?{_DIGITS})?+"
+    r"|inf(?:inity)?|nan)\z"
 )
 FLOAT_TEXT = FLOAT_BARE.replace("^", f"^[{WS_CLASS}]*+", 1).replace(r"\z", rf"[{WS_CLASS}]*+\z")
 # Whole numbers that a double holds exactly.

@@ -20,7 +20,9 @@ def mark_duplicates(
     """Mark (``{col}__duplicate``) every cell whose text occurs twice or more in ``cols`` together.
 
     Missing cells count as one value. The values that repeat are counted with map-side partial
-    sums, written, measured, and joined back (see :mod:`sparkscrub.plans.lookup`).
+    sums, written, measured, and joined back, one column after the other (see
+    :mod:`sparkscrub.plans.lookup`). When they are too many to broadcast and some are hot, each
+    column doubles the scans of the table.
     """
     cols = [cols] if isinstance(cols, str) else list(dict.fromkeys(cols))
     require(df, *cols)

@@ -22,7 +22,8 @@ def test_format_of():
 
 def test_csv_types_and_missing_cells(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_text('id,n,d,flag,t,day,e\n1,007,1.5,True,"a ""b"", c",2024-01-01,\n2,NA,1e3,false, x ,,nan\n3, 4,inf,,"",,\n')
+    lines = ["id,n,d,flag,t,day,e", '1,007,1.5,True,"a ""b"", c",2024-01-01,', "2,NA,1e3,false, x ,,nan", '3, 4,inf,,"",,']
+    path.write_text("\n".join(lines) + "\n")
     df = ss.read_table(spark, str(path))
     assert [t for _, t in df.dtypes] == ["bigint", "bigint", "double", "boolean", "string", "string", "string"]
     rows = [tuple(r) for r in df.orderBy("id").collect()]
