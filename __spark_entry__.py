@@ -14,6 +14,15 @@ from sparkscrub.functions.text import WS_CLASS
 from sparkscrub.plans.lookup import work_folder
 from sparkscrub.streaming.streams import apply_recipe, drop_duplicates, read_stream
 
+try:
+    from sparkscrub.llm import entry as _corpus
+except ImportError:
+    _corpus = None
+try:
+    import corpus_pipeline as _pipeline
+except ImportError:
+    _pipeline = None
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -759,9 +768,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator: ``(spark, sf_dir) -> DataFrame``."""
-    return dict(_QUERIES)
+    found = dict(_QUERIES)
+    if _corpus is not None:
+        found |= _corpus.QUERIES
+    if _pipeline is not None:
+        found["pipeline"] = _pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in SQL, by query name."""
-    return dict(_SQL)
+    found = dict(_SQL)
+    if _corpus is not None:
+        found |= _corpus.SQL
+    if _pipeline is not None and _pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = _pipeline.ORACLE_SQL
+    return found
