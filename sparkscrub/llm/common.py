@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lookup import work_folder
+from ..plans.lookup import use_own_folder, work_folder
 
 # ASCII white space, the word separators of every operator here.
 SPACE = "\\x20\\x09-\\x0D"
@@ -24,6 +24,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        use_own_folder(spark)
         self.folder = f"{work_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self._made: dict[str, str] = {}
 
@@ -138,6 +139,33 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         e, last = new, mark
 
 
+#: Above this many bytes a written table is joined by shuffle instead of broadcast.
+SMALL_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (a written table) as the broadcast side of a join if its measured size allows, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Identity of a row for later decisions: its id and its text; nulls are values like others."""
+    return F.struct(
+        F.coalesce(doc_id.cast("string"), F.lit("null")).alias("id"),
+        F.xxhash64(text).alias("t1"),
+        F.xxhash64(F.lit(1), text).alias("t2"),
+    )
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose :func:`row_key` is not in the column ``key`` of ``gone`` (a written table)."""
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"),
+        row_key(F.col(doc_id), F.col(text)).alias("__key"),
+    )
+    return rows.join(small(gone, 80), F.col("__key") == F.col("key"), "left_anti").select("__row.*")
+
+
 def in_runs(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to ``limit`` at most; a larger item stands alone."""
     start, total, at = 0, 0, 0

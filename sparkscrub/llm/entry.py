@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kneser_ney, langid, quality_rules, toxicity
+from .common import doc_bucket
+from .lm_scoring import score_documents
+from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
+from .projection_passes import near_vectors
 from .resharding import reshard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +69,54 @@ def tokenizer_path() -> str:
 def op4_pack(spark, sf_dir):
     """Sequences of 4096 tokens from the word vocabulary."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op7_quality_rules(spark, sf_dir):
+    """Strata are languages; at most 5 % of a stratum's good documents are rejected, with 95 % confidence."""
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+@query()
+def op5_projection_passes(spark, sf_dir):
+    """Vectors of one label with a cosine of 0.98 or more, by 24 passes with windows of 64."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_minhash_join(spark, sf_dir):
+    """Documents whose sets of 5-word shingles have a similarity of 0.85 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_language_id(spark, sf_dir):
+    """Learned from folds 1 to 4 of the document id, predicted for every text."""
+    documents = table(spark, sf_dir, "documents")
+    found = langid.predict(documents, langid.train(documents))
+    held_out = (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+@query()
+def op8_toxicity(spark, sf_dir):
+    """Learned from the labelled documents outside of fold 2 of 4, scored for every text."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"), toxicity.outside_fold(F.col("doc_id")))
+    found = toxicity.score(documents, model)
+    return found.withColumn("held_out", ~toxicity.outside_fold(F.col("doc_id")))
+
+
+@query()
+def op10_kneser_ney(spark, sf_dir):
+    """Rejected above the 99.5 % quantile of held-out trusted documents of the language and size class."""
+    found = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "kept")
+
+
+@query()
+def op6_recurrent_scores(spark, sf_dir):
+    """Learned from folds 1 to 9 of the document id, scored for every text."""
+    return score_documents(table(spark, sf_dir, "documents"))

@@ -1,0 +1,145 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import sparkscrub.llm.blocks as blocks
+from sparkscrub.llm import recurrent
+from sparkscrub.llm.entry import op6_recurrent_scores
+from sparkscrub.llm.lm_scoring import score_documents
+
+
+def _weights(seed=0, words=70, hidden=6):
+    layout = recurrent.Layout(4, words, per_class=8)
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet(np.ones(layout.tokens))
+    w = recurrent.Weights.start(layout, hidden, np.log(p))
+    return w.unflat(w.flat() + 0.1 * rng.standard_normal(len(w.flat())).astype(np.float32))
+
+
+def test_probabilities_add_up():
+    w = _weights()
+    h = np.random.default_rng(1).standard_normal((3, 6)).astype(np.float32)
+    tokens = np.arange(w.layout.tokens)
+    for row in h:
+        p = np.exp(recurrent.log_probability(w, np.tile(row, (len(tokens), 1)), tokens))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_start_gives_every_token_its_share():
+    layout = recurrent.Layout(4, 70, per_class=8)
+    p = np.random.default_rng(1).dirichlet(np.ones(layout.tokens))
+    w = recurrent.Weights.start(layout, 6, np.log(p))
+    found = np.exp(recurrent.log_probability(w, np.zeros((layout.tokens, 6), np.float32), np.arange(layout.tokens)))
+    assert np.allclose(found, p, rtol=1e-3)
+
+
+def test_gradients_against_differences():
+    w = _weights(words=20, hidden=4)
+    w.parts = {k: v.astype(np.float64) for k, v in w.parts.items()}
+    rng = np.random.default_rng(2)
+    stream = rng.integers(0, w.layout.tokens, (7, 3))
+    inputs, targets = stream[:-1], stream[1:]
+    inputs[0, 0] = recurrent.END
+    h = rng.standard_normal((3, 4)) * 0.1
+
+    def loss():
+        state, total = h, []
+        into = w.parts["embed"] @ w.parts["into"] + w.parts["bias"]
+        for t in range(6):
+            state = np.where((inputs[t] == recurrent.END)[:, None], 0, state)
+            state = recurrent._step(w.parts, into[inputs[t]], state, 4)[4]
+            total.append(recurrent.log_probability(w, state, targets[t]))
+        return -np.mean(total)
+
+    g, _ = recurrent._gradients(w, inputs, targets, h)
+    for name, part in w.parts.items():
+        for at in rng.integers(0, part.size, 6):
+            old = part.flat[at]
+            part.flat[at] = old + 1e-5
+            up = loss()
+            part.flat[at] = old - 1e-5
+            down = loss()
+            part.flat[at] = old
+            assert (up - down) / 2e-5 == pytest.approx(g[name].flat[at], abs=2e-5, rel=1e-2), name
+
+
+@pytest.mark.parametrize("window", [1, 4, 100])
+def test_state_is_carried_through_whole_texts(window):
+    w = _weights()
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, w.layout.tokens, n).tolist() + [recurrent.END] for n in (0, 1, 5, 33, 12, 0, 5)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    found = recurrent.score(w, np.concatenate(texts).astype(np.int64), offsets, window)
+    into = w.parts["embed"] @ w.parts["into"] + w.parts["bias"]
+    for text, value in zip(texts, found, strict=True):
+        h, last, total = np.zeros((1, 6), np.float32), recurrent.END, 0.0
+        for token in text:
+            h = recurrent._step(w.parts, into[[last]], h, 6)[4]
+            total += recurrent.log_probability(w, h, np.array([token]))[0]
+            last = token
+        assert value == pytest.approx(total, rel=1e-5)
+
+
+def test_training_lowers_the_loss():
+    layout = recurrent.Layout(2, 16, per_class=4)
+    stream = np.tile([3, 4, 5, 6, 7, 0], 2000)
+    p = np.full(layout.tokens, 1 / layout.tokens)
+    w = recurrent.Weights.start(layout, 8, np.log(p))
+    after = recurrent.train(w, stream)
+    offsets = np.array([0, 6])
+    assert recurrent.score(after, stream[:6], offsets)[0] > recurrent.score(w, stream[:6], offsets)[0] + 10
+
+
+def _base(rows):
+    words = {i: ((r["text"] or "").encode().lower().split()) for i, r in enumerate(rows)}
+    counts, texts = Counter(), 0
+    fold = [zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 10 for r in rows]
+    for i, f in enumerate(fold):
+        if f:
+            counts.update(words[i])
+            texts += 1
+    if texts:
+        counts[None] = texts
+    n, v = sum(counts.values()), len(counts)
+    found = []
+    for i, r in enumerate(rows):
+        tokens = [*words[i], None]
+        base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)
+        found.append((r["doc_id"], fold[i] == 0, len(tokens), sum(counts[t] > 0 for t in tokens), n, base))
+    return found
+
+
+def _compare(found, rows):
+    expected = _base(rows)
+    key = lambda r: (str(r[0]), r[2], r[5])
+    assert len(found) == len(expected)
+    for f, e in zip(sorted(found, key=key), sorted(expected, key=key), strict=True):
+        assert tuple(f)[:5] == e[:5]
+        assert f["base_score"] == pytest.approx(e[5], rel=1e-9)
+        assert f["score"] < 0 and math.isfinite(f["score"])
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    found = op6_recurrent_scores(spark, folder).collect()
+    _compare(found, rows)
+    held = [r for r in found if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_odd_rows(odd, none, monkeypatch):
+    monkeypatch.setattr(blocks.with_blocks, "__defaults__", (100_000,))
+    _compare(score_documents(odd, vocabulary=5).collect(), odd.collect())
+    assert score_documents(none).count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    only = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    docs = spark.createDataFrame([(i, "a b") for i in only], "doc_id long, text string")
+    for r in score_documents(docs).collect():
+        assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 3)
+        assert r["base_score"] == pytest.approx(0)

@@ -1,0 +1,90 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+import sparkscrub.llm.toxicity as toxicity
+from sparkscrub.llm.entry import op8_toxicity
+
+
+def test_nearest_against_all_examples():
+    rng = np.random.default_rng(2)
+    examples = rng.random((300, 40)) * (rng.random((300, 40)) < 0.1)
+    examples[7] = examples[11] = examples[200]
+    examples /= np.maximum(np.sqrt((examples**2).sum(axis=1, keepdims=True)), 1e-300)
+    queries = rng.random((120, 40)) * (rng.random((120, 40)) < 0.15)
+    index = toxicity.BlockMaxIndex(examples)
+    assert len(index.blocks) > 3
+    cosine, who = index.nearest(queries, 9)
+    every = queries @ examples.T
+    assert np.allclose(cosine, -np.sort(-every, axis=1)[:, :9])
+    for q, (c, w) in enumerate(zip(cosine, who, strict=True)):
+        assert len(set(w[w >= 0])) == (w >= 0).sum()
+        assert np.allclose(every[q, w[w >= 0]], c[w >= 0]) and (c[w < 0] == 0).all()
+    skipped, who = index.nearest(examples, 5, np.arange(300))
+    every = examples @ examples.T
+    np.fill_diagonal(every, 0)
+    assert np.allclose(skipped, -np.sort(-every, axis=1)[:, :5])
+    assert not (who == np.arange(300)[:, None]).any()
+
+
+def test_isotonic():
+    vote = np.array([0.1, 0.2, 0.3, 0.3, 0.9])
+    steps, score = toxicity._isotonic(vote, np.array([0, 1, 0, 0, 1]), np.ones(5))
+    assert steps.tolist() == [0.1, 0.2, 0.9] and np.allclose(score, [0, 1 / 3, 1])
+
+
+def test_terms():
+    assert toxicity.term_counts("A a, b_c Été 1x2") == Counter({"a": 2, "b": 1, "c": 1, "été": 1, "x": 1})
+
+
+def test_query(spark, documents, labels):
+    folder = "/root/testdata/sf0.1"
+    rows = op8_toxicity(spark, folder).collect()
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert len(rows) == 10_000
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    right = sum(r["predicted"] == truth[r["doc_id"]] for r in held)
+    assert right >= 0.97 * len(held)
+    caught = [r for r in held if truth[r["doc_id"]] == 1]
+    assert sum(r["predicted"] for r in caught) >= 0.8 * len(caught)
+
+
+def test_held_out_labels_do_not_matter(documents, labels):
+    training = toxicity.outside_fold(F.col("doc_id"))
+    changed = labels.withColumn("toxic", F.when(training, F.col("toxic")).otherwise(1 - F.col("toxic")))
+    a = toxicity.score(documents, toxicity.train(documents, labels, training)).collect()
+    b = toxicity.score(documents, toxicity.train(documents, changed, training)).collect()
+    assert sorted(a, key=str) == sorted(b, key=str)
+
+
+def _odd_labels(spark):
+    return spark.createDataFrame(
+        [(1, 1), (1, 0), (2, None), (3, 0), (4, 1), (None, 1), (99, 1), (6, 0), (8, 0)], "doc_id long, toxic int"
+    )
+
+
+def test_odd_rows(spark, odd, none, no_labels):
+    everything = F.lit(True)
+    for labels in (_odd_labels(spark), no_labels):
+        model = toxicity.train(odd, labels, everything)
+        rows = toxicity.score(odd, model).collect()
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in odd.collect())
+        assert all(0 <= r["score"] <= 1 for r in rows)
+        assert toxicity.score(none, model).count() == 0
+    assert toxicity.train(none, _odd_labels(spark), everything).rest == 0
+
+
+def test_evidence_names_the_examples(spark):
+    texts = [(i, f"fine text number {i}" if i % 4 else f"some idiot wrote {i}") for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    for r in toxicity.score(docs, model).collect():
+        assert r["predicted"] == (r["doc_id"] % 4 == 0)
+        for e in r["evidence"]:
+            assert e["label"] == (e["doc_id"] % 4 == 0) and 0 < e["cosine"] <= 1 + 1e-9
