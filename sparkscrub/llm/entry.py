@@ -44,11 +44,11 @@ def op2_mix_sources(spark, sf_dir):
 @query()
 def op3_reshard(spark, sf_dir):
     """From 16 old shards by source, the hot one among them, to 24 with equal row counts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents")
     old = F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % 16
     placed, _ = reshard(docs, old, n_new=24)
     return placed.select(
-        "__row.doc_id",
+        "doc_id",
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),

@@ -116,15 +116,20 @@ def plan_moves(blocks: list[tuple[int, int, int, int]], n_new: int) -> list[Move
 
 
 def reshard(
-    docs: DataFrame, old: Column, n_new: int = 24, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    old: Column,
+    n_new: int = 24,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep_rows: bool = False,
 ) -> tuple[DataFrame, list[Move]]:
     """Rows of ``docs`` placed in shards 0 to ``n_new`` - 1 whose row counts differ by one at most.
 
     ``old`` is the shard (0, 1, ...) that holds the row now; null counts as shard 0. Returns the placed rows
-    (``__row``: the input row as a struct, ``size``: bytes of the text plus 8, ``text_crc32``, ``old``,
-    ``shard``, ``slot``) and the moves. A null text has 8 bytes and the checksum of the empty text. Equal
-    rows are placed one by one; rows of equal size keep no order among themselves beyond id and
-    checksum. Null ids are allowed. With no rows there are no moves.
+    (``doc_id``, ``size``: bytes of the text plus 8, ``text_crc32``, ``old``, ``shard``, ``slot``, and with
+    ``keep_rows`` the input row as the struct ``__row``) and the moves. A null text has 8 bytes and the checksum
+    of the empty text. Equal rows are placed one by one; rows of equal size keep no order among themselves
+    beyond id and checksum. Null ids are allowed. With no rows there are no moves.
 
     One sort of the rows and one join with the table of moves (at most one per old and new shard).
     """
@@ -132,13 +137,13 @@ def reshard(
     scratch = Scratch(spark)
     value = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"),
-        F.col(doc_id).alias("__id"),
+        *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")] if keep_rows else []),
+        F.col(doc_id).alias("doc_id"),
         (F.octet_length(value).cast("long") + 8).alias("size"),
         F.crc32(value.cast("binary")).alias("text_crc32"),
         F.coalesce(old.cast("int"), F.lit(0)).alias("old"),
     )
-    rows = ranked(base, ["old"], ["size", "__id", "text_crc32"], "place", scratch)
+    rows = ranked(base, ["old"], ["size", "doc_id", "text_crc32"], "place", scratch)
     blocks = base.groupBy("old", F.floor(2 * F.log2("size")).cast("int").alias("class"))
     blocks = blocks.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).collect()
     moves = plan_moves([tuple(b) for b in blocks], n_new)
@@ -149,7 +154,7 @@ def reshard(
     on = (F.col("old") == F.col("to_old")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last"))
     placed = rows.join(F.broadcast(found), on)
     slot = (F.col("first_slot") + F.col("place") - F.col("first")).alias("slot")
-    return placed.select("__row", "size", "text_crc32", "old", "shard", slot), moves
+    return placed.select(*base.columns, "shard", slot), moves
 
 
 def changed_shards(moves: list[Move], n_new: int) -> list[int]:
@@ -162,13 +167,15 @@ def changed_shards(moves: list[Move], n_new: int) -> list[int]:
 def rewrite(placed: DataFrame, moves: list[Move], n_new: int, path: str, max_records: int = 1_000_000) -> list[int]:
     """Write the files of the affected shards (folders ``shard=N`` under ``path``) and return those shards.
 
-    Other shards keep their files. Rows of one shard spread over as many tasks as it has slot
-    ranges of ``max_records``, so no task holds a whole shard.
+    ``placed`` is from :func:`reshard` with ``keep_rows``; columns ``shard`` and ``slot`` of the input are
+    replaced. Other shards keep their files. Rows of one shard spread over as many tasks as it has slot ranges
+    of ``max_records``, so no task holds a whole shard.
     """
     shards = changed_shards(moves, n_new)
     rows = placed.where(F.col("shard").isin(shards))
     at = F.floor(F.col("slot") / max_records)
-    rows = rows.repartition("shard", at).select("__row.*", F.col("shard").alias("shard"), F.col("slot").alias("slot"))
+    own = [F.col(f"__row.`{c}`") for c in placed.schema["__row"].dataType.names if c not in ("shard", "slot")]
+    rows = rows.repartition("shard", at).select(*own, "shard", "slot")
     rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).option("maxRecordsPerFile", max_records).partitionBy("shard").parquet(path)
