@@ -30,7 +30,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` computed once; later reads come from the written files."""
-        path = f"{self.folder}/{name}-{len(self._made)}"
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         self._made[name] = path
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -38,13 +38,12 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self._made[name])
+            path = jvm.org.apache.hadoop.fs.Path(self._made.pop(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
         """Delete every table of this object; nothing that reads them may run afterwards."""
         self.drop(*self._made)
-        self._made = {}
 
 
 def partitions(spark: SparkSession) -> int:

@@ -164,6 +164,7 @@ def classify(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """``doc_id``, ``lang``, ``key`` (identity: id and text), ``n_bytes``, ``perplexity``, ``threshold``, ``kept`` per row.
 
@@ -171,9 +172,9 @@ def classify(
     outside of fold 0 of their id; the threshold is ``margin`` times the ``quantile`` of the others' perplexity in
     the same language (null is a language) and size class (powers of 4 bytes), or in the language, whichever
     first has ``least`` documents, else over all; without any, all texts pass. Null and empty texts are rejected. Ids may be
-    null (then never trusted) and rows may repeat.
+    null (then never trusted) and rows may repeat. The result reads tables of ``scratch``.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id"))
     good = scratch.save(good.agg(F.min("quality").alias("q")).where("q = 1").select("__id"), "good")
     rows = docs.select(
@@ -184,7 +185,9 @@ def classify(
     )
     trusted = rows.where(F.col("text").isNotNull() & (doc_bucket(F.col("doc_id"), folds) != 0))
     trusted = trusted.join(small(good, 32), F.col("doc_id") == F.col("__id"), "left_semi")
-    found = scratch.save(perplexities(rows, trusted, scratch), "found")
+    work = Scratch(docs.sparkSession)
+    found = scratch.save(perplexities(rows, trusted, work), "found")
+    work.release()
     size_class = F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2).cast("int")
     found = found.withColumn("class", size_class)
     held = found.where((doc_bucket(F.col("doc_id"), folds) == 0) & (F.col("n_bytes") > 0))
@@ -211,6 +214,8 @@ def classify(
 
 def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, with their own columns."""
-    found = classify(docs, labels, doc_id=doc_id, text=text, **options)
+    scratch = Scratch(docs.sparkSession)
+    found = classify(docs, labels, doc_id=doc_id, text=text, scratch=scratch, **options)
     gone = Scratch(docs.sparkSession).save(found.where("not kept").select("key").distinct(), "gone")
+    scratch.release()
     return without(docs, gone, doc_id, text)

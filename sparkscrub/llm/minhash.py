@@ -144,6 +144,7 @@ def near_duplicates(
     matches: int = 42,
     doc_id: str = "doc_id",
     text: str = "text",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Components of documents linked by 100 * intersection >= ``percent`` * union of their 5-word shingle sets.
 
@@ -154,10 +155,9 @@ def near_duplicates(
     coordinates with a probability below 1e-4; links found are exact.
 
     Shingles are told apart by 64-bit hashes. Large lists and groups are cut into chunk pairs; the links
-    written are a spanning star per chunk pair, never all pairs.
+    written are a spanning star per chunk pair, never all pairs. The result reads tables of ``scratch``.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     ids = F.col(doc_id).cast("long").alias("doc_id")
     texts = docs.select(ids, F.col(text).alias("text"))
     signed = scratch.save(_signatures(texts, coordinates), "signatures")
@@ -214,7 +214,9 @@ def near_duplicates(
     known = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or root is not null")
     known = known.select(*key, F.coalesce("root", "rep").alias("component_id"), F.lit(True).alias("__known"))
     known = scratch.save(known, "known")
-    found = signed.select("doc_id", *key).join(small(known, 64), key, "left")
+    narrow = scratch.save(signed.drop("signature"), "narrow")
+    scratch.drop("signatures", "classes", "groups", "members", "chunked", "linked")
+    found = narrow.join(small(known, 64), key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -226,8 +228,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
     Of rows that repeat an id and text one stays. Rows with a null id stay.
     """
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.save(near_duplicates(docs, doc_id=doc_id, text=text, **options).select("doc_id", "kept"), "found")
+    scratch, work = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    found = near_duplicates(docs, doc_id=doc_id, text=text, scratch=work, **options)
+    found = scratch.save(found.select("doc_id", "kept"), "found")
+    work.release()
     gone = scratch.save(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     repeated = scratch.save(repeated.select(F.col("doc_id").alias("__again")), "repeated")

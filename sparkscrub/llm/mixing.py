@@ -116,6 +116,7 @@ def mix(
 
     ranks = scratch.save(placed(narrow).select("source", "size", "place").where("rest > 0 and size > 0"), "ranks")
     cuts = _cuts(ranks, {p[0]: p[4] for p in plan if p[4] > 0})
+    scratch.release()
     found = spark.createDataFrame([(k, v) for k, v in cuts.items()], "cut_source string, cut long")
     out = placed(base).join(F.broadcast(found), F.col("source").eqNullSafe(F.col("cut_source")), "left")
     chosen = F.coalesce((F.col("place") <= F.col("cut")) & (F.col("size") > 0), F.lit(False))

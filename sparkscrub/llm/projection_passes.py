@@ -191,6 +191,8 @@ def near_vectors(
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("root", "rep").alias("component_id"),
     )
+    known = scratch.save(known, "known")
+    scratch.drop("classes", "components")
     out = base.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
     return out.select(
         "vec_id",

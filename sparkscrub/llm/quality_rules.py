@@ -180,15 +180,17 @@ def judged(
     doc_id: str = "doc_id",
     text: str = "text",
     stratum: str = "lang",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Counts of :func:`text_features` with ``doc_id``, ``stratum``, ``base_failed``, ``kept`` and ``key`` per row of ``docs``.
 
     A document fails the base rule with fewer than 10 words or more than 20 % repeated words; others are
     rejected when one rule's ratio reaches its stratum's certified cutoff. ``key`` is the row's identity (id and
     text). Null texts are empty, null ids are kept and have no label, a null stratum is a stratum of its
-    own. Repeated rows are judged alike. Without labels only the base rule rejects.
+    own. Repeated rows are judged alike. Without labels only the base rule rejects. The result reads tables of
+    ``scratch``.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     base = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(stratum).cast("string").alias("stratum"),
@@ -209,5 +211,7 @@ def judged(
 def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`judged` keeps, with their own columns."""
     scratch = Scratch(docs.sparkSession)
-    found = judged(docs, labels, doc_id=doc_id, text=text, **options)
-    return without(docs, scratch.save(found.where("not kept").select("key").distinct(), "gone"), doc_id, text)
+    found = judged(docs, labels, doc_id=doc_id, text=text, scratch=scratch, **options)
+    gone = Scratch(docs.sparkSession).save(found.where("not kept").select("key").distinct(), "gone")
+    scratch.release()
+    return without(docs, gone, doc_id, text)
