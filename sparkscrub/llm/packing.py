@@ -11,9 +11,13 @@ rows take their places by their rank among the pieces of the same length.
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,7 +51,8 @@ def solve_configurations(
 
     ``rounds`` bounds the knapsack programs, ``share`` is the part of a length's rest that one step may
     use, ``rate`` the strength of the weights. At most ``rounds`` configurations per length come out,
-    besides those of the final best fit, whatever the counts are.
+    besides those of the final best fit, whatever the counts are. Rounding keeps the steps of as many rounds
+    as give the fewest sequences once the rest is packed best fit.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
@@ -59,6 +64,7 @@ def solve_configurations(
     total = np.maximum(left, 1)
     weight = np.ones(capacity + 1)
     slack = 0
+    ends = [(len(plan), left.copy())]
     for _ in range(rounds):
         lengths = np.flatnonzero(left)
         if len(lengths) == 0 or slack > capacity // 64:
@@ -88,9 +94,16 @@ def solve_configurations(
             used += times
             plan.append((tuple(sorted(config.items(), reverse=True)), times))
         weight *= np.exp(-rate * served / total)
+        ends.append((len(plan), left.copy()))
         if used < max(1, left.sum() // 200):
             slack = max(1, 2 * slack)
-    return plan + _best_fit(left, capacity)
+    ends = ends[:: max(1, len(ends) // 12)] + ends[-1:]
+    best = None
+    for steps, rest in ends:
+        found = plan[:steps] + _best_fit(rest, capacity)
+        if best is None or sum(t for _, t in found) <= sum(t for _, t in best):
+            best = found
+    return best
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
@@ -147,31 +160,56 @@ class _Words:
     """Token ids of words as little-endian bytes, remembered up to a bound.
 
     The vocabulary file drops white space, so no token spans two words and the ids of a text are those of its
-    words one after the other.
+    words one after the other. Words that its normaliser would not change go to a copy without one,
+    which is several times faster; A to Z are lowered here unless the text may hold a special token.
     """
 
     def __init__(self, path: str, remember: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
+        self.whole = Tokenizer.from_file(path)
+        definition = json.loads(self.whole.to_str())
+        kinds = [n["type"] for n in (definition["normalizer"] or {}).get("normalizers", [])]
+        self.lowers = kinds == ["NFC", "Replace", "Lowercase"]
+        self.plain = Tokenizer.from_str(json.dumps(definition | {"normalizer": None})) if self.lowers else self.whole
+        self.remember, self.known = remember, {}
+
+    def _encode_new(self, words: list[bytes]) -> None:
+        plain, whole = [], []
+        for word in words:
+            text = word.decode()
+            stays = text.isprintable() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+            (plain if stays else whole).append((word, text))
+        for tokenizer, part in ((self.plain, plain), (self.whole, whole)):
+            for k in range(0, len(part), 4096):
+                some = part[k : k + 4096]
+                encoded = tokenizer.encode_batch_fast([text for _, text in some], add_special_tokens=False)
+                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(some, encoded, strict=True))
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
+        data = text.encode()
+        if self.lowers and b"<|" not in data:
+            data = data.lower()
+        words = data.split()
         known = self.known
         found = list(map(known.get, words))
         if None in found:
-            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
+            new = {w for w, ids in zip(words, found, strict=True) if ids is None}
             if len(known) + len(new) > self.remember:
                 known.clear()
-                new = list(set(words))
-            for start in range(0, len(new), 4096):
-                part = new[start : start + 4096]
-                encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
+                new = set(words)
+            self._encode_new(list(new))
             found = list(map(known.get, words))
         return b"".join(found)
 
 
+@cache
+def _words(path: str, remember: int) -> _Words:
+    """One per worker process, so that its tasks share what it remembers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return _Words(path, remember)
+
+
 def token_pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -179,7 +217,7 @@ def token_pieces(
     end_id: int = 1,
     doc_id: str = "doc_id",
     text: str = "text",
-    remember: int = 400_000,
+    remember: int = 800_000,
 ) -> DataFrame:
     """Pieces of each document: its ids and the end id, cut every ``capacity`` ids.
 
@@ -199,14 +237,10 @@ def token_pieces(
     end, names = np.array([end_id], "<u4").tobytes(), schema.names
 
     def cut(batches: Iterator) -> Iterator:
-        import os
-
         import pyarrow as pa
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        words = None
+        words = _words(tokenizer, remember)
         for batch in batches:
-            words = words or _Words(tokenizer, remember)
             row, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
                 ids = words.encode(value.as_py() or "") + end
