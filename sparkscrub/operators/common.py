@@ -12,6 +12,7 @@ from ..functions.text import cell_text, col_ref, guard_header
 
 INVALID, MODIFIED, DUPLICATE, REASON = "__invalid", "__modified", "__duplicate", "__reason"
 MARKS = (INVALID, MODIFIED, DUPLICATE, REASON)
+_MADE_BY, _MARK_OF = "sparkscrub.mark", "sparkscrub.of"
 
 
 def require(df: DataFrame, *names: str) -> None:
@@ -67,11 +68,32 @@ def place_after(df: DataFrame, anchor: str, new: dict[str, Column], keep_anchor:
     return df.select(*out)
 
 
+def mark_metadata(name: str, mark: str) -> dict:
+    """What makes a column a mark of ``name``: its metadata, whatever the column is called."""
+    return {_MADE_BY: mark, _MARK_OF: name}
+
+
+def is_mark(df: DataFrame, label: str) -> bool:
+    """Was the column ``label`` made as a mark by this library, and is its column still there?"""
+    metadata = df.schema[label].metadata or {}
+    return _MADE_BY in metadata and metadata.get(_MARK_OF) in df.columns
+
+
+def has_mark(df: DataFrame, name: str, mark: str) -> bool:
+    """Does ``name`` have this kind of mark? A user's column of the same name is none."""
+    label = name + mark
+    return label in df.columns and is_mark(df, label) and df.schema[label].metadata[_MADE_BY] == mark
+
+
 def mark_column(df: DataFrame, name: str, mark: str, found: Column) -> tuple[str, Column]:
-    """A mark column that keeps what earlier operations marked."""
+    """A mark column that keeps what earlier operations marked. It never replaces a user's column."""
     label = name + mark
     hit = F.coalesce(found, F.lit(False))
-    return label, (col_ref(label) | hit) if label in df.columns else hit
+    if has_mark(df, name, mark):
+        hit = col_ref(label) | hit
+    elif has_column(df, label):
+        raise ValueError(f"column {label!r} already exists and is no mark; rename it first")
+    return label, hit.alias(label, metadata=mark_metadata(name, mark))
 
 
 def as_text_column(df: DataFrame, name: str) -> DataFrame:
@@ -95,8 +117,3 @@ def in_place(
         label, marked = mark_column(df, name, MODIFIED, ~text.eqNullSafe(new))
         columns[label] = marked
     return df.withColumns(columns)
-
-
-def is_mark(name: str, columns: Iterable[str]) -> bool:
-    """Is ``name`` the mark column of one of ``columns``?"""
-    return any(name.endswith(m) and name[: -len(m)] in columns for m in MARKS)

@@ -48,51 +48,132 @@ def read_table(
     schema: T.StructType | str | None = None,
     infer: bool = True,
     missing_tokens: Sequence[str] = MISSING_TOKENS,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
+    on_bad: str = "raise",
 ) -> DataFrame:
     """Read a table; the format follows from the ending unless given.
 
     CSV: the first line names the columns. Without ``schema``, ``infer`` decides over the whole
     input whether a column holds whole numbers, numbers, truth values or text (one pass); dates
-    stay text. ``multi_line`` allows line breaks inside quotes and makes each file one task.
+    stay text, and so do whole numbers beyond 64 bits. Line breaks inside quotes are part of the cell: with
+    ``multi_line=None`` one pass looks for them, and only an input that may have some is read with one task
+    per file (True: always, False: never).
+
+    A line with more cells than the header, or a cell that does not fit its type in ``schema``, stops the
+    query that reads it. With ``on_bad="null"`` surplus cells are dropped and such cells are missing;
+    :func:`bad_lines` lists the lines.
     """
     kind = format or format_of(path)
+    if on_bad not in ("raise", "null"):
+        raise ValueError("on_bad must be 'raise' or 'null'")
     if kind == "csv":
-        return _read_csv(spark, path, schema, infer, missing_tokens, multi_line)
+        return _read_csv(spark, path, schema, infer, missing_tokens, multi_line, on_bad)
     if kind == "xlsx":
         table = read_workbooks(spark, path)
         return infer_types(table) if infer else table
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "json":
-        return reader.option("multiLine", multi_line).json(path)
+        return reader.option("multiLine", bool(multi_line)).json(path)
     if kind in ("parquet", "orc"):
         return reader.format(kind).load(path)
     raise ValueError(f"unsupported format {kind!r}")
 
 
-def _read_csv(spark, path, schema, infer, missing_tokens, multi_line) -> DataFrame:
-    reader = (
-        spark.read.option("header", True)
+_RECORD = "__record"
+
+
+def csv_reader(reader, multi_line: bool):
+    """Options that hold for every CSV input, batch or stream."""
+    return (
+        reader.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("enforceSchema", False)
     )
-    raw = reader.csv(path)
+
+
+def _has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Is there a line with an odd number of quotes, as at both ends of a quoted line break?"""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return bool(spark.read.text(path).agg(F.bool_or(quotes % 2 == 1)).first()[0])
+
+
+def _raw_csv(spark: SparkSession, path: str, multi_line: bool | None) -> tuple[DataFrame, list[str]]:
+    """All cells as text, with the line's own text in ``__record`` where its cells do not match the header."""
+    if multi_line is None:
+        multi_line = _has_open_quotes(spark, path)
+    names = csv_reader(spark.read, multi_line).csv(path).columns
+    wanted = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
+    reader = csv_reader(spark.read, multi_line).schema(wanted).option("columnNameOfCorruptRecord", _RECORD)
+    # Lines are only told apart if all of their cells are parsed.
+    return reader.option("columnPruning", False).csv(path), names
+
+
+def _surplus(n_names: int) -> Column:
+    """Does the line have more cells than there are names? Fewer are allowed: the rest is missing."""
+    bare = F.regexp_replace(F.col(_RECORD), r'"(?:[^"]|"")*+"', "")
+    commas = F.length(bare) - F.length(F.translate(bare, ",", ""))
+    return F.coalesce(commas >= n_names, F.lit(False))
+
+
+def bad_lines(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> DataFrame:
+    """Lines of CSV files with more cells than the header: ``file``, ``line`` (its text), ``cells``."""
+    raw, names = _raw_csv(spark, path, multi_line)
+    bare = F.regexp_replace(F.col(_RECORD), r'"(?:[^"]|"")*+"', "")
+    cells = (F.length(bare) - F.length(F.translate(bare, ",", "")) + 1).cast("int")
+    found = raw.select("*", F.col("_metadata.file_path").alias("file")).where(_surplus(len(names)))
+    return found.select("file", _record_beside(names[0]).alias("line"), cells.alias("cells"))
+
+
+def _record_beside(name: str) -> Column:
+    """The line's own text. Spark reads it only together with a cell, so one is named."""
+    return F.concat(F.col(_RECORD), F.substring(F.coalesce(col_ref(name), F.lit("")), 1, 0))
+
+
+def _raise_on(df: DataFrame, bad: Column, message: Column) -> DataFrame:
+    """``df``, stopping at the first row for which ``bad`` holds. A filter, so no projection drops it."""
+    stop = F.raise_error(message).cast("boolean")
+    return df.where(F.when(bad, stop).otherwise(F.lit(True)))
+
+
+def _read_csv(spark, path, schema, infer, missing_tokens, multi_line, on_bad) -> DataFrame:
+    raw, names = _raw_csv(spark, path, multi_line)
+    if on_bad == "raise":
+        message = F.concat(
+            F.lit("a line has more cells than the header, in "),
+            F.col("_metadata.file_path"),
+            F.lit(": "),
+            F.left(_record_beside(names[0]), F.lit(200)),
+        )
+        raw = _raise_on(raw, _surplus(len(names)), message)
+    text = without_tokens(raw.select(*map(col_ref, names)), missing_tokens)
     if schema is not None:
-        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        absent = [f.name for f in wanted if f.name not in raw.columns]
-        if absent:
-            raise ValueError(f"the file has no column {', '.join(map(repr, absent))}")
-        text = _without_tokens(raw, missing_tokens)
-        return text.select(*[_typed(f.name, f.dataType) for f in wanted])
-    text = _without_tokens(raw, missing_tokens)
+        return typed_cells(text, schema, on_bad)
     return infer_types(text) if infer else text
 
 
-def _without_tokens(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
+def typed_cells(text: DataFrame, schema: T.StructType | str, on_bad: str = "raise") -> DataFrame:
+    """Columns of text as ``schema`` has them; a cell that does not fit raises, or is missing (``"null"``)."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    absent = [f.name for f in wanted if f.name not in text.columns]
+    if absent:
+        raise ValueError(f"the file has no column {', '.join(map(repr, absent))}")
+    if on_bad == "raise":
+        unfit, message = F.lit(False), F.lit("")
+        for f in wanted:
+            if isinstance(f.dataType, T.StringType):
+                continue
+            lost = col_ref(f.name).isNotNull() & _typed(f.name, f.dataType).isNull()
+            said = F.concat(F.lit(f"no {f.dataType.simpleString()} in column {f.name!r}: "), F.left(col_ref(f.name), F.lit(200)))
+            unfit, message = unfit | lost, F.when(lost, said).otherwise(message)
+        if any(not isinstance(f.dataType, T.StringType) for f in wanted):
+            text = _raise_on(text, unfit, message)
+    return text.select(*[_typed(f.name, f.dataType) for f in wanted])
+
+
+def without_tokens(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
     known = list(tokens)
     if not known:
         return df
@@ -128,14 +209,18 @@ def infer_types(df: DataFrame) -> DataFrame:
         whole = F.when(cell.isNotNull(), whole)
         tests += [
             F.bool_and(whole).alias(f"w{i}"),
+            F.bool_and(is_whole_text(cell)).alias(f"t{i}"),
             F.bool_and(is_float_text(cell)).alias(f"f{i}"),
             F.bool_and(cell.isin(*_TRUE, *_FALSE)).alias(f"b{i}"),
         ]
     found = df.agg(*tests).first()
     out = {}
     for i, name in enumerate(texts):
-        for mark, dtype in (("w", T.LongType()), ("f", T.DoubleType()), ("b", T.BooleanType())):
+        # Whole numbers of which one is beyond 64 bits stay text: as doubles, different ones would be equal.
+        for mark, dtype in (("w", T.LongType()), ("t", None), ("f", T.DoubleType()), ("b", T.BooleanType())):
             if found[f"{mark}{i}"]:
+                if dtype is None:
+                    break
                 out[name] = _typed(name, dtype)
                 break
     return df.select(*[out.get(c, col_ref(c)) for c in df.columns])
@@ -151,7 +236,7 @@ def write_table(
     """
     kind = format or format_of(path)
     if not keep_marks:
-        df = df.select(*[col_ref(c) for c in df.columns if not is_mark(c, df.columns)])
+        df = df.select(*[col_ref(c) for c in df.columns if not is_mark(df, c)])
     writer = df.write.mode(mode)
     if kind == "csv":
         spelled = df.select(*[cell_text(col_ref(f.name), f.dataType).alias(f.name) for f in df.schema])

@@ -12,20 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.text import col_ref, quoted
-from ..operators.common import require
+from ..operators.common import require, unique_name
 from ..plans.recipe import Recipe
+from ..sources.tables import MISSING_TOKENS, csv_reader, typed_cells, without_tokens
 
 
 def read_stream(
-    spark: SparkSession, path: str, format: str, schema: T.StructType | str, *, pattern: str | None = None
+    spark: SparkSession,
+    path: str,
+    format: str,
+    schema: T.StructType | str,
+    *,
+    pattern: str | None = None,
+    missing_tokens: Sequence[str] = MISSING_TOKENS,
+    multi_line: bool = True,
+    on_bad: str = "raise",
 ) -> DataFrame:
-    """New files under ``path`` as a stream; ``pattern`` selects file names."""
-    reader = spark.readStream.format(format).schema(schema)
+    """New files under ``path`` as a stream; ``pattern`` selects file names.
+
+    CSV cells are read as :func:`sparkscrub.sources.tables.read_table` reads them: the same missing tokens
+    and number spellings, line breaks inside quotes (one task per file unless ``multi_line`` is off), and an error
+    for a cell that does not fit ``schema``, which names all columns of the files in their order.
+    """
+    reader = spark.readStream.format(format)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
-    if format == "csv":
-        reader = reader.option("header", True).option("escape", '"')
-    return reader.load(path)
+    if format != "csv":
+        return reader.schema(schema).load(path)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
+    text = csv_reader(reader, multi_line).option("enforceSchema", False).schema(as_text).load(path)
+    return typed_cells(without_tokens(text, missing_tokens), wanted, on_bad)
 
 
 def apply_recipe(stream: DataFrame, recipe: Recipe, *, flags: bool = False) -> DataFrame:
@@ -38,10 +55,17 @@ def apply_recipe(stream: DataFrame, recipe: Recipe, *, flags: bool = False) -> D
 def drop_duplicates(
     stream: DataFrame, cols: str | Sequence[str], *, event_time: str, within: str
 ) -> DataFrame:
-    """Keep the first row to arrive per value of ``cols``; state is dropped after ``within``."""
+    """Keep the first row to arrive per value of ``cols``; state is dropped after ``within``.
+
+    The rows come out with the columns and types they came in with. All rows of a value meet in one task.
+    """
+    columns = stream.columns
     cols = [cols] if isinstance(cols, str) else list(cols)
     require(stream, event_time, *cols)
+    instant = event_time
     if isinstance(stream.schema[event_time].dataType, T.TimestampNTZType):
         # Watermarks need an instant; a local time is read in the session's time zone.
-        stream = stream.withColumn(event_time, col_ref(event_time).cast("timestamp"))
-    return stream.withWatermark(quoted(event_time), within).dropDuplicatesWithinWatermark(cols)
+        instant = unique_name(stream, "__instant")
+        stream = stream.withColumn(instant, col_ref(event_time).cast("timestamp"))
+    first = stream.withWatermark(quoted(instant), within).dropDuplicatesWithinWatermark(cols)
+    return first.select(*map(col_ref, columns))

@@ -44,9 +44,9 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [(1, 'say "hi", you', 12345678.5, True), (2, " padded ", 1e-5, False), (3, None, None, None)]
     df = spark.createDataFrame(rows, "i bigint, t string, d double, b boolean")
     path = str(tmp_path / "out.csv")
-    ss.write_table(df.withColumn("t__modified", F.lit(True)), path)
+    ss.write_table(ss.mark_duplicates(df, "t"), path)
     written = "".join(open(p).read() for p in glob.glob(path + "/part-*"))
-    assert "12345678.5" in written and "1e-05" in written and "modified" not in written
+    assert "12345678.5" in written and "1e-05" in written and "duplicate" not in written
     assert sorted(map(tuple, ss.read_table(spark, path).collect())) == rows
 
 
@@ -150,6 +150,85 @@ def test_work_folder_comes_from_the_session(spark):
     assert work_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+def test_local_sessions_are_asked_for_a_folder_too(spark):
+    class Context:
+        master = "local[2]"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        work_folder(Session())
+
+
+# ---------------------------------------------------------------- nothing is lost in CSV
+
+
+def _csv(tmp_path, text):
+    (tmp_path / "a.csv").write_text(text)
+    return str(tmp_path / "a.csv")
+
+
+@pytest.mark.parametrize("schema", [None, "a int, b string"])
+def test_surplus_cells_stop_the_query(spark, tmp_path, schema):
+    path = _csv(tmp_path, "a,b\n1,x\n2,y,LOST\n3\n4,,\n")
+    with pytest.raises(Exception, match="more cells"):
+        ss.read_table(spark, path, schema=schema).collect()
+    with pytest.raises(Exception, match="more cells"):
+        ss.read_table(spark, path, schema="a int, b string").select("a").collect()
+    lenient = ss.read_table(spark, path, schema="a int, b string", on_bad="null")
+    assert [tuple(r) for r in lenient.collect()] == [(1, "x"), (2, "y"), (3, None), (4, None)]
+    with pytest.raises(Exception, match="more cells"):
+        ss.read_table(spark, path, schema="a int, b string").count()
+    assert lenient.count() == 4
+    bad = ss.bad_lines(spark, path).collect()
+    assert [(r.line, r.cells) for r in bad] == [("2,y,LOST", 3), ("4,,", 3)]
+    assert all(r.file.endswith("a.csv") for r in bad)
+
+
+def test_fewer_cells_are_missing(spark, tmp_path):
+    path = _csv(tmp_path, 'a,b,c\n1,"x, y"\n2,"a ""q"", b",z\n')
+    assert [tuple(r) for r in ss.read_table(spark, path).collect()] == [(1, "x, y", None), (2, 'a "q", b', "z")]
+
+
+def test_line_breaks_in_quotes_are_kept(spark, tmp_path):
+    path = _csv(tmp_path, 'a,b\n1,"x\ny"\n2,"p, q"\n')
+    assert [tuple(r) for r in ss.read_table(spark, path).collect()] == [(1, "x\ny"), (2, "p, q")]
+    assert ss.read_table(spark, path, multi_line=False, on_bad="null").count() == 3
+
+
+@pytest.mark.parametrize("cell, kind", [("abc", "int"), ("1.5", "bigint"), ("maybe", "boolean"), ("1,5", "double")])
+def test_cells_that_do_not_fit_stop_the_query(spark, tmp_path, cell, kind):
+    path = _csv(tmp_path, f'a,b\n"{cell}",x\n,y\n')
+    with pytest.raises(Exception, match="in column 'a'"):
+        ss.read_table(spark, path, schema=f"a {kind}, b string").select("b").collect()
+    rows = ss.read_table(spark, path, schema=f"a {kind}, b string", on_bad="null").collect()
+    assert [tuple(r) for r in rows] == [(None, "x"), (None, "y")]
+
+
+def test_whole_numbers_beyond_64_bits_stay_text(spark, tmp_path):
+    path = _csv(tmp_path, "a,b\n123456789012345678901,1\n123456789012345678902,2\n")
+    df = ss.read_table(spark, path)
+    assert df.dtypes == [("a", "string"), ("b", "bigint")]
+    assert [r.a for r in df.collect()] == ["123456789012345678901", "123456789012345678902"]
+
+
+def test_csv_streams_read_as_batches_do(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    _csv(tmp_path / "in", 'a,b,c\n1,NA,"x\ny"\n 2 ,1e3,None\n')
+    schema = "a int, b double, c string"
+    found = drain(read_stream(spark, str(tmp_path / "in"), "csv", schema), tmp_path)
+    batch = ss.read_table(spark, str(tmp_path / "in" / "a.csv"), schema=schema)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect())) == [(1, None, "x\ny"), (2, 1000.0, None)]
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -205,6 +284,15 @@ def test_projections_run_on_a_stream(spark, stream, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
 
 
+def test_first_arrival_keeps_the_types(spark, stream, tmp_path):
+    local = stream.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    kept = drop_duplicates(local, "t", event_time="ts", within="1 day")
+    assert kept.schema.simpleString() == local.schema.simpleString()
+    rows = {tuple(r) for r in spark.read.parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()}
+    found = drain(kept, tmp_path).collect()
+    assert len(found) == 5 and {tuple(r) for r in found} <= rows
+
+
 def test_first_arrival_on_a_stream(stream, tmp_path):
     kept = drop_duplicates(stream.withColumn("k", F.col("id") % 5), "k", event_time="ts", within="1 day")
     assert sorted(r.k for r in drain(kept.select("k"), tmp_path).collect()) == [0, 1, 2, 3, 4]
