@@ -20,9 +20,8 @@ def mark_duplicates(
     """Mark (``{col}__duplicate``) every cell whose text occurs twice or more in ``cols`` together.
 
     Missing cells count as one value. The values that repeat are counted with map-side partial
-    sums, written, measured, and joined back, one column after the other (see
-    :mod:`sparkscrub.plans.lookup`). When they are too many to broadcast and some are hot, each
-    column doubles the scans of the table.
+    sums, written, measured, and joined back, one join per column over a single scan (see
+    :mod:`sparkscrub.plans.lookup`).
     """
     cols = [cols] if isinstance(cols, str) else list(dict.fromkeys(cols))
     require(df, *cols)
@@ -48,8 +47,9 @@ def remove_duplicates(
 ) -> DataFrame:
     """Keep, per value of ``cols``, the row that comes first by ``order_by`` (unique, not null).
 
-    Missing is one value. One shuffle: each task first reduces its rows to one per value, so a
-    value that holds a third of the table sends one row per task.
+    Missing is one value. A narrow count of hashed values finds those that may repeat; rows of all other
+    values pass as they are, without a shuffle. The rest is reduced to one row per value in each task and
+    then shuffled, so a value that holds a third of the table sends one row per task.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
@@ -57,7 +57,13 @@ def remove_duplicates(
         raise ValueError("order_by is needed to know which row comes first")
     require(df, *cols, *order)
     refuse_streams(df, "keeping the first row per value (use streaming.drop_duplicates)")
-    keys = [value_key(col_ref(c), dtype_of(df, c)).alias(f"__key{i}") for i, c in enumerate(cols)]
+    keys = [value_key(col_ref(c), dtype_of(df, c)) for c in cols]
+    # Values with the same hash are told apart below; a hash that is met once is a value that is met once.
+    hashed = F.xxhash64(*keys)
+    lookup = duplicate_values(df, [hashed])
+    marked = lookup.attach(df, hashed, {_FOUND: False})
+    once = marked.where(~F.col(_FOUND)).drop(_FOUND)
     row = F.struct(*[col_ref(c) for c in df.columns])
     first = F.min_by(row, F.struct(*[col_ref(c) for c in order])).alias("__row")
-    return df.groupBy(*keys).agg(first).select("__row.*")
+    again = marked.where(_FOUND).groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(keys)]).agg(first)
+    return once.unionAll(again.select("__row.*"))

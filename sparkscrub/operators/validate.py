@@ -12,49 +12,72 @@ from ..functions import checks
 from ..functions.domains import DomainRules, any_in, suffix_keys
 from ..functions.numbers import is_number_type
 from ..functions.text import col_ref, strip
-from ..plans.lookup import attach_known, materialize, refuse_streams
-from .common import INVALID, REASON, dtype_of, mark_column, require, text_of
+from ..plans.lookup import attach_known, broadcast_limit, materialize, refuse_streams, row_bytes
+from .common import (
+    INVALID,
+    REASON,
+    dtype_of,
+    has_column,
+    has_mark,
+    mark_column,
+    mark_metadata,
+    require,
+    text_of,
+)
 
 _BARE, _VERDICT = "__bare", "__verdict"
 _HITS = ("__suffix", "__allowed", "__blocked")
 KINDS = ("email", "phone", "date", "numeric", "alphanumeric", "url")
 
 
+class _TextList:
+    """A list given as a DataFrame: written once, every text once (``probe``), and measured."""
+
+    def __init__(self, values: DataFrame):
+        texts = values.select(F.lower(F.trim(col_ref(values.columns[0]))).alias("probe")).where("probe is not null")
+        self.table = materialize(texts.distinct())
+        held = self.table.agg(F.sum(row_bytes(self.table, ["probe"]))).first()[0] or 0
+        self.fits = held <= broadcast_limit(values.sparkSession)
+
+
 def _listed(df: DataFrame, keys: list[Column], values, label: str) -> DataFrame:
     """``df`` with the truth column ``label``: is any of ``keys`` in ``values``?
 
-    Collections become a literal set. A DataFrame of any size is joined by :class:`Lookup`, which
-    measures it first; keys that are common in the data are part of the lookup even if not listed.
+    Collections become a literal set; a :class:`_TextList` is broadcast if it fits, else shuffled.
     """
-    if not isinstance(values, DataFrame):
+    if not isinstance(values, _TextList):
         return df.withColumn(label, any_in(keys, values))
-    listed = values.select(F.lower(F.trim(col_ref(values.columns[0]))).alias("probe")).distinct()
     hits = []
     for i, key in enumerate(keys):
-        hit = f"{label}{i}"
-        counted = df.select(key.alias("probe")).groupBy("probe").agg(F.count(F.lit(1)).alias("rows"))
-        marked = counted.join(listed.withColumn(hit, F.lit(True)), "probe", "left").na.fill(False, [hit])
-        df = attach_known(df, key, marked, "probe", [hit])
-        hits.append(F.col(hit))
+        probe, hit = f"{label}probe{i}", f"{label}{i}"
+        listed = values.table.select(F.col("probe").alias(probe), F.lit(True).alias(hit))
+        df = df.join(F.broadcast(listed) if values.fits else listed, key == F.col(probe), "left").drop(probe)
+        hits.append(F.coalesce(F.col(hit), F.lit(False)))
     return df.withColumn(label, reduce(lambda a, b: a | b, hits)).drop(*[f"{label}{i}" for i in range(len(keys))])
 
 
 def _domain_hits(df: DataFrame, rules: DomainRules, strict_compat: bool) -> DataFrame:
-    """``df`` with the truth columns ``_HITS`` for its ``__domain``. Lists given as DataFrames are
-    compared with the distinct domains, which the rows then look up."""
-    lists = (rules.suffixes, rules.allowed, rules.blocked)
+    """``df`` with the truth columns ``_HITS`` for its ``__domain``.
+
+    A list given as a DataFrame is measured first. If all lists can be broadcast, the rows are joined as
+    they are and nothing is computed from them beforehand. A larger list is compared with the distinct
+    domains, which the rows then look up.
+    """
+    lists = [rules.suffixes, rules.allowed, rules.blocked]
+    if any(isinstance(values, DataFrame) for values in lists):
+        refuse_streams(df, "a list given as a DataFrame")
+    lists = [_TextList(v) if isinstance(v, DataFrame) else v for v in lists]
 
     def with_hits(table: DataFrame, domain: Column) -> DataFrame:
         for label, values in zip(_HITS, lists):
-            keys = suffix_keys(domain, strict_compat) if values is rules.suffixes else [domain]
+            keys = suffix_keys(domain, strict_compat) if label == _HITS[0] else [domain]
             table = _listed(table, keys, values, label)
         return table
 
-    if not any(isinstance(values, DataFrame) for values in lists):
+    if all(values.fits for values in lists if isinstance(values, _TextList)):
         return with_hits(df, F.col("__domain"))
-    refuse_streams(df, "a list given as a DataFrame")
     domains = df.groupBy(F.col("__domain").alias("domain")).agg(F.count(F.lit(1)).alias("rows"))
-    marked = with_hits(materialize(domains), F.col("domain"))
+    marked = materialize(with_hits(domains, F.col("domain")))
     return attach_known(df, F.col("__domain"), marked, "domain", list(_HITS))
 
 
@@ -134,15 +157,18 @@ def _with_verdict(staged: DataFrame, columns: list[str], col: str, verdict: Colu
     """``columns`` of the staged table plus the marks that follow from ``verdict``."""
     label, mark, fresh = col + REASON, col + INVALID, F.col(_VERDICT)
     judged = staged.withColumn(_VERDICT, verdict)
+    marked = has_mark(staged, col, REASON) and has_mark(staged, col, INVALID)
+    if not marked and has_column(staged, label):
+        raise ValueError(f"column {label!r} already exists and is no mark; rename it first")
     reason = fresh
-    if label in columns and mark in columns:
+    if marked:
         # The first failure of a cell keeps its reason when a later check passes.
         reason = F.when(col_ref(mark) & checks.is_good_reason(fresh), col_ref(label)).otherwise(fresh)
     _, invalid = mark_column(judged.select(*map(col_ref, columns)), col, INVALID, ~checks.is_good_reason(fresh))
     out = {c: col_ref(c) for c in columns}
     if as_text:
         out[col] = F.coalesce(text_of(judged, col), F.lit(""))
-    out |= {mark: invalid, label: reason}
+    out |= {mark: invalid, label: reason.alias(label, metadata=mark_metadata(col, REASON))}
     return judged.select(*[c.alias(name) for name, c in out.items()])
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import WHOLE, cell_text, col_ref, is_missing, no_nan
-from ..operators.common import DUPLICATE, INVALID, MARKS, MODIFIED, REASON, is_mark, require
-from .lookup import value_key
+from ..operators.common import DUPLICATE, INVALID, MARKS, MODIFIED, REASON, has_mark, is_mark, require
+from .lookup import text_key, value_key
 
 
 def count_rows(df: DataFrame) -> int:
@@ -20,15 +20,15 @@ def count_rows(df: DataFrame) -> int:
 
 def data_columns(df: DataFrame) -> list[str]:
     """The columns that are not marks of another column."""
-    return [c for c in df.columns if not is_mark(c, df.columns)]
+    return [c for c in df.columns if not is_mark(df, c)]
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, *, approx: bool = False) -> DataFrame:
     """One row per column: type, distinct values (missing counts as one), missing cells, widest text
     including the column name.
 
-    Exact counts send each distinct value of each column through one shuffle, long text by digest;
-    ``approx=True`` needs no such shuffle.
+    Exact counts write each row once per column before the shuffle and send each distinct value of each
+    column through it, long text and nested values (as JSON) by digest; ``approx=True`` needs no such shuffle.
     """
     cols = list(cols) if cols is not None else data_columns(df)
     require(df, *cols)
@@ -36,9 +36,9 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, approx: bool =
     for i, name in enumerate(cols):
         dtype, cell = df.schema[name].dataType, col_ref(name)
         if approx:
-            counted = F.approx_count_distinct(no_nan(cell, dtype))
+            counted = F.approx_count_distinct(F.to_json(cell) if isinstance(dtype, _NESTED) else no_nan(cell, dtype))
         else:
-            counted = F.count_distinct(value_key(cell, dtype))
+            counted = F.count_distinct(_distinct_key(cell, dtype))
         missing = F.coalesce(F.max(is_missing(cell, dtype)), F.lit(False))
         totals += [
             (counted + missing.cast("bigint")).alias(f"d{i}"),
@@ -61,7 +61,21 @@ def _widest(cell: Column, dtype: T.DataType) -> Column:
     """Length of the longest cell text. No whole number is longer than the least or the greatest."""
     if isinstance(dtype, WHOLE):
         return F.greatest(*[F.length(end(cell).cast("string")) for end in (F.min, F.max)])
-    return F.max(F.length(cell_text(cell, dtype)))
+    return F.max(F.length(_shown(cell, dtype)))
+
+
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
+
+
+def _shown(cell: Column, dtype: T.DataType) -> Column:
+    """The text of any cell: nested values as JSON, bytes as they are."""
+    if isinstance(dtype, _NESTED):
+        return F.to_json(cell)
+    return cell if isinstance(dtype, T.BinaryType) else cell_text(cell, dtype)
+
+
+def _distinct_key(cell: Column, dtype: T.DataType) -> Column:
+    return text_key(F.to_json(cell)) if isinstance(dtype, _NESTED) else value_key(cell, dtype)
 
 
 def diff_summary(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -83,7 +97,7 @@ def diff_summary(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def marked_columns(df: DataFrame, *marks: str) -> list[str]:
-    return [c for c in df.columns if any(c + m in df.columns for m in marks or MARKS)]
+    return [c for c in df.columns if any(has_mark(df, c, m) for m in marks or MARKS)]
 
 
 def issue_report(
@@ -100,10 +114,10 @@ def issue_report(
     cells: list[Column] = []
     for name in cols:
         value = cell_text(col_ref(name), df.schema[name].dataType)
-        reason = col_ref(name + REASON) if name + REASON in df.columns else F.lit(None).cast("string")
+        reason = col_ref(name + REASON) if has_mark(df, name, REASON) else F.lit(None).cast("string")
         kinds = []
         for mark, kind in ((INVALID, "invalid"), (DUPLICATE, "duplicate"), (MODIFIED, "modified")):
-            if name + mark in df.columns:
+            if has_mark(df, name, mark):
                 issue = F.struct(
                     F.lit(name).alias("column"),
                     F.lit(kind).alias("kind"),
@@ -121,21 +135,37 @@ def issue_report(
 
 
 def validation_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """One row per validated column: valid and total cells and the rate in percent (one aggregate)."""
-    cols = list(cols) if cols is not None else marked_columns(df, INVALID)
-    require(df, *[c + INVALID for c in cols])
-    if not cols:
-        raise ValueError("no column of the table has been validated")
+    """One row per marked column: valid and total cells, the rate in percent, and the cells marked as
+    duplicate or modified (one aggregate). What a column was not checked for is null."""
+    cols = list(cols) if cols is not None else marked_columns(df, INVALID, DUPLICATE, MODIFIED)
+    require(df, *cols)
+    if not cols or not all(any(has_mark(df, c, m) for m in (INVALID, DUPLICATE, MODIFIED)) for c in cols):
+        raise ValueError("no column of the table has been validated, or one of those named has no marks")
+
+    def count(name: str, mark: str, marked: bool) -> Column:
+        if not has_mark(df, name, mark):
+            return F.lit(None).cast("bigint")
+        return F.count(F.when(col_ref(name + mark) if marked else ~col_ref(name + mark), 1))
+
     totals = df.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count(F.when(~col_ref(c + INVALID), 1)).alias(f"v{i}") for i, c in enumerate(cols)],
+        *[
+            count(c, mark, mark != INVALID).alias(f"{letter}{i}")
+            for i, c in enumerate(cols)
+            for letter, mark in (("v", INVALID), ("d", DUPLICATE), ("m", MODIFIED))
+        ],
     )
     rows = [
         F.struct(
             F.lit(c).alias("column"),
             F.col(f"v{i}").alias("valid"),
             F.col("total"),
-            F.coalesce(F.try_divide(F.col(f"v{i}") * 100.0, F.col("total")), F.lit(0.0)).alias("rate"),
+            F.when(
+                F.lit(has_mark(df, c, INVALID)),
+                F.coalesce(F.try_divide(F.col(f"v{i}") * 100.0, F.col("total")), F.lit(0.0)),
+            ).alias("rate"),
+            F.col(f"d{i}").alias("duplicates"),
+            F.col(f"m{i}").alias("modified"),
         )
         for i, c in enumerate(cols)
     ]
