@@ -37,6 +37,7 @@ from .operators.validate import (
     validate_phone,
     validate_url,
 )
+from .plans.lookup import release_tables
 from .plans.recipe import Recipe, preview, run_operation
 from .plans.report import (
     count_rows,
@@ -47,11 +48,12 @@ from .plans.report import (
     validation_summary,
 )
 from .plans.slices import slice_rows
-from .sources.tables import infer_types, read_domain_list, read_table, write_table
+from .sources.tables import bad_lines, infer_types, read_domain_list, read_table, write_table
 
 __all__ = [
     "DomainRules",
     "Recipe",
+    "bad_lines",
     "calculate_constant",
     "calculated_column",
     "check_email_address",
@@ -76,6 +78,7 @@ __all__ = [
     "read_domain_list",
     "read_table",
     "reason_counts",
+    "release_tables",
     "remove_duplicates",
     "remove_non_alpha",
     "remove_non_numeric",

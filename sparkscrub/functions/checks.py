@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .domains import domain_reason
-from .text import FLOAT_BARE, WS_CLASS
+from .text import FLOAT_BARE, WS_CLASS, apart
 
 _WORD = r"\p{L}\p{N}_"
 # The user part starts with a word character.
@@ -26,7 +26,14 @@ DATE_FORMATS = (
     "d/M/yy", "M/d/yy", "d.M.yy", "d-M-yy",
     "d MMM yyyy", "d-MMM-yyyy", "MMM d yyyy", "MMM d, yyyy",
     "d MMMM yyyy", "MMMM d yyyy", "MMMM d, yyyy", "MMM yyyy", "MMMM yyyy",
+    "yyyy-M", "d MMM, yyyy", "d MMMM, yyyy",
 )
+# Parts of a written date that layouts do without: the day of the week in front, "st" and the like after the
+# day, the point after a month's short name, the fourth letter of "Sept".
+_WEEKDAY = r"(?i)^(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?\.?,?[ ]+"
+_ORDINAL = r"(?i)\b([0-9]{1,2})(?:st|nd|rd|th)\b"
+_SHORT_MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:t\b)?\.(?= |,|\z)"
+_SEPT = r"(?i)\bsept\b"
 _TIME_OF_DAY = (
     r"(?i)[ T]+([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]{1,9})?)?"
     r"( ?[ap]m)?( ?(z|utc|gmt|[+-][0-9]{2}:?[0-9]{2}))?\z"
@@ -100,8 +107,17 @@ def _layout_shape(layout: str) -> str:
 
 
 def day_part(bare: Column) -> Column:
-    """The text without a time of day at its end."""
-    return F.regexp_replace(bare, _TIME_OF_DAY, "")
+    """The text without a time of day at its end, and without what written dates add to a layout."""
+    day = F.regexp_replace(bare, _TIME_OF_DAY, "")
+
+    def written(text: Column) -> Column:
+        text = F.regexp_replace(text, _WEEKDAY, "")
+        text = F.regexp_replace(text, _ORDINAL, "$1")
+        text = F.regexp_replace(text, _SHORT_MONTH, "$1")
+        return F.regexp_replace(text, _SEPT, "Sep")
+
+    # Dates in figures alone have no such parts.
+    return F.when(day.rlike("[A-Za-z]"), apart(day, written)).otherwise(day)
 
 
 def date_reason(day: Column, formats: Sequence[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,16 @@ def _stored(df: DataFrame, col: str, number: Column, as_number: bool, skip_heade
     return F.when(cell == F.lit(col), cell).otherwise(spelled) if skip_header_cells else spelled
 
 
+def _as_decimal(value: float) -> Decimal:
+    """The shortest decimal that reads as ``value``."""
+    return Decimal(repr(value)) if isinstance(value, float) else Decimal(value)
+
+
+def _exact(a: Column, operation: str, b: Column) -> Column:
+    """Decimal arithmetic; null for a division by zero and where the result does not fit."""
+    return {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[operation](a, b)
+
+
 def round_numbers(
     df: DataFrame,
     col: str,
@@ -49,8 +61,8 @@ def round_numbers(
     check: bool = False,
     skip_header_cells: bool = True,
 ) -> DataFrame:
-    """Round half-even on the scaled double. Whole types are unchanged, cells that are no number
-    become null. A text column stays text unless ``as_number``."""
+    """Round half-even on the scaled double; decimals exactly, keeping their type. Whole types are
+    unchanged, cells that are no number become null. A text column stays text unless ``as_number``."""
     require(df, col)
     if not 0 <= decimals <= 10:
         raise ValueError("decimals must be between 0 and 10")
@@ -59,6 +71,8 @@ def round_numbers(
     dtype = dtype_of(df, col)
     if isinstance(dtype, WHOLE):
         return df
+    if isinstance(dtype, T.DecimalType):
+        return df.withColumn(col, F.bround(col_ref(col), decimals).cast(dtype)) if decimals < dtype.scale else df
     rounded = round_half_even(to_number(col_ref(col), dtype).cast("double"), decimals)
     return df.withColumn(col, _stored(df, col, rounded, as_number, skip_header_cells))
 
@@ -73,14 +87,17 @@ def calculate_constant(
     check: bool = False,
     skip_header_cells: bool = True,
 ) -> DataFrame:
-    """``col operation value`` as a double, in place."""
+    """``col operation value`` in place: a double, or for decimals a decimal (null where it does not fit)."""
     require(df, col)
     combine = arithmetic(operation)
     if operation == "/" and float(value) == 0:
         raise ValueError(f"division of {col!r} by zero")
     if check:
         _check_numeric(df, col)
-    number = to_number(col_ref(col), dtype_of(df, col)).cast("double")
+    dtype = dtype_of(df, col)
+    if isinstance(dtype, T.DecimalType):
+        return df.withColumn(col, _exact(col_ref(col), operation, F.lit(_as_decimal(value))))
+    number = to_number(col_ref(col), dtype).cast("double")
     return df.withColumn(
         col, _stored(df, col, combine(number, F.lit(float(value))), as_number, skip_header_cells)
     )
@@ -99,7 +116,8 @@ def calculated_column(
     """``new = col1 operation col2``, rounded to the most decimals either input shows.
 
     ``decimals="auto"`` finds that number with one aggregate inside the same plan; a number skips
-    the aggregate; ``None`` does not round. Division by zero gives null.
+    the aggregate; ``None`` does not round. Division by zero gives null. Decimals, also with whole numbers,
+    are combined exactly and show the larger of the two scales.
     """
     require(df, col1, col2)
     refuse_existing(df, new)
@@ -107,6 +125,12 @@ def calculated_column(
     if check:
         _check_numeric(df, col1, col2)
     t1, t2 = dtype_of(df, col1), dtype_of(df, col2)
+    exact = (*WHOLE, T.DecimalType)
+    if isinstance(t1, exact) and isinstance(t2, exact) and not (isinstance(t1, WHOLE) and isinstance(t2, WHOLE)):
+        result = _exact(col_ref(col1), operation, col_ref(col2))
+        if decimals == "auto":
+            decimals = max(getattr(t, "scale", 0) for t in (t1, t2))
+        return df.withColumn(new, result if decimals is None else F.bround(result, int(decimals)))
     a, b = to_number(col_ref(col1), t1), to_number(col_ref(col2), t2)
     result = combine(a, b)
     if isinstance(t1, WHOLE) and isinstance(t2, WHOLE):

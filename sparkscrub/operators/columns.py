@@ -67,11 +67,11 @@ def split_delimiter(
     delimiter: str,
     *,
     n_parts: int | None = None,
-    max_parts: int = 1000,
+    max_parts: int | None = None,
     check: bool = False,
 ) -> DataFrame:
     """Replace ``col`` by ``{col}_part1..k``. ``n_parts`` fixes k and keeps the call lazy; otherwise
-    one aggregate finds the widest row. Text beyond ``n_parts`` stays in the last part.
+    one aggregate finds the widest row, and ``max_parts`` makes a wider one an error. Text beyond ``n_parts`` stays in the last part.
     ``check`` raises when no row has the delimiter."""
     if not delimiter:
         raise ValueError("the delimiter must not be empty")
@@ -84,7 +84,7 @@ def split_delimiter(
         widest = int(df.agg(F.max(cuts)).first()[0] or 0) + 1
         if widest < 2:
             raise ValueError(f"no cell of {col!r} has the delimiter {delimiter!r}")
-        if n_parts is None and widest > max_parts:
+        if n_parts is None and max_parts is not None and widest > max_parts:
             raise ValueError(f"splitting {col!r} needs {widest} columns; raise max_parts or give n_parts")
         n_parts = n_parts or widest
     names: list[str] = []

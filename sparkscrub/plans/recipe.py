@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 from ..operators import arithmetic, cells, columns, duplicates, groups, validate
+from ..sources.tables import read_domain_list
 from .slices import PREVIEW_ROWS, slice_rows
 
 Operation = Mapping[str, Any]
 _KIND = "column_operation"
 
 
+# Arguments that are no part of a saved operation.
+_NOT_IN_RECIPES = {"flags", "hot_rows", "rules", "order_by"}
+# Options that are lists of texts, or the path of a file with one text per line.
+_LISTS = {"allowed", "blocked", "suffixes"}
+
+
 @dataclass(frozen=True)
 class _Step:
     """How an operation object is turned into a call: which entries become which arguments."""
@@ -27,6 +35,16 @@ class _Step:
     takes_flags: bool = False
     on_column: str | None = "col"
 
+    @cached_property
+    def options(self) -> frozenset[str]:
+        """Keyword arguments that an operation object may name as they are."""
+        mapped = {name for _, name in (*self.needed, *self.optional)}
+        return frozenset(
+            p.name
+            for p in inspect.signature(self.run).parameters.values()
+            if p.kind is p.KEYWORD_ONLY and p.name not in mapped | _NOT_IN_RECIPES
+        )
+
 
 def _cell(run, *needed, optional=()) -> _Step:
     return _Step(run, needed, tuple(optional), takes_flags=True)
@@ -87,7 +105,12 @@ _COMMON = {"type", "key", "column"}
 def run_operation(
     df: DataFrame, operation: Operation, *, order_by: str | Sequence[str] | None = None, flags: bool = False
 ) -> DataFrame:
-    """Apply one operation object, e.g. ``{"key": "op_trim", "column": "name"}``."""
+    """Apply one operation object, e.g. ``{"key": "op_trim", "column": "name"}``.
+
+    Further entries are the operator's own options: ``{"key": "op_validate_email", "column": "email",
+    "suffixes": ["co.uk"], "blocked": "blocked.txt"}``. A list of domains is a JSON list, or the path of a
+    text file with one per line.
+    """
     step, given = _checked(operation), dict(operation)
     if order_by is not None and any(entry == "order_by" for entry, _ in step.needed):
         given.setdefault("order_by", order_by)
@@ -101,6 +124,12 @@ def run_operation(
     for entry, name in step.optional:
         if given.get(entry) is not None:
             arguments[name] = given[entry]
+    for option in step.options & set(given):
+        value = given[option]
+        if option in _LISTS and isinstance(value, str):
+            value = read_domain_list(df.sparkSession, value)
+        if value is not None:
+            arguments[option] = value
     if step.on_column and step.on_column not in arguments:
         raise ValueError(f"{given['key']} needs 'column'")
     if step.takes_flags:
@@ -115,7 +144,7 @@ def _checked(operation: Operation) -> _Step:
     if key not in STEPS:
         raise ValueError(f"unknown operation {key!r}")
     step = STEPS[key]
-    known = _COMMON | {entry for entry, _ in (*step.needed, *step.optional)}
+    known = _COMMON | step.options | {entry for entry, _ in (*step.needed, *step.optional)}
     unknown = set(operation) - known
     if unknown:
         raise ValueError(f"{key} does not take {', '.join(sorted(unknown))}")

@@ -11,9 +11,10 @@ from ..functions.text import col_ref
 from .lookup import refuse_streams
 
 PREVIEW_ROWS = 1000
-# Rows a final top-k may hold beyond twice the rows asked for.
+# Order keys that a last top-k over keys alone may hold.
 _SLACK = 100_000
-_FEWEST_RANGES = 32
+# Ranges per round, and keys drawn to place their bounds.
+_RANGES, _DRAWN = 32, 4000
 
 
 def slice_rows(
@@ -27,7 +28,8 @@ def slice_rows(
     """``n`` rows at the ``head``, ``middle`` or ``tail`` of ``df`` ordered by ``order_by``.
 
     Head and tail are top-k plans. The middle is found by narrowing the key range (see
-    :func:`_window_of_keys`), so neither a full sort nor a single task sees all rows.
+    :func:`_middle_keys`), so neither a full sort nor a single task sees all rows. It raises, at every size, if
+    rows outside of the slice share their key with one of its end rows: which rows to return would be open.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     refuse_streams(df, "a slice by position")
@@ -41,65 +43,91 @@ def slice_rows(
         return df.orderBy(*[col_ref(c).desc_nulls_last() for c in order]).limit(n).orderBy(*ascending)
     if position != "middle":
         raise ValueError("position must be 'head', 'middle' or 'tail'")
-    near, skip = _window_of_keys(df, order, n, slack)
-    return near.orderBy(*ascending).offset(skip).limit(n)
+    ends = _middle_keys(df, order, n, slack)
+    if ends is None:
+        return df.limit(0)
+    return df.where(_between(df, order, *ends)).orderBy(*ascending).limit(n)
 
 
-def _window_of_keys(df: DataFrame, order: list[str], n: int, slack: int) -> tuple[DataFrame, int]:
-    """(the rows around the middle, how many of them come before it).
+def _middle_keys(df: DataFrame, order: list[str], n: int, slack: int) -> tuple | None:
+    """First and last key of the slice; None for an empty one. Only order columns are read.
 
-    Each round range-partitions the order columns only, counts every range in one job, and keeps
-    the ranges that touch the middle; a round shrinks the candidates by the number of partitions.
+    Each round cuts the candidate keys into ranges at keys drawn from them, counts every range with map-side
+    sums, and keeps the ranges that touch the slice, until ``2 * n + slack`` keys are left to sort.
     """
-    near, start, length = df, None, n
-    before = None
-    while True:
-        ranges = _range_sizes(near, order)
-        total = sum(r["size"] for r in ranges)
-        if start is None:
-            start = max(0, (total - n) // 2)
-        if total <= 2 * n + slack:
-            return near, start
-        kept, seen, skipped = [], 0, 0
-        for r in ranges:
-            if seen + r["size"] <= start:
-                skipped = seen + r["size"]
-            elif seen < start + length:
-                kept.append(r)
-            seen += r["size"]
-        low, high = kept[0]["low"], kept[-1]["high"]
-        if sum(r["size"] for r in kept) == total and before == (low, high):
+    keys = df.select(_key(order).alias("key"))
+    total = keys.count()
+    length = min(n, total)
+    if length <= 0:
+        return None
+    start, near, held = (total - length) // 2, keys, total
+    low = high = None
+    while held > 2 * n + slack:
+        bounds = _bounds(near, held)
+        counts = _range_sizes(near, df, order, bounds)
+        seen, kept = 0, []
+        for at in range(len(bounds) + 1):
+            size = counts.get(at, 0)
+            if seen + size > start and seen < start + length:
+                kept.append((at, size, seen))
+            seen += size
+        first, last = kept[0][0], kept[-1][0]
+        # Range ``at`` holds the keys from bound ``at - 1`` (included) to bound ``at`` (excluded).
+        low = bounds[first - 1] if first > 0 else low
+        high = bounds[last] if last < len(bounds) else high
+        now = sum(size for _, size, _ in kept)
+        if now == held:
             raise ValueError(f"too many rows share the same {order}; order_by must be unique")
-        before = (low, high)
-        near, start = near.where(_between(df, order, low, high)), start - skipped
-
-
-def _range_sizes(df: DataFrame, order: list[str]) -> list:
-    """Size and end keys of every range, in order: as many rows as there are partitions."""
-    keys = df.select(*[col_ref(c).alias(f"k{i}") for i, c in enumerate(order)])
-    names = [f"k{i}" for i in range(len(order))]
-    # A number that is given is kept; otherwise small ranges would be merged into one again.
-    parts = max(_FEWEST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keys.repartitionByRange(parts, *[F.col(k).asc_nulls_first() for k in names])
-    end = F.struct(*names)
-    found = (
-        ranged.groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.count(F.lit(1)).alias("size"), F.min(end).alias("low"), F.max(end).alias("high"))
-        .collect()
+        start, held = start - kept[0][2], now
+        near = keys.where(_inside(df, order, low, high))
+    found = near.orderBy("key").offset(start).limit(length).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    ends = found.first()
+    low, high = tuple(ends["low"]), tuple(ends["high"])
+    if df.where(_between(df, order, low, high)).select(*map(col_ref, order)).count() != length:
+        raise ValueError(f"rows around the slice share the same {order}; order_by must be unique")
+    return low, high
+
+
+def _key(order: list[str]) -> Column:
+    return F.struct(*[col_ref(c).alias(f"k{i}") for i, c in enumerate(order)])
+
+
+def _literal(df: DataFrame, order: list[str], row) -> Column:
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(f"k{i}") for i, (v, c) in enumerate(zip(row, order))])
+
+
+def _bounds(near: DataFrame, held: int) -> list[tuple]:
+    """Up to ``_RANGES`` - 1 distinct keys that cut a draw of the candidates into equal parts."""
+    drawn = sorted(
+        (tuple(r["key"]) for r in near.sample(min(1.0, _DRAWN / held), seed=17).collect()),
+        key=lambda key: tuple((v is not None, v) for v in key),
     )
-    return sorted(found, key=lambda r: r["part"])
+    step = max(1, len(drawn) // _RANGES)
+    return list(dict.fromkeys(drawn[step::step]))[: _RANGES - 1]
 
 
-def _between(df: DataFrame, order: list[str], low, high) -> Column:
-    """Order keys from ``low`` to ``high``. The first column's own range can reach the scan."""
+def _range_sizes(near: DataFrame, df: DataFrame, order: list[str], bounds: list[tuple]) -> dict[int, int]:
+    """Keys per range: one row per range and task is shuffled."""
+    at = F.lit(0)
+    for bound in bounds:
+        at = at + (F.col("key") >= _literal(df, order, bound)).cast("int")
+    return {r[0]: r[1] for r in near.groupBy(at.alias("at")).count().collect()}
+
 
-    def literal(row) -> Column:
-        return F.struct(
-            *[F.lit(v).cast(df.schema[c].dataType).alias(f"k{i}") for i, (v, c) in enumerate(zip(row, order))]
-        )
+def _inside(df: DataFrame, order: list[str], low, high) -> Column:
+    """Keys from ``low`` (included) to ``high`` (excluded); None is open."""
+    inside = F.lit(True)
+    if low is not None:
+        inside = inside & (F.col("key") >= _literal(df, order, low))
+    if high is not None:
+        inside = inside & (F.col("key") < _literal(df, order, high))
+    return inside
 
-    key = F.struct(*[col_ref(c).alias(f"k{i}") for i, c in enumerate(order)])
-    inside = (key >= literal(low)) & (key <= literal(high))
+
+def _between(df: DataFrame, order: list[str], low, high) -> Column:
+    """Order keys from ``low`` to ``high``. The first column's own range can reach the scan."""
+    key = _key(order)
+    inside = (key >= _literal(df, order, low)) & (key <= _literal(df, order, high))
     first = col_ref(order[0])
     if low[0] is None or high[0] is None:
         return inside
