@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 import sparkscrub as ss
 from sparkscrub.functions.text import WHITESPACE as WS
 from sparkscrub.functions.text import WS_CLASS
-from sparkscrub.plans.lookup import work_folder
+from sparkscrub.operators.common import unique_name as first_free_name
+from sparkscrub.plans.lookup import use_own_folder, work_folder
+from sparkscrub.sources.tables import format_of
 from sparkscrub.streaming.streams import apply_recipe, drop_duplicates, read_stream
 
 try:
@@ -38,7 +40,9 @@ def _query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its name says how it is read."""
+    path = f"{sf_dir}/{name}.parquet"
+    return ss.read_table(spark, path, format_of(path))
 
 
 def _new_folder(spark: SparkSession) -> str:
@@ -192,11 +196,11 @@ _SQL_SHORT = "CASE WHEN {0} = round_even({0}, 0) THEN ({0})::BIGINT::VARCHAR ELS
 @_query(f"""
 SELECT l_orderkey, l_linenumber,
        l_returnflag || '-' || {_SQL_SHORT.format('l_quantity')} || '-' || {_SQL_SHORT.format('l_extendedprice')}
-       || '-' || l_partkey AS joined
+       || '-' || l_partkey || '-' || l_shipdate AS joined
 FROM lineitem""")
 def concatenate(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem")
-    cols = ["l_returnflag", "l_quantity", "l_extendedprice", "l_partkey"]
+    cols = ["l_returnflag", "l_quantity", "l_extendedprice", "l_partkey", "l_shipdate"]
     return ss.concatenate(df, cols, "joined", "-").select("l_orderkey", "l_linenumber", "joined")
 
 
@@ -307,6 +311,28 @@ def calculated_column_fixed(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", "total")
 
 
+# Prices as decimals of 25 digits before the point, which no double holds.
+_WIDE = "l_extendedprice::DECIMAL(12, 3) + 1234567890123456789012345::DECIMAL(38, 3)"
+
+
+@_query(f"""
+SELECT l_orderkey, l_linenumber, (round_even(v, 1))::DECIMAL(38, 3)::VARCHAR AS rounded,
+       (v + 0.125::DECIMAL(4, 3))::VARCHAR AS plus, (v - l_partkey::DECIMAL(19, 0))::DECIMAL(38, 3)::VARCHAR AS less
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, {_WIDE} AS v FROM lineitem)""")
+def round_decimals(spark, sf_dir):
+    """Decimals beyond a double's digits stay exact through rounding and arithmetic."""
+    price = F.col("l_extendedprice").cast("decimal(12,3)")
+    wide = (price + F.lit("1234567890123456789012345").cast("decimal(28,3)")).cast("decimal(38,3)")
+    df = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", wide.alias("rounded"), wide.alias("plus"), wide.alias("v")
+    )
+    df = ss.round_numbers(df, "rounded", 1)
+    df = ss.calculate_constant(df, "plus", "+", 0.125)
+    df = ss.calculated_column(df, "v", "l_partkey", "-", "less")
+    shown = [F.col(c).cast("decimal(38,3)").cast("string").alias(c) for c in ("rounded", "plus", "less")]
+    return df.select("l_orderkey", "l_linenumber", *shown)
+
+
 # ---------------------------------------------------------------- validation
 
 
@@ -342,6 +368,71 @@ def validate_email(spark, sf_dir):
     return ss.validate_email(_addresses(spark, sf_dir), "email")
 
 
+# One domain of each kind of owner, and domains that are no good, in turn over the customers.
+_DOMAINS = (
+    "uni.edu", "dept.uni.edu.au", "kings.ac.uk", "city.gov", "tax.gov.in", "army.mil", "aid.org", "shop.com",
+    "isp.net", "edu.uk", "plain.uk", "gov", "-bad.com", "a_b.com", "x.y.z.museum", "ac.org", "gmail.com", "",
+)
+_KIND_ADDRESS = (
+    "'user' || c_custkey || '@' || CASE c_custkey % " + str(len(_DOMAINS))
+    + "".join(f" WHEN {i} THEN '{d}'" for i, d in enumerate(_DOMAINS)) + " END"
+)
+_SQL_DOMAIN = "split_part(email, '@', 2)"
+
+
+@_query(
+    _sql_verdict(
+        "c_custkey",
+        "email",
+        _KIND_ADDRESS,
+        _SQL_EMAIL
+        + rf"""
+ WHEN {_SQL_DOMAIN} = 'gmail.com' THEN 'Valid Common Domain'
+ WHEN NOT regexp_full_match({_SQL_DOMAIN}, '[a-z0-9]+(-+[a-z0-9]+)*(\.[a-z0-9]+(-+[a-z0-9]+)*)+') THEN 'Invalid Format'
+ WHEN regexp_extract({_SQL_DOMAIN}, '[^.]+$') NOT IN ('com', 'org', 'net', 'edu', 'gov', 'mil', 'uk', 'au', 'in')
+      THEN 'Unknown TLD'
+ ELSE 'Valid ' || CASE
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.edu$') THEN 'Educational Institution'
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.edu\.[a-z][a-z]$') THEN 'International Educational Institution'
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.ac\.[a-z][a-z]$') THEN 'Academic Institution'
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.gov$') THEN 'Government Institution'
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.gov\.[a-z][a-z]$') THEN 'International Government Institution'
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.mil$') THEN 'Military Institution'
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.org$') THEN 'Organization'
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.com$') THEN 'Commercial'
+   WHEN regexp_matches({_SQL_DOMAIN}, '\.net$') THEN 'Network' ELSE 'Domain' END""",
+        "customer",
+    )
+)
+def validate_email_kinds(spark, sf_dir):
+    """All kinds of owner; countries' suffixes as wildcards."""
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_KIND_ADDRESS).alias("email"))
+    return ss.validate_email(customer, "email", suffixes=("*.uk", "*.au", "in"))
+
+
+@_query(
+    _sql_verdict(
+        "c_custkey",
+        "email",
+        _ADDRESS,
+        _SQL_EMAIL
+        + r"""
+ WHEN email LIKE '%@gmail.com' THEN 'Valid Common Domain'
+ WHEN email LIKE '%.edu' THEN 'Valid Educational Institution'
+ WHEN email LIKE '%.com' THEN 'Valid Commercial'
+ WHEN regexp_extract(email, '[^.]+$') IN (SELECT lower(n_name) FROM nation UNION ALL SELECT 'uk') THEN 'Valid Domain'
+ ELSE 'Unknown TLD'""",
+        "customer",
+    )
+)
+def validate_email_suffix_table(spark, sf_dir):
+    """Suffixes as a table: the nations' names and uk."""
+    nation = _table(spark, sf_dir, "nation")
+    suffixes = nation.select(F.lower("n_name").alias("suffix"))
+    suffixes = suffixes.unionAll(nation.limit(1).select(F.lit("uk").alias("suffix")))
+    return ss.validate_email(_addresses(spark, sf_dir), "email", suffixes=suffixes)
+
+
 @_query(
     _sql_verdict(
         "c_custkey",
@@ -350,9 +441,9 @@ def validate_email(spark, sf_dir):
         _SQL_EMAIL
         + r"""
  WHEN email LIKE '%@gmail.com' THEN 'Valid Common Domain'
- WHEN split_part(email, '@', 2) IN (SELECT 'dept.uni' || n_nationkey || '.edu' FROM nation WHERE n_regionkey = 1)
+ WHEN split_part(email, '@', 2) IN (SELECT 'dept.uni' || n_nationkey || '.edu' FROM nation)
       THEN 'Blocked Domain'
- WHEN split_part(email, '@', 2) IN ('dept.uni0.edu', 'dept.uni5.edu') THEN 'Allowed Domain'
+ WHEN split_part(email, '@', 2) IN ('shop.co.uk', 'dept.uni5.edu') THEN 'Allowed Domain'
  WHEN email LIKE '%.edu' THEN 'Valid Educational Institution'
  WHEN email LIKE '%.com' THEN 'Valid Commercial'
  WHEN email LIKE '%.co.uk' THEN 'Valid Domain' ELSE 'Unknown TLD'""",
@@ -361,9 +452,9 @@ def validate_email(spark, sf_dir):
 )
 def validate_email_lists(spark, sf_dir):
     """Block list as a table, allow list as a collection, suffixes as a collection."""
-    nation = _table(spark, sf_dir, "nation").where("n_regionkey = 1")
+    nation = _table(spark, sf_dir, "nation")
     blocked = nation.select(F.concat(F.lit("dept.uni"), "n_nationkey", F.lit(".edu")).alias("domain"))
-    rules = ss.DomainRules(allowed=("dept.uni0.edu", "dept.uni5.edu"), suffixes=("com", "co.uk"))
+    rules = ss.DomainRules(allowed=("shop.co.uk", "dept.uni5.edu"), suffixes=("com", "co.uk"))
     return ss.validate_email(_addresses(spark, sf_dir), "email", rules=rules, blocked=blocked)
 
 
@@ -378,22 +469,27 @@ def check_email_address(spark, sf_dir):
     return ss.check_email_address(_addresses(spark, sf_dir), "email")
 
 
-_PHONE = "regexp_extract(text, '[+]?[0-9][-0-9 ().]{4,}[0-9]', 0)"
+_PHONE = "'[+]?[0-9][-0-9 ().]{4,}[0-9]'"
 
 
 @_query(
     _sql_verdict(
-        "doc_id",
+        "doc_id, nth",
+        "phone",
         "phone",
-        _PHONE,
         rf"""WHEN length(regexp_replace(phone, '\D', '', 'g')) NOT BETWEEN 7 AND 15 THEN 'Invalid Length'
  WHEN NOT regexp_full_match(phone, '\+?[0-9{WS_CLASS}()-]{{7,20}}') THEN 'Invalid Format' ELSE 'Valid'""",
-        "documents",
+        f"""(SELECT doc_id, n AS nth, runs[n] AS phone
+              FROM (SELECT doc_id, regexp_extract_all(text, {_PHONE}) AS runs FROM documents),
+                   LATERAL (SELECT unnest(range(1, len(runs) + 1)) AS n))""",
     )
 )
 def validate_phone(spark, sf_dir):
-    documents = _table(spark, sf_dir, "documents")
-    return ss.validate_phone(documents.select("doc_id", F.expr(_PHONE).alias("phone")), "phone")
+    """Every run of figures in every text."""
+    runs = F.posexplode(F.expr(f"regexp_extract_all(text, {_PHONE}, 0)")).alias("at", "phone")
+    found = _table(spark, sf_dir, "documents").select("doc_id", runs)
+    found = found.select("doc_id", (F.col("at") + 1).cast("bigint").alias("nth"), "phone")
+    return ss.validate_phone(found, "phone")
 
 
 # Order dates in the layout of the order's status; the last digit group is out of range for some.
@@ -419,6 +515,52 @@ def validate_date(spark, sf_dir):
     return ss.validate_date(orders.select("o_orderkey", day.alias("day")), "day")
 
 
+@_query("""
+SELECT event_id, ts::VARCHAR AS ts, FALSE AS ts__invalid, 'Valid' AS ts__reason
+FROM (SELECT event_id, ts FROM events WHERE ts IS NOT NULL)
+UNION ALL SELECT event_id, '', TRUE, 'Empty' FROM events WHERE ts IS NULL""")
+def validate_timestamps(spark, sf_dir):
+    """A timestamp column, which the library turns into text itself."""
+    return ss.validate_date(_table(spark, sf_dir, "events").select("event_id", "ts"), "ts")
+
+
+# Written dates: ordinals, short months with a point, days of the week, month and year alone.
+_WRITTEN = """CASE o_orderkey % 6
+  WHEN 0 THEN strftime(o_orderdate, '%-d') || CASE day(o_orderdate) WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd'
+              ELSE 'th' END || strftime(o_orderdate, ' %B %Y')
+  WHEN 1 THEN strftime(o_orderdate, '%b. %-d, %Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m')
+  WHEN 3 THEN strftime(o_orderdate, '%-d %b, %Y') WHEN 4 THEN strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S')
+  ELSE strftime(o_orderdate, '%B %Yth') END"""
+
+
+@_query(
+    _sql_verdict(
+        "o_orderkey",
+        "day",
+        _WRITTEN,
+        "WHEN day LIKE '%th' AND day NOT LIKE '% %th %' THEN 'Invalid Format' ELSE 'Valid'",
+        "orders",
+    )
+)
+def validate_written_dates(spark, sf_dir):
+    date, day = F.col("o_orderdate"), F.dayofmonth("o_orderdate")
+    ending = F.when(day == 1, "st").when(day == 2, "nd").when(day == 3, "rd").otherwise("th")
+
+    def shown(layout):
+        return F.date_format(date, layout)
+
+    kind = F.col("o_orderkey") % 6
+    text = (
+        F.when(kind == 0, F.concat(shown("d"), ending, shown(" MMMM yyyy")))
+        .when(kind == 1, shown("MMM. d, yyyy"))
+        .when(kind == 2, shown("yyyy-MM"))
+        .when(kind == 3, shown("d MMM, yyyy"))
+        .when(kind == 4, shown("E, dd MMM yyyy HH:mm:ss"))
+        .otherwise(F.concat(shown("MMMM yyyy"), F.lit("th")))
+    )
+    return ss.validate_date(_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("day")), "day")
+
+
 _MEASURE = """CASE event_type WHEN 'view' THEN value::VARCHAR WHEN 'click' THEN '1_' || event_id || 'e-2'
   WHEN 'error' THEN 'E' || event_id WHEN 'signup' THEN ' ' ELSE '1__' || event_id END"""
 
@@ -470,27 +612,43 @@ def validate_url(spark, sf_dir):
 
 def _validated_parts(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
-    kinds = {"p_name": "alphanumeric", "p_brand": "alphanumeric", "p_size": "numeric", "p_type": "url"}
-    for col, kind in kinds.items():
+    for col, kind in _PART_KINDS.items():
         part = ss.validate(part, col, kind)
     return part
 
 
-@_query("""
-SELECT 'p_name' AS "column", count(*) FILTER (regexp_full_match(p_name, '[a-z ]+')) AS valid, count(*) AS total,
-       count(*) FILTER (regexp_full_match(p_name, '[a-z ]+')) * 100.0::DOUBLE / count(*) AS rate FROM part
-UNION ALL SELECT 'p_brand', 0, count(*), 0.0 FROM part
-UNION ALL SELECT 'p_size', count(*), count(*), 100.0 FROM part
-UNION ALL SELECT 'p_type', 0, count(*), 0.0 FROM part""")
+def _sql_part_reason(column: str, kind: str) -> str:
+    """Reason of a cell of the part table, by the kind of check."""
+    good = {
+        "alphanumeric": f"regexp_full_match({column}, '[\\p{{L}}{WS_CLASS}]+')",
+        "numeric": f"regexp_full_match({column}::VARCHAR, '[+-]?[0-9]+(\\.[0-9]*)?')",
+        "url": f"regexp_matches({column}, '^(?i:https?)://[^/?#]')",
+    }[kind]
+    bad = "Invalid Character" if kind == "alphanumeric" else "Invalid Format"
+    return f"""SELECT '{column}' AS "column", CASE WHEN {column} IS NULL OR trim({column}::VARCHAR, '{WS}') = '' THEN 'Empty'
+ WHEN {good} THEN 'Valid' ELSE '{bad}' END AS reason,
+ count(*) OVER (PARTITION BY {column}) > 1 AS dup FROM part"""
+
+
+_PART_KINDS = {"p_name": "alphanumeric", "p_brand": "alphanumeric", "p_size": "numeric", "p_type": "url"}
+_PART_CELLS = "\nUNION ALL ".join(_sql_part_reason(c, k) for c, k in _PART_KINDS.items())
+
+
+@_query(f"""
+SELECT "column", count(*) FILTER (reason = 'Valid') AS valid, count(*) AS total,
+       count(*) FILTER (reason = 'Valid') * 100.0::DOUBLE / count(*) AS rate,
+       CASE WHEN "column" = 'p_brand' THEN count(*) FILTER (dup) END AS duplicates, NULL::BIGINT AS modified
+FROM ({_PART_CELLS}) GROUP BY 1
+UNION ALL
+SELECT 'p_retailprice', NULL, count(*), NULL, NULL, count(*) FILTER (p_retailprice IS NULL) FROM part""")
 def validation_summary(spark, sf_dir):
-    return ss.validation_summary(_validated_parts(spark, sf_dir))
+    """Valid, duplicate and changed cells per column."""
+    part = ss.mark_duplicates(_validated_parts(spark, sf_dir), "p_brand")
+    return ss.validation_summary(ss.fill_missing(part, "p_retailprice", 0, flags=True))
 
 
-@_query("""
-SELECT 'p_name' AS "column", 'Valid' AS reason, count(*) AS cells FROM part
-UNION ALL SELECT 'p_brand', 'Invalid Character', count(*) FROM part
-UNION ALL SELECT 'p_size', 'Valid', count(*) FROM part
-UNION ALL SELECT 'p_type', 'Invalid Format', count(*) FROM part""")
+@_query(f"""
+SELECT "column", reason, count(*) AS cells FROM ({_PART_CELLS}) GROUP BY 1, 2""")
 def reason_counts(spark, sf_dir):
     return ss.reason_counts(_validated_parts(spark, sf_dir))
 
@@ -519,14 +677,44 @@ def mark_duplicates(spark, sf_dir):
 
 
 @_query("""
-WITH pool AS (SELECT o_orderkey::VARCHAR AS v FROM orders UNION ALL SELECT o_custkey::VARCHAR FROM orders),
+WITH pool AS (SELECT o_orderkey::VARCHAR AS v FROM orders UNION ALL SELECT o_custkey::VARCHAR FROM orders
+              UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT o_orderdate::VARCHAR FROM orders),
      dup AS (SELECT v FROM pool GROUP BY v HAVING count(*) > 1)
-SELECT o_orderkey, o_custkey, o_orderkey::VARCHAR IN (SELECT v FROM dup) AS o_orderkey__duplicate,
-       o_custkey::VARCHAR IN (SELECT v FROM dup) AS o_custkey__duplicate
+SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate::VARCHAR AS o_orderdate,
+       o_orderkey::VARCHAR IN (SELECT v FROM dup) AS o_orderkey__duplicate,
+       o_custkey::VARCHAR IN (SELECT v FROM dup) AS o_custkey__duplicate,
+       o_orderpriority IN (SELECT v FROM dup) AS o_orderpriority__duplicate,
+       o_orderdate::VARCHAR IN (SELECT v FROM dup) AS o_orderdate__duplicate
 FROM orders""")
 def mark_duplicates_pooled(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return ss.mark_duplicates(orders, ["o_orderkey", "o_custkey"])
+    """Numbers, text and timestamps in one pool."""
+    cols = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"]
+    marked = ss.mark_duplicates(_table(spark, sf_dir, "orders").select(*cols), cols)
+    return marked.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@_query("""
+SELECT doc_id, quality, toxic, CASE quality WHEN 1 THEN 'y' ELSE 'n' END AS quality__duplicate,
+       'as given' AS toxic__reason, count(*) OVER (PARTITION BY toxic) > 1 AS toxic__duplicate
+FROM labels""")
+def marks_beside_own_columns(spark, sf_dir):
+    """The user's columns that are called like marks stay what they are, through marking and writing."""
+    own = F.when(F.col("quality") == 1, "y").otherwise("n")
+    labels = _table(spark, sf_dir, "labels").withColumns({"quality__duplicate": own, "toxic__reason": F.lit("as given")})
+    path = _new_folder(spark)
+    ss.write_table(ss.mark_duplicates(labels, "toxic"), path, "parquet", keep_marks=True)
+    return ss.read_table(spark, path, "parquet")
+
+
+@_query("""
+SELECT 'quality__duplicate' AS "column", 'string' AS type, count(DISTINCT quality) AS distinct_values,
+       FALSE AS has_missing, 18 AS max_width FROM labels
+UNION ALL SELECT 'toxic', 'int', count(DISTINCT toxic), FALSE, 5 FROM labels""")
+def profile_beside_marks(spark, sf_dir):
+    """Marks are left out of a profile, the user's column of such a name is not."""
+    own = F.when(F.col("quality") == 1, "y").otherwise("n")
+    labels = _table(spark, sf_dir, "labels").select("toxic", own.alias("quality__duplicate"))
+    return ss.profile(ss.mark_duplicates(labels, "toxic"))
 
 
 @_query("""
@@ -537,12 +725,12 @@ def remove_duplicates(spark, sf_dir):
 
 
 @_query("""
-SELECT event_id, user_id, event_type, value, props
+SELECT event_id, ts::VARCHAR AS ts, user_id, event_type, value, props
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)
 WHERE n = 1""")
 def remove_duplicates_by_two(spark, sf_dir):
-    events = _table(spark, sf_dir, "events").drop("ts")
-    return ss.remove_duplicates(events, ["user_id", "event_type"], order_by="event_id")
+    first = ss.remove_duplicates(_table(spark, sf_dir, "events"), ["user_id", "event_type"], order_by="event_id")
+    return first.withColumn("ts", F.col("ts").cast("string"))
 
 
 @_query("""
@@ -586,7 +774,15 @@ def slice_head(spark, sf_dir):
 SELECT {', '.join(_ORDER_COLUMNS)} FROM orders ORDER BY o_orderkey
 LIMIT 1000 OFFSET (SELECT (count(*) - 1000) // 2 FROM orders)""")
 def slice_middle(spark, sf_dir):
-    return ss.slice_rows(_orders(spark, sf_dir), "middle", order_by="o_orderkey")
+    """Without slack, so that small tables are narrowed down as large ones are."""
+    return ss.slice_rows(_orders(spark, sf_dir), "middle", order_by="o_orderkey", slack=0)
+
+
+@_query(f"""
+SELECT {', '.join(_ORDER_COLUMNS)} FROM orders ORDER BY o_orderpriority, o_orderkey
+LIMIT 1000 OFFSET (SELECT (count(*) - 1000) // 2 FROM orders)""")
+def slice_middle_two_keys(spark, sf_dir):
+    return ss.slice_rows(_orders(spark, sf_dir), "middle", order_by=["o_orderpriority", "o_orderkey"], slack=0)
 
 
 @_query(f"SELECT {', '.join(_ORDER_COLUMNS)} FROM orders ORDER BY o_orderkey DESC LIMIT 1000")
@@ -611,9 +807,47 @@ def profile(spark, sf_dir):
     return ss.profile(documents.join(labels, "doc_id", "left"), [c for c, _ in _PROFILED])
 
 
-@_query()
+@_query("""
+SELECT column_name AS "column", TRUE AS close, TRUE AS same_otherwise
+FROM (DESCRIBE SELECT * FROM lineitem)""")
 def profile_approx(spark, sf_dir):
-    return ss.profile(_table(spark, sf_dir, "lineitem"), approx=True)
+    """Is each estimate within 15 % (three times its error) of the exact count, and all else as counted?"""
+    lines = _table(spark, sf_dir, "lineitem")
+    exact, rough = ss.profile(lines).alias("e"), ss.profile(lines, approx=True).alias("r")
+    off = F.abs(F.col("r.distinct_values") - F.col("e.distinct_values"))
+    others = ["type", "has_missing", "max_width"]
+    same = F.struct(*[F.col(f"e.{c}") for c in others]) == F.struct(*[F.col(f"r.{c}") for c in others])
+    return exact.join(rough, F.col("e.column") == F.col("r.column")).select(
+        F.col("e.column").alias("column"),
+        (off <= 0.15 * F.col("e.distinct_values")).alias("close"),
+        same.alias("same_otherwise"),
+    )
+
+
+@_query("""
+SELECT 'vec_id' AS "column", 'bigint' AS type, count(DISTINCT vec_id) AS distinct_values, FALSE AS has_missing,
+       greatest(max(length(vec_id::VARCHAR)), 6) AS max_width FROM embeddings
+UNION ALL SELECT 'embedding', 'array<float>', count(DISTINCT embedding), FALSE, -1 FROM embeddings
+UNION ALL SELECT 'label', 'int', count(DISTINCT label), FALSE, 5 FROM embeddings""")
+def profile_nested(spark, sf_dir):
+    """Nested values are counted; how wide they are shown depends on the spelling of their numbers."""
+    found = ss.profile(_table(spark, sf_dir, "embeddings"))
+    width = F.when(F.col("column") == "embedding", F.lit(-1)).otherwise(F.col("max_width"))
+    return found.withColumn("max_width", width.cast("bigint"))
+
+
+@_query("SELECT count(*) AS n FROM lineitem")
+def count_rows(spark, sf_dir):
+    """The count, as a table."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return lines.agg(F.first(F.lit(ss.count_rows(lines))).alias("n"))
+
+
+@_query("SELECT r_regionkey, r_name, r_name AS r_name_1 FROM region")
+def unique_name(spark, sf_dir):
+    """A name that is taken gets a number."""
+    region = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return region.withColumn(first_free_name(region, "r_name"), F.col("r_name"))
 
 
 @_query("""
@@ -643,12 +877,13 @@ _FLAGSHIP = ss.Recipe(
 
 @_query(f"""
 SELECT o_orderkey, {_sql_mask('o_custkey::VARCHAR')} AS o_custkey, o_orderstatus,
-       round_even(o_totalprice, 0) AS o_totalprice,
+       round_even(o_totalprice, 0) AS o_totalprice, o_orderdate::VARCHAR AS o_orderdate,
        split_part(upper(trim(o_orderpriority)), '-', 1) AS o_orderpriority_part1,
        split_part(upper(trim(o_orderpriority)), '-', 2) AS o_orderpriority_part2
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1""")
 def recipe_flagship(spark, sf_dir):
-    return _FLAGSHIP.apply(_table(spark, sf_dir, "orders").drop("o_orderdate"))
+    cleaned = _FLAGSHIP.apply(_table(spark, sf_dir, "orders"))
+    return cleaned.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 CELL_RECIPE = ss.Recipe(
@@ -672,21 +907,54 @@ CELL_RECIPE = ss.Recipe(
 @_query(f"""
 SELECT l_orderkey, {_sql_mask('l_partkey::VARCHAR')} AS l_partkey, l_suppkey, l_linenumber, l_quantity,
        round_even(l_extendedprice * 10, 0) / 10 AS l_extendedprice, l_discount, l_tax * 100.0::DOUBLE AS l_tax,
-       l_returnflag, lower(l_linestatus) AS l_linestatus, l_orderkey || '/' || l_linenumber AS line,
+       l_returnflag, lower(l_linestatus) AS l_linestatus, l_shipdate::VARCHAR AS l_shipdate,
+       l_orderkey || '/' || l_linenumber AS line,
        right(l_orderkey::VARCHAR, 1) AS last_digit,
        round_even(round_even(l_extendedprice * 10, 0) / 10 / l_quantity * 100, 0) / 100 AS unit_price
 FROM lineitem""")
 def recipe_cells(spark, sf_dir):
-    return CELL_RECIPE.apply(_table(spark, sf_dir, "lineitem").drop("l_shipdate"))
+    cleaned = CELL_RECIPE.apply(_table(spark, sf_dir, "lineitem"))
+    return cleaned.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+
+
+@_query(
+    _sql_verdict(
+        "c_custkey",
+        "email",
+        _ADDRESS,
+        _SQL_EMAIL
+        + r"""
+ WHEN email LIKE '%@gmail.com' THEN 'Valid Common Domain'
+ WHEN split_part(email, '@', 2) IN ('dept.uni3.edu', 'home.com') THEN 'Blocked Domain'
+ WHEN split_part(email, '@', 2) IN (SELECT 'dept.uni' || n_nationkey || '.edu' FROM nation) THEN 'Allowed Domain'
+ WHEN email LIKE '%.edu' THEN 'Valid Educational Institution'
+ WHEN email LIKE '%.com' THEN 'Valid Commercial'
+ WHEN email LIKE '%.co.uk' THEN 'Valid Domain' ELSE 'Unknown TLD'""",
+        "customer",
+    )
+)
+def recipe_email_lists(spark, sf_dir):
+    """Block and suffix lists inside the recipe, the allow list in a file, saved as JSON and read back."""
+    path = _new_folder(spark)
+    nation = _table(spark, sf_dir, "nation")
+    nation.select(F.concat(F.lit("dept.uni"), "n_nationkey", F.lit(".edu")).alias("value")).write.text(path)
+    check = {"key": "op_validate_email", "column": "email", "allowed": path}
+    check |= {"blocked": ["dept.uni3.edu", "home.com"], "suffixes": ["com", "co.uk"]}
+    recipe = ss.Recipe.from_json(ss.Recipe([check]).to_json())
+    return recipe.apply(_addresses(spark, sf_dir))
 
 
 @_query("""
-SELECT c_custkey, upper(replace(c_name, '#', '')) AS c_name, TRUE AS c_name__modified
-FROM customer ORDER BY c_custkey LIMIT 1000""")
+WITH few AS (SELECT c_custkey, upper(c_name) AS c_name FROM customer ORDER BY c_custkey LIMIT 1000)
+SELECT c_custkey, 'before' AS half, c_name, NULL::BOOLEAN AS c_name__modified FROM few
+UNION ALL SELECT c_custkey, 'after', replace(c_name, '#', ''), contains(c_name, '#') FROM few""")
 def preview(spark, sf_dir):
+    """Both halves of a preview."""
     customer = _table(spark, sf_dir, "customer").select("c_custkey", F.upper("c_name").alias("c_name"))
     operation = {"key": "op_remove_specific", "column": "c_name", "chars_to_remove": "#"}
-    return ss.preview(customer, operation, order_by="c_custkey")[1]
+    before, after = ss.preview(customer, operation, order_by="c_custkey")
+    before = before.select("c_custkey", F.lit("before").alias("half"), "c_name", F.lit(None).cast("boolean").alias("c_name__modified"))
+    return before.unionAll(after.select("c_custkey", F.lit("after"), "c_name", "c_name__modified"))
 
 
 # ---------------------------------------------------------------- sources, sinks, streams
@@ -706,7 +974,32 @@ def csv_quoted_text(spark, sf_dir):
     path = _new_folder(spark)
     documents = _table(spark, sf_dir, "documents")
     ss.write_table(documents, path, "csv")
-    return ss.read_table(spark, path, "csv", schema=documents.schema, multi_line=True, missing_tokens=())
+    return ss.read_table(spark, path, "csv", schema=documents.schema, missing_tokens=())
+
+
+@_query("SELECT o_orderkey, '1234567890123' || lpad(o_orderkey::VARCHAR, 12, '0') AS id FROM orders")
+def csv_big_ids(spark, sf_dir):
+    """Ids of 25 digits stay what they are through CSV."""
+    path = _new_folder(spark)
+    padded = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    ids = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("1234567890123"), padded).alias("id"))
+    ss.write_table(ids, path, "csv")
+    return ss.read_table(spark, path, "csv")
+
+
+@_query("""
+SELECT n_nationkey || ',"a ""b"", c",' || n_name || ',lost' AS line, 4 AS cells FROM nation WHERE n_regionkey >= 2""")
+def csv_ragged_report(spark, sf_dir):
+    """Lines with more cells than the header; the nations of three regions have some."""
+    path = _new_folder(spark)
+    end = F.when(F.col("n_regionkey") >= 2, ",lost").otherwise("")
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(',"a ""b"", c",'), "n_name", end)
+    nation = _table(spark, sf_dir, "nation")
+    # The one file begins with its header.
+    header = nation.agg(F.lit("key,quoted,name").alias("value"))
+    rows = nation.select(line.alias("value"))
+    header.unionAll(rows).coalesce(1).write.text(path)
+    return ss.bad_lines(spark, path).select("line", "cells")
 
 
 @_query("SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -742,20 +1035,48 @@ def _event_stream(spark, sf_dir):
 
 
 @_query("""
-SELECT event_id, user_id, upper(event_type) AS event_type, round_even(value * 10, 0) / 10 AS value,
-       regexp_replace(props, '[^0-9.-]', '', 'g') AS props, FALSE AS props__invalid, 'Valid' AS props__reason
-FROM events""")
+SELECT event_id, ts::VARCHAR AS ts, user_id, event_type, value, props, reason <> 'Valid' AS props__invalid,
+       reason AS props__reason
+FROM (SELECT *, CASE WHEN props IS NULL OR props = '' THEN 'Empty'
+                     WHEN regexp_full_match(props, '-?[0-9]+([.][0-9]*)?') THEN 'Valid' ELSE 'Invalid Format' END AS reason
+      FROM (SELECT event_id, ts, user_id, upper(event_type) AS event_type, round_even(value * 10, 0) / 10 AS value,
+                   coalesce(regexp_replace(props, '[^0-9.-]', '', 'g'), '') AS props FROM events))""")
 def stream_recipe(spark, sf_dir):
-    return _drain(apply_recipe(_event_stream(spark, sf_dir).drop("ts"), _STREAM_RECIPE))
+    cleaned = apply_recipe(_event_stream(spark, sf_dir), _STREAM_RECIPE)
+    return _drain(cleaned.withColumn("ts", F.col("ts").cast("string")))
 
 
-@_query("SELECT DISTINCT user_id, event_type FROM events")
+@_query("""
+SELECT user_id, event_type, TRUE AS is_a_row, count(*) AS rows_of_it
+FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2""")
 def stream_drop_duplicates(spark, sf_dir):
-    """The span is longer than the table, so one row per user and type arrives first."""
+    """The span is longer than the table, so one row per user and type arrives first: which one depends on the
+    order of arrival, but it is a row of the table, with its own id, time and value."""
     stream = drop_duplicates(
         _event_stream(spark, sf_dir), ["user_id", "event_type"], event_time="ts", within="3650 days"
     )
-    return _drain(stream.select("user_id", "event_type"))
+    found, events = _drain(stream), _table(spark, sf_dir, "events")
+    cells = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    same = [found[c].eqNullSafe(events[c]) for c in cells]
+    joined = found.join(events, same[0] & same[1] & same[2] & same[3] & same[4] & same[5], "left")
+    hit = events["event_id"].isNotNull()
+    return joined.groupBy(found["user_id"], found["event_type"]).agg(
+        F.bool_and(hit).alias("is_a_row"), F.count(F.lit(1)).alias("rows_of_it")
+    )
+
+
+@_query("""
+SELECT c_custkey, c_name, c_nationkey, c_acctbal,
+       CASE WHEN c_mktsegment IN ('NA', '') THEN NULL ELSE c_mktsegment END AS c_mktsegment
+FROM (SELECT c_custkey, c_name, c_nationkey, c_acctbal,
+             CASE WHEN c_mktsegment = 'BUILDING' THEN 'NA' ELSE c_mktsegment END AS c_mktsegment FROM customer)""")
+def stream_csv(spark, sf_dir):
+    """CSV as a stream: missing tokens and number spellings as in batch."""
+    path = _new_folder(spark)
+    customer = _table(spark, sf_dir, "customer")
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", "NA").otherwise(F.col("c_mktsegment"))
+    ss.write_table(customer.withColumn("c_mktsegment", segment), path, "csv")
+    return _drain(read_stream(spark, path, "csv", customer.schema))
 
 
 # ---------------------------------------------------------------- the contract
@@ -763,12 +1084,21 @@ def stream_drop_duplicates(spark, sf_dir):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Orders cleaned by a recipe that keeps the first order of each customer."""
+    use_own_folder(spark)
     return recipe_flagship(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator: ``(spark, sf_dir) -> DataFrame``."""
-    found = dict(_QUERIES)
+
+    def ready(run):
+        def with_folder(spark, sf_dir):
+            use_own_folder(spark)
+            return run(spark, sf_dir)
+
+        return with_folder
+
+    found = {name: ready(run) for name, run in _QUERIES.items()}
     if _corpus is not None:
         found |= _corpus.QUERIES
     if _pipeline is not None:

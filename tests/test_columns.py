@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import sparkscrub as ss
 
@@ -192,3 +193,21 @@ def test_unique_name(spark):
     df = spark.createDataFrame([(1, 2)], "A int, a_1 int")
     assert ss.unique_name(df, "a") == "a_2"
     assert ss.unique_name(df, "b") == "b"
+
+
+def test_decimals_stay_exact(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(Decimal("12345678901234567890.125"), 2), (None, 3)], "a decimal(38,3), b int")
+    rounded = ss.round_numbers(df, "a", 2)
+    assert rounded.schema["a"].dataType.simpleString() == "decimal(38,3)"
+    assert [r.a for r in rounded.collect()] == [Decimal("12345678901234567890.120"), None]
+    assert ss.round_numbers(df, "a", 3).first().a == Decimal("12345678901234567890.125")
+    more = ss.calculate_constant(df, "a", "+", 0.1)
+    assert more.first().a == Decimal("12345678901234567890.225")
+    total = ss.calculated_column(df, "a", "b", "-", "c")
+    assert [r.c for r in total.collect()] == [Decimal("12345678901234567888.125"), None]
+    half = ss.calculated_column(df, "a", "b", "/", "c", decimals=1).first().c
+    assert half == Decimal("6172839450617283945.1")
+    zero = df.withColumn("b", F.lit(0))
+    assert ss.calculated_column(zero, "a", "b", "/", "c").first().c is None

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import sparkscrub as ss
@@ -19,7 +20,7 @@ def table(spark, name):
 
 
 def test_cell_recipe_is_one_stage(spark):
-    text = plan(contract.CELL_RECIPE.apply(table(spark, "lineitem").drop("l_shipdate")))
+    text = plan(contract.CELL_RECIPE.apply(table(spark, "lineitem")))
     assert "Exchange" not in text and "Python" not in text
     assert text.count("FileScan") == 1
     kinds = set(re.findall(r"^[ :+\-]*(?:\*\(\d+\) )?([A-Z]\w+)", text, re.MULTILINE))
@@ -31,7 +32,7 @@ def test_hot_methods_stay_compilable(spark):
     debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
     customer, orders = table(spark, "customer"), table(spark, "orders")
     frames = {
-        "recipe": contract.CELL_RECIPE.apply(table(spark, "lineitem").drop("l_shipdate")),
+        "recipe": contract.CELL_RECIPE.apply(table(spark, "lineitem")),
         "mask numbers": ss.mask(ss.mask(customer, "c_acctbal"), "c_nationkey"),
         "email": ss.validate_email(customer, "c_name"),
         "date": ss.validate_date(orders, "o_orderdate"),
@@ -56,10 +57,22 @@ def test_columns_are_pruned_and_filters_reach_the_scan(spark):
     assert "LessThan(o_orderkey,100)" in text
 
 
-def test_remove_duplicates_reduces_before_its_one_shuffle(spark):
+def test_remove_duplicates_leaves_unique_rows_where_they_are(spark):
     text = plan(ss.remove_duplicates(table(spark, "orders"), "o_custkey", order_by="o_orderkey"))
-    assert text.count("Exchange") == 1
-    assert "partial_min_by" in text.split("Exchange")[1]
+    assert "Union" in text and text.count("Exchange hashpartitioning") == 1
+    assert "partial_min_by" in text.split("Exchange hashpartitioning")[1]
+
+
+def test_marking_pooled_columns_scans_the_table_once(spark):
+    df = table(spark, "orders").withColumns({c: F.col("o_custkey") % 3 for c in "abc"})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for cols in (["o_custkey"], ["o_custkey", "o_orderkey", "a", "b", "c"]):
+            marked = ss.mark_duplicates(df, cols)
+            assert plan(marked).count("orders.parquet") == 1
+            assert marked.count() == df.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_small_lookups_are_broadcast(spark):

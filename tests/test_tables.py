@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sparkscrub as ss
-from sparkscrub.plans import lookup
+from sparkscrub.plans.lookup import Lookup, materialize, release_tables
 
 DUPS = [(1, "a", "b"), (2, "b", "c"), (3, None, None), (4, "d", "d"), (5, "a", "e")]
 
@@ -14,17 +14,18 @@ def dups(spark):
     return spark.createDataFrame(DUPS, "row_id long, x string, y string")
 
 
-@pytest.fixture(params=["broadcast", "shuffle", "shuffle, hot values aside"])
+@pytest.fixture(params=["broadcast", "shuffle", "shuffle, hot values spread"])
 def join_kind(request, spark):
     """Run a test once per way of joining a lookup table back."""
-    limit, rows = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), lookup.HOT_ROWS
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = {name: spark.conf.get(name) for name in names}
     if request.param != "broadcast":
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    if "hot" in request.param:
-        lookup.HOT_ROWS = 20
+        spark.conf.set(names[0], "-1")
+    # With so many tasks a value is hot that has a few rows; with one task none is.
+    spark.conf.set(names[1], "100" if "hot" in request.param else "1")
     yield request.param
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    lookup.HOT_ROWS = rows
+    for name, value in before.items():
+        spark.conf.set(name, value)
 
 
 def skewed(spark, parts=8):
@@ -117,9 +118,18 @@ def test_slices(spark, n, slack):
         assert [r.id for r in middle] == list(range(start, min(start + n, 2999)))
 
 
+@pytest.mark.parametrize("slack", [0, 100_000])
+def test_slice_refuses_shared_end_keys_at_every_size(spark, slack):
+    same = spark.range(500).select((F.col("id") * 0).alias("k"))
+    pairs = spark.range(500).select(F.floor(F.col("id") / 2).alias("k"))
+    for df in (same, pairs):
+        with pytest.raises(ValueError, match="unique"):
+            ss.slice_rows(df, "middle", 5, order_by="k", slack=slack)
+    # Keys that are shared inside of the slice only leave nothing open.
+    assert ss.slice_rows(pairs, "middle", 4, order_by="k", slack=slack).count() == 4
+
+
 def test_slice_problems(spark):
-    with pytest.raises(ValueError, match="unique"):
-        ss.slice_rows(spark.range(500).select((F.col("id") * 0).alias("k")), "middle", 5, order_by="k", slack=0)
     with pytest.raises(ValueError):
         ss.slice_rows(spark.range(5), "top", order_by="id")
     with pytest.raises(ValueError):
@@ -146,6 +156,56 @@ def test_profile(spark):
         assert rows == expected
 
 
+def test_profile_of_nested_columns(spark):
+    df = spark.createDataFrame([([1, 2], {"a": 1}), ([1, 2], {"a": 2}), (None, None)], "l array<int>, m map<string,int>")
+    for approx in (False, True):
+        rows = {r["column"]: (r.distinct_values, r.has_missing, r.max_width) for r in ss.profile(df, approx=approx).collect()}
+        assert rows == {"l": (2, True, 5), "m": (3, True, 7)}
+
+
+def test_own_columns_that_are_called_like_marks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "n", "mine"), (2, "a", "y", "own")], "k int, x string, x__duplicate string, y__reason string")
+    with pytest.raises(ValueError, match="already exists"):
+        ss.mark_duplicates(df, "x")
+    df = df.withColumnRenamed("x", "z").withColumn("y", F.lit("q"))
+    marked = ss.mark_duplicates(df, "z")
+    assert [(r.x__duplicate, r.y__reason, r.z__duplicate) for r in marked.orderBy("k").collect()] == [
+        ("n", "mine", True), ("y", "own", True),
+    ]
+    with pytest.raises(ValueError, match="already exists"):
+        ss.validate_numeric(marked, "y")
+    assert "y__reason" in {r["column"] for r in ss.profile(marked).collect()}
+    assert "z__duplicate" not in {r["column"] for r in ss.profile(marked).collect()}
+    assert ss.diff_summary(df, marked).first().added_columns == ""
+    ss.write_table(marked, str(tmp_path / "a.parquet"))
+    assert spark.read.parquet(str(tmp_path / "a.parquet")).columns == df.columns
+    ss.write_table(marked, str(tmp_path / "b.parquet"), keep_marks=True)
+    again = ss.mark_duplicates(spark.read.parquet(str(tmp_path / "b.parquet")), "z")
+    assert [r.z__duplicate for r in again.collect()] == [True, True]
+
+
+def test_marks_survive_duplicate_removal(spark, dups):
+    marked = ss.remove_duplicates(ss.mark_duplicates(dups, "x"), "y", order_by="row_id")
+    assert {r["column"] for r in ss.issue_report(marked, "row_id").collect()} == {"x"}
+
+
+def test_written_tables_are_released(spark):
+    table = materialize(spark.range(3))
+    assert table.count() == 3 and release_tables(spark) >= 1
+    with pytest.raises(Exception):
+        table.collect()
+    assert release_tables(spark) == 0
+
+
+def test_hot_values_are_fewer_than_tasks(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = spark.range(50).select("id", (F.col("id") % 2 * 1000 + 1).alias("rows"), F.lit(True).alias("x"))
+        assert len(Lookup(materialize(counts), "id", "rows").hot_keys) < 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_diff_summary(spark, dups):
     after = ss.split_delimiter(ss.remove_duplicates(dups, "x", "row_id"), "y", "|", n_parts=1)
     row = ss.diff_summary(dups, ss.upper(after, "x", flags=True)).first()
@@ -245,6 +305,30 @@ def test_failing_operation_is_named(spark):
         ss.Recipe([{"key": "op_remove_duplicates", "column": "a"}]).apply(df)
 
 
+def test_recipe_carries_validator_options(spark, tmp_path):
+    (tmp_path / "blocked.txt").write_text("bad.com\n")
+    steps = [
+        {"key": "op_validate_email", "column": "e", "suffixes": ["co.uk"], "blocked": str(tmp_path / "blocked.txt"),
+         "allowed": ["ok.zz"], "as_text": False},
+        {"key": "op_validate_date", "column": "d", "formats": ["yyyy/MM"]},
+        {"key": "op_validate_alphanumeric", "column": "a", "allow_digits": True, "skip_header_cells": False},
+        {"key": "op_concatenate", "cols_to_concat": ["a", "d"], "new_col_name": "a", "separator": "-", "overwrite": True},
+        {"key": "op_mask", "column": "k", "normalize_ints": False},
+    ]
+    recipe = ss.Recipe.from_json(ss.Recipe(steps).to_json())
+    df = spark.createDataFrame(
+        [("x@a.co.uk", "2024/01", "a1", "1"), ("x@bad.com", "2024-01", "a", "2"), ("x@ok.zz", None, "?", "3")],
+        "e string, d string, a string, k string",
+    )
+    out = recipe.apply(df).orderBy("e").collect()
+    assert [r.e__reason for r in out] == ["Valid Domain", "Blocked Domain", "Allowed Domain"]
+    assert [r.d__reason for r in out] == ["Valid", "Invalid Format", "Empty"]
+    assert [r.a__reason for r in out] == ["Valid", "Valid", "Invalid Character"]
+    for bad in ({"key": "op_validate_email", "column": "e", "rules": 1}, {"key": "op_trim", "column": "a", "formats": []}):
+        with pytest.raises(ValueError):
+            ss.Recipe([bad])
+
+
 def test_preview(spark):
     df = spark.range(50).select("id", F.concat(F.lit(" "), F.col("id").cast("string")).alias("t"))
     before, after = ss.preview(df, {"key": "op_trim", "column": "t"}, 3, order_by="id")
