@@ -83,10 +83,11 @@ class Model:
             text = texts[language]
             numbers = classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
             step = suffix_automaton(numbers, self.width).astype(np.int64)
-            # Where nothing goes on, the phrase ends and the next begins with this letter (a letter that the
-            # language never has is a phrase of its own and leads back to the start).
+            # Where nothing goes on, the phrase (unless it is empty) ends and the next begins with this letter;
+            # a letter that the language never has is a phrase of its own and leads back to the start.
             again = np.maximum(step[0], 0)[None, :]
-            table = np.where(step >= 0, step * self.width * 2, again * self.width * 2 + 1)
+            ended = (np.arange(len(step)) > 0).astype(np.int64)[:, None] + (step[0] < 0)[None, :]
+            table = np.where(step >= 0, step * self.width * 4, again * self.width * 4 + ended)
             self.tables.append(table.astype(np.int32).ravel())
             self.bits.append(np.log2(max(2, len(text))))
 
@@ -118,11 +119,11 @@ class Model:
             letter = letters[start[:n] + at]
             for table, state, end in zip(self.tables, states, ends, strict=True):
                 found = table.take(state[:n] + letter)
-                end[:n] += found & 1
-                state[:n] = found >> 1
-        for k, end in enumerate(ends):
+                end[:n] += found & 3
+                state[:n] = found >> 2
+        for k, (end, state) in enumerate(zip(ends, states, strict=True)):
             # The phrase that the block's edge ends counts too.
-            out[k] = np.bincount(owner, weights=end + 1, minlength=len(sizes)).astype(np.int64)
+            out[k] = np.bincount(owner, weights=end + (state > 0), minlength=len(sizes)).astype(np.int64)
         return out
 
 
