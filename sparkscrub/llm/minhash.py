@@ -86,7 +86,7 @@ def _same_signature(coordinates: int, matches: int, percent: int):
             i, j = np.nonzero(same & (100 * low >= percent * high))
             pairs = np.stack([rows[i], two[j]], axis=1)
             found.append(pairs[pairs[:, 0] != pairs[:, 1]])
-        return _stars(rep, np.concatenate(found))
+        return _stars(rep, np.concatenate(found)) if found else []
 
     return work
 
@@ -132,7 +132,7 @@ def _same_sets(percent: int):
             i, j = np.nonzero(100 * inter >= percent * union)
             pairs = np.stack([one[k + i], two[j]], axis=1)
             found.append(pairs[pairs[:, 0] != pairs[:, 1]])
-        return _stars(rep, np.concatenate(found))
+        return _stars(rep, np.concatenate(found)) if found else []
 
     return work
 

@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -69,10 +70,10 @@ def _cutoffs(rows, labels, limit=0.05, delta=0.05, price=4.0):
         n, poor = sum(y == 1 for _, y in held), sum(y != 1 for _, y in held)
         for rule, (top, bottom, steps, last) in quality_rules.RULES.items():
             bins = [(min(last, math.floor(r[top] * steps / max(r[bottom], 1))), y) for r, y in held]
-            p, best = limit / len(quality_rules.RULES), None
+            p, best = Fraction(limit / len(quality_rules.RULES)), None
             for b in range(last, 0, -1):
                 k = sum(y == 1 and x >= b for x, y in bins)
-                tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+                tail = float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
                 if k > n * p or tail * len(strata) * len(quality_rules.RULES) > delta:
                     break
                 gain = sum(y != 1 and x >= b for x, y in bins) / max(poor, 1) - price * k / max(n, 1)

@@ -80,7 +80,7 @@ def test_odd_rows(spark, odd, none, no_labels):
 
 
 def test_evidence_names_the_examples(spark):
-    texts = [(i, f"fine text number {i}" if i % 4 else f"some idiot wrote {i}") for i in range(400)]
+    texts = [(i, f"fine text number {i}" if i % 4 else f"{chr(97 + i % 26) * 3} idiot wrote {i}") for i in range(400)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, F.lit(True))
