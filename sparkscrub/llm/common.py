@@ -109,33 +109,37 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b`` longs): rows ``node``, ``root`` = smallest node reachable.
 
     Alternating star contraction: every round points each node's larger neighbours, then its smaller
-    ones, at its smallest neighbour, until the edges are stars. Only sums reach the driver.
+    ones, at its smallest neighbour, until the edges are stars. Only sums reach the driver. A table with one
+    row per node is broadcast while the counted edges bound its size; beyond that it is written first, so
+    that Spark can split the join of a node with many neighbours.
     """
+
+    def counted(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    def per_node(df: DataFrame, part: str) -> DataFrame:
+        return F.broadcast(df) if 64 * last[0] <= SMALL_BYTES else scratch.save(df, f"{name}_{part}{done}")
+
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = scratch.save(e, f"{name}_edges0")
-    last, done = None, 0
-    while True:
+    last, done = counted(e), 0
+    while last[0]:
+        files = 1 + last[0] // 200_000  # a file for each so many edges
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
-            both.join(least, "a")
-            .where("b > a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        stars = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
-            least.select("a", F.col("m").alias("b"))
-        )
+        least = per_node(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = scratch.save(large.where("a <> b").distinct().coalesce(files), f"{name}_large{done}")
+        lower = per_node(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        stars = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = stars.unionAll(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         done += 1
-        new = scratch.save(stars.where("a <> b").distinct(), f"{name}_edges{done}")
-        mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}_edges{done - 1}")
-        if mark == last:
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        e, last = new, mark
+        e = scratch.save(stars.coalesce(files), f"{name}_edges{done}")
+        now = counted(e)
+        scratch.drop(f"{name}_edges{done - 1}", f"{name}_large{done - 1}")
+        if now == last:
+            break
+        last = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 #: Above this many bytes a written table is joined by shuffle instead of broadcast.

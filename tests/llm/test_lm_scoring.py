@@ -50,7 +50,7 @@ def test_gradients_against_differences():
         into = w.parts["embed"] @ w.parts["into"] + w.parts["bias"]
         for t in range(6):
             state = np.where((inputs[t] == recurrent.END)[:, None], 0, state)
-            state = recurrent._step(w.parts, into[inputs[t]], state, 4)[4]
+            state = recurrent._step(w.parts, into[inputs[t]], state, 4)[3]
             total.append(recurrent.log_probability(w, state, targets[t]))
         return -np.mean(total)
 
@@ -77,7 +77,7 @@ def test_state_is_carried_through_whole_texts(window):
     for text, value in zip(texts, found, strict=True):
         h, last, total = np.zeros((1, 6), np.float32), recurrent.END, 0.0
         for token in text:
-            h = recurrent._step(w.parts, into[[last]], h, 6)[4]
+            h = recurrent._step(w.parts, into[[last]], h, 6)[3]
             total += recurrent.log_probability(w, h, np.array([token]))[0]
             last = token
         assert value == pytest.approx(total, rel=1e-5)
