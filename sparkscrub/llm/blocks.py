@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, in_runs, utf8
 
 BLOCK_BYTES = 32 << 20
-_TEXT_BYTES = 8 << 20
+#: Bytes of texts worked on, or squeezed into one row of the shuffle, at once.
+_TEXT_BYTES = 2 << 20
 
 
 def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -111,7 +112,8 @@ def with_tables(
     """``work(keys, values, batches)`` per block: its sorted keys, their values, and its documents in batches.
 
     ``table`` has ``block``, ``key`` and float or long values, at most one row per block and key. A block's table
-    comes first in its partition and its documents stream past it.
+    comes first in its partition and its documents stream past it. Documents are shuffled as compressed runs of
+    rows of one block, which take far less room than single rows.
     """
     values = [c for c in table.columns if c not in ("block", "key")]
     kinds = {c: dict(table.dtypes)[c] for c in values}
@@ -137,14 +139,31 @@ def with_tables(
 
     packed = table.repartition("block").sortWithinPartitions("block", "key")
     packed = packed.mapInArrow(pack, "block int, keys binary, values binary")
-    nothing = F.lit(None)
     names = [c for c in blocked.columns if c != "block"]
-    documents = blocked.select(
-        "block", F.lit(1).alias("kind"), nothing.cast("binary").alias("keys"), nothing.cast("binary").alias("values"), *names
-    )
-    tables = packed.select(
-        "block", F.lit(0).alias("kind"), "keys", "values", *[nothing.cast(blocked.schema[c].dataType).alias(c) for c in names]
+
+    def squeeze(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            block = np.asarray(batch.column("block"))
+            rows = batch.select(names)
+            for b in np.unique(block).tolist():
+                part = rows.filter(pa.array(block == b))
+                for i, j in in_runs(np.diff(utf8(part.column("text"))[1]).tolist(), _TEXT_BYTES):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as out:
+                        out.write_batch(part.slice(i, j - i))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b], pa.int32()), pa.array([compress(sink.getvalue())], pa.binary())],
+                        names=["block", "values"],
+                    )
+
+    documents = blocked.mapInArrow(squeeze, "block int, values binary").select(
+        "block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("keys"), "values"
     )
+    tables = packed.select("block", F.lit(0).alias("kind"), "keys", "values")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -173,6 +192,11 @@ def with_tables(
                 state["ahead"] = next(stream, None)
                 yield part
 
+        def rows(mark: int) -> Iterator:
+            for part in take(mark):
+                for squeezed in part.column("values"):
+                    yield from pa.ipc.open_stream(loose(squeezed.as_py())).read_all().to_batches()
+
         while state["ahead"] is not None:
             block = state["ahead"][0] // 2
             keys, columns = [], {c: [] for c in values}
@@ -187,7 +211,7 @@ def with_tables(
             key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             order = np.argsort(key, kind="stable")
             found = {c: (np.concatenate(v) if v else np.zeros(0))[order] for c, v in columns.items()}
-            yield from work(key[order], found, take(2 * block + 1))
+            yield from work(key[order], found, rows(2 * block + 1))
             for _ in take(2 * block + 1):  # whatever was not read
                 pass
 

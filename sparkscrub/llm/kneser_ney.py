@@ -21,7 +21,7 @@ ORDER = 5
 #: Bytes that no UTF-8 text has: before the start, after the end.
 _START, _END = 0xFF, 0xFE
 _SYMBOLS = 257  # 256 byte values and the end
-_TEXT_BYTES = 8 << 20
+_TEXT_BYTES = 2 << 20
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
