@@ -165,6 +165,7 @@ def train(
     vocabulary: int = 1024,
     candidates: int = 16_384,
     examples: int = 4096,
+    least_lift: float = 3.0,
     k: int = 15,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -174,7 +175,8 @@ def train(
 
     Term statistics and document frequencies are over all of these rows. At most ``vocabulary`` terms are kept, those
     whose association passes a test corrected for the number of terms, both by documents (of which the
-    ``candidates`` strongest go on) and by places, so that groups of copies do not vote for their words. About ``examples`` rows (half of each
+    ``candidates`` strongest go on) and by places, so that groups of copies do not vote for their words, and whose rows
+    are toxic ``least_lift`` times as often as all (long texts have more of every word). About ``examples`` rows (half of each
     label) with such a term, drawn by a hash of id and text, become examples. Rows without a label or id are left
     out; of several labels of an id the highest holds.
     """
@@ -219,7 +221,8 @@ def train(
     if 0 < share < 1:
         # The statistic's largest part bounds it from below; only terms that may pass are looked at.
         lift = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-        top = tested.orderBy(lift.desc(), "term").limit(candidates).collect()
+        strong = tested.where(F.col("toxic") >= least_lift * share * F.col("n"))
+        top = strong.orderBy(lift.desc(), "term").limit(candidates).collect()
         stat = _g2(np.array([r["n"] for r in top], float), np.array([r["toxic"] for r in top], float), n_rows, n_toxic)
         number = {r["term"]: i for i, r in enumerate(top) if stat[i] >= least}
     held_terms = {i: (r["term"], r["n"]) for i, r in enumerate(top)} if number else {}
@@ -263,7 +266,12 @@ def train(
     stat = _g2(
         np.array([r["n"] for r in per_term], float), np.array([r["toxic"] for r in per_term], float), n_rows, n_toxic
     )
-    chosen = sorted(((-float(g), r["term"]) for g, r in zip(stat, per_term, strict=True) if g >= least))[:vocabulary]
+    chosen = [
+        (-float(g), r["term"])
+        for g, r in zip(stat, per_term, strict=True)
+        if g >= least and r["toxic"] >= least_lift * share * r["n"]
+    ]
+    chosen = sorted(chosen)[:vocabulary]
     place = {old: new for new, (_, old) in enumerate(chosen)}
     terms = [held_terms[old][0] for _, old in chosen]
     idf = np.array([math.log((n_rows + 1) / (held_terms[old][1] + 1)) + 1 for _, old in chosen])
