@@ -64,8 +64,7 @@ class Weights:
         parts = {
             "embed": 0.5 * near(layout.tokens, h),
             "into": near(h, 3 * h),
-            "gates": near(h, 2 * h),
-            "fresh": near(h, h),
+            "state": near(h, 3 * h),
             "bias": np.concatenate([np.full(h, -1.0), np.zeros(2 * h)]).astype(np.float32),
             "class_w": np.zeros((h, layout.classes), np.float32),
             "class_b": np.log(per_class).astype(np.float32),
@@ -90,12 +89,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, n: int):
-    """One step of the gated unit: update ``z``, reset ``r``, candidate ``c``, ``u`` = what the reset lets through."""
-    g = _sigmoid(x[:, : 2 * n] + h @ w["gates"])
-    z, r = g[:, :n], g[:, n:]
-    u = h @ w["fresh"]
-    c = np.tanh(x[:, 2 * n :] + r * u)
-    return z, r, u, c, h + z * (c - h)
+    """One step of the gated unit: update and reset ``g``, candidate ``c``, ``u`` = what the reset lets through."""
+    from_state = h @ w["state"]
+    g = _sigmoid(x[:, : 2 * n] + from_state[:, : 2 * n])
+    u = from_state[:, 2 * n :]
+    c = np.tanh(x[:, 2 * n :] + g[:, n:] * u)
+    return g, u, c, h + g[:, :n] * (c - h)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -144,7 +143,7 @@ def score(w: Weights, token: np.ndarray, offsets: np.ndarray, window: int = 16)
             m = int(active[t])
             # Before the first token comes the end of nothing.
             x = into[token[start[:m] + t - 1]] if t else np.broadcast_to(into[END], (m, 3 * n))
-            h = _step(w.parts, x, h[:m], n)[4]
+            h = _step(w.parts, x, h[:m], n)[3]
             states.append(h)
             targets.append(token[start[:m] + t])
             owners.append(np.arange(m))
@@ -157,65 +156,86 @@ def score(w: Weights, token: np.ndarray, offsets: np.ndarray, window: int = 16)
     return result
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def _gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the mean loss of a window (steps x lanes), and the state after it."""
     p, layout, n = w.parts, w.layout, w.hidden
     steps, lanes = inputs.shape
     into = p["embed"] @ p["into"] + p["bias"]
-    kept, states = [], []
+    go_on = (inputs != END)[:, :, None].astype(h.dtype)  # a new text starts with nothing
+    kept = []
+    before, after = np.empty((steps, lanes, n), h.dtype), np.empty((steps, lanes, n), h.dtype)
     for t in range(steps):
-        h = np.where((inputs[t] == END)[:, None], 0, h)  # a new text starts with nothing
-        z, r, u, c, new = _step(p, into[inputs[t]], h, n)
-        kept.append((h, z, r, u, c))
-        states.append(new)
-        h = new
-    flat, token = np.concatenate(states), targets.ravel()
-    count = np.float32(len(token))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    soft = np.exp(_log_softmax(flat @ p["class_w"] + p["class_b"]))
+        before[t] = h * go_on[t]
+        g, u, c, h = _step(p, into[inputs[t]], before[t], n)
+        kept.append((g, u, c))
+        after[t] = h
+    flat, token = after.reshape(-1, n), targets.ravel()
+    count = h.dtype.type(len(token))
+    grad = {}
+    soft = _softmax(flat @ p["class_w"] + p["class_b"])
     soft[np.arange(len(token)), layout.class_of(token)] -= 1
     soft /= count
-    g["class_w"], g["class_b"] = flat.T @ soft, soft.sum(axis=0)
+    grad["class_w"], grad["class_b"] = flat.T @ soft, soft.sum(axis=0)
     back = soft @ p["class_w"].T
+    grad["word_w"], grad["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
     for k, rows, word in _by_class(layout, token):
         part = slice(k * layout.per_class, (k + 1) * layout.per_class)
-        soft = np.exp(_log_softmax(flat[rows] @ p["word_w"][part].T + p["word_b"][part]))
+        states = flat[rows]
+        soft = _softmax(states @ p["word_w"][part].T + p["word_b"][part])
         soft[np.arange(len(rows)), word] -= 1
         soft /= count
-        g["word_w"][part] += soft.T @ flat[rows]
-        g["word_b"][part] += soft.sum(axis=0)
+        grad["word_w"][part] = soft.T @ states
+        grad["word_b"][part] = soft.sum(axis=0)
         back[rows] += soft @ p["word_w"][part]
     back = back.reshape(steps, lanes, n)
-    d_into = np.zeros((steps, lanes, 3 * n), np.float32)
-    d_next = np.zeros((lanes, n), np.float32)
+    d_state = np.empty((steps, lanes, 3 * n), h.dtype)
+    d_into = np.empty((steps, lanes, 3 * n), h.dtype)
+    d_next = np.zeros((lanes, n), h.dtype)
+    turned = np.ascontiguousarray(p["state"].T)
     for t in range(steps - 1, -1, -1):
-        before, z, r, u, c = kept[t]
+        g, u, c = kept[t]
+        z, r = g[:, :n], g[:, n:]
         d = back[t] + d_next
         d_c = d * z * (1 - c * c)
-        d_z = d * (c - before) * z * (1 - z)
-        d_u = d_c * r
-        d_r = d_c * u * r * (1 - r)
-        d_g = np.concatenate([d_z, d_r], axis=1)
-        d_into[t] = np.concatenate([d_g, d_c], axis=1)
-        g["gates"] += before.T @ d_g
-        g["fresh"] += before.T @ d_u
-        d_next = d * (1 - z) + d_g @ p["gates"].T + d_u @ p["fresh"].T
-        d_next[inputs[t] == END] = 0
+        to_gates = g * (1 - g)
+        to_gates[:, :n] *= d * (c - before[t])
+        to_gates[:, n:] *= d_c * u
+        d_into[t, :, : 2 * n] = d_state[t, :, : 2 * n] = to_gates
+        d_into[t, :, 2 * n :] = d_c
+        d_state[t, :, 2 * n :] = d_c * r
+        d_next = (d * (1 - z) + d_state[t] @ turned) * go_on[t]
+    grad["state"] = before.reshape(-1, n).T @ d_state.reshape(-1, 3 * n)
     d_into = d_into.reshape(-1, 3 * n)
-    g["bias"] = d_into.sum(axis=0)
-    per_token = np.zeros((layout.tokens, 3 * n), np.float32)
-    np.add.at(per_token, inputs.ravel(), d_into)
-    g["into"] = p["embed"].T @ per_token
-    g["embed"] = per_token @ p["into"].T
-    return g, h
+    grad["bias"] = d_into.sum(axis=0)
+    # Rows of one token are summed after sorting by token.
+    token = inputs.ravel()
+    order = np.argsort(token, kind="stable")
+    first = np.flatnonzero(np.diff(token[order], prepend=-1))
+    per_token = np.add.reduceat(d_into[order], first, axis=0)
+    used = token[order][first]
+    grad["into"] = p["embed"][used].T @ per_token
+    grad["embed"] = np.zeros_like(p["embed"])
+    grad["embed"][used] = per_token @ p["into"].T
+    return grad, h
 
 
 def train(
-    w: Weights, token: np.ndarray, lanes: int = 64, window: int = 24, rate: float = 0.01, clip: float = 1.0
+    w: Weights, token: np.ndarray, lanes: int = 256, window: int = 24, rate: float = 0.01, clip: float = 1.0
 ) -> Weights:
-    """``w`` after one pass over a stream of texts (each ended by END) by Adam, ``lanes`` stretches side by side."""
+    """``w`` after one pass over a stream of texts (each ended by END) by Adam.
+
+    Up to ``lanes`` stretches of the stream are read side by side, fewer where that would leave less than a
+    hundred windows.
+    """
     stream = np.concatenate(([END], token))
-    lanes = max(1, min(lanes, (len(stream) - 1) // window))
+    lanes = max(1, min(lanes, (len(stream) - 1) // (100 * window)))
     length = (len(stream) - 1) // lanes
     inputs = stream[: lanes * length].reshape(lanes, length).T
     targets = stream[1 : lanes * length + 1].reshape(lanes, length).T
