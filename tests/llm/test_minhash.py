@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 import sparkscrub.llm.minhash as minhash
 from sparkscrub.llm.entry import op9_minhash_join
 from sparkscrub.llm.minhash import deduplicated, near_duplicates
@@ -56,6 +57,14 @@ def test_query_against_all_pairs(spark, documents):
     assert any(not r[3] for r in found)
 
 
+def test_pipeline_stage_against_all_pairs(spark, documents):
+    near_dedup = dict(corpus_pipeline.STAGES)["near_dedup"]
+    expected = {r[0] for r in _brute(_rows(documents), 80) if r[3]}
+    assert expected < {r[0] for r in _brute(_rows(documents), 85) if r[3]}
+    out = near_dedup(spark, documents, "/root/testdata/sf0.001")
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(expected)
+
+
 def test_shingle_sets_match_words():
     texts = ["", " ", "a", "A", "a b c d", "a b c d e", "A  B\tc\nd e\x0bf\x0c", "é É ß", "a b c d e a b c d e", " lead"]
     data = "".join(texts).encode()
