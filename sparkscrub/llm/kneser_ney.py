@@ -158,7 +158,7 @@ def classify(
     docs: DataFrame,
     labels: DataFrame,
     quantile: float = 0.995,
-    margin: float = 1.25,
+    margin: float = 1.0,
     least: int = 100,
     folds: int = 5,
     doc_id: str = "doc_id",

@@ -108,6 +108,15 @@ def test_thresholds_are_quantiles(spark, documents, labels):
         assert r["kept"] == (r["perplexity"] <= r["threshold"])
 
 
+def test_threshold_is_the_quantile_itself(documents, labels):
+    rows = classify(documents, labels, least=3).collect()
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    held = documents.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    held = {r["doc_id"] for r in held.collect()} & good
+    seen = {r["perplexity"] for r in rows if r["doc_id"] in held}
+    assert rows and all(r["threshold"] in seen for r in rows)
+
+
 def test_odd_rows(odd, none, labels, no_labels):
     for known in (labels, no_labels):
         found = classify(odd, known).collect()
