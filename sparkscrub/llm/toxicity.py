@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, doc_bucket, small
 
 _TERM = re.compile(r"[^\W\d_]+")
-_BLOCK, _QUERIES = 64, 1024
+_BLOCK, _QUERIES, _PLACES = 64, 1024, 2_000_000
 
 
 def term_counts(text: str) -> Counter:
@@ -30,19 +30,15 @@ def term_counts(text: str) -> Counter:
     return Counter(_TERM.findall(text.lower()))
 
 
-def _g2(n: np.ndarray, toxic: np.ndarray, rows: int, rows_toxic: int) -> np.ndarray:
-    """Log-likelihood ratio statistic of term and label: documents with the term, of these toxic."""
-
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
-
-    share = rows_toxic / max(rows, 1)
-    rest, rest_toxic = rows - n, rows_toxic - toxic
-    return 2 * (
-        part(toxic, n * share)
-        + part(n - toxic, n * (1 - share))
-        + part(rest_toxic, rest * share)
-        + part(rest - rest_toxic, rest * (1 - share))
+def _strength(n: Column, toxic: Column, shares: tuple[float, float], z: float) -> Column:
+    """Log odds ratio of the nearer confidence bound of ``toxic / n`` to ``shares``; null if it lies between or across."""
+    low, high = min(shares), max(shares)
+    middle = (toxic + z * z / 2) / (n + z * z)
+    half = z / (n + z * z) * F.sqrt(toxic * (n - toxic) / n + z * z / 4)
+    at_low, at_high = (math.log(s / (1 - s)) if 0 < s < 1 else 0.0 for s in (low, high))
+    least, most = middle - half, middle + half
+    return F.when(least > high, F.log(least / (1 - least)) - at_high).when(
+        most < low, at_low - F.log(most / (1 - most))
     )
 
 
@@ -165,7 +161,6 @@ def train(
     vocabulary: int = 1024,
     candidates: int = 16_384,
     examples: int = 4096,
-    least_lift: float = 3.0,
     k: int = 15,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -173,10 +168,11 @@ def train(
 ) -> Model:
     """A model from the labelled rows for which ``is_training`` holds.
 
-    Term statistics and document frequencies are over all of these rows. At most ``vocabulary`` terms are kept, those
-    whose association passes a test corrected for the number of terms, both by documents (of which the
-    ``candidates`` strongest go on) and by places, so that groups of copies do not vote for their words, and whose rows
-    are toxic ``least_lift`` times as often as all (long texts have more of every word). About ``examples`` rows (half of each
+    Term statistics and document frequencies are over all of these rows. A term goes with a label if the confidence
+    bounds of its toxic share, corrected for the number of terms, lie above or below both the share of toxic rows and
+    the share of words in toxic rows (long texts have more of every word). This must hold by documents (of which the
+    ``candidates`` strongest go on) and by places, so that groups of copies do not vote for their words; at most the
+    ``vocabulary`` strongest terms, by the odds ratio at the bound, are kept. About ``examples`` rows (half of each
     label) with such a term, drawn by a hash of id and text, become examples. Rows without a label or id are left
     out; of several labels of an id the highest holds.
     """
@@ -194,17 +190,19 @@ def train(
 
         for batch in batches:
             seen: list[Counter] = [Counter(), Counter()]
-            n = [0, 0]
+            n, size = [0, 0], [0, 0]
             for value, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 y = int(y == 1)
                 n[y] += 1
-                seen[y].update(set(_TERM.findall(value.lower())))
+                found = _TERM.findall(value.lower())
+                size[y] += len(found)
+                seen[y].update(set(found))
             terms = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*terms, None], pa.string()),
-                    pa.array([seen[0][t] + seen[1][t] for t in terms] + [sum(n)], pa.int64()),
-                    pa.array([seen[1][t] for t in terms] + [n[1]], pa.int64()),
+                    pa.array([*terms, None, ""], pa.string()),  # totals: rows, words
+                    pa.array([seen[0][t] + seen[1][t] for t in terms] + [sum(n), sum(size)], pa.int64()),
+                    pa.array([seen[1][t] for t in terms] + [n[1], size[1]], pa.int64()),
                 ],
                 names=["term", "n", "toxic"],
             )
@@ -213,18 +211,17 @@ def train(
     counted = scratch.save(counted.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "terms")
     total = counted.where("term is null").first()
     n_rows, n_toxic = (total["n"], total["toxic"]) if total else (0, 0)
-    tested = counted.where("term is not null and n >= 3")
-    n_terms = tested.count()
-    least = 2 * math.log(max(n_terms, 1)) + 6
+    in_words = counted.where("term = ''").first()
+    tested = counted.where("term <> '' and n >= 3")
+    z = math.sqrt(2 * math.log(max(tested.count(), 1)) + 6)
     share = n_toxic / max(n_rows, 1)
+    shares = (share, in_words["toxic"] / in_words["n"] if in_words and in_words["n"] else share)
     number: dict[str, int] = {}
     if 0 < share < 1:
-        # The statistic's largest part bounds it from below; only terms that may pass are looked at.
-        lift = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-        strong = tested.where(F.col("toxic") >= least_lift * share * F.col("n"))
-        top = strong.orderBy(lift.desc(), "term").limit(candidates).collect()
-        stat = _g2(np.array([r["n"] for r in top], float), np.array([r["toxic"] for r in top], float), n_rows, n_toxic)
-        number = {r["term"]: i for i, r in enumerate(top) if stat[i] >= least}
+        strength = _strength(F.col("n"), F.col("toxic"), shares, z)
+        strong = tested.withColumn("strength", strength).where("strength is not null")
+        top = strong.orderBy(F.desc("strength"), "term").limit(candidates).collect()
+        number = {r["term"]: i for i, r in enumerate(top)}
     held_terms = {i: (r["term"], r["n"]) for i, r in enumerate(top)} if number else {}
 
     def meet(batches: Iterator) -> Iterator:
@@ -257,21 +254,31 @@ def train(
     schema = f"doc_id {kind}, y int, draw long, terms array<int>, times array<int>, contexts array<long>"
     met = scratch.save(drawn.mapInArrow(meet, schema), "met")
 
+    def distinct_places(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            lists = batch.column(1)
+            c, y = np.asarray(lists.flatten()), np.asarray(batch.column(0)) == 1
+            label = np.repeat(y, np.asarray(lists.value_lengths()))
+            held.append(np.unique((c >> 32 << 33) | (label.astype(np.int64) << 32) | (c & 0xFFFFFFFF)))
+            if sum(map(len, held)) > _PLACES:
+                held = [np.unique(np.concatenate(held))]
+                if len(held[0]) > _PLACES // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held.pop())], names=["c"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["c"])
+
     # Copies of a text repeat its words in the same places: a term counts once per word before it.
-    places = met.select((F.col("y") == 1).cast("long").alias("y"), F.explode("contexts").alias("c")).distinct()
-    per_term = places.groupBy(F.shiftright("c", 32).cast("int").alias("term")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")
-    )
-    per_term = per_term.collect()
-    stat = _g2(
-        np.array([r["n"] for r in per_term], float), np.array([r["toxic"] for r in per_term], float), n_rows, n_toxic
+    # Each task brings a place once, so that frequent terms do not cost a row for every occurrence.
+    places = met.select("y", "contexts").mapInArrow(distinct_places, "c long").distinct()
+    per_term = places.groupBy(F.shiftright("c", 33).cast("int").alias("term")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.shiftright("c", 32).bitwiseAND(1)).alias("toxic")
     )
-    chosen = [
-        (-float(g), r["term"])
-        for g, r in zip(stat, per_term, strict=True)
-        if g >= least and r["toxic"] >= least_lift * share * r["n"]
-    ]
-    chosen = sorted(chosen)[:vocabulary]
+    per_term = per_term.withColumn("strength", _strength(F.col("n"), F.col("toxic"), shares, z))
+    per_term = per_term.where("strength is not null").orderBy(F.desc("strength"), "term").limit(vocabulary)
+    chosen = [(-r["strength"], r["term"]) for r in per_term.collect()]
     place = {old: new for new, (_, old) in enumerate(chosen)}
     terms = [held_terms[old][0] for _, old in chosen]
     idf = np.array([math.log((n_rows + 1) / (held_terms[old][1] + 1)) + 1 for _, old in chosen])

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import sparkscrub.llm.toxicity as toxicity
@@ -79,6 +80,24 @@ def test_odd_rows(spark, odd, none, no_labels):
     assert toxicity.train(none, _odd_labels(spark), everything).rest == 0
 
 
+@pytest.mark.parametrize("share", [4, 7])
+def test_terms_of_either_label_at_high_shares(spark, share):
+    """Toxic texts are longer, so they have more of every common word; only the marked words go with a label."""
+    rng = np.random.default_rng(share)
+    texts = []
+    for i in range(600):
+        toxic = i % 10 < share
+        words = [f"c{chr(97 + k % 20)}{chr(97 + k // 20)}" for k in rng.integers(0, 200, 40 if toxic else 20)]
+        words.insert(int(rng.integers(0, len(words))), "nasty" if toxic else "gentle")
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 10 < share)) for i in range(500)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert {"nasty", "gentle"} == set(model.number)
+    for r in toxicity.score(docs, model).collect():
+        assert r["predicted"] == (r["doc_id"] % 10 < share)
+
+
 def test_evidence_names_the_examples(spark):
     texts = [(i, f"fine text number {i}" if i % 4 else f"{chr(97 + i % 26) * 3} idiot wrote {i}") for i in range(400)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
