@@ -93,6 +93,29 @@ def test_exact_at_the_limit(spark):
     assert found[0] == 1
 
 
+def test_recall_in_a_dense_label(spark):
+    """8,000 vectors with a median cosine of 0.95 and 300 planted pairs; a window of 4 stands for a larger label."""
+    rng = np.random.default_rng(5)
+    n, d = 8000, 64
+    centre = rng.standard_normal(d)
+    x = centre / np.linalg.norm(centre) + 0.2294 * rng.standard_normal((n, d)) / math.sqrt(d)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(300):
+        side = rng.standard_normal(d)
+        side -= (side @ x[k]) * x[k]
+        x[n - 1 - k] = 0.9815 * x[k] + math.sqrt(1 - 0.9815**2) * side / np.linalg.norm(side)
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    rows = [(i, [float(v) for v in e], 1, "x", "y") for i, e in enumerate(x)]
+    found = {r["vec_id"]: r for r in near_vectors(_table(spark, rows).repartition(4), window=4).collect()}
+    i, j = np.nonzero(np.triu(near))
+    together = [found[int(a)]["component_id"] == found[int(b)]["component_id"] for a, b in zip(i, j, strict=True)]
+    assert len(together) >= 290 and sum(together) >= 0.99 * len(together)
+    assert all(r["n_links"] <= near[k].sum() for k, r in found.items())
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_random_clusters(spark, seed):
     rng = np.random.default_rng(seed)
