@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, langid, quality_rules, toxicity
+from . import bpe, kneser_ney, langid, quality_rules, toxicity
 from .common import doc_bucket
 from .lm_scoring import score_documents
 from .minhash import near_duplicates
@@ -15,6 +15,7 @@ from .mixing import mix
 from .packing import pack
 from .projection_passes import near_vectors
 from .resharding import reshard
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +121,28 @@ def op10_kneser_ney(spark, sf_dir):
 def op6_recurrent_scores(spark, sf_dir):
     """Learned from folds 1 to 9 of the document id, scored for every text."""
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op11_byte_bpe(spark, sf_dir):
+    """Every whole text to ids of the byte-level vocabulary and back, each distinct word encoded once."""
+    path = byte_tokenizer_path()
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    """The 32 leading components of all usable vectors, each scaled to unit variance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
