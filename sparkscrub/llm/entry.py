@@ -13,6 +13,7 @@ from .lm_scoring import score_documents
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
+from .prefix_trie import rebuilt_trie
 from .projection_passes import near_vectors
 from .resharding import reshard
 from .whitening import whiten
@@ -146,3 +147,52 @@ def op11_byte_bpe(spark, sf_dir):
 def op12_whitening(spark, sf_dir):
     """The 32 leading components of all usable vectors, each scaled to unit variance."""
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+# The shared start of a conversation is as long as the checksum of its number says, which SQL works out bit by bit.
+_TRIE_SQL = """
+WITH crc AS (
+  SELECT list(list_reduce(range(8)::UBIGINT[], lambda x, b: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT)
+                                                              ELSE x // 2 END, i::UBIGINT) ORDER BY i) AS steps
+  FROM range(256) AS r(i)),
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 5 AS base,
+         xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::UBIGINT),
+                         lambda x, d: xor(x // 256, steps[(xor(x, d) % 256)::INT + 1]), 4294967295::UBIGINT),
+             4294967295::UBIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM turns), crc),
+rebuilt AS (
+  SELECT convs.c, 0 AS part, pos, role, txt FROM convs JOIN turns ON turns.c = base AND pos < h
+  UNION ALL SELECT convs.c, 1, pos, role, txt FROM convs JOIN turns ON turns.c = convs.c AND pos >= h),
+placed AS (SELECT c, role, txt, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth FROM rebuilt),
+paths AS (
+  SELECT c, depth, strlen(txt) AS bytes, list({'r': role, 't': txt}) OVER (PARTITION BY c ORDER BY depth) AS path FROM placed
+  UNION ALL SELECT c, 0, 0, [] FROM convs),
+lengths AS (SELECT c, max(depth) AS len FROM paths GROUP BY c),
+nodes AS (
+  SELECT depth, path, min(c) AS conv, count(*) AS n, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len = depth), '')) AS ends
+  FROM paths JOIN lengths USING (c) GROUP BY depth, path),
+passed AS (SELECT c, paths.depth, nodes.conv FROM paths JOIN nodes USING (depth, path)),
+kids AS (
+  SELECT p.conv, p.depth, count(*) AS n_children FROM nodes AS u JOIN passed AS p ON p.c = u.conv AND p.depth = u.depth - 1
+  GROUP BY ALL),
+subtree AS (
+  SELECT v.conv, v.depth, sum((u.n - 1) * u.bytes) AS saved, count(*) FILTER (WHERE k.conv IS NULL) AS leaves
+  FROM nodes AS u JOIN passed AS v ON v.c = u.conv AND v.depth <= u.depth
+  LEFT JOIN kids AS k ON k.conv = u.conv AND k.depth = u.depth GROUP BY ALL)
+SELECT n.conv AS conv_id, n.depth, p.conv AS parent_conv_id, n.n AS n_convs, coalesce(k.n_children, 0) AS n_children,
+       s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes AS n JOIN subtree AS s ON s.conv = n.conv AND s.depth = n.depth
+LEFT JOIN kids AS k ON k.conv = n.conv AND k.depth = n.depth
+LEFT JOIN passed AS p ON p.c = n.conv AND p.depth = n.depth - 1"""
+
+
+@query(_TRIE_SQL)
+def op13_prefix_trie(spark, sf_dir):
+    """Every shared prefix of the rebuilt conversations, by blocks of eight turns."""
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))

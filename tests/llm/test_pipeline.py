@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = [n.split("_")[0] for n in QUERIES]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
