@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import Scratch, in_runs, partitions, utf8
 
 #: Bytes of text of an average block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text worked on, or squeezed into one row of the shuffle, at once.
 _RUN_BYTES = 2 << 20
 #: Words that a task holds before it writes its lists, or that a bucket remembers, at most.
@@ -137,7 +137,7 @@ def _squeeze(parts: list[bytes]) -> bytes:
     import zstandard
 
     sizes = np.array(list(map(len, parts)), "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(sizes + b"".join(parts))
 
 
 def _loose(data: bytes, n: int) -> list[bytes]:
@@ -258,7 +258,7 @@ def encode(
         import pyarrow as pa
         import zstandard
 
-        compress = zstandard.ZstdCompressor(level=3).compress
+        compress = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             block = np.asarray(batch.column("block"))
             edges = np.flatnonzero(np.diff(block, prepend=~block[:1]))
