@@ -13,6 +13,7 @@ from sparkscrub.functions.text import WHITESPACE as WS
 from sparkscrub.functions.text import WS_CLASS
 from sparkscrub.operators.common import unique_name as first_free_name
 from sparkscrub.plans.lookup import use_own_folder, work_folder
+from sparkscrub.sources.records import QuoteCounts
 from sparkscrub.sources.tables import format_of
 from sparkscrub.streaming.streams import apply_recipe, drop_duplicates, read_stream
 
@@ -410,6 +411,41 @@ def validate_email_kinds(spark, sf_dir):
     return ss.validate_email(customer, "email", suffixes=("*.uk", "*.au", "in"))
 
 
+# Domains under rules of several labels, with a label before the suffix (even places) and without.
+_UNDER_RULES = (
+    "shop.co.uk", "co.uk", "a.b.ck", "b.ck", "www.ck", "a.kobe.jp", "x.www.ck", "x.net", "city.kobe.jp", "k12.ma.us",
+    "x.y.kobe.jp", "y.x.net", "my.k12.ma.us", "ma.us", "kobe.jp", "a.b.c.net",
+)
+_RULE_ADDRESS = (
+    "'user' || c_custkey || '@' || CASE c_custkey % " + str(len(_UNDER_RULES) + 2)
+    + "".join(f" WHEN {i} THEN '{d}'" for i, d in enumerate(_UNDER_RULES))
+    + f" WHEN {len(_UNDER_RULES)} THEN 'gmail.com' ELSE 'shop.france' END"
+)
+_RULES = ("uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp", "k12.ma.us", "*.us")
+
+
+@_query(
+    _sql_verdict(
+        "c_custkey",
+        "email",
+        _RULE_ADDRESS,
+        _SQL_EMAIL
+        + rf"""
+ WHEN {_SQL_DOMAIN} = 'gmail.com' THEN 'Valid Common Domain'
+ WHEN {_SQL_DOMAIN} IN ({', '.join(f"'{d}'" for d in _UNDER_RULES[::2])}) THEN 'Valid Domain'
+ WHEN regexp_extract(email, '[^.]+$') IN (SELECT lower(n_name) FROM nation) THEN 'Valid Domain' ELSE 'Unknown TLD'""",
+        "customer",
+    )
+)
+def validate_email_suffix_rules(spark, sf_dir):
+    """Rules of one to three labels, wildcards and exceptions, as a table: the nations' names and others."""
+    nation = _table(spark, sf_dir, "nation")
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_RULE_ADDRESS).alias("email"))
+    more = nation.limit(1).select(F.explode(F.array(*map(F.lit, _RULES))).alias("rule"))
+    rules = nation.select(F.lower("n_name").alias("rule")).unionAll(more)
+    return ss.validate_email(customer, "email", suffix_rules=rules)
+
+
 @_query(
     _sql_verdict(
         "c_custkey",
@@ -861,6 +897,74 @@ def diff_summary(spark, sf_dir):
     return ss.diff_summary(orders, ss.split_delimiter(after, "o_orderpriority", "-", n_parts=2))
 
 
+def _two_versions(spark, sf_dir):
+    """Orders, and orders with some cells changed, emptied or filled, rows removed and rows added."""
+    orders = _table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    before = orders.where(key % 11 != 0).withColumn("o_orderstatus", F.when(key % 13 != 0, F.col("o_orderstatus")))
+    after = ss.fill_missing(before.unionAll(orders.where(key % 11 == 0)).where(key % 7 != 0), "o_orderstatus", "none")
+    after = ss.find_replace(after, "o_orderpriority", "1-URGENT", "NOW")
+    after = after.withColumn("o_totalprice", F.when(key % 5 == 0, F.lit(0.5)).otherwise(F.col("o_totalprice")))
+    return before, after
+
+
+_SQL_VERSIONS = """
+WITH versions AS (
+  SELECT o_orderkey, o_orderkey % 11 <> 0 AS old, o_orderkey % 7 <> 0 AS new,
+         CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS status, o_orderpriority AS priority, o_totalprice AS price
+  FROM orders),
+cells AS (
+  SELECT o_orderkey, NULL AS "column", CASE WHEN new THEN 'added' ELSE 'removed' END AS change,
+         NULL AS before, NULL AS after FROM versions WHERE old <> new
+  UNION ALL SELECT o_orderkey, 'o_orderstatus', 'changed', NULL, 'none' FROM versions WHERE old AND new AND status IS NULL
+  UNION ALL SELECT o_orderkey, 'o_orderpriority', 'changed', priority, replace(priority, '1-URGENT', 'NOW')
+  FROM versions WHERE old AND new AND contains(priority, '1-URGENT')
+  UNION ALL SELECT o_orderkey, 'o_totalprice', 'changed', price::VARCHAR, '0.5'
+  FROM versions WHERE old AND new AND o_orderkey % 5 = 0 AND price <> 0.5)
+"""
+
+
+@_query(_SQL_VERSIONS + "SELECT * FROM cells")
+def cell_diff(spark, sf_dir):
+    """Changed, emptied and filled cells, added and removed rows."""
+    return ss.cell_diff(*_two_versions(spark, sf_dir), "o_orderkey")
+
+
+@_query(_SQL_VERSIONS + 'SELECT "column", change, count(*) AS cells FROM cells GROUP BY 1, 2')
+def changed_cells(spark, sf_dir):
+    return ss.changed_cells(*_two_versions(spark, sf_dir), "o_orderkey")
+
+
+def _sql_merged(column: str, dtype: str, width: str) -> str:
+    return f"""SELECT '{column}' AS "column", '{dtype}' AS type, count(*) AS rows, count(*) - count({column}) AS missing,
+ greatest({width}, {len(column)}) AS max_width,
+ count(DISTINCT {column}) + max(CASE WHEN {column} IS NULL THEN 1 ELSE 0 END) AS distinct_values, TRUE AS about FROM events"""
+
+
+@_query("\nUNION ALL ".join(
+    _sql_merged(c, t, w)
+    for c, t, w in (
+        ("event_id", "bigint", "max(length(event_id::VARCHAR))"),
+        ("user_id", "bigint", "max(length(user_id::VARCHAR))"),
+        ("event_type", "string", "max(length(event_type))"),
+        ("props", "string", "max(length(props))"),
+    )
+))
+def profile_merged(spark, sf_dir):
+    """Events profiled day by day; the days' stored states merged, beside the exact count of all at once."""
+    events = _table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    cols = ["event_id", "user_id", "event_type", "props"]
+    path = _new_folder(spark)
+    ss.profile_state(events, cols, by="day").write.parquet(path)
+    days = spark.read.parquet(path)
+    merged, exact = ss.merged_profile(days), ss.profile(events, cols).select("column", F.col("distinct_values").alias("exact"))
+    off = F.abs(F.col("distinct_values") - F.col("exact"))
+    return merged.join(exact, "column").select(
+        "column", "type", "rows", "missing", "max_width", F.col("exact").alias("distinct_values"),
+        (off <= 0.08 * F.col("exact")).alias("about"),
+    )
+
+
 # ---------------------------------------------------------------- recipes
 
 _FLAGSHIP = ss.Recipe(
@@ -977,6 +1081,22 @@ def csv_quoted_text(spark, sf_dir):
     return ss.read_table(spark, path, "csv", schema=documents.schema, missing_tokens=())
 
 
+@_query("SELECT doc_id, text, lang, source, n_chars, TRUE AS by_many_tasks FROM documents")
+def csv_split_quotes(spark, sf_dir):
+    """The same texts in one file of many small blocks, cut into records by as many tasks."""
+    path, setting = _new_folder(spark), "spark.sql.files.maxPartitionBytes"
+    documents = _table(spark, sf_dir, "documents")
+    ss.write_table(documents.coalesce(1), path, "csv")
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(64 << 10))
+    try:
+        blocks = QuoteCounts(spark, path).opens
+        read = ss.read_table(spark, path, "csv", schema=documents.schema, missing_tokens=())
+    finally:
+        spark.conf.set(setting, before)
+    return read.withColumn("by_many_tasks", F.lit(len(blocks) > 8))
+
+
 @_query("SELECT o_orderkey, '1234567890123' || lpad(o_orderkey::VARCHAR, 12, '0') AS id FROM orders")
 def csv_big_ids(spark, sf_dir):
     """Ids of 25 digits stay what they are through CSV."""

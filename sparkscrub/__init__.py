@@ -40,10 +40,14 @@ from .operators.validate import (
 from .plans.lookup import release_tables
 from .plans.recipe import Recipe, preview, run_operation
 from .plans.report import (
+    cell_diff,
+    changed_cells,
     count_rows,
     diff_summary,
     issue_report,
+    merged_profile,
     profile,
+    profile_state,
     reason_counts,
     validation_summary,
 )
@@ -56,6 +60,8 @@ __all__ = [
     "bad_lines",
     "calculate_constant",
     "calculated_column",
+    "cell_diff",
+    "changed_cells",
     "check_email_address",
     "concatenate",
     "count_rows",
@@ -73,8 +79,10 @@ __all__ = [
     "mask_email",
     "mask_words",
     "merge_columns",
+    "merged_profile",
     "preview",
     "profile",
+    "profile_state",
     "read_domain_list",
     "read_table",
     "reason_counts",

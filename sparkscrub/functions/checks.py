@@ -59,10 +59,12 @@ def email_domain(bare: Column) -> Column:
     return F.lower(F.substring_index(bare, "@", -1))
 
 
-def email_reason(bare: Column, domain: Column, hits: Sequence[Column], bad_format: str = "Invalid Format") -> Column:
+def email_reason(
+    bare: Column, domain: Column, hits: Sequence[Column], bad_format: str = "Invalid Format", *, generic: bool = True
+) -> Column:
     """``hits``: is the domain's suffix known, is the domain allowed, is it blocked."""
     well_formed = ~F.contains(bare, F.lit("..")) & bare.rlike(EMAIL)
-    return F.when(~well_formed, bad_format).otherwise(domain_reason(domain, *hits))
+    return F.when(~well_formed, bad_format).otherwise(domain_reason(domain, *hits, generic=generic))
 
 
 def phone_reason(bare: Column) -> Column:

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.domains import DomainRules, any_in, suffix_keys
+from ..functions.domains import DomainRules, any_in, has_label_before, known_by_rules, suffix_keys, suffix_probes
 from ..functions.numbers import is_number_type
 from ..functions.text import col_ref, strip
-from ..plans.lookup import attach_known, broadcast_limit, materialize, refuse_streams, row_bytes
+from ..plans.lookup import Lookup, attach_known, broadcast_limit, materialize, refuse_streams, row_bytes
 from .common import (
     INVALID,
     REASON,
@@ -56,25 +56,48 @@ def _listed(df: DataFrame, keys: list[Column], values, label: str) -> DataFrame:
     return df.withColumn(label, reduce(lambda a, b: a | b, hits)).drop(*[f"{label}{i}" for i in range(len(keys))])
 
 
+def _known_by_table(domains: DataFrame, rules: _TextList, label: str) -> DataFrame:
+    """Distinct ``domains`` (``domain``, ...) with the truth column ``label``: known by a table of suffix rules?
+
+    Every rule that could fit a domain is a row; all of them meet the rules in one join, in which rules that many
+    domains ask for (``com``) are spread.
+    """
+    probes = domains.select("domain", F.inline(suffix_probes(F.col("domain"))))
+    asked = probes.groupBy("probe").agg(F.count(F.lit(1)).alias("rows")).join(rules.table, "probe")
+    lookup = Lookup(materialize(asked.withColumn("__fits", F.lit(True))), "probe", "rows")
+    fits = lookup.attach(probes, F.col("probe"), {"__fits": False}).where("__fits")
+    best = fits.groupBy("domain").agg(F.max(F.struct("exception", "labels")).alias("__best"))
+    joined = domains.join(best, "domain", "left")
+    return joined.withColumn(label, has_label_before(F.col("domain"), F.col("__best"))).drop("__best")
+
+
 def _domain_hits(df: DataFrame, rules: DomainRules, strict_compat: bool) -> DataFrame:
     """``df`` with the truth columns ``_HITS`` for its ``__domain``.
 
     A list given as a DataFrame is measured first. If all lists can be broadcast, the rows are joined as
     they are and nothing is computed from them beforehand. A larger list is compared with the distinct
-    domains, which the rows then look up.
+    domains, which the rows then look up; so is a table of suffix rules.
     """
-    lists = [rules.suffixes, rules.allowed, rules.blocked]
+    by_rules = rules.suffix_rules is not None
+    lists = [rules.suffix_rules if by_rules else rules.suffixes, rules.allowed, rules.blocked]
     if any(isinstance(values, DataFrame) for values in lists):
         refuse_streams(df, "a list given as a DataFrame")
     lists = [_TextList(v) if isinstance(v, DataFrame) else v for v in lists]
 
     def with_hits(table: DataFrame, domain: Column) -> DataFrame:
         for label, values in zip(_HITS, lists):
+            if by_rules and label == _HITS[0]:
+                if isinstance(values, _TextList):
+                    table = _known_by_table(table, values, label)
+                else:
+                    table = table.withColumn(label, known_by_rules(domain, values))
+                continue
             keys = suffix_keys(domain, strict_compat) if label == _HITS[0] else [domain]
             table = _listed(table, keys, values, label)
         return table
 
-    if all(values.fits for values in lists if isinstance(values, _TextList)):
+    in_table = by_rules and isinstance(lists[0], _TextList)
+    if not in_table and all(values.fits for values in lists if isinstance(values, _TextList)):
         return with_hits(df, F.col("__domain"))
     domains = df.groupBy(F.col("__domain").alias("domain")).agg(F.count(F.lit(1)).alias("rows"))
     marked = materialize(with_hits(domains, F.col("domain")))
@@ -89,13 +112,17 @@ def validate_email(
     allowed=None,
     blocked=None,
     suffixes=None,
+    suffix_rules=None,
     strict_compat: bool = False,
     as_text: bool = True,
     skip_header_cells: bool = True,
 ) -> DataFrame:
-    """Address format, then the domain: common, blocked, allowed, known suffix."""
+    """Address format, then the domain: common, blocked, allowed, known suffix.
+
+    ``suffix_rules`` takes rules of any depth (see :class:`DomainRules`) in place of ``suffixes``.
+    """
     require(df, col)
-    rules = _rules(rules, allowed, blocked, suffixes)
+    rules = _rules(rules, allowed, blocked, suffixes, suffix_rules)
 
     def verdict(staged: DataFrame, bare: Column) -> tuple[DataFrame, Column]:
         return _email_verdict(staged, bare, rules, strict_compat, "Invalid Format")
@@ -111,22 +138,24 @@ def check_email_address(
     allowed=None,
     blocked=None,
     suffixes=None,
+    suffix_rules=None,
     strict_compat: bool = False,
 ) -> DataFrame:
     """The address check alone: missing, blank and header cells are addresses of a bad format."""
     require(df, col)
-    rules, columns = _rules(rules, allowed, blocked, suffixes), df.columns
+    rules, columns = _rules(rules, allowed, blocked, suffixes, suffix_rules), df.columns
     staged = df.withColumn(_BARE, F.coalesce(strip(text_of(df, col)), F.lit("")))
     staged, reason = _email_verdict(staged, F.col(_BARE), rules, strict_compat, "Invalid Email Format")
     return _with_verdict(staged, columns, col, reason, as_text=False)
 
 
-def _rules(rules: DomainRules | None, allowed, blocked, suffixes) -> DomainRules:
+def _rules(rules: DomainRules | None, allowed, blocked, suffixes, suffix_rules) -> DomainRules:
     rules = rules or DomainRules()
     return DomainRules(
         rules.allowed if allowed is None else allowed,
         rules.blocked if blocked is None else blocked,
         rules.suffixes if suffixes is None else suffixes,
+        rules.suffix_rules if suffix_rules is None else suffix_rules,
     )
 
 
@@ -135,7 +164,8 @@ def _email_verdict(
 ) -> tuple[DataFrame, Column]:
     df = df.withColumn("__domain", checks.email_domain(bare))
     df = _domain_hits(df, rules, strict_compat)
-    return df, checks.email_reason(bare, F.col("__domain"), [F.col(h) for h in _HITS], bad_format)
+    generic = rules.suffix_rules is None
+    return df, checks.email_reason(bare, F.col("__domain"), [F.col(h) for h in _HITS], bad_format, generic=generic)
 
 
 def _validated(df: DataFrame, col: str, verdict, as_text: bool, skip_header_cells: bool) -> DataFrame:

@@ -22,7 +22,7 @@ _KIND = "column_operation"
 # Arguments that are no part of a saved operation.
 _NOT_IN_RECIPES = {"flags", "hot_rows", "rules", "order_by"}
 # Options that are lists of texts, or the path of a file with one text per line.
-_LISTS = {"allowed", "blocked", "suffixes"}
+_LISTS = {"allowed", "blocked", "suffixes", "suffix_rules"}
 
 
 @dataclass(frozen=True)

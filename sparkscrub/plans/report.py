@@ -96,6 +96,132 @@ def diff_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def cell_diff(
+    before: DataFrame, after: DataFrame, key_cols: str | Sequence[str], cols: Sequence[str] | None = None
+) -> DataFrame:
+    """Which cells differ between two versions of a table: ``(key..., column, change, before, after)``.
+
+    A row is known by its ``key_cols``, where missing is a value like others. ``change`` is ``changed``, or ``added`` or
+    ``removed`` for a row that is in one version only (once per row, without column). ``cols`` are the data
+    columns that both versions have, unless given; cells of one type are compared by value, others by text, and
+    two missing cells are equal. The cells are shown as text.
+
+    Both versions go through one shuffle by key. A key that two rows of a version share stops the query; such rows
+    are counted before the shuffle, so it is found without collecting them.
+    """
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    if cols is None:
+        cols = [c for c in data_columns(before) if c in data_columns(after) and c not in keys]
+    require(before, *keys, *cols)
+    require(after, *keys, *cols)
+    types = [(before.schema[c].dataType, after.schema[c].dataType) for c in cols]
+    by_value = [a == b and not isinstance(a, (T.MapType, T.VariantType)) for a, b in types]
+
+    def side(df: DataFrame, is_after: bool) -> DataFrame:
+        cells = [
+            (col_ref(c) if same else _shown(col_ref(c), df.schema[c].dataType)).alias(f"c{i}")
+            for i, (c, same) in enumerate(zip(cols, by_value, strict=True))
+        ]
+        names = [_comparable(col_ref(k), df.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys)]
+        return df.select(*names, F.struct(*cells, F.lit(0).alias("none")).alias("row"), F.lit(is_after).alias("is_after"))
+
+    def rows(is_after: bool) -> Column:
+        return F.count_if(F.col("is_after") == is_after)
+
+    def row(is_after: bool) -> Column:
+        return F.first(F.when(F.col("is_after") == is_after, F.col("row")), ignorenulls=True)
+
+    named = [f"k{i}" for i in range(len(keys))]
+    met = side(before, False).unionAll(side(after, True)).groupBy(*named).agg(
+        rows(False).alias("n0"), rows(True).alias("n1"), row(False).alias("r0"), row(True).alias("r1")
+    )
+    shared = F.raise_error(F.lit(f"two rows have the same {', '.join(keys)}; cell_diff needs a key")).cast("boolean")
+    met = met.where(F.when((F.col("n0") > 1) | (F.col("n1") > 1), shared).otherwise(F.lit(True)))
+
+    def change(kind: str, column: str | None, shown: tuple[Column, Column]) -> Column:
+        values = F.lit(column).cast("string").alias("column"), F.lit(kind).alias("change")
+        return F.struct(*values, shown[0].alias("before"), shown[1].alias("after"))
+
+    nothing = F.lit(None).cast("string")
+    found = [
+        F.when(F.col("n0") == 0, change("added", None, (nothing, nothing))),
+        F.when(F.col("n1") == 0, change("removed", None, (nothing, nothing))),
+    ]
+    for i, (c, same) in enumerate(zip(cols, by_value, strict=True)):
+        old, new = F.col(f"r0.c{i}"), F.col(f"r1.c{i}")
+        shown = tuple(_shown(x, types[i][0]).cast("string") if same else x for x in (old, new))
+        both = (F.col("n0") > 0) & (F.col("n1") > 0)
+        found.append(F.when(both & ~old.eqNullSafe(new), change("changed", c, shown)))
+    changes = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return met.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.inline(changes))
+
+
+def _comparable(cell: Column, dtype: T.DataType) -> Column:
+    return F.to_json(cell) if isinstance(dtype, T.MapType) else no_nan(cell, dtype)
+
+
+def changed_cells(before: DataFrame, after: DataFrame, key_cols: str | Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
+    """Totals of :func:`cell_diff`: ``column``, ``change``, ``cells`` (rows for ``added`` and ``removed``)."""
+    return cell_diff(before, after, key_cols, cols).groupBy("column", "change").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def profile_state(df: DataFrame, cols: Sequence[str] | None = None, *, by: str | Sequence[str] = ()) -> DataFrame:
+    """What :func:`merged_profile` needs of a part of a growing table, to be stored: one row per column, and per value
+    of ``by`` (say, the day): ``column, type, rows, missing, max_width, sketch``.
+
+    ``sketch`` (at most 4 KB) holds the distinct values of the part. One pass with partial sums in each task.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    cols = list(cols) if cols is not None else [c for c in data_columns(df) if c not in by]
+    require(df, *by, *cols)
+    totals, rows = [F.count(F.lit(1)).alias("__rows")], []
+    for i, name in enumerate(cols):
+        dtype, cell = df.schema[name].dataType, col_ref(name)
+        missing = is_missing(cell, dtype)
+        totals += [
+            F.hll_sketch_agg(F.when(~missing, F.xxhash64(_distinct_key(cell, dtype)))).alias(f"__s{i}"),
+            F.count(F.when(missing, 1)).alias(f"__m{i}"),
+            F.greatest(F.coalesce(_widest(cell, dtype), F.lit(0)), F.lit(len(name))).alias(f"__w{i}"),
+        ]
+        rows.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.lit(dtype.simpleString()).alias("type"),
+                F.col("__rows").alias("rows"),
+                F.col(f"__m{i}").alias("missing"),
+                F.col(f"__w{i}").cast("bigint").alias("max_width"),
+                F.col(f"__s{i}").alias("sketch"),
+            )
+        )
+    parts = df.groupBy(*map(col_ref, by)).agg(*totals) if by else df.agg(*totals)
+    return parts.select(*map(col_ref, by), F.inline(F.array(*rows)))
+
+
+def merged_profile(*states: DataFrame) -> DataFrame:
+    """The profile of all parts together, from their states alone: ``column, type, distinct_values`` (about; missing
+    counts as one), ``has_missing, max_width, rows, missing``. A column whose type changed has a row per type."""
+    kept = ["column", "type", "rows", "missing", "max_width", "sketch"]
+    parts = [state.select(*kept) for state in states]
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionAll(part)
+    merged = together.groupBy("column", "type").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("values"),
+        *[F.sum(c).alias(c) for c in ("rows", "missing")],
+        F.max("max_width").alias("max_width"),
+    )
+    has_missing = F.col("missing") > 0
+    return merged.select(
+        "column",
+        "type",
+        (F.col("values") + has_missing.cast("bigint")).alias("distinct_values"),
+        has_missing.alias("has_missing"),
+        "max_width",
+        "rows",
+        "missing",
+    )
+
+
 def marked_columns(df: DataFrame, *marks: str) -> list[str]:
     return [c for c in df.columns if any(has_mark(df, c, m) for m in marks or MARKS)]
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import is_float_text, is_whole_text, to_number
-from ..functions.text import FLOATING, cell_text, col_ref
+from ..functions.text import FLOATING, cell_text, col_ref, quoted
 from ..operators.common import is_mark
+from .records import QuoteCounts, quoted_records
 from .workbooks import read_workbooks
 
 # Cell text that stands for a missing value in CSV files.
@@ -56,8 +57,9 @@ def read_table(
     CSV: the first line names the columns. Without ``schema``, ``infer`` decides over the whole
     input whether a column holds whole numbers, numbers, truth values or text (one pass); dates
     stay text, and so do whole numbers beyond 64 bits. Line breaks inside quotes are part of the cell: with
-    ``multi_line=None`` one pass looks for them, and only an input that may have some is read with one task
-    per file (True: always, False: never).
+    ``multi_line=None`` one pass looks for them, and an input that has some is cut into records by as many tasks
+    as it has blocks (:mod:`sparkscrub.sources.records`); quotes in odd places leave it to one task per file.
+    True: always one task per file; False: every line is a record.
 
     A line with more cells than the header, or a cell that does not fit its type in ``schema``, stops the
     query that reads it. With ``on_bad="null"`` surplus cells are dropped and such cells are missing;
@@ -82,33 +84,36 @@ def read_table(
 _RECORD = "__record"
 
 
+_CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def csv_reader(reader, multi_line: bool):
     """Options that hold for every CSV input, batch or stream."""
-    return (
-        reader.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-    )
+    return reader.options(header=True, multiLine=multi_line, **_CSV_OPTIONS)
 
 
-def _has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Is there a line with an odd number of quotes, as at both ends of a quoted line break?"""
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    return bool(spark.read.text(path).agg(F.bool_or(quotes % 2 == 1)).first()[0])
+_FILE = "__file"
 
 
 def _raw_csv(spark: SparkSession, path: str, multi_line: bool | None) -> tuple[DataFrame, list[str]]:
-    """All cells as text, with the line's own text in ``__record`` where its cells do not match the header."""
+    """All cells as text, with the line's own text in ``__record`` where its cells do not match the header, and
+    the file in ``__file``."""
+    records = None
     if multi_line is None:
-        multi_line = _has_open_quotes(spark, path)
+        counts = QuoteCounts(spark, path)
+        multi_line = counts.any_open
+        records = quoted_records(spark, path, counts) if multi_line else None
     names = csv_reader(spark.read, multi_line).csv(path).columns
+    if records is not None:
+        wanted = ", ".join(f"{quoted(n)} STRING" for n in [*names, _RECORD])
+        options = {k: str(v).lower() for k, v in _CSV_OPTIONS.items()} | {"columnNameOfCorruptRecord": _RECORD}
+        cells = records.where("NOT first").select(F.from_csv("record", wanted, options).alias("cells"), F.col("file").alias(_FILE))
+        return cells.select("cells.*", _FILE), names
     wanted = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
     reader = csv_reader(spark.read, multi_line).schema(wanted).option("columnNameOfCorruptRecord", _RECORD)
     # Lines are only told apart if all of their cells are parsed.
-    return reader.option("columnPruning", False).csv(path), names
+    raw = reader.option("columnPruning", False).csv(path)
+    return raw.select("*", F.col("_metadata.file_path").alias(_FILE)), names
 
 
 def _surplus(n_names: int) -> Column:
@@ -123,8 +128,8 @@ def bad_lines(spark: SparkSession, path: str, *, multi_line: bool | None = None)
     raw, names = _raw_csv(spark, path, multi_line)
     bare = F.regexp_replace(F.col(_RECORD), r'"(?:[^"]|"")*+"', "")
     cells = (F.length(bare) - F.length(F.translate(bare, ",", "")) + 1).cast("int")
-    found = raw.select("*", F.col("_metadata.file_path").alias("file")).where(_surplus(len(names)))
-    return found.select("file", _record_beside(names[0]).alias("line"), cells.alias("cells"))
+    found = raw.where(_surplus(len(names)))
+    return found.select(F.col(_FILE).alias("file"), _record_beside(names[0]).alias("line"), cells.alias("cells"))
 
 
 def _record_beside(name: str) -> Column:
@@ -143,7 +148,7 @@ def _read_csv(spark, path, schema, infer, missing_tokens, multi_line, on_bad) ->
     if on_bad == "raise":
         message = F.concat(
             F.lit("a line has more cells than the header, in "),
-            F.col("_metadata.file_path"),
+            F.col(_FILE),
             F.lit(": "),
             F.left(_record_beside(names[0]), F.lit(200)),
         )

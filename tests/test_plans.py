@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import sparkscrub as ss
+from sparkscrub.operators import duplicates
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,19 +58,25 @@ def test_columns_are_pruned_and_filters_reach_the_scan(spark):
     assert "LessThan(o_orderkey,100)" in text
 
 
-def test_remove_duplicates_leaves_unique_rows_where_they_are(spark):
-    text = plan(ss.remove_duplicates(table(spark, "orders"), "o_custkey", order_by="o_orderkey"))
+def test_remove_duplicates_leaves_unique_rows_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "_WORTH_MEASURING", 0)
+    orders = table(spark, "orders")
+    text = plan(ss.remove_duplicates(orders, "o_orderkey", order_by="o_orderkey"))
     assert "Union" in text and text.count("Exchange hashpartitioning") == 1
     assert "partial_min_by" in text.split("Exchange hashpartitioning")[1]
+    text = plan(ss.remove_duplicates(orders, "o_custkey", order_by="o_orderkey"))
+    assert "Union" not in text and text.count("Exchange") == 1 and text.count("orders.parquet") == 1
 
 
 def test_marking_pooled_columns_scans_the_table_once(spark):
     df = table(spark, "orders").withColumns({c: F.col("o_custkey") % 3 for c in "abc"})
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for cols in (["o_custkey"], ["o_custkey", "o_orderkey", "a", "b", "c"]):
+        for cols, scans in ((["o_custkey"], 1), (["o_custkey", "o_orderkey", "a", "b", "c"], 0)):
             marked = ss.mark_duplicates(df, cols)
-            assert plan(marked).count("orders.parquet") == 1
+            # Several columns are marked from the numbered rows, which one scan has written.
+            assert plan(marked).count("orders.parquet") == scans
+            assert plan(marked).count("SortMergeJoin") <= 2
             assert marked.count() == df.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

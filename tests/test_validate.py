@@ -1,5 +1,6 @@
 """Hand-written examples for every branch of the validators (FIXTURES.md)."""
 
+import random
 import pytest
 
 import sparkscrub as ss
@@ -263,3 +264,49 @@ def test_suffix_list_from_a_file(spark, tmp_path):
     suffixes = ss.read_domain_list(spark, str(tmp_path / "list.txt"))
     assert sorted(r.domain for r in suffixes.collect()) == ["*.ck", "co.uk"]
     assert verdict(spark, "email", "a@x.co.uk", suffixes=suffixes) == (True, "Valid Domain")
+
+
+_SUFFIX_RULES = ["com", "uk", "co.uk", "*.ck", "!www.ck", "*.kobe.jp", "!city.kobe.jp", "aa.bb.cc.dd", "*.bb.cc.dd.ee", " JP "]
+
+
+def _known(domain, rules):
+    """The longest rule that fits, exceptions first, label by label."""
+    labels, best = domain.split("."), None
+    for rule in (r.strip().lower() for r in rules):
+        exception, parts = rule.startswith("!"), rule.lstrip("!").split(".")
+        tail = labels[-len(parts) :]
+        if len(tail) == len(parts) and all(p in ("*", t) for p, t in zip(parts, tail, strict=True)):
+            best = max(best or (False, 0), (exception, len(parts) - exception))
+    return best is not None and len(labels) > best[1]
+
+
+@pytest.mark.parametrize("as_table, limit", [(False, None), (True, None), (True, "-1")])
+def test_suffix_rules_of_any_depth(spark, as_table, limit):
+    rng = random.Random(1)
+    names = ["aa", "bb", "cc", "dd", "ee", "ck", "www", "kobe", "city", "jp", "uk", "co", "com"]
+    domains = {".".join(rng.choice(names) for _ in range(rng.randint(2, 6))) for _ in range(400)}
+    domains |= {"x.com", "com.com", "x.y.www.ck", "b.ck", "x.aa.bb.cc.dd", "bb.cc.dd", "q.bb.cc.dd.ee", "x.q.bb.cc.dd.ee"}
+    rules = spark.createDataFrame([(r,) for r in _SUFFIX_RULES], "rule string") if as_table else _SUFFIX_RULES
+    df = spark.createDataFrame([(f"me@{d}",) for d in sorted(domains) * 3], "email string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if limit:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = ss.validate_email(df, "email", suffix_rules=rules).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 3 * len(domains)
+    for r in rows:
+        assert (r["email__reason"] == "Unknown TLD") != _known(r["email"][3:], _SUFFIX_RULES), r
+
+
+def test_suffix_rules_in_recipes_and_copies(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("// rules\n*.ck\n!www.ck\n")
+    df = spark.createDataFrame([("a@www.ck",), ("a@b.ck",), ("a@x.com",)], "email string")
+    step = {"key": "op_validate_email", "column": "email", "suffix_rules": str(tmp_path / "rules.txt")}
+    found = ss.Recipe([step]).apply(df).collect()
+    assert [r["email__invalid"] for r in sorted(found, key=lambda r: r["email"])] == [True, False, True]
+    rules = ss.DomainRules(suffix_rules=["com"]).allow("b.ck")
+    assert rules.suffix_rules == ["com"]
+    reasons = {r["email"]: r["email__reason"] for r in ss.validate_email(df, "email", rules=rules).collect()}
+    assert reasons == {"a@www.ck": "Unknown TLD", "a@b.ck": "Allowed Domain", "a@x.com": "Valid Commercial"}
