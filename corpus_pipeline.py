@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 ``STAGES`` lists (name, function); each function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, whose written
-rows are the next stage's ``docs``. All but the last return the columns of ``documents``.
+rows are the next stage's ``docs``. All but the last return the columns of ``documents``; columns of any name pass.
+In every stage a null text is empty, and an empty one is rejected by the first; rows without id are judged by their
+text; repeated rows are judged alike, and one of them stays in the third; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,12 +28,16 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component linked by five-word shingle sets with a similarity of 0.8 or more.
+#: A pair at exactly 0.8 agrees on fewer than 38 of 64 coordinates with a probability of 4e-05.
+NEAR = {"percent": 80, "coordinates": 64, "matches": 38}
+#: Words whose ids a packing worker keeps: fewer than alone, as its machine has worked for other stages before.
+REMEMBER = 200_000
+
 
-    A pair at exactly 0.8 agrees on fewer than 38 of 64 coordinates with a probability of 4e-05.
-    """
-    return deduplicated(docs, percent=80, coordinates=64, matches=38)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component linked by five-word shingle sets with a similarity of 0.8 or more; of equal
+    or linked ones the smallest id."""
+    return deduplicated(docs, **NEAR)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences of 4096 tokens."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), remember=REMEMBER)
 
 
 STAGES = [
