@@ -11,22 +11,51 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_runs, utf8
+from .common import Scratch, giving_back, in_runs, partitions, utf8
 
-BLOCK_BYTES = 32 << 20
+#: Bytes of text of an average block.
+BLOCK_BYTES = 16 << 20
 #: Bytes of texts worked on, or squeezed into one row of the shuffle, at once.
-_TEXT_BYTES = 2 << 20
+_TEXT_BYTES = 1 << 20
+#: Keys that a task holds before it writes its lists.
+_HELD_KEYS = 2_000_000
+#: Blocks have a partition each up to this number, beyond which they share partitions evenly.
+_MOST_PARTS = 50_000
 
 
-def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` (``doc_id``, ``text``, ...) plus ``block``; the number of blocks follows the bytes of all texts."""
-    held = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
-    n = max(1, -(-held // block_bytes))
-    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(n)).cast("int")
-    return docs.withColumn("block", block)
+def with_blocks(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """``docs`` (``text``, ...) plus ``block`` and ``deal`` (a partition number); the number of partitions.
+
+    A block is a run of neighbouring rows of one file, known by the rows' places in it, so any task that reads a row
+    finds the same block for it, and equal rows belong to as many blocks as their places do. Rows that are not read
+    from files are written first. Long texts belong to blocks of their own, so that no block holds many of them.
+    """
+    place = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    try:
+        at = docs.select("*", *place)
+    except AnalysisException:
+        docs = scratch.save(docs, "docs")
+        at = docs.select("*", *place)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    is_long = size > block_bytes // 32
+    total, n_long, n_rows = docs.agg(
+        F.coalesce(F.sum(size), F.lit(0)),
+        F.coalesce(F.sum(F.when(is_long, size)), F.lit(0)),
+        F.count(F.when(~is_long, 1)),
+    ).first()
+    long_blocks = -(-n_long // block_bytes)
+    rows = max(1, block_bytes * n_rows // max(1, total - n_long))
+    n_blocks = long_blocks + -(-(total - n_long) // block_bytes)
+    n = min(max(partitions(docs.sparkSession), n_blocks), max(partitions(docs.sparkSession), _MOST_PARTS))
+    chunk = F.floor(F.col("__row") / rows)
+    long_at = F.pmod(F.xxhash64("text"), F.lit(max(1, long_blocks)))
+    block = F.when(is_long, F.xxhash64(F.lit("long"), long_at)).otherwise(F.xxhash64("__file", chunk))
+    deal = F.pmod(F.when(is_long, long_at).otherwise(F.xxhash64("__file") % n + chunk), F.lit(n)).cast("int")
+    return at.select(*[f"`{c}`" for c in docs.columns], block.alias("block"), deal.alias("deal")), n
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -42,80 +71,97 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 
 
 def needed_keys(
-    blocked: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, name: str
+    blocked: DataFrame, parts: int, keys: Callable[[np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, name: str
 ) -> DataFrame:
-    """Distinct rows ``block``, ``key`` (written): the keys that ``keys(bytes, offsets)`` finds in a block's texts."""
+    """Distinct rows ``block``, ``deal``, ``key`` (written): the keys that ``keys(bytes, offsets)`` finds in a block's
+    texts. ``blocked`` and ``parts`` are those of :func:`with_blocks`."""
 
     def collect(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
         size = 0
 
         def out():
-            packed = [(b, _pack(np.unique(np.concatenate(parts)))) for b, parts in held.items()]
+            packed = [_pack(np.unique(np.concatenate(found))) for found in held.values()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in packed], pa.int32()), pa.array([p[1] for p in packed], pa.binary())],
-                names=["block", "keys"],
+                [
+                    pa.array([block for block, _ in held], pa.int64()),
+                    pa.array([deal for _, deal in held], pa.int32()),
+                    pa.array(packed, pa.binary()),
+                ],
+                names=["block", "deal", "keys"],
             )
 
         for batch in batches:
-            block = np.asarray(batch.column("block"))
-            for b in np.unique(block).tolist():
-                data, offsets = utf8(batch.column("text").filter(pa.array(block == b)))
+            for a, b, block in _runs(np.asarray(batch.column("block"))):
+                data, offsets = utf8(batch.column("text").slice(a, b - a))
+                at = block, batch.column("deal")[a].as_py()
                 for i, j in in_runs(np.diff(offsets).tolist(), _TEXT_BYTES):
                     found = np.unique(keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                    held.setdefault(b, []).append(found)
+                    held.setdefault(at, []).append(found)
                     size += len(found)
-            if size > 4_000_000:
-                yield out()
-                held, size = {}, 0
+                    if size > _HELD_KEYS:
+                        yield out()
+                        held.clear()
+                        size = 0
         if held:
             yield out()
 
     def merge(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, parts = None, []
+        now, found, size = None, [], 0
 
         def out():
-            found = np.unique(np.concatenate(parts))
-            for k in range(0, len(found), 1 << 18):
-                part = found[k : k + (1 << 18)]
+            keys = np.unique(np.concatenate(found))
+            for k in range(0, len(keys), 1 << 18):
+                part = keys[k : k + (1 << 18)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), now, np.int32)), pa.array(part)], names=["block", "key"]
+                    [pa.array(np.full(len(part), now[0])), pa.array(np.full(len(part), now[1], np.int32)), pa.array(part)],
+                    names=["block", "deal", "key"],
                 )
 
         for batch in batches:
-            for b, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if now is not None and b != now:
+            for *at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if now is not None and at != now:
                     yield from out()
-                    parts = []
-                now = b
-                parts.append(_unpack(packed.as_py(), np.int64))
-                if sum(map(len, parts)) > 4_000_000:
-                    parts = [np.unique(np.concatenate(parts))]
-        if parts:
+                    found, size = [], 0
+                now = at
+                found.append(_unpack(packed.as_py(), np.int64))
+                size += len(found[-1])
+                if size > 2 * _HELD_KEYS:
+                    found = [np.unique(np.concatenate(found))]
+                    size = len(found[0])
+        if found:
             yield from out()
 
-    lists = blocked.mapInArrow(collect, "block int, keys binary")
-    lists = lists.repartition("block").sortWithinPartitions("block")
-    return scratch.save(lists.mapInArrow(merge, "block int, key long"), name)
+    lists = blocked.mapInArrow(giving_back(collect), "block long, deal int, keys binary")
+    lists = lists.repartitionById(parts, F.col("deal")).sortWithinPartitions("block")
+    return scratch.save(lists.mapInArrow(giving_back(merge), "block long, deal int, key long"), name)
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """First and last place, and value, of each run of equal ``values``."""
+    edges = np.flatnonzero(np.diff(values, prepend=~values[:1])).tolist()
+    for a, b in zip(edges, [*edges[1:], len(values)], strict=True):
+        yield a, b, int(values[a])
 
 
 def with_tables(
     blocked: DataFrame,
+    parts: int,
     table: DataFrame,
     work: Callable[[np.ndarray, dict[str, np.ndarray], Iterator], Iterator],
     schema: str,
 ) -> DataFrame:
     """``work(keys, values, batches)`` per block: its sorted keys, their values, and its documents in batches.
 
-    ``table`` has ``block``, ``key`` and float or long values, at most one row per block and key. A block's table
+    ``table`` has ``block``, ``deal``, ``key`` and float or long values, at most one row per block and key. A block's table
     comes first in its partition and its documents stream past it. Documents are shuffled as compressed runs of
     rows of one block, which take far less room than single rows.
     """
-    values = [c for c in table.columns if c not in ("block", "key")]
+    values = [c for c in table.columns if c not in ("block", "deal", "key")]
     kinds = {c: dict(table.dtypes)[c] for c in values}
 
     def pack(batches: Iterator) -> Iterator:
@@ -124,22 +170,27 @@ def with_tables(
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            block, key = np.asarray(batch.column("block")), np.asarray(batch.column("key"))
-            edges = np.flatnonzero(np.diff(block, prepend=-1))
-            rows: list[list] = [[], [], []]
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
+            key = np.asarray(batch.column("key"))
+            rows: list[list] = [[], [], [], []]
+            for a, b, block in _runs(np.asarray(batch.column("block"))):
                 columns = [np.asarray(batch.column(c))[a:b] for c in values]
-                rows[0].append(int(block[a]))
+                rows[0].append(block)
+                rows[3].append(batch.column("deal")[a].as_py())
                 rows[1].append(_pack(key[a:b]))
                 rows[2].append(squeeze(b"".join(np.ascontiguousarray(c, "f4" if kinds[n] == "float" else "i8").tobytes() for n, c in zip(values, columns, strict=True))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
-                names=["block", "keys", "values"],
+                [
+                    pa.array(rows[0], pa.int64()),
+                    pa.array(rows[3], pa.int32()),
+                    pa.array(rows[1], pa.binary()),
+                    pa.array(rows[2], pa.binary()),
+                ],
+                names=["block", "deal", "keys", "values"],
             )
 
-    packed = table.repartition("block").sortWithinPartitions("block", "key")
-    packed = packed.mapInArrow(pack, "block int, keys binary, values binary")
-    names = [c for c in blocked.columns if c != "block"]
+    packed = table.repartitionById(parts, F.col("deal")).sortWithinPartitions("block", "key")
+    packed = packed.mapInArrow(giving_back(pack), "block long, deal int, keys binary, values binary")
+    names = [c for c in blocked.columns if c not in ("block", "deal")]
 
     def squeeze(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -147,23 +198,26 @@ def with_tables(
 
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            block = np.asarray(batch.column("block"))
             rows = batch.select(names)
-            for b in np.unique(block).tolist():
-                part = rows.filter(pa.array(block == b))
+            for a, b, block in _runs(np.asarray(batch.column("block"))):
+                part = rows.slice(a, b - a)
                 for i, j in in_runs(np.diff(utf8(part.column("text"))[1]).tolist(), _TEXT_BYTES):
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, part.schema) as out:
                         out.write_batch(part.slice(i, j - i))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int32()), pa.array([compress(sink.getvalue())], pa.binary())],
-                        names=["block", "values"],
+                        [
+                            pa.array([block], pa.int64()),
+                            batch.column("deal").slice(a, 1),
+                            pa.array([compress(sink.getvalue())], pa.binary()),
+                        ],
+                        names=["block", "deal", "values"],
                     )
 
-    documents = blocked.mapInArrow(squeeze, "block int, values binary").select(
-        "block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("keys"), "values"
+    documents = blocked.mapInArrow(giving_back(squeeze), "block long, deal int, values binary").select(
+        "block", "deal", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("keys"), "values"
     )
-    tables = packed.select("block", F.lit(0).alias("kind"), "keys", "values")
+    tables = packed.select("block", "deal", F.lit(0).alias("kind"), "keys", "values")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -178,29 +232,29 @@ def with_tables(
             for batch in source:
                 if batch.num_rows == 0:
                     continue
-                mark = np.asarray(batch.column("block")).astype(np.int64) * 2 + np.asarray(batch.column("kind"))
-                edges = np.flatnonzero(np.diff(mark, prepend=-1))
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows], strict=True):
-                    yield int(mark[a]), batch.slice(a, b - a)
+                kinds = np.asarray(batch.column("kind"))
+                for a, b, block in _runs(np.asarray(batch.column("block"))):
+                    for i, j, kind in _runs(kinds[a:b]):
+                        yield (block, kind), batch.slice(a + i, j - i)
 
         stream = parts()
         state["ahead"] = next(stream, None)
 
-        def take(mark: int) -> Iterator:
+        def take(mark: tuple[int, int]) -> Iterator:
             while state["ahead"] is not None and state["ahead"][0] == mark:
                 part = state["ahead"][1]
                 state["ahead"] = next(stream, None)
                 yield part
 
-        def rows(mark: int) -> Iterator:
+        def rows(mark: tuple[int, int]) -> Iterator:
             for part in take(mark):
                 for squeezed in part.column("values"):
                     yield from pa.ipc.open_stream(loose(squeezed.as_py())).read_all().to_batches()
 
         while state["ahead"] is not None:
-            block = state["ahead"][0] // 2
+            block = state["ahead"][0][0]
             keys, columns = [], {c: [] for c in values}
-            for part in take(2 * block):
+            for part in take((block, 0)):
                 for k, v in zip(part.column("keys"), part.column("values"), strict=True):
                     keys.append(_unpack(k.as_py(), np.int64))
                     raw, at = loose(v.as_py()), 0
@@ -211,9 +265,9 @@ def with_tables(
             key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             order = np.argsort(key, kind="stable")
             found = {c: (np.concatenate(v) if v else np.zeros(0))[order] for c, v in columns.items()}
-            yield from work(key[order], found, rows(2 * block + 1))
-            for _ in take(2 * block + 1):  # whatever was not read
+            yield from work(key[order], found, rows((block, 1)))
+            for _ in take((block, 1)):  # whatever was not read
                 pass
 
-    both = tables.unionAll(documents).repartition("block").sortWithinPartitions("block", "kind")
-    return both.mapInArrow(run, schema)
+    both = tables.unionAll(documents).repartitionById(parts, F.col("deal")).sortWithinPartitions("block", "kind")
+    return both.mapInArrow(giving_back(run), schema)

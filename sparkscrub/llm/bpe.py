@@ -22,15 +22,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, in_runs, partitions, utf8
+from .blocks import BLOCK_BYTES, with_blocks
+from .common import Scratch, giving_back, in_runs, partitions, utf8
 
-#: Bytes of text of an average block.
-BLOCK_BYTES = 16 << 20
 #: Bytes of text worked on, or squeezed into one row of the shuffle, at once.
 _RUN_BYTES = 2 << 20
 #: Words that a task holds before it writes its lists, or that a bucket remembers, at most.
@@ -148,39 +146,6 @@ def _loose(data: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends], ends)]
 
 
-def _with_blocks(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """``docs`` (``doc_id``, ``text``) plus ``block`` and ``deal`` (a partition number); the number of partitions.
-
-    A block is a run of neighbouring rows of one file, known by the rows' places in it, so any task that reads a row
-    finds the same block for it. Rows that are not read from files are written first. Long texts belong to blocks
-    of their own, so that no block holds many of them.
-    """
-    try:
-        at = docs.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:
-        docs = scratch.save(docs, "docs")
-        at = docs.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    is_long = size > BLOCK_BYTES // 32
-    total, n_long, n_rows = docs.agg(
-        F.coalesce(F.sum(size), F.lit(0)),
-        F.coalesce(F.sum(F.when(is_long, size)), F.lit(0)),
-        F.count(F.when(~is_long, 1)),
-    ).first()
-    long_blocks = -(-n_long // BLOCK_BYTES)
-    rows = max(1, BLOCK_BYTES * n_rows // max(1, total - n_long))
-    n = max(partitions(docs.sparkSession), long_blocks + -(-(total - n_long) // BLOCK_BYTES))
-    chunk = F.floor(F.col("row") / rows)
-    long_at = F.pmod(F.xxhash64("text"), F.lit(max(1, long_blocks)))
-    of_file = F.xxhash64("file")
-    return at.select(
-        "doc_id",
-        "text",
-        F.when(is_long, F.xxhash64(F.lit("long"), long_at)).otherwise(F.xxhash64("file", chunk)).alias("block"),
-        F.pmod(F.when(is_long, long_at).otherwise(of_file + chunk), F.lit(n)).cast("int").alias("deal"),
-    ), n
-
-
 def encode(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None
 ) -> DataFrame:
@@ -194,7 +159,8 @@ def encode(
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     id_type = docs.schema[doc_id].dataType
-    blocked, n_parts = _with_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), scratch)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    blocked, n_parts = with_blocks(rows, scratch, BLOCK_BYTES)
     # Lists shrink as buckets grow in number, so both grow with the root of the corpus.
     n_buckets = max(4 * partitions(spark), math.isqrt(n_parts) * 8)
 
@@ -309,14 +275,14 @@ def encode(
                     yield pa.RecordBatch.from_arrays([some.column("doc_id"), encoded], names=["doc_id", "ids"])
 
     wanted = blocked.select("text", "block", "deal").mapInArrow(
-        lists, "bucket int, block long, deal int, n int, words binary"
+        giving_back(lists), "bucket int, block long, deal int, n int, words binary"
     )
     wanted = wanted.repartition("bucket").sortWithinPartitions("bucket")
     run_of = "block long, deal int, n int, data binary"
-    met = wanted.mapInArrow(answers, run_of).unionAll(blocked.mapInArrow(texts, run_of))
+    met = wanted.mapInArrow(giving_back(answers), run_of).unionAll(blocked.mapInArrow(giving_back(texts), run_of))
     # A block's words come before its texts, whose runs have n = -1.
     met = met.repartitionById(n_parts, F.col("deal")).sortWithinPartitions("block", F.col("n").desc())
-    return met.mapInArrow(place, T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.BinaryType())]))
+    return met.mapInArrow(giving_back(place), T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
@@ -345,7 +311,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
                     [*(part.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "decoded"]
                 )
 
-    return encoded.select(*[f"`{c}`" for c in kept]).mapInArrow(join, schema)
+    return encoded.select(*[f"`{c}`" for c in kept]).mapInArrow(giving_back(join), schema)
 
 
 @cache

@@ -7,7 +7,7 @@ and the driver can read, so a lost executor costs a rerun of its tasks and nothi
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -169,6 +169,50 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFra
     return rows.join(small(gone, 80), F.col("__key") == F.col("key"), "left_anti").select("__row.*")
 
 
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for ``mapInArrow``; after it the worker, which lives on, hands the memory that it has freed back."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        _release()
+
+    return run
+
+
+def added_up(sums: DataFrame, size: int, kind: str, driver_bytes: int = 32 << 20) -> np.ndarray:
+    """The sum of the arrays (``size`` numbers of ``kind``) in the binary column ``sums``, one row per task or so.
+
+    Few tasks add them up first, so that what reaches the driver does not depend on the number of rows.
+    """
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(size, kind)
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_py(), kind)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    few = max(1, min(16, driver_bytes // (8 * size)))
+    found = sums.repartition(few).mapInArrow(add, "sums binary").collect()
+    return np.sum([np.frombuffer(row[0], kind) for row in found] or [np.zeros(size, kind)], axis=0)
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 def in_runs(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to ``limit`` at most; a larger item stands alone."""
     start, total, at = 0, 0, 0

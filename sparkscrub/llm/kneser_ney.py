@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import needed_keys, with_blocks, with_tables
-from .common import Scratch, doc_bucket, in_runs, row_key, small, utf8, without
+from .common import Scratch, doc_bucket, giving_back, in_runs, row_key, small, utf8, without
 
 ORDER = 5
 #: Bytes that no UTF-8 text has: before the start, after the end.
 _START, _END = 0xFF, 0xFE
 _SYMBOLS = 257  # 256 byte values and the end
-_TEXT_BYTES = 2 << 20
+_TEXT_BYTES = 1 << 20
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 key, n = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["gram", "n"])
 
-    counted = texts.select("text").mapInArrow(run, "gram long, n long")
+    counted = texts.select("text").mapInArrow(giving_back(run), "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -128,8 +128,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
     perplexity of its end alone.
     """
     model = Counts(count_grams(trusted), scratch)
-    blocked = with_blocks(docs)
-    pairs = needed_keys(blocked, lambda data, offsets: grams(data, offsets)[0], scratch, "pairs")
+    blocked, parts = with_blocks(docs, scratch)
+    pairs = needed_keys(blocked, parts, lambda data, offsets: grams(data, offsets)[0], scratch, "pairs")
     table = model.log_probabilities(scratch.save(pairs.select("key").distinct(), "distinct"), scratch)
     kept = [c for c in docs.columns if c != "text"]
 
@@ -151,7 +151,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", n_bytes long, perplexity double"
-    return with_tables(blocked, pairs.join(table, "key").select("block", "key", "logp"), work, schema)
+    return with_tables(blocked, parts, pairs.join(table, "key").select("block", "deal", "key", "logp"), work, schema)
 
 
 def classify(

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from . import recurrent
 from .blocks import needed_keys, with_blocks, with_tables
-from .common import Scratch, doc_bucket, in_runs, utf8
+from .common import Scratch, added_up, doc_bucket, giving_back, in_runs, utf8
 from .shingles import word_hashes
 
-_TEXT_BYTES = 4 << 20
+_TEXT_BYTES = 1 << 20
 #: Tokens of one pass of the optimiser inside a task; texts scored side by side, in bytes.
-_PASS_TOKENS, _SCORE_BYTES = 1_000_000, 32 << 20
+_PASS_TOKENS, _SCORE_BYTES = 1_000_000, 16 << 20
 _SMOOTH = 0.1
 #: Endings: a to z, full stop, comma, exclamation mark, digit, beyond ASCII, any other.
 _SHAPES = 32
@@ -60,7 +60,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     names=["key", "shape", "n"],
                 )
 
-    counted = texts.select("text").mapInArrow(run, "key long, shape int, n long")
+    counted = texts.select("text").mapInArrow(giving_back(run), "key long, shape int, n long")
     return counted.groupBy("key").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
 
 
@@ -96,7 +96,7 @@ def _train_round(docs: DataFrame, weights: recurrent.Weights, keys: np.ndarray,
 
         now, keys = shared.value
         tokens = _Tokens(keys, now.layout)
-        held, total = [], 0
+        held, size, total = [], 0, 0
 
         def learn(w):
             return recurrent.train(w, np.concatenate(held), rate=rate)
@@ -104,27 +104,20 @@ def _train_round(docs: DataFrame, weights: recurrent.Weights, keys: np.ndarray,
         for batch in batches:
             for a, b, key, text, shape in _words(batch.column(0)):
                 held.append(tokens.stream(b - a, key, text, shape)[0])
-                total += len(held[-1])
-                if sum(map(len, held)) >= _PASS_TOKENS:
-                    now, held = learn(now), []
+                size += len(held[-1])
+                if size >= _PASS_TOKENS:
+                    now, total = learn(now), total + size
+                    held, size = [], 0
         if held:
-            now = learn(now)
+            now, total = learn(now), total + size
         if total:
-            flat = now.flat().astype(np.float64) * total
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(total)))],
-                names=["at", "value", "weight"],
-            )
+            flat = np.append(now.flat().astype(np.float64), 1.0) * total
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["sums"])
 
-    learned = docs.select("text").mapInArrow(run, "at int, value double, weight double")
-    # One row per parameter, whatever the number of tasks.
-    rows = learned.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()
-    if not rows:
-        return weights
-    values = np.zeros(len(weights.flat()))
-    for r in rows:
-        values[r[0]] = r[1]
-    return weights.unflat(values)
+    # One row per task, which a few tasks add up.
+    n = len(weights.flat())
+    sums = added_up(docs.select("text").mapInArrow(giving_back(run), "sums binary"), n + 1, "float64")
+    return weights.unflat(sums[:n] / sums[n]) if sums[n] else weights
 
 
 def score_documents(
@@ -175,9 +168,9 @@ def score_documents(
     for k in range(rounds):
         weights = _train_round(training.where(turn == k), weights, keys, rate)
 
-    blocked = with_blocks(rows)
-    pairs = needed_keys(blocked, lambda data, offsets: word_hashes(data, offsets)[0].view(np.int64), scratch, "pairs")
-    table = pairs.join(words.select("key", "n"), "key").select("block", "key", "n")
+    blocked, parts = with_blocks(rows, scratch)
+    pairs = needed_keys(blocked, parts, lambda data, offsets: word_hashes(data, offsets)[0].view(np.int64), scratch, "pairs")
+    table = pairs.join(words.select("key", "n"), "key").select("block", "deal", "key", "n")
     shared = docs.sparkSession.sparkContext.broadcast((weights, keys, rest))
     kept = ["doc_id", "held_out"]
 
@@ -234,4 +227,4 @@ def score_documents(
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double"
     )
-    return with_tables(blocked, table, work, schema)
+    return with_tables(blocked, parts, table, work, schema)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, in_runs, small, union_find, utf8
+from .common import Scratch, components, giving_back, in_runs, small, union_find, utf8
 from .pairs import chunk_pairs, in_pairs, map_groups
 from .shingles import mix64, shingle_sets
 
@@ -64,7 +64,7 @@ def _signatures(docs: DataFrame, coordinates: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, lists], names=["doc_id", "n_shingles", "f1", "f2", "signature"])
 
     schema = "doc_id long, n_shingles long, f1 long, f2 long, signature array<int>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def _same_signature(coordinates: int, matches: int, percent: int):
@@ -204,7 +204,7 @@ def near_duplicates(
             )
 
     full = wanted.select("doc_id", "text", "root", "chunks").mapInArrow(
-        sets, "rep long, root long, chunks long, shingles binary"
+        giving_back(sets), "rep long, root long, chunks long, shingles binary"
     )
     cut = chunk_pairs(full, "rep", F.col("chunks"))
     linked = map_groups(cut, ["root", "__c1", "__c2"], _same_sets(percent), "a long, b long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ranked
+from .common import Scratch, giving_back, ranked
 
 Config = tuple[tuple[int, int], ...]
 
@@ -257,7 +257,7 @@ def token_pieces(
                 names=names,
             )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(giving_back(cut), schema)
 
 
 def pack(
@@ -267,6 +267,7 @@ def pack(
     end_id: int = 1,
     doc_id: str = "doc_id",
     text: str = "text",
+    remember: int = 800_000,
 ) -> DataFrame:
     """Every document's pieces placed in sequences of at most ``capacity`` tokens, as few as possible.
 
@@ -275,11 +276,12 @@ def pack(
     pieces of equal length are interchangeable. An empty table gives an empty result.
 
     The histogram of lengths reaches the driver (one row per length, ``capacity`` at most); the plan that is
-    broadcast has a bound of its own (see :func:`solve_configurations`).
+    broadcast has a bound of its own (see :func:`solve_configurations`). ``remember`` bounds the words whose ids a
+    worker keeps (about 200 bytes each).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    pieces = scratch.save(token_pieces(docs, tokenizer, capacity, end_id, doc_id, text), "pieces")
+    pieces = scratch.save(token_pieces(docs, tokenizer, capacity, end_id, doc_id, text, remember), "pieces")
     histogram = {row[0]: row[1] for row in pieces.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(placement(solve_configurations(histogram, capacity)))
     placed = ranked(pieces, ["length"], ["doc_id", "piece"], "__rank", scratch)
@@ -308,4 +310,4 @@ def pack(
             columns = [batch.column(name) for name in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    return placed.mapInArrow(place, schema)
+    return placed.mapInArrow(giving_back(place), schema)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import giving_back
+
 
 def chunk_pairs(members: DataFrame, item: str, chunks: Column) -> DataFrame:
     """``members`` once per pair of chunks it belongs to: ``__chunk`` (own), ``__c1`` <= ``__c2``."""
@@ -72,7 +74,7 @@ def map_groups(
                 columns = [np.concatenate(c) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(giving_back(run), schema)
 
 
 def in_pairs(chunk: np.ndarray, c1: int, c2: int) -> tuple[np.ndarray, np.ndarray]:

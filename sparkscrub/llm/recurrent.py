@@ -163,8 +163,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Gradients of the mean loss of a window (steps x lanes), and the state after it."""
+def _gradients(
+    w: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, live: np.ndarray | None = None
+) -> tuple[dict, np.ndarray]:
+    """Gradients of the mean loss of a window (steps x lanes), and the state after it. Only targets that are
+    ``live`` (all, unless given) count."""
     p, layout, n = w.parts, w.layout, w.hidden
     steps, lanes = inputs.shape
     into = p["embed"] @ p["into"] + p["bias"]
@@ -177,15 +180,20 @@ def _gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarra
         kept.append((g, u, c))
         after[t] = h
     flat, token = after.reshape(-1, n), targets.ravel()
-    count = h.dtype.type(len(token))
+    live = None if live is None or live.all() else live.ravel()
+    count = h.dtype.type(max(1, len(token) if live is None else live.sum()))
     grad = {}
     soft = _softmax(flat @ p["class_w"] + p["class_b"])
     soft[np.arange(len(token)), layout.class_of(token)] -= 1
     soft /= count
+    if live is not None:
+        soft[~live] = 0
     grad["class_w"], grad["class_b"] = flat.T @ soft, soft.sum(axis=0)
     back = soft @ p["class_w"].T
     grad["word_w"], grad["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
     for k, rows, word in _by_class(layout, token):
+        if live is not None:
+            rows, word = rows[live[rows]], word[live[rows]]
         part = slice(k * layout.per_class, (k + 1) * layout.per_class)
         states = flat[rows]
         soft = _softmax(states @ p["word_w"][part].T + p["word_b"][part])
@@ -227,18 +235,20 @@ def _gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarra
 
 
 def train(
-    w: Weights, token: np.ndarray, lanes: int = 256, window: int = 24, rate: float = 0.01, clip: float = 1.0
+    w: Weights, token: np.ndarray, lanes: int = 384, window: int = 24, rate: float = 0.01, clip: float = 1.0
 ) -> Weights:
     """``w`` after one pass over a stream of texts (each ended by END) by Adam.
 
     Up to ``lanes`` stretches of the stream are read side by side, fewer where that would leave less than a
-    hundred windows.
+    hundred windows. The last one is filled up to the length of the others; what fills it does not count.
     """
     stream = np.concatenate(([END], token))
     lanes = max(1, min(lanes, (len(stream) - 1) // (100 * window)))
-    length = (len(stream) - 1) // lanes
-    inputs = stream[: lanes * length].reshape(lanes, length).T
-    targets = stream[1 : lanes * length + 1].reshape(lanes, length).T
+    length = -(-(len(stream) - 1) // lanes)
+    filled = np.concatenate((stream, np.full(lanes * length + 1 - len(stream), END, stream.dtype)))
+    inputs = filled[:-1].reshape(lanes, length).T
+    targets = filled[1:].reshape(lanes, length).T
+    live = (np.arange(lanes * length) < len(stream) - 1).reshape(lanes, length).T
     parts = {k: v.copy() for k, v in w.parts.items()}
     first = {k: np.zeros_like(v) for k, v in parts.items()}
     second = {k: np.zeros_like(v) for k, v in parts.items()}
@@ -246,7 +256,7 @@ def train(
     h = np.zeros((lanes, w.hidden), np.float32)
     n_windows = -(-length // window)
     for step, at in enumerate(range(0, length, window)):
-        g, h = _gradients(now, inputs[at : at + window], targets[at : at + window], h)
+        g, h = _gradients(now, inputs[at : at + window], targets[at : at + window], h, live[at : at + window])
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         scale = min(1.0, clip / max(norm, 1e-9))
         pace = rate * (1 - 0.9 * step / n_windows) * min(1.0, (step + 1) / 20)

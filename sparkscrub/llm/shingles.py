@@ -14,6 +14,7 @@ _WINDOW = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
+_KEPT_POWERS = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -22,7 +23,7 @@ def _power(base: int, n: int) -> np.ndarray:
     while len(have) < n:
         step = np.uint64(pow(base, len(have), 2**64))
         have = np.concatenate([have, have * step])
-    _powers[base] = have
+    _powers[base] = have[:_KEPT_POWERS]  # those of a long text are made anew for it
     return have[:n]
 
 

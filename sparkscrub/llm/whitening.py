@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import added_up
+
 #: Greatest size of an entry's whole number: beyond it, doubles have no exact place for it.
 _EXACT = 1 << 53
 _EPS = float(np.finfo(np.float64).eps)
-#: Bytes of partial sums that may reach the driver.
-_DRIVER_BYTES = 32 << 20
 
 
 def negatives(a: np.ndarray, shift: float) -> int:
@@ -195,24 +195,16 @@ def _total(df: DataFrame, partial: Callable[[np.ndarray], np.ndarray], size: int
     Each task sends one binary row; these are added up by few tasks, whose results are few enough for the driver.
     """
 
-    def add(batches: Iterator, parts: Callable) -> Iterator:
+    def of_rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         total = np.zeros(size, kind)
         for batch in batches:
-            for part in parts(batch):
-                total += part
+            if batch.num_rows:
+                total += partial(_matrix(batch.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    def of_rows(batches: Iterator) -> Iterator:
-        return add(batches, lambda batch: [partial(_matrix(batch.column(0)))] if batch.num_rows else [])
-
-    def of_sums(batches: Iterator) -> Iterator:
-        return add(batches, lambda batch: (np.frombuffer(s.as_py(), kind) for s in batch.column(0)))
-
-    few = max(1, min(64, _DRIVER_BYTES // (8 * size)))
-    sums = df.select("x").mapInArrow(of_rows, "sums binary").repartition(few).mapInArrow(of_sums, "sums binary")
-    return np.sum([np.frombuffer(row[0], kind) for row in sums.collect()] or [np.zeros(size, kind)], axis=0)
+    return added_up(df.select("x").mapInArrow(of_rows, "sums binary"), size, kind)
 
 
 def _centred(x: np.ndarray, n: int, middle: np.ndarray, shift: np.ndarray) -> np.ndarray:

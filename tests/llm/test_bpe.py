@@ -58,7 +58,7 @@ def test_any_text_in_many_blocks(spark, library, monkeypatch, tmp_path):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 4096)
     read = spark.read.parquet(f"{tmp_path}/docs")
     assert found(read) == {(i, tuple(e[0]), e[1]) for i, t in enumerate(texts) for e in [expected(library, t)]}
-    blocked, parts = bpe._with_blocks(read, None)
+    blocked, parts = bpe.with_blocks(read, None, 4096)
     assert blocked.select("block").distinct().count() > 16
     assert parts > 16 and blocked.agg(F.max("deal")).first()[0] < parts
 
@@ -70,7 +70,7 @@ def test_hot_text_is_spread(spark, monkeypatch):
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text of a few words").otherwise(F.col("id").cast("string")).alias("text")
     )
     scratch = bpe.Scratch(spark)
-    sizes = bpe._with_blocks(df, scratch)[0].groupBy("block").count().collect()
+    sizes = bpe.with_blocks(df, scratch, 16_384)[0].groupBy("block").count().collect()
     assert max(r["count"] for r in sizes) <= 16_384 // 16
     assert bpe.encode(df, PATH).count() == 6000
 

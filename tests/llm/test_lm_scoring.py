@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import sparkscrub.llm.blocks as blocks
 from sparkscrub.llm import recurrent
+from sparkscrub.llm.common import Scratch
 from sparkscrub.llm.entry import op6_recurrent_scores
 from sparkscrub.llm.lm_scoring import score_documents
 
@@ -143,3 +145,33 @@ def test_nothing_to_learn_from(spark):
     for r in score_documents(docs).collect():
         assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 3)
         assert r["base_score"] == pytest.approx(0)
+
+
+def test_every_token_is_learned_from():
+    """The last stretch is filled up; what fills it changes no gradient, and no token is left out."""
+    rng = np.random.default_rng(3)
+    layout = recurrent.Layout(4, 6)
+    n = layout.single + 6
+    w = recurrent.Weights.start(layout, 5, np.log(np.full(n, 1 / n)))
+    inputs, targets = rng.integers(0, n, (2, 7, 3))
+    live = np.ones((7, 3), bool)
+    live[4:, 2] = False
+    h = np.zeros((3, 5), np.float32)
+    found, _ = recurrent._gradients(w, inputs, targets, h, live)
+    other = targets.copy()
+    other[4:, 2] = recurrent.END
+    changed, _ = recurrent._gradients(w, inputs, other, h, live)
+    whole, _ = recurrent._gradients(w, inputs[:, :2], targets[:, :2], h[:2])
+    short, _ = recurrent._gradients(w, inputs[:4, 2:], targets[:4, 2:], h[2:])
+    for k in found:
+        assert np.allclose(found[k], changed[k], atol=1e-6)
+        assert np.allclose(18 * found[k], 14 * whole[k] + 4 * short[k], atol=1e-4)
+
+
+def test_equal_rows_use_many_blocks(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("the same words in every row " * 20).alias("text"))
+    blocked, parts = blocks.with_blocks(rows, Scratch(spark), 100_000)
+    sizes = [r["count"] for r in blocked.groupBy("block").count().collect()]
+    assert len(sizes) > 80 and max(sizes) < 400
+    deals = [r["count"] for r in blocked.groupBy("deal").count().collect()]
+    assert len(deals) > parts // 3 and max(deals) < 1_500

@@ -25,7 +25,7 @@ def test_stages_take_effect(spark, labels):
     kept = {
         "quality_classifier": lambda d: kneser_ney.classify(d, labels).where("kept"),
         "quality_rules": lambda d: quality_rules.judged(d, labels).where("kept"),
-        "near_dedup": lambda d: near_duplicates(d).where("kept"),
+        "near_dedup": lambda d: near_duplicates(d, **corpus_pipeline.NEAR).where("kept"),
     }
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = scratch.save(stage(spark, docs, SF), name)
