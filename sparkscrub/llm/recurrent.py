@@ -97,9 +97,26 @@ def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, n: int):
     return g, u, c, h + g[:, :n] * (c - h)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponentials(x: np.ndarray, bound: float) -> np.ndarray:
+    """``exp(x)`` in place, up to a factor per row; without one where ``bound`` keeps the numbers in range."""
+    if not bound < 80:
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+def _bound(weights: np.ndarray, bias: np.ndarray) -> float:
+    """No output of states between -1 and 1 is further from 0; ``weights`` has a row per output."""
+    return float((np.abs(weights).sum(axis=1) + np.abs(bias)).max()) if len(bias) else 0.0
+
+
+def _log_share(x: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
+    """Log probability of entry ``at`` of each row of outputs ``x``, which is used up."""
+    rows = np.arange(len(at))
+    if not bound < 80:
+        x -= x.max(axis=1, keepdims=True)
+    own = x[rows, at]
+    np.exp(x, out=x)
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def _by_class(layout: Layout, token: np.ndarray):
@@ -119,16 +136,21 @@ def _by_class(layout: Layout, token: np.ndarray):
 def log_probability(w: Weights, h: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Natural log probability of each token after the state in the same row."""
     p, layout = w.parts, w.layout
-    out = _log_softmax(h @ p["class_w"] + p["class_b"])[np.arange(len(token)), layout.class_of(token)]
+    bound = _bound(p["class_w"].T, p["class_b"])
+    out = _log_share(h @ p["class_w"] + p["class_b"], layout.class_of(token), bound)
+    bound = _bound(p["word_w"], p["word_b"])
     for k, rows, word in _by_class(layout, token):
         part = slice(k * layout.per_class, (k + 1) * layout.per_class)
-        scores = _log_softmax(h[rows] @ p["word_w"][part].T + p["word_b"][part])
-        out[rows] += scores[np.arange(len(rows)), word]
+        out[rows] += _log_share(h[rows] @ p["word_w"][part].T + p["word_b"][part], word, bound)
     return out
 
 
-def score(w: Weights, token: np.ndarray, offsets: np.ndarray, window: int = 16) -> np.ndarray:
-    """Natural log probability of each text, its end included; texts' tokens (END last) lie one after another."""
+def score(w: Weights, token: np.ndarray, offsets: np.ndarray, window: int = _ROWS // 4) -> np.ndarray:
+    """Natural log probability of each text, its end included; texts' tokens (END last) lie one after another.
+
+    Texts are read side by side; states are kept until there are ``window`` of them, then the output layer
+    takes them all, and the last ones go on into the next window.
+    """
     n, size = w.hidden, np.diff(offsets)
     order = np.argsort(-size, kind="stable")
     start, size = offsets[:-1][order], size[order]
@@ -137,29 +159,30 @@ def score(w: Weights, token: np.ndarray, offsets: np.ndarray, window: int = 16)
     h = np.zeros((len(size), n), np.float32)
     longest = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(longest + 1), side="left")  # texts with more tokens than that
-    for at in range(0, longest, window):
-        states, targets, owners = [], [], []
-        for t in range(at, min(at + window, longest)):
-            m = int(active[t])
-            # Before the first token comes the end of nothing.
-            x = into[token[start[:m] + t - 1]] if t else np.broadcast_to(into[END], (m, 3 * n))
-            h = _step(w.parts, x, h[:m], n)[3]
-            states.append(h)
-            targets.append(token[start[:m] + t])
-            owners.append(np.arange(m))
+    states, targets, held = [], [], 0
+    for t in range(longest):
+        m = int(active[t])
+        # Before the first token comes the end of nothing.
+        x = into[token[start[:m] + t - 1]] if t else np.broadcast_to(into[END], (m, 3 * n))
+        h = _step(w.parts, x, h[:m], n)[3]
+        states.append(h)
+        targets.append(token[start[:m] + t])
+        held += m
+        if held < window and t + 1 < longest:
+            continue
         flat, wanted = np.concatenate(states), np.concatenate(targets)
         found = [log_probability(w, flat[k : k + _ROWS], wanted[k : k + _ROWS]) for k in range(0, len(flat), _ROWS)]
-        found, m = np.concatenate(found), len(owners[0])
-        out[:m] += np.bincount(np.concatenate(owners), weights=found, minlength=m)
+        owners = np.concatenate([np.arange(len(s)) for s in states])
+        out[: len(states[0])] += np.bincount(owners, weights=np.concatenate(found), minlength=len(states[0]))
+        states, targets, held = [], [], 0
     result = np.empty(len(size))
     result[order] = out
     return result
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+def _softmax(x: np.ndarray, bound: float) -> np.ndarray:
+    _exponentials(x, bound)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
@@ -183,7 +206,7 @@ def _gradients(
     live = None if live is None or live.all() else live.ravel()
     count = h.dtype.type(max(1, len(token) if live is None else live.sum()))
     grad = {}
-    soft = _softmax(flat @ p["class_w"] + p["class_b"])
+    soft = _softmax(flat @ p["class_w"] + p["class_b"], _bound(p["class_w"].T, p["class_b"]))
     soft[np.arange(len(token)), layout.class_of(token)] -= 1
     soft /= count
     if live is not None:
@@ -191,12 +214,13 @@ def _gradients(
     grad["class_w"], grad["class_b"] = flat.T @ soft, soft.sum(axis=0)
     back = soft @ p["class_w"].T
     grad["word_w"], grad["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
+    bound = _bound(p["word_w"], p["word_b"])
     for k, rows, word in _by_class(layout, token):
         if live is not None:
             rows, word = rows[live[rows]], word[live[rows]]
         part = slice(k * layout.per_class, (k + 1) * layout.per_class)
         states = flat[rows]
-        soft = _softmax(states @ p["word_w"][part].T + p["word_b"][part])
+        soft = _softmax(states @ p["word_w"][part].T + p["word_b"][part], bound)
         soft[np.arange(len(rows)), word] -= 1
         soft /= count
         grad["word_w"][part] = soft.T @ states
