@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with block-max inverted indexes.
 
-Terms that go with a label more than chance allows, over all labelled rows, are the vocabulary. Examples are
-rows of a bounded sample; their index keeps, per block of examples and term, the postings and the
-largest weight. A query takes the blocks in the order of the most they could score and stops where no block
-can beat its k-th best example, so the neighbours are exact. Neighbours vote by their cosine, each
-weighing as many rows as it stands for; votes are calibrated by leaving examples out of their own vote.
+Examples are rows of a bounded sample; all of their terms are the vocabulary. A term weighs its logarithmic
+frequency in the text times its inverse document frequency times its chi-square with the label (at least 1),
+both counted over all labelled rows. The index holds a posting list per term, cut into runs by blocks of
+examples, with the largest weight of each run. A query takes the blocks in the order of the most they could
+score and stops where no block can reach its k-th best example, so the neighbours are exact. Neighbours vote by
+their cosine, each weighing as many rows as it stands for; votes are calibrated by leaving examples out of their
+own vote.
 """
 
 from __future__ import annotations
@@ -13,16 +15,19 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_bucket, small
+from .common import Scratch, doc_bucket, giving_back, small
 
 _TERM = re.compile(r"[^\W\d_]+")
-_BLOCK, _QUERIES, _PLACES = 64, 1024, 2_000_000
+_BLOCK = 64
+#: Blocks a query takes before it looks at its bound again; each turn takes four times as many.
+_FIRST_BLOCKS = 4
+#: Cosines are compared to this many decimals, so that equal examples tie; and how far rounding may lift a sum.
+_DECIMALS, _SLACK = 12, 1e-9
 
 
 def term_counts(text: str) -> Counter:
@@ -30,63 +35,79 @@ def term_counts(text: str) -> Counter:
     return Counter(_TERM.findall(text.lower()))
 
 
-def _strength(n: Column, toxic: Column, shares: tuple[float, float], z: float) -> Column:
-    """Log odds ratio of the nearer confidence bound of ``toxic / n`` to ``shares``; null if it lies between or across."""
-    low, high = min(shares), max(shares)
-    middle = (toxic + z * z / 2) / (n + z * z)
-    half = z / (n + z * z) * F.sqrt(toxic * (n - toxic) / n + z * z / 4)
-    at_low, at_high = (math.log(s / (1 - s)) if 0 < s < 1 else 0.0 for s in (low, high))
-    least, most = middle - half, middle + half
-    return F.when(least > high, F.log(least / (1 - least)) - at_high).when(
-        most < low, at_low - F.log(most / (1 - most))
-    )
+def chi_square(n: np.ndarray, toxic: np.ndarray, n_rows: int, n_toxic: int) -> np.ndarray:
+    """Pearson's statistic of a term's presence and the label, for terms in ``n`` rows, ``toxic`` of them toxic."""
+    n, toxic = np.asarray(n, float), np.asarray(toxic, float)
+    apart = toxic * n_rows - n * n_toxic
+    spread = n * (n_rows - n) * float(n_toxic) * (n_rows - n_toxic)
+    return n_rows * apart * apart / np.maximum(spread, 1e-300) * (spread > 0)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``start`` .. ``start + length - 1`` of every range, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class BlockMaxIndex:
-    """Inverted index over unit vectors, in blocks of examples with the largest weight per term."""
+    """Posting lists over sparse unit vectors, in runs of one term and one block with the run's largest weight."""
 
-    def __init__(self, vectors: np.ndarray):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.size = len(vectors)
         # Examples with the same strongest term share blocks, which keeps the largest weights tight.
-        self.order = np.lexsort((vectors.max(axis=1), vectors.argmax(axis=1))) if len(vectors) else np.zeros(0, int)
-        vectors = vectors[self.order]
-        self.blocks, most = [], []
-        for start in range(0, len(vectors), _BLOCK):
-            part = vectors[start : start + _BLOCK]
-            terms = np.flatnonzero(part.any(axis=0))
-            self.blocks.append((start, terms, np.ascontiguousarray(part[:, terms].T)))
-            most.append(part.max(axis=0))
-        self.most = np.array(most).T if most else np.zeros((vectors.shape[1], 0))
-
-    def nearest(self, queries: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and example numbers of each query's ``k`` nearest (-1: none with a positive cosine).
-
-        ``skip`` names one example per query that is left out. Ties go to the example first in the index.
+        strongest = [(int(t[w.argmax()]), float(w.max())) if len(t) else (-1, 0.0) for t, w in vectors]
+        self.order = np.array(sorted(range(self.size), key=lambda i: (strongest[i], i)), np.int64)
+        lengths = [len(vectors[i][0]) for i in self.order]
+        term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
+        by_term = np.argsort(term, kind="stable")
+        at = np.repeat(np.arange(self.size), lengths)[by_term]
+        term, self.weight, self.at = term[by_term], weight[by_term], at.astype(np.int32)
+        self.n_blocks = -(-self.size // _BLOCK)
+        key = term * max(1, self.n_blocks) + at // _BLOCK
+        self.run = np.flatnonzero(np.diff(key, prepend=-1))
+        self.run_size = np.diff(self.run, append=len(key))
+        self.run_block = (at // _BLOCK)[self.run]
+        self.run_most = np.maximum.reduceat(self.weight, self.run) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(term[self.run], np.arange(n_terms + 1))
+
+    def nearest(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and example numbers of the ``k`` nearest with a positive cosine, the nearest first.
+
+        ``skip`` names an example that is left out. Ties go to the example first in the index.
         """
-        n = len(queries)
-        best, who = np.zeros((n, k)), np.full((n, k), -1)
-        bound = queries @ self.most
-        order = np.argsort(-bound, axis=1, kind="stable")
-        place = np.empty(len(self.order), int)
-        place[self.order] = np.arange(len(self.order))
-        left_out = np.full(n, -1) if skip is None else place[skip]
-        for turn in range(len(self.blocks)):
-            block = order[:, turn]
-            alive = np.flatnonzero(bound[np.arange(n), block] > best[:, -1] + 1e-12)
-            if len(alive) == 0:
+        lengths = self.first[terms + 1] - self.first[terms]
+        runs, lift = _ranges(self.first[terms], lengths), np.repeat(weights, lengths)
+        block = self.run_block[runs]
+        bound = np.bincount(block, lift * self.run_most[runs], minlength=self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        best, who = np.zeros(0), np.zeros(0, np.int64)
+        turn, step = 0, _FIRST_BLOCKS
+        while turn < self.n_blocks:
+            floor = best[k - 1] - _SLACK if len(best) >= k else 0.0
+            now = order[turn : turn + step]
+            now = now[bound[now] > max(floor, 0.0)]
+            if len(now) == 0:
                 break
-            for b in np.unique(block[alive]):
-                rows = alive[block[alive] == b]
-                start, terms, postings = self.blocks[b]
-                found = queries[np.ix_(rows, terms)] @ postings
-                at = np.arange(start, start + postings.shape[1])
-                found[at[None, :] == left_out[rows, None]] = 0
-                score = np.concatenate([best[rows], found], axis=1)
-                name = np.concatenate([who[rows], np.broadcast_to(at, found.shape)], axis=1)
-                top = np.lexsort((name, -score), axis=1)[:, :k]
-                best[rows] = np.take_along_axis(score, top, axis=1)
-                who[rows] = np.take_along_axis(name, top, axis=1)
-        who = np.where(best > 0, self.order[who] if len(self.order) else who, -1)
-        return best, who
+            taken = np.zeros(self.n_blocks, bool)
+            taken[now] = True
+            some = taken[block]
+            posts = _ranges(self.run[runs[some]], self.run_size[runs[some]])
+            value = np.repeat(lift[some], self.run_size[runs[some]]) * self.weight[posts]
+            found = np.round(np.bincount(self.at[posts], value, minlength=self.size), _DECIMALS)
+            name = np.flatnonzero(found > 0)
+            if skip is not None:
+                name = name[self.order[name] != skip]
+            if len(name) > k:  # ties with the k-th stay in
+                name = name[found[name] >= np.partition(found[name], -k)[-k]]
+            best, who = np.concatenate([best, found[name]]), np.concatenate([who, name])
+            top = np.lexsort((who, -best))[:k]
+            best, who = best[top], who[top]
+            turn, step = turn + step, step * 4
+        return best, self.order[who] if self.size else who
 
 
 def _isotonic(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,60 +128,64 @@ def _isotonic(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 class Model:
-    """Vocabulary with inverse document frequencies, the index of examples, votes' weights and calibration."""
+    """Vocabulary with weights, the index of examples, what each stands for, and the calibration of votes.
+
+    ``examples`` are (id, label, counts per term); ``rates`` the shares of rows of label 0 and 1 that became
+    examples; ``rest`` the score of a text without a known term.
+    """
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list, rates: tuple[float, float], rest: float, k: int):
-        self.number, self.idf, self.k, self.rest = {t: i for i, t in enumerate(terms)}, idf, k, rest
+    def __init__(
+        self, terms: list[str], weights: np.ndarray, examples: list, rates: tuple[float, float], rest: float, k: int
+    ):
+        self.number, self.weights, self.k, self.rest = {t: i for i, t in enumerate(terms)}, weights, k, rest
         self.ids = [e[0] for e in examples]
         self.label = np.array([e[1] for e in examples], np.int64)
         self.stands_for = np.where(self.label == 1, 1 / max(rates[1], 1e-9), 1 / max(rates[0], 1e-9))
-        vectors = self.vectors([dict(e[2]) for e in examples])
-        self.index = BlockMaxIndex(vectors)
-        votes = [
-            self._vote(*self.index.nearest(vectors[a : a + _QUERIES], k, np.arange(a, min(a + _QUERIES, len(vectors)))))
-            for a in range(0, len(vectors), _QUERIES)
-        ]
-        self.steps = _isotonic(np.concatenate(votes), self.label, self.stands_for) if votes else None
-
-    def vectors(self, counts: list[dict[int, int]]) -> np.ndarray:
-        """Unit TF-IDF rows (logarithmic term frequency) for counts by term number."""
-        out = np.zeros((len(counts), len(self.idf)))
-        for i, found in enumerate(counts):
-            for t, n in found.items():
-                out[i, t] = (1 + math.log(n)) * self.idf[t]
-        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
-
-    def known(self, text: str) -> dict[int, int]:
+        vectors = [self.vector(e[2]) for e in examples]
+        self.index = BlockMaxIndex(vectors, len(terms))
+        votes = [self._vote(*self.index.nearest(*v, k, skip=i)) for i, v in enumerate(vectors)]
+        known = np.array([v is not None for v in votes], bool)
+        self.steps = None
+        if known.any():
+            vote = np.array([v for v in votes if v is not None])
+            self.steps = _isotonic(vote, self.label[known], self.stands_for[known])
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (ascending) and unit weights of the known terms of a text."""
         number = self.number
-        return {number[t]: n for t, n in term_counts(text).items() if t in number}
-
-    def _vote(self, cosine: np.ndarray, who: np.ndarray) -> np.ndarray:
+        found = sorted((number[t], n) for t, n in counts.items() if t in number)
+        terms = np.array([t for t, _ in found], np.int64)
+        weights = (1 + np.log(np.array([n for _, n in found], float))) * self.weights[terms]
+        return terms, weights / max(math.sqrt(float((weights * weights).sum())), 1e-300)
+
+    def _vote(self, cosine: np.ndarray, who: np.ndarray) -> float | None:
+        """Share of label 1 among the neighbours; None without any."""
+        if len(who) == 0:
+            return None
         # The nearer, the more: an example at distance 0 weighs a hundred times one at distance 1.
-        weight = np.where(who >= 0, self.stands_for[who] / (0.01 + 1 - np.minimum(cosine, 1)), 0.0)
-        total = weight.sum(axis=1)
-        vote = (weight * self.label[who]).sum(axis=1) / np.maximum(total, 1e-300)
-        return np.where(total > 0, vote, self.rest)
-
-    def scores(self, counts: list[dict[int, int]]) -> tuple[np.ndarray, list[list[tuple]]]:
-        """Scores, and the neighbours (id, cosine, label) behind them, for texts with a known term."""
-        out, evidence = np.full(len(counts), self.rest), []
-        for a in range(0, len(counts), _QUERIES):
-            cosine, who = self.index.nearest(self.vectors(counts[a : a + _QUERIES]), self.k)
-            vote = self._vote(cosine, who)
-            at = np.maximum(np.searchsorted(self.steps[0], vote, side="right") - 1, 0)
-            out[a : a + _QUERIES] = np.where((who >= 0).any(axis=1), self.steps[1][at], self.rest)
-            for c, w in zip(cosine[:, :3], who[:, :3], strict=True):
-                evidence.append([(self.ids[i], float(x), int(self.label[i])) for x, i in zip(c, w, strict=True) if i >= 0])
-        return np.clip(out, 0.0, 1.0), evidence
+        weight = self.stands_for[who] / (0.01 + 1 - np.minimum(cosine, 1))
+        return float((weight * self.label[who]).sum() / weight.sum())
+
+    def score(self, text: str) -> tuple[float, list[tuple]]:
+        """Score of a whole text, and the three nearest examples (id, cosine, label) behind it."""
+        terms, weights = self.vector(term_counts(text))
+        if len(terms) == 0 or self.steps is None:
+            return self.rest, []
+        cosine, who = self.index.nearest(terms, weights, self.k)
+        vote = self._vote(cosine, who)
+        if vote is None:
+            return self.rest, []
+        at = max(int(np.searchsorted(self.steps[0], vote, side="right")) - 1, 0)
+        near = zip(cosine[:3].tolist(), who[:3].tolist(), strict=True)
+        return min(1.0, max(0.0, float(self.steps[1][at]))), [(self.ids[i], c, int(self.label[i])) for c, i in near]
 
 
 def train(
     docs: DataFrame,
     labels: DataFrame,
     is_training: Column,
-    vocabulary: int = 1024,
-    candidates: int = 16_384,
     examples: int = 4096,
+    example_bytes: int = 16 << 20,
     k: int = 15,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -168,13 +193,12 @@ def train(
 ) -> Model:
     """A model from the labelled rows for which ``is_training`` holds.
 
-    Term statistics and document frequencies are over all of these rows. A term goes with a label if the confidence
-    bounds of its toxic share, corrected for the number of terms, lie above or below both the share of toxic rows and
-    the share of words in toxic rows (long texts have more of every word). This must hold by documents (of which the
-    ``candidates`` strongest go on) and by places, so that groups of copies do not vote for their words; at most the
-    ``vocabulary`` strongest terms, by the odds ratio at the bound, are kept. About ``examples`` rows (half of each
-    label) with such a term, drawn by a hash of id and text, become examples. Rows without a label or id are left
-    out; of several labels of an id the highest holds.
+    Document frequencies and the statistics of terms are over all of these rows and whole texts. About ``examples``
+    rows (half of each label), with about ``example_bytes`` of text, drawn by a hash of id and text, become
+    examples; texts above a sixteenth of these bytes are not drawn. Every term of an example is in the vocabulary.
+    Rows without a label or id are left out; of several labels of an id the highest holds. Rows and labels that
+    repeat count as often as the rows do. Columns other than those named are not looked at, so that their names
+    do not matter.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -183,124 +207,62 @@ def train(
     rows = docs.where(is_training).select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    rows = rows.join(small(known, 32), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    rows = rows.join(small(known, 32), F.col("doc_id") == F.col("__id"))
+    rows = rows.select("doc_id", "text", (F.col("y") == 1).cast("int").alias("y"))
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             seen: list[Counter] = [Counter(), Counter()]
-            n, size = [0, 0], [0, 0]
-            for value, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                y = int(y == 1)
+            n, bare = [0, 0], [0, 0]
+            for value, y in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                found = set(_TERM.findall(value.as_py().lower()))
                 n[y] += 1
-                found = _TERM.findall(value.lower())
-                size[y] += len(found)
-                seen[y].update(set(found))
+                bare[y] += not found
+                seen[y].update(found)
             terms = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*terms, None, ""], pa.string()),  # totals: rows, words
-                    pa.array([seen[0][t] + seen[1][t] for t in terms] + [sum(n), sum(size)], pa.int64()),
-                    pa.array([seen[1][t] for t in terms] + [n[1], size[1]], pa.int64()),
+                    pa.array([*terms, None, ""], pa.string()),  # totals: rows, rows without a term
+                    pa.array([seen[0][t] + seen[1][t] for t in terms] + [sum(n), sum(bare)], pa.int64()),
+                    pa.array([seen[1][t] for t in terms] + [n[1], bare[1]], pa.int64()),
                 ],
                 names=["term", "n", "toxic"],
             )
 
-    counted = rows.mapInArrow(count, "term string, n long, toxic long").groupBy("term")
+    counted = rows.mapInArrow(giving_back(count), "term string, n long, toxic long").groupBy("term")
     counted = scratch.save(counted.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "terms")
-    total = counted.where("term is null").first()
-    n_rows, n_toxic = (total["n"], total["toxic"]) if total else (0, 0)
-    in_words = counted.where("term = ''").first()
-    tested = counted.where("term <> '' and n >= 3")
-    z = math.sqrt(2 * math.log(max(tested.count(), 1)) + 6)
-    share = n_toxic / max(n_rows, 1)
-    shares = (share, in_words["toxic"] / in_words["n"] if in_words and in_words["n"] else share)
-    number: dict[str, int] = {}
-    if 0 < share < 1:
-        strength = _strength(F.col("n"), F.col("toxic"), shares, z)
-        strong = tested.withColumn("strength", strength).where("strength is not null")
-        top = strong.orderBy(F.desc("strength"), "term").limit(candidates).collect()
-        number = {r["term"]: i for i, r in enumerate(top)}
-    held_terms = {i: (r["term"], r["n"]) for i, r in enumerate(top)} if number else {}
-
-    def meet(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            keep, names, times, before = [], [], [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                found = _TERM.findall(value.lower())
-                at = [j for j, t in enumerate(found) if t in number]
-                if at:
-                    counts = Counter(number[found[j]] for j in at)
-                    keep.append(i), names.append(list(counts)), times.append(list(counts.values()))
-                    before.append([(number[found[j]] << 32) | crc32(found[j - 1].encode() if j else b"") for j in at])
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(at),
-                    batch.column(2).take(at),
-                    batch.column(3).take(at),
-                    pa.array(names, pa.list_(pa.int32())),
-                    pa.array(times, pa.list_(pa.int32())),
-                    pa.array(before, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "y", "draw", "terms", "times", "contexts"],
-            )
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)))
-    schema = f"doc_id {kind}, y int, draw long, terms array<int>, times array<int>, contexts array<long>"
-    met = scratch.save(drawn.mapInArrow(meet, schema), "met")
+    totals = {r["term"]: (r["n"], r["toxic"]) for r in counted.where("term is null or term = ''").collect()}
+    (n_rows, n_toxic), (n_bare, toxic_bare) = totals.get(None, (0, 0)), totals.get("", (0, 0))
+    rest = (toxic_bare + n_toxic / max(1, n_rows)) / (n_bare + 1)
+
+    size = F.octet_length("text")
+    fits = (size > 0) & (size <= example_bytes // 16)
+    held = {r["y"]: r for r in rows.where(fits).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).collect()}
+    rate = [
+        min(1.0, examples / 2 / held[y]["n"], example_bytes / 2 / held[y]["b"]) if y in held else 1.0 for y in (0, 1)
+    ]
+    cut = F.when(F.col("y") == 1, int(rate[1] * 1_000_000)).otherwise(int(rate[0] * 1_000_000))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < cut
+    sample = scratch.save(rows.where(fits & drawn), "sample")
 
-    def distinct_places(batches: Iterator) -> Iterator:
+    def terms_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list[np.ndarray] = []
         for batch in batches:
-            lists = batch.column(1)
-            c, y = np.asarray(lists.flatten()), np.asarray(batch.column(0)) == 1
-            label = np.repeat(y, np.asarray(lists.value_lengths()))
-            held.append(np.unique((c >> 32 << 33) | (label.astype(np.int64) << 32) | (c & 0xFFFFFFFF)))
-            if sum(map(len, held)) > _PLACES:
-                held = [np.unique(np.concatenate(held))]
-                if len(held[0]) > _PLACES // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(held.pop())], names=["c"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["c"])
-
-    # Copies of a text repeat its words in the same places: a term counts once per word before it.
-    # Each task brings a place once, so that frequent terms do not cost a row for every occurrence.
-    places = met.select("y", "contexts").mapInArrow(distinct_places, "c long").distinct()
-    per_term = places.groupBy(F.shiftright("c", 33).cast("int").alias("term")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.shiftright("c", 32).bitwiseAND(1)).alias("toxic")
-    )
-    per_term = per_term.withColumn("strength", _strength(F.col("n"), F.col("toxic"), shares, z))
-    per_term = per_term.where("strength is not null").orderBy(F.desc("strength"), "term").limit(vocabulary)
-    chosen = [(-r["strength"], r["term"]) for r in per_term.collect()]
-    place = {old: new for new, (_, old) in enumerate(chosen)}
-    terms = [held_terms[old][0] for _, old in chosen]
-    idf = np.array([math.log((n_rows + 1) / (held_terms[old][1] + 1)) + 1 for _, old in chosen])
-    used = met.where(F.arrays_overlap("terms", F.array(*[F.lit(old) for old in place]))) if place else met.limit(0)
-    used = scratch.save(used, "used")
-    held = {r[0]: r[1] for r in used.groupBy((F.col("y") == 1).cast("int")).count().collect()}
-    rate = [min(1.0, examples / 2 / max(1, held.get(y, 0))) for y in (0, 1)]
-    cut = F.when(F.col("y") == 1, int(rate[1] * 1_000_000)).otherwise(int(rate[0] * 1_000_000))
-    sample = used.where(F.col("draw") < cut).select("doc_id", "y", "terms", "times").collect()
+            found = {t for value in batch.column(0).to_pylist() for t in _TERM.findall(value.lower())}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["term"])
+
+    names = sample.select("text").mapInArrow(terms_of, "term string").distinct()
+    used = sorted(tuple(r) for r in counted.join(names, "term").select("term", "n", "toxic").collect())
+    n, toxic = np.array([r[1] for r in used], float), np.array([r[2] for r in used], float)
+    weights = (np.log((n_rows + 1) / (n + 1)) + 1) * np.maximum(1.0, chi_square(n, toxic, n_rows, n_toxic))
     found = sorted(
-        (
-            (
-                r["doc_id"],
-                int(r["y"] == 1),
-                tuple((place[t], n) for t, n in zip(r["terms"], r["times"], strict=True) if t in place),
-            )
-            for r in sample
-        ),
-        key=lambda e: (str(e[0]), e[1:]),
+        ((r["doc_id"], r["y"], term_counts(r["text"])) for r in sample.collect()),
+        key=lambda e: (str(e[0]), e[1], sorted(e[2].items())),
     )
-    rest = (n_toxic - held.get(1, 0)) / max(1, n_rows - sum(held.values()))
-    return Model(terms, idf, found, (rate[0], rate[1]), max(0.0, rest), k)
+    return Model([r[0] for r in used], weights, found, (rate[0], rate[1]), rest, k)
 
 
 def score(
@@ -308,8 +270,8 @@ def score(
 ) -> DataFrame:
     """``doc_id``, ``score``, ``predicted`` and ``evidence`` (nearest examples) for every row, from its whole text.
 
-    Texts without a term of the vocabulary, empty and null ones among them, get the share of toxic rows among
-    the labelled rows without one, and no evidence. Ids may be null or repeat.
+    Texts without a term of the examples, empty and null ones among them, get the share of toxic rows among
+    the labelled rows without a term, and no evidence. Ids may be null or repeat; equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType
@@ -319,14 +281,8 @@ def score(
 
         model = shared.value
         for batch in batches:
-            n = batch.num_rows
-            counts = [model.known(v or "") for v in batch.column(1).to_pylist()]
-            some = [i for i in range(n) if counts[i]]
-            scores, evidence = np.full(n, model.rest), [[] for _ in range(n)]
-            if some and model.steps is not None:
-                scores[some], found = model.scores([counts[i] for i in some])
-                for i, e in zip(some, found, strict=True):
-                    evidence[i] = e
+            found = [model.score(v.as_py() or "") for v in batch.column(1)]
+            scores, evidence = np.array([f[0] for f in found], float), [f[1] for f in found]
             ends = pa.array(np.concatenate(([0], np.cumsum([len(e) for e in evidence]))), pa.int32())
             flat = [x for e in evidence for x in e]
             item = pa.StructArray.from_arrays(
@@ -350,7 +306,7 @@ def score(
     id_type = kind.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(
-        run,
+        giving_back(run),
         f"doc_id {id_type}, score double, predicted int, "
         f"evidence array<struct<doc_id: {id_type}, cosine: double, label: int>>",
     )
