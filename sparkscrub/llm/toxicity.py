@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, doc_bucket, giving_back, small
 
 _TERM = re.compile(r"[^\W\d_]+")
-_BLOCK = 64
+_BLOCK = 128
 #: Blocks a query takes before it looks at its bound again; each turn takes four times as many.
 _FIRST_BLOCKS = 4
 #: Cosines are compared to this many decimals, so that equal examples tie; and how far rounding may lift a sum.
@@ -153,9 +153,11 @@ class Model:
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (ascending) and unit weights of the known terms of a text."""
         number = self.number
-        found = sorted((number[t], n) for t, n in counts.items() if t in number)
-        terms = np.array([t for t, _ in found], np.int64)
-        weights = (1 + np.log(np.array([n for _, n in found], float))) * self.weights[terms]
+        terms = np.fromiter((number.get(t, -1) for t in counts), np.int64, len(counts))
+        times = np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(terms)[np.count_nonzero(terms < 0) :]
+        terms = terms[order]
+        weights = (1 + np.log(times[order])) * self.weights[terms]
         return terms, weights / max(math.sqrt(float((weights * weights).sum())), 1e-300)
 
     def _vote(self, cosine: np.ndarray, who: np.ndarray) -> float | None:

@@ -29,7 +29,7 @@ def test_nearest_against_all_examples(n):
     examples /= np.maximum(np.sqrt((examples**2).sum(axis=1, keepdims=True)), 1e-300)
     queries = rng.random((120, 40)) * (rng.random((120, 40)) < 0.15)
     index = toxicity.BlockMaxIndex(_sparse(examples), 40)
-    assert index.n_blocks == -(-n // 64)
+    assert index.n_blocks == -(-n // toxicity._BLOCK)
     for q, (terms, weights) in zip(queries, _sparse(queries), strict=True):
         cosine, who = index.nearest(terms, weights, 9)
         every = examples @ q
@@ -42,10 +42,10 @@ def test_nearest_against_all_examples(n):
 
 
 def test_blocks_that_cannot_win_are_left_out():
-    """256 examples near one axis each: a query near one of them reads the postings of few blocks."""
-    dense = np.eye(256) + 0.01
+    """2,048 examples near one axis each: a query near one of them reads the postings of the first blocks only."""
+    dense = np.eye(2048) + 0.001
     dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
-    index = toxicity.BlockMaxIndex(_sparse(dense), 256)
+    index = toxicity.BlockMaxIndex(_sparse(dense), 2048)
     counted = []
     index.at = type("Counted", (), {"__getitem__": lambda self, i, at=index.at: counted.append(len(i)) or at[i]})()
     cosine, who = index.nearest(*_sparse(dense[[3]])[0], 1)
