@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,21 @@ from sparkscrub.operators.common import unique_name as first_free_name
 from sparkscrub.plans.lookup import use_own_folder, work_folder
 from sparkscrub.sources.records import QuoteCounts
 from sparkscrub.sources.tables import format_of
-from sparkscrub.streaming.streams import apply_recipe, drop_duplicates, read_stream
+from sparkscrub.streaming.streams import apply_recipe, drop_duplicates, first_by_order, read_stream
 
-try:
-    from sparkscrub.llm import entry as _corpus
-except ImportError:
-    _corpus = None
-try:
-    import corpus_pipeline as _pipeline
-except ImportError:
-    _pipeline = None
+
+def _unless_deleted(name: str, *parts: str):
+    """The module ``name``, or None where one of ``parts`` is not there; other import errors are errors."""
+    try:
+        return import_module(name)
+    except ModuleNotFoundError as problem:
+        if problem.name not in parts:
+            raise
+        return None
+
+
+_corpus = _unless_deleted("sparkscrub.llm.entry", "sparkscrub.llm", "sparkscrub.llm.entry")
+_pipeline = _unless_deleted("corpus_pipeline", "corpus_pipeline", "sparkscrub.llm")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -1185,6 +1191,26 @@ def stream_drop_duplicates(spark, sf_dir):
     )
 
 
+@_query("""
+WITH starts AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1
+            END AS opens FROM events),
+runs AS (
+  SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY ts, opens DESC ROWS UNBOUNDED PRECEDING) AS run
+  FROM starts),
+placed AS (
+  SELECT *, max(ts) OVER (PARTITION BY user_id, event_type, run) AS last_ts,
+         row_number() OVER (PARTITION BY user_id, event_type, run ORDER BY value NULLS FIRST, event_id) AS place FROM runs)
+SELECT event_id, user_id, event_type, value, props FROM placed
+WHERE place = 1 AND last_ts + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY""")
+def stream_first_by_order(spark, sf_dir):
+    """The row with the least value of each user, type and run of events less than a day apart, once the run is over."""
+    stream = first_by_order(
+        _event_stream(spark, sf_dir), ["user_id", "event_type"], ["value", "event_id"], event_time="ts", within="1 day"
+    )
+    return _drain(stream).select("event_id", "user_id", "event_type", "value", "props")
+
+
 @_query("""
 SELECT c_custkey, c_name, c_nationkey, c_acctbal,
        CASE WHEN c_mktsegment IN ('NA', '') THEN NULL ELSE c_mktsegment END AS c_mktsegment

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import sparkscrub as ss
 from sparkscrub.plans.lookup import work_folder
 from sparkscrub.sources.tables import format_of
-from sparkscrub.streaming.streams import apply_recipe, drop_duplicates, read_stream
+from sparkscrub.streaming.streams import apply_recipe, drop_duplicates, first_by_order, read_stream
 
 
 def test_format_of():
@@ -298,6 +298,69 @@ def test_first_arrival_on_a_stream(stream, tmp_path):
     assert sorted(r.k for r in drain(kept.select("k"), tmp_path).collect()) == [0, 1, 2, 3, 4]
 
 
+def _timed(spark, folder, rows, files=1):
+    """(key, seconds or None, order) rows as a stream, ``files`` files read one after another."""
+    start = datetime.datetime(2024, 1, 1)
+    step = -(-len(rows) // files)
+    for i in range(0, len(rows), step):
+        part = [(k, None if s is None else start + datetime.timedelta(seconds=s), o) for k, s, o in rows[i : i + step]]
+        df = spark.createDataFrame(part, "k string, at timestamp, o int").coalesce(1)
+        df.write.mode("append").parquet(str(folder / "in"))
+    reader = spark.readStream.option("maxFilesPerTrigger", 1).schema(df.schema)
+    return reader.parquet(str(folder / "in"))
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_first_by_order_is_the_batch_result(spark, tmp_path, files):
+    rows = [(["a", "b", None, "hot"][min(i % 7, 3)], i, (i * 37) % 101) for i in range(100)]
+    rows.append(("end", 10_000, 0))  # lets the watermark pass all others
+    stream = _timed(spark, tmp_path, rows, files)
+    found = drain(first_by_order(stream, "k", "o", event_time="at", within="1 hour"), tmp_path)
+    assert found.columns == ["k", "at", "o"]
+    batch = ss.remove_duplicates(spark.read.parquet(str(tmp_path / "in")), "k", "o").where("k is null or k <> 'end'")
+    assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect()))
+    assert found.count() == 4
+
+
+def test_first_by_order_by_runs(spark, tmp_path):
+    """Rows ten minutes apart or more are another run; runs that may still grow are held back."""
+    rows = [("a", 0, 5), ("a", 300, 2), ("a", 800, 9), ("a", 3000, 7), ("a", 3100, 8), ("b", 4200, 1)]
+    stream = _timed(spark, tmp_path, rows)
+    found = drain(first_by_order(stream, "k", "o", event_time="at", within="10 minutes"), tmp_path)
+    assert sorted(r.o for r in found.collect()) == [2]
+    assert found.schema == stream.schema
+
+
+def test_first_by_order_reduces_before_the_shuffle(spark, tmp_path):
+    rows = [("hot", i, i) for i in range(2000)] + [("end", 100_000, 0)]
+    stream = first_by_order(_timed(spark, tmp_path, rows), "k", "o", event_time="at", within="1 hour")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    started = query.trigger(availableNow=True).start(str(tmp_path / "out"))
+    started.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsUpdated"] for p in started.recentProgress if p["stateOperators"]]
+    assert "MergingSessions" in started._jsq.explainInternal(False)
+    assert max(states) <= 2
+
+
+def test_first_by_order_problems(spark, stream, tmp_path):
+    with pytest.raises(ValueError, match="order_by"):
+        first_by_order(stream, "t", [], event_time="ts", within="1 day")
+    with pytest.raises(ValueError, match="x"):
+        first_by_order(stream, "t", "x", event_time="ts", within="1 day")
+    (tmp_path / "timeless").mkdir()
+    bad = _timed(spark, tmp_path / "timeless", [("a", None, 1), ("a", 3, 2)])
+    with pytest.raises(Exception, match="a row has no at"):
+        drain(first_by_order(bad, "k", "o", event_time="at", within="1 hour"), tmp_path / "timeless")
+
+
+def test_first_by_order_with_local_times_and_clashing_names(spark, tmp_path):
+    rows = _timed(spark, tmp_path, [("a", 1, 2), ("a", 2, 1), ("end", 90_000, 0)])
+    named = rows.select(F.col("k").alias("__row"), F.col("at").cast("timestamp_ntz").alias("__at"), F.col("o").alias("__key0"))
+    found = drain(first_by_order(named, "__row", "__key0", event_time="__at", within="1 hour"), tmp_path)
+    assert found.schema == named.schema
+    assert [(r[0], r[2]) for r in found.collect()] == [("a", 1)]
+
+
 @pytest.mark.parametrize(
     "run",
     [
