@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -21,18 +22,38 @@ from ..plans.lookup import refuse_streams
 from .common import dtype_of, refuse_existing, require
 
 
-def _check_numeric(df: DataFrame, *cols: str) -> None:
-    """Raise when a column with rows has no number at all; one aggregate for all columns."""
-    refuse_streams(df, "checking that a column is numeric")
-    counts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(to_number(col_ref(c), dtype_of(df, c))).alias(f"n{i}") for i, c in enumerate(cols)],
-    ).first()
+def number_counts(df: DataFrame, *cols: str) -> dict[str, Column]:
+    """Aggregates that :func:`require_numbers` reads: rows, and cells of each column that hold a number."""
+    counts = [F.count(to_number(col_ref(c), dtype_of(df, c))) for c in cols]
+    return {"rows": F.count(F.lit(1)), **{f"n{i}": n for i, n in enumerate(counts)}}
+
+
+def require_numbers(counts: Mapping[str, int], *cols: str) -> None:
+    """Raise when a column with rows has no number at all."""
     for i, c in enumerate(cols):
         if counts["rows"] and not counts[f"n{i}"]:
             raise ValueError(f"column {c!r} holds no numbers")
 
 
+def _check_numeric(df: DataFrame, *cols: str) -> None:
+    """:func:`require_numbers` by one aggregate for all columns."""
+    refuse_streams(df, "checking that a column is numeric")
+    found = df.agg(*[n.alias(name) for name, n in number_counts(df, *cols).items()]).first()
+    require_numbers(found.asDict(), *cols)
+
+
+def places_shown(df: DataFrame, *cols: str) -> Column:
+    """Aggregate: the most decimals that a cell of ``cols`` shows."""
+    shown = [decimals_shown(col_ref(c), dtype_of(df, c)) for c in cols]
+    return F.coalesce(F.max(F.greatest(*shown)), F.lit(0))
+
+
+def measures_places(t1: T.DataType, t2: T.DataType) -> bool:
+    """Whether ``decimals="auto"`` has to look at the cells: whole numbers and decimals show theirs by type."""
+    exact = (*WHOLE, T.DecimalType)
+    return not (isinstance(t1, exact) and isinstance(t2, exact))
+
+
 def _stored(df: DataFrame, col: str, number: Column, as_number: bool, skip_header_cells: bool) -> Column:
     """The result in the column's own kind: text columns get number text and keep header cells."""
     dtype, cell = dtype_of(df, col), col_ref(col)
@@ -125,8 +146,7 @@ def calculated_column(
     if check:
         _check_numeric(df, col1, col2)
     t1, t2 = dtype_of(df, col1), dtype_of(df, col2)
-    exact = (*WHOLE, T.DecimalType)
-    if isinstance(t1, exact) and isinstance(t2, exact) and not (isinstance(t1, WHOLE) and isinstance(t2, WHOLE)):
+    if not measures_places(t1, t2) and not (isinstance(t1, WHOLE) and isinstance(t2, WHOLE)):
         result = _exact(col_ref(col1), operation, col_ref(col2))
         if decimals == "auto":
             decimals = max(getattr(t, "scale", 0) for t in (t1, t2))
@@ -139,11 +159,7 @@ def calculated_column(
     result = finite(result.cast("double"))
     if decimals == "auto":
         refuse_streams(df, "finding the number of decimals")
-        places = df.select(
-            F.coalesce(
-                F.max(F.greatest(decimals_shown(col_ref(col1), t1), decimals_shown(col_ref(col2), t2))), F.lit(0)
-            )
-        ).scalar()
+        places = df.select(places_shown(df, col1, col2)).scalar()
         result = F.when(places > 0, round_half_even(result, places)).otherwise(result)
     elif decimals is not None:
         result = round_half_even(result, int(decimals))

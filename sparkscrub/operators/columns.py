@@ -61,6 +61,11 @@ def merge_columns(
     return df.withColumns({**sources, new: merged})
 
 
+def most_cuts(text: Column, delimiter: str) -> Column:
+    """Aggregate: how often the cell with the most delimiters has one."""
+    return F.max((F.length(text) - F.length(F.replace(text, F.lit(delimiter), F.lit("")))) / len(delimiter))
+
+
 def split_delimiter(
     df: DataFrame,
     col: str,
@@ -69,10 +74,12 @@ def split_delimiter(
     n_parts: int | None = None,
     max_parts: int | None = None,
     check: bool = False,
+    cuts: float | None = None,
 ) -> DataFrame:
     """Replace ``col`` by ``{col}_part1..k``. ``n_parts`` fixes k and keeps the call lazy; otherwise
     one aggregate finds the widest row, and ``max_parts`` makes a wider one an error. Text beyond ``n_parts`` stays in the last part.
-    ``check`` raises when no row has the delimiter."""
+    ``check`` raises when no row has the delimiter. Where :func:`most_cuts` of the table is known, ``cuts`` saves the
+    aggregate."""
     if not delimiter:
         raise ValueError("the delimiter must not be empty")
     df = as_text_column(df, col)
@@ -80,8 +87,7 @@ def split_delimiter(
     pattern = strings.literal_regex(delimiter)
     if n_parts is None or check:
         refuse_streams(df, "finding the number of parts")
-        cuts = (F.length(text) - F.length(F.replace(text, F.lit(delimiter), F.lit("")))) / len(delimiter)
-        widest = int(df.agg(F.max(cuts)).first()[0] or 0) + 1
+        widest = int((df.agg(most_cuts(text, delimiter)).first()[0] if cuts is None else cuts) or 0) + 1
         if widest < 2:
             raise ValueError(f"no cell of {col!r} has the delimiter {delimiter!r}")
         if n_parts is None and max_parts is not None and widest > max_parts:

@@ -9,9 +9,12 @@ from dataclasses import dataclass
 from functools import cached_property, reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
+from ..functions.numbers import is_number_type
 from ..operators import arithmetic, cells, columns, duplicates, groups, validate
+from ..operators.common import dtype_of, text_of
 from ..sources.tables import read_domain_list
 from .slices import PREVIEW_ROWS, slice_rows
 
@@ -20,7 +23,7 @@ _KIND = "column_operation"
 
 
 # Arguments that are no part of a saved operation.
-_NOT_IN_RECIPES = {"flags", "hot_rows", "rules", "order_by"}
+_NOT_IN_RECIPES = {"flags", "hot_rows", "rules", "order_by", "cuts"}
 # Options that are lists of texts, or the path of a file with one text per line.
 _LISTS = {"allowed", "blocked", "suffixes", "suffix_rules"}
 
@@ -111,6 +114,14 @@ def run_operation(
     "suffixes": ["co.uk"], "blocked": "blocked.txt"}``. A list of domains is a JSON list, or the path of a
     text file with one per line.
     """
+    step, arguments = _call(df, operation, order_by, flags)
+    return step.run(df, **arguments)
+
+
+def _call(
+    df: DataFrame, operation: Operation, order_by: str | Sequence[str] | None, flags: bool
+) -> tuple[_Step, dict[str, Any]]:
+    """The operator of an operation object and its arguments."""
     step, given = _checked(operation), dict(operation)
     if order_by is not None and any(entry == "order_by" for entry, _ in step.needed):
         given.setdefault("order_by", order_by)
@@ -134,7 +145,99 @@ def run_operation(
         raise ValueError(f"{given['key']} needs 'column'")
     if step.takes_flags:
         arguments["flags"] = flags
-    return step.run(df, **arguments)
+    return step, arguments
+
+
+# Entries of operation objects that name columns.
+_NAMES_COLUMNS = ("column", "selected_columns", "cols_to_concat", "cols_to_merge", "new_col_name", "col1_name", "col2_name")
+# Operations that leave every cell of the table as it is: they add columns only.
+_ONLY_ADD = {
+    "op_create_calculated_column", "op_mark_duplicates", "op_distinct_group",
+    *(f"op_validate_{kind}" for kind in validate.VALIDATORS),
+}
+
+
+@dataclass(frozen=True)
+class _Need:
+    """Aggregates that an operation takes of the whole table, and how its arguments change once they are known."""
+
+    aggregates: dict[str, Column]
+    use: Callable[[dict[str, Any], dict[str, Any]], None]
+    at_once: bool
+
+
+def _need(df: DataFrame, key: str, arguments: Mapping[str, Any]) -> tuple[list[str], _Need] | None:
+    """The columns that the operation's statistics are about, and the statistics; None if it has none."""
+    checked = bool(arguments.get("check"))
+    if key == "op_split_delimiter":
+        if (arguments.get("n_parts") is not None and not checked) or not arguments.get("delimiter"):
+            return None
+        cuts = columns.most_cuts(text_of(df, arguments["col"]), arguments["delimiter"])
+        return [arguments["col"]], _Need({"cuts": cuts}, lambda given, found: given.update(cuts=found["cuts"] or 0), True)
+    if key in ("op_round_numbers", "op_calculate_column_constant"):
+        cols = [arguments["col"]]
+    elif key == "op_create_calculated_column":
+        cols = [arguments["col1"], arguments["col2"]]
+    else:
+        return None
+    if not all(is_number_type(t) or isinstance(t, T.StringType) for t in (dtype_of(df, c) for c in cols)):
+        return None
+    aggregates = arithmetic.number_counts(df, *cols) if checked else {}
+    places = len(cols) == 2 and arguments.get("decimals", "auto") == "auto"
+    places = places and arithmetic.measures_places(*(dtype_of(df, c) for c in cols))
+    if places:
+        aggregates["places"] = arithmetic.places_shown(df, *cols)
+
+    def use(given: dict[str, Any], found: dict[str, Any]) -> None:
+        if checked:
+            arithmetic.require_numbers(found, *cols)
+            given["check"] = False
+        if places:
+            given["decimals"] = found["places"] or None
+
+    return (cols, _Need(aggregates, use, checked)) if aggregates else None
+
+
+def _measured(
+    df: DataFrame, operations: Sequence[Operation], order_by: str | Sequence[str] | None
+) -> dict[int, Callable[[dict[str, Any]], None]]:
+    """By place of the operation: what puts the statistics of ``df`` into its arguments.
+
+    Taken are statistics of columns that no earlier operation changes, up to the first one that removes rows, by
+    one aggregate for all. It is left out where a single operation needs one, or none runs an aggregate at once.
+    """
+    if df.isStreaming:
+        return {}
+    there, changed, needs = {c.lower() for c in df.columns}, set(), {}
+    for place, operation in enumerate(operations):
+        if operation["key"] == "op_remove_duplicates":
+            break
+        named = [v for e in _NAMES_COLUMNS for v in _as_list(operation.get(e))]
+        own = [v for e in ("column", "col1_name", "col2_name") for v in _as_list(operation.get(e))]
+        if all(isinstance(c, str) and c.lower() in there and c.lower() not in changed for c in own):
+            try:
+                _, arguments = _call(df, operation, order_by, False)
+                found = _need(df, operation["key"], arguments)
+            except (KeyError, TypeError, ValueError):
+                found = None  # the operation itself says what is wrong with it
+            if found is not None:
+                needs[place] = found[1]
+        if operation["key"] not in _ONLY_ADD:
+            changed |= {str(c).lower() for c in named}
+    if len(needs) < 2 or not any(n.at_once for n in needs.values()):
+        return {}
+    wanted = [a.alias(f"{place}.{name}") for place, n in needs.items() for name, a in n.aggregates.items()]
+    row = df.agg(*wanted).first().asDict()
+
+    def user(place: int, need: _Need) -> Callable[[dict[str, Any]], None]:
+        found = {name: row[f"{place}.{name}"] for name in need.aggregates}
+        return lambda arguments: need.use(arguments, found)
+
+    return {place: user(place, need) for place, need in needs.items()}
+
+
+def _as_list(value: Any) -> list:
+    return [] if value is None else list(value) if isinstance(value, (list, tuple)) else [value]
 
 
 def _checked(operation: Operation) -> _Step:
@@ -186,12 +289,20 @@ class Recipe:
         self, df: DataFrame, *, order_by: str | Sequence[str] | None = None, flags: bool = False
     ) -> DataFrame:
         """Replay on ``df``. ``order_by`` says which row is first for operations that need it and do
-        not name it themselves; ``flags`` marks changed cells."""
+        not name it themselves; ``flags`` marks changed cells.
+
+        Statistics that several operations need of columns as they are in ``df`` (the most delimiters in a cell,
+        whether a column holds numbers, decimals shown) are taken by one aggregate before the first operation.
+        """
+        measured = _measured(df, self.operations, order_by)
 
         def step(table: DataFrame, numbered: tuple[int, Operation]) -> DataFrame:
             place, operation = numbered
             try:
-                return run_operation(table, operation, order_by=order_by, flags=flags)
+                run, arguments = _call(table, operation, order_by, flags)
+                if place in measured:
+                    measured[place](arguments)
+                return run.run(table, **arguments)
             except (TypeError, ValueError) as problem:
                 raise ValueError(f"operation {place} ({operation['key']}): {problem}") from problem
 

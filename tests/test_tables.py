@@ -336,3 +336,71 @@ def test_preview(spark):
     assert [(r.t, r.t__modified) for r in after.orderBy("id").collect()] == [("0", True), ("1", True), ("2", True)]
     middle = ss.preview(df, {"key": "op_trim", "column": "t"}, 2, order_by="id", position="middle")[1]
     assert sorted(r.t for r in middle.collect()) == ["24", "25"]
+
+
+_NEEDY = [
+    {"key": "op_split_delimiter", "column": "parts", "delimiter": "-"},
+    {"key": "op_validate_numeric", "column": "price"},
+    {"key": "op_round_numbers", "column": "price", "decimals": 1, "check": True},
+    {"key": "op_create_calculated_column", "column": "low", "col2_name": "high", "operation": "+", "new_col_name": "sum"},
+    {"key": "op_split_delimiter", "column": "lines", "delimiter": ";", "check": True, "n_parts": 2},
+    {"key": "op_calculate_column_constant", "column": "high", "operation": "*", "constant_value": 2, "check": True},
+]
+
+
+def _needy_table(spark):
+    rows = [
+        ("a-b-c", "1.25", 1.5, "2.125", "x;y;z"), ("-", None, 2.25, "0.5", None), (None, "n", None, "high", ""),
+    ]
+    return spark.createDataFrame(rows, "parts string, price string, low double, high string, lines string")
+
+
+def test_statistics_of_a_recipe_are_taken_at_once(spark, tmp_path, monkeypatch):
+    _needy_table(spark).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    one_by_one = df
+    for operation in _NEEDY:
+        one_by_one = ss.run_operation(one_by_one, operation)
+    taken = []
+    aggregate = type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: taken.append(len(a)) or aggregate(self, *a))
+    result = ss.Recipe(_NEEDY).apply(df)
+    assert taken == [1 + 2 + 1 + 1 + 2]
+    monkeypatch.undo()
+    # The number of decimals is known beforehand, so no subquery scans the table again.
+    assert result._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert result.schema == one_by_one.schema
+    assert sorted(map(str, result.collect())) == sorted(map(str, one_by_one.collect()))
+
+
+def test_statistics_of_changed_columns_are_taken_later(spark):
+    df = _needy_table(spark)
+    recipe = [
+        {"key": "op_find_replace", "column": "parts", "find_text": "b", "replace_text": "b-b"},
+        {"key": "op_concatenate", "cols_to_concat": ["low", "high"], "new_col_name": "both", "separator": ";"},
+        {"key": "op_split_delimiter", "column": "lines", "delimiter": ";"},
+        {"key": "op_split_delimiter", "column": "parts", "delimiter": "-"},
+        {"key": "op_split_delimiter", "column": "both", "delimiter": ";"},
+        {"key": "op_round_numbers", "column": "price", "check": True},
+        {"key": "op_remove_duplicates", "column": "lines_part1", "order_by": "price"},
+        {"key": "op_split_delimiter", "column": "high", "delimiter": "."},
+    ]
+    one_by_one = df
+    for operation in recipe:
+        one_by_one = ss.run_operation(one_by_one, operation)
+    result = ss.Recipe(recipe).apply(df)
+    assert "parts_part4" in result.columns and result.schema == one_by_one.schema
+    assert sorted(map(str, result.collect())) == sorted(map(str, one_by_one.collect()))
+
+
+def test_problems_found_by_the_statistics_name_the_operation(spark):
+    df = _needy_table(spark)
+    split = {"key": "op_split_delimiter", "column": "parts", "delimiter": "-"}
+    with pytest.raises(ValueError, match=r"operation 1 \(op_round_numbers\): column 'lines' holds no numbers"):
+        ss.Recipe([split, {"key": "op_round_numbers", "column": "lines", "check": True}]).apply(df)
+    with pytest.raises(ValueError, match=r"operation 1 \(op_split_delimiter\): no cell of 'price' has"):
+        ss.Recipe([split, {"key": "op_split_delimiter", "column": "price", "delimiter": "#"}]).apply(df)
+    with pytest.raises(ValueError, match=r"operation 1 \(op_round_numbers\)"):
+        ss.Recipe([split, {"key": "op_round_numbers", "column": "nowhere", "check": True}]).apply(df)
+    with pytest.raises(ValueError, match=r"operation 0 \(op_split_delimiter\): .*max_parts"):
+        ss.Recipe([{**split, "max_parts": 2}, {"key": "op_round_numbers", "column": "price", "check": True}]).apply(df)
