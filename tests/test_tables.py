@@ -119,13 +119,23 @@ def test_slices(spark, n, slack):
 
 
 @pytest.mark.parametrize("slack", [0, 100_000])
-def test_slice_refuses_shared_end_keys_at_every_size(spark, slack):
+def test_slices_with_shared_keys(spark, slack):
+    """Shared keys, told apart by the other cells or not at all: the same rows however the table is partitioned."""
     same = spark.range(500).select((F.col("id") * 0).alias("k"))
     pairs = spark.range(500).select(F.floor(F.col("id") / 2).alias("k"))
-    for df in (same, pairs):
-        with pytest.raises(ValueError, match="unique"):
-            ss.slice_rows(df, "middle", 5, order_by="k", slack=slack)
-    # Keys that are shared inside of the slice only leave nothing open.
+    halves = spark.range(500).select(F.floor(F.col("id") / 250).alias("k"))
+    three = spark.range(2000).select((F.col("id") % 3).alias("k"), "id")
+    for df, expected in ((same, [0] * 5), (pairs, [123, 124, 124, 125, 125]), (halves, [0, 0, 0, 1, 1]), (three, [1] * 5)):
+        found = [ss.slice_rows(df.repartition(p), "middle", 5, order_by="k", slack=slack).collect() for p in (1, 7)]
+        assert [r.k for r in found[0]] == expected
+        assert found[0] == found[1]
+        for position in ("head", "tail"):
+            one, seven = (ss.slice_rows(df.repartition(p), position, 5, order_by="k").collect() for p in (1, 7))
+            assert one == seven
+    whole = [ss.slice_rows(three, p, 667, order_by="k", slack=slack).collect() for p in ("head", "middle", "tail")]
+    keys = sorted(i % 3 for i in range(2000))
+    assert [[r.k for r in part] for part in whole] == [keys[:667], keys[666:1333], keys[1333:]]
+    assert all(len({r.id for r in part}) == 667 for part in whole)
     assert ss.slice_rows(pairs, "middle", 4, order_by="k", slack=slack).count() == 4
 
 
