@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 END = 0
-#: Rows of the output layer worked on at once.
-_ROWS = 1 << 16
+#: Rows of the output layer worked on at once; of the classes, so that their outputs stay in the cache.
+_ROWS, _CLASS_ROWS = 1 << 16, 1 << 12
 
 
 @dataclass
@@ -84,17 +84,34 @@ class Weights:
         return Weights(self.layout, self.hidden, parts)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _sigmoid(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Into ``out``; exponentials that overflow give the limit 0."""
+    np.negative(x, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
-def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, n: int):
-    """One step of the gated unit: update and reset ``g``, candidate ``c``, ``u`` = what the reset lets through."""
-    from_state = h @ w["state"]
-    g = _sigmoid(x[:, : 2 * n] + from_state[:, : 2 * n])
-    u = from_state[:, 2 * n :]
-    c = np.tanh(x[:, 2 * n :] + g[:, n:] * u)
-    return g, u, c, h + g[:, :n] * (c - h)
+def _step(turned: np.ndarray, x: np.ndarray, h: np.ndarray, n: int):
+    """One step of the gated unit: update and reset ``g``, candidate ``c``, ``u`` = what the reset lets through.
+
+    Numbers of a state are rows and texts columns, so that every gate is one run of memory. ``turned`` has a row
+    per output of a state, ``x`` is used up.
+    """
+    from_state = turned @ h
+    u = from_state[2 * n :]
+    from_state[: 2 * n] += x[: 2 * n]
+    g = _sigmoid(from_state[: 2 * n], x[: 2 * n])
+    c = x[2 * n :]
+    c += g[n:] * u
+    c *= 2
+    _sigmoid(c, c)  # tanh(c) = 2 sigmoid(2 c) - 1
+    c *= 2
+    c -= 1
+    after = c - h
+    after *= g[:n]
+    after += h
+    return g, u, c, after
 
 
 def _exponentials(x: np.ndarray, bound: float) -> np.ndarray:
@@ -104,9 +121,14 @@ def _exponentials(x: np.ndarray, bound: float) -> np.ndarray:
     return np.exp(x, out=x)
 
 
-def _bound(weights: np.ndarray, bias: np.ndarray) -> float:
-    """No output of states between -1 and 1 is further from 0; ``weights`` has a row per output."""
-    return float((np.abs(weights).sum(axis=1) + np.abs(bias)).max()) if len(bias) else 0.0
+def _bound(layer: np.ndarray) -> float:
+    """No output of states between -1 and 1 is further from 0."""
+    return float(np.abs(layer).sum(axis=0).max()) if layer.size else 0.0
+
+
+def _layers(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs of classes and of words as matrices over a state and a last entry 1, which takes the bias."""
+    return np.vstack((p["class_w"], p["class_b"])), np.vstack((p["word_w"].T, p["word_b"]))
 
 
 def _log_share(x: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
@@ -119,13 +141,18 @@ def _log_share(x: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
     return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
+def _sorted_places(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers from 0; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
 def _by_class(layout: Layout, token: np.ndarray):
     """For every class of several words among ``token``: its number, the rows with it, their word in it."""
     word = np.flatnonzero(token >= layout.single)
     if len(word) == 0:
         return
     nth = (token[word] - layout.single) // layout.per_class
-    order = np.argsort(nth, kind="stable")
+    order = _sorted_places(nth, layout.classes)
     word, nth = word[order], nth[order]
     edges = np.flatnonzero(np.diff(nth, prepend=-1))
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(word)], strict=True):
@@ -134,127 +161,156 @@ def _by_class(layout: Layout, token: np.ndarray):
 
 
 def log_probability(w: Weights, h: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token after the state in the same row."""
-    p, layout = w.parts, w.layout
-    bound = _bound(p["class_w"].T, p["class_b"])
-    out = _log_share(h @ p["class_w"] + p["class_b"], layout.class_of(token), bound)
-    bound = _bound(p["word_w"], p["word_b"])
+    """Natural log probability of each token after the state in the same row; states end with a 1."""
+    layout = w.layout
+    classes, words = _layers(w.parts)
+    bound, own = _bound(classes), layout.class_of(token)
+    out = np.empty(len(token), h.dtype)
+    for a in range(0, len(token), _CLASS_ROWS):
+        rows = slice(a, a + _CLASS_ROWS)
+        out[rows] = _log_share(h[rows] @ classes, own[rows], bound)
+    bound = _bound(words)
     for k, rows, word in _by_class(layout, token):
-        part = slice(k * layout.per_class, (k + 1) * layout.per_class)
-        out[rows] += _log_share(h[rows] @ p["word_w"][part].T + p["word_b"][part], word, bound)
+        part = words[:, k * layout.per_class : (k + 1) * layout.per_class]
+        out[rows] += _log_share(h.take(rows, axis=0) @ part, word, bound)
     return out
 
 
-def score(w: Weights, token: np.ndarray, offsets: np.ndarray, window: int = _ROWS // 4) -> np.ndarray:
+def score(
+    w: Weights, token: np.ndarray, offsets: np.ndarray, window: int = _ROWS // 4, lanes: int = 1024
+) -> np.ndarray:
     """Natural log probability of each text, its end included; texts' tokens (END last) lie one after another.
 
-    Texts are read side by side; states are kept until there are ``window`` of them, then the output layer
-    takes them all, and the last ones go on into the next window.
+    ``lanes`` texts of similar length are read side by side; states are kept until there are ``window`` of them,
+    then the output layer takes them all, and the last ones go on into the next window.
     """
-    n, size = w.hidden, np.diff(offsets)
-    order = np.argsort(-size, kind="stable")
-    start, size = offsets[:-1][order], size[order]
-    into = w.parts["embed"] @ w.parts["into"] + w.parts["bias"]
+    order = np.argsort(-np.diff(offsets), kind="stable")
+    into = np.ascontiguousarray((w.parts["embed"] @ w.parts["into"] + w.parts["bias"]).T)
+    out = np.empty(len(order))
+    for a in range(0, len(order), lanes):
+        texts = order[a : a + lanes]
+        out[texts] = _score_lanes(w, into, token, offsets[:-1][texts], np.diff(offsets)[texts], window)
+    return out
+
+
+def _score_lanes(
+    w: Weights, into: np.ndarray, token: np.ndarray, start: np.ndarray, size: np.ndarray, window: int
+) -> np.ndarray:
+    """Scores of the texts at ``start``, longest first; ``into`` has a column per token."""
+    n = w.hidden
+    turned = np.ascontiguousarray(w.parts["state"].T)
     out = np.zeros(len(size))
-    h = np.zeros((len(size), n), np.float32)
-    longest = int(size[0]) if len(size) else 0
+    h = np.zeros((n, len(size)), np.float32)
+    longest = int(size[0])
     active = np.searchsorted(-size, -np.arange(longest + 1), side="left")  # texts with more tokens than that
     states, targets, held = [], [], 0
+    last = np.full(len(size), END)  # before the first token comes the end of nothing
     for t in range(longest):
         m = int(active[t])
-        # Before the first token comes the end of nothing.
-        x = into[token[start[:m] + t - 1]] if t else np.broadcast_to(into[END], (m, 3 * n))
-        h = _step(w.parts, x, h[:m], n)[3]
+        x = into.take(targets[-1][:m] if targets else last[:m], axis=1, mode="clip")
+        with np.errstate(over="ignore"):
+            h = _step(turned, x, h[:, :m], n)[3]
         states.append(h)
-        targets.append(token[start[:m] + t])
+        targets.append(token.take(start[:m] + t))
         held += m
         if held < window and t + 1 < longest:
             continue
-        flat, wanted = np.concatenate(states), np.concatenate(targets)
-        found = [log_probability(w, flat[k : k + _ROWS], wanted[k : k + _ROWS]) for k in range(0, len(flat), _ROWS)]
-        owners = np.concatenate([np.arange(len(s)) for s in states])
-        out[: len(states[0])] += np.bincount(owners, weights=np.concatenate(found), minlength=len(states[0]))
+        flat, wanted = np.ones((held, n + 1), np.float32), np.concatenate(targets)
+        np.concatenate([s.T for s in states], out=flat[:, :n])
+        found = [log_probability(w, flat[k : k + _ROWS], wanted[k : k + _ROWS]) for k in range(0, held, _ROWS)]
+        owners = np.concatenate([np.arange(len(s)) for s in targets])
+        out[: len(targets[0])] += np.bincount(owners, weights=np.concatenate(found), minlength=len(targets[0]))
+        last = targets[-1]
         states, targets, held = [], [], 0
-    result = np.empty(len(size))
-    result[order] = out
-    return result
+    return out
 
 
-def _softmax(x: np.ndarray, bound: float) -> np.ndarray:
-    _exponentials(x, bound)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
-    return x
+def _through(
+    layer: np.ndarray, states: np.ndarray, own: np.ndarray, weight: np.ndarray, bound: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the rows' losses, by ``weight``, with regard to an output layer and to its states.
+
+    What divides or weighs a row is applied to its state, which is shorter than its outputs.
+    """
+    x = _exponentials(states @ layer, bound)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x[np.arange(len(own)), own] -= total
+    share = (weight / total)[:, None]
+    return (states * share).T @ x, (x @ layer[:-1].T) * share
 
 
 def _gradients(
     w: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, live: np.ndarray | None = None
 ) -> tuple[dict, np.ndarray]:
-    """Gradients of the mean loss of a window (steps x lanes), and the state after it. Only targets that are
-    ``live`` (all, unless given) count."""
+    """Gradients of the mean loss of a window (steps x lanes), and the state (hidden x lanes) after it. Only
+    targets that are ``live`` (all, unless given) count."""
     p, layout, n = w.parts, w.layout, w.hidden
     steps, lanes = inputs.shape
-    into = p["embed"] @ p["into"] + p["bias"]
-    go_on = (inputs != END)[:, :, None].astype(h.dtype)  # a new text starts with nothing
-    kept = []
-    before, after = np.empty((steps, lanes, n), h.dtype), np.empty((steps, lanes, n), h.dtype)
-    for t in range(steps):
-        before[t] = h * go_on[t]
-        g, u, c, h = _step(p, into[inputs[t]], before[t], n)
-        kept.append((g, u, c))
-        after[t] = h
-    flat, token = after.reshape(-1, n), targets.ravel()
-    live = None if live is None or live.all() else live.ravel()
-    count = h.dtype.type(max(1, len(token) if live is None else live.sum()))
+    into = np.ascontiguousarray((p["embed"] @ p["into"] + p["bias"]).T)
+    turned = np.ascontiguousarray(p["state"].T)
+    go_on = (inputs != END).astype(h.dtype)  # a new text starts with nothing
+    before, kept = [], []
+    after = np.empty((n, steps, lanes), h.dtype)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            before.append(h * go_on[t])
+            g, u, c, h = _step(turned, into.take(inputs[t], axis=1, mode="clip"), before[t], n)
+            kept.append((g, u, c))
+            after[:, t] = h
+    flat, token = np.ones((steps * lanes, n + 1), h.dtype), targets.ravel()
+    flat[:, :n] = after.reshape(n, -1).T
+    weight = np.ones(len(token), h.dtype) if live is None else live.ravel().astype(h.dtype)
+    weight /= max(h.dtype.type(1), weight.sum())
     grad = {}
-    soft = _softmax(flat @ p["class_w"] + p["class_b"], _bound(p["class_w"].T, p["class_b"]))
-    soft[np.arange(len(token)), layout.class_of(token)] -= 1
-    soft /= count
-    if live is not None:
-        soft[~live] = 0
-    grad["class_w"], grad["class_b"] = flat.T @ soft, soft.sum(axis=0)
-    back = soft @ p["class_w"].T
-    grad["word_w"], grad["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
-    bound = _bound(p["word_w"], p["word_b"])
+    classes, words = _layers(p)
+    bound, own = _bound(classes), layout.class_of(token)
+    back, sums = np.empty((len(token), n), h.dtype), np.zeros_like(classes)
+    for a in range(0, len(token), _CLASS_ROWS):
+        rows = slice(a, a + _CLASS_ROWS)
+        found, back[rows] = _through(classes, flat[rows], own[rows], weight[rows], bound)
+        sums += found
+    grad["class_w"], grad["class_b"] = sums[:-1], sums[-1]
+    bound, sums = _bound(words), np.zeros_like(words)
     for k, rows, word in _by_class(layout, token):
-        if live is not None:
-            rows, word = rows[live[rows]], word[live[rows]]
         part = slice(k * layout.per_class, (k + 1) * layout.per_class)
-        states = flat[rows]
-        soft = _softmax(states @ p["word_w"][part].T + p["word_b"][part], bound)
-        soft[np.arange(len(rows)), word] -= 1
-        soft /= count
-        grad["word_w"][part] = soft.T @ states
-        grad["word_b"][part] = soft.sum(axis=0)
-        back[rows] += soft @ p["word_w"][part]
-    back = back.reshape(steps, lanes, n)
-    d_state = np.empty((steps, lanes, 3 * n), h.dtype)
-    d_into = np.empty((steps, lanes, 3 * n), h.dtype)
-    d_next = np.zeros((lanes, n), h.dtype)
-    turned = np.ascontiguousarray(p["state"].T)
+        states = flat.take(rows, axis=0)
+        sums[:, part], found = _through(words[:, part], states, word, weight.take(rows), bound)
+        back[rows] += found
+    grad["word_w"], grad["word_b"] = sums[:-1].T, sums[-1]
+    back = np.ascontiguousarray(back.T).reshape(n, steps, lanes)
+    d_into = np.empty((3 * n, steps, lanes), h.dtype)
+    d_state, d_next = np.empty((3 * n, lanes), h.dtype), np.zeros((n, lanes), h.dtype)
+    grad["state"] = np.zeros_like(p["state"])
     for t in range(steps - 1, -1, -1):
         g, u, c = kept[t]
-        z, r = g[:, :n], g[:, n:]
-        d = back[t] + d_next
-        d_c = d * z * (1 - c * c)
-        to_gates = g * (1 - g)
-        to_gates[:, :n] *= d * (c - before[t])
-        to_gates[:, n:] *= d_c * u
-        d_into[t, :, : 2 * n] = d_state[t, :, : 2 * n] = to_gates
-        d_into[t, :, 2 * n :] = d_c
-        d_state[t, :, 2 * n :] = d_c * r
-        d_next = (d * (1 - z) + d_state[t] @ turned) * go_on[t]
-    grad["state"] = before.reshape(-1, n).T @ d_state.reshape(-1, 3 * n)
-    d_into = d_into.reshape(-1, 3 * n)
-    grad["bias"] = d_into.sum(axis=0)
-    # Rows of one token are summed after sorting by token.
+        z, r = g[:n], g[n:]
+        d = back[:, t] + d_next
+        through = d * z
+        d_next = d - through
+        d_c, gates = d_into[2 * n :, t], d_state[: 2 * n]
+        np.multiply(c, c, out=d_c)
+        np.subtract(1, d_c, out=d_c)
+        d_c *= through
+        np.subtract(1, g, out=gates)
+        gates *= g
+        gates[:n] *= d * (c - before[t])
+        gates[n:] *= d_c * u
+        d_into[: 2 * n, t] = gates
+        np.multiply(d_c, r, out=d_state[2 * n :])
+        d_next += p["state"] @ d_state
+        d_next *= go_on[t]
+        grad["state"] += before[t] @ d_state.T
+    d_into = d_into.reshape(3 * n, -1)
+    grad["bias"] = d_into.sum(axis=1)
+    # What belongs to one token is summed after sorting by token.
     token = inputs.ravel()
-    order = np.argsort(token, kind="stable")
+    order = _sorted_places(token, layout.tokens)
     first = np.flatnonzero(np.diff(token[order], prepend=-1))
-    per_token = np.add.reduceat(d_into[order], first, axis=0)
+    per_token = np.add.reduceat(d_into.take(order, axis=1), first, axis=1)
     used = token[order][first]
-    grad["into"] = p["embed"][used].T @ per_token
+    grad["into"] = (per_token @ p["embed"][used]).T
     grad["embed"] = np.zeros_like(p["embed"])
-    grad["embed"][used] = per_token @ p["into"].T
+    grad["embed"][used] = (p["into"] @ per_token).T
     return grad, h
 
 
@@ -277,10 +333,11 @@ def train(
     first = {k: np.zeros_like(v) for k, v in parts.items()}
     second = {k: np.zeros_like(v) for k, v in parts.items()}
     now = Weights(w.layout, w.hidden, parts)
-    h = np.zeros((lanes, w.hidden), np.float32)
+    h = np.zeros((w.hidden, lanes), np.float32)
     n_windows = -(-length // window)
     for step, at in enumerate(range(0, length, window)):
-        g, h = _gradients(now, inputs[at : at + window], targets[at : at + window], h, live[at : at + window])
+        part = slice(at, at + window)
+        g, h = _gradients(now, *(np.ascontiguousarray(x[part]) for x in (inputs, targets)), h, live[part])
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         scale = min(1.0, clip / max(norm, 1e-9))
         pace = rate * (1 - 0.9 * step / n_windows) * min(1.0, (step + 1) / 20)

@@ -21,12 +21,18 @@ def _weights(seed=0, words=70, hidden=6):
     return w.unflat(w.flat() + 0.1 * rng.standard_normal(len(w.flat())).astype(np.float32))
 
 
+def _log_probability(w, states, tokens):
+    """Of tokens after states that are columns."""
+    one = np.ones((states.shape[1], 1), states.dtype)
+    return recurrent.log_probability(w, np.hstack((states.T, one)), tokens)
+
+
 def test_probabilities_add_up():
     w = _weights()
     h = np.random.default_rng(1).standard_normal((3, 6)).astype(np.float32)
     tokens = np.arange(w.layout.tokens)
     for row in h:
-        p = np.exp(recurrent.log_probability(w, np.tile(row, (len(tokens), 1)), tokens))
+        p = np.exp(_log_probability(w, np.tile(row[:, None], len(tokens)), tokens))
         assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -34,7 +40,7 @@ def test_start_gives_every_token_its_share():
     layout = recurrent.Layout(4, 70, per_class=8)
     p = np.random.default_rng(1).dirichlet(np.ones(layout.tokens))
     w = recurrent.Weights.start(layout, 6, np.log(p))
-    found = np.exp(recurrent.log_probability(w, np.zeros((layout.tokens, 6), np.float32), np.arange(layout.tokens)))
+    found = np.exp(_log_probability(w, np.zeros((6, layout.tokens), np.float32), np.arange(layout.tokens)))
     assert np.allclose(found, p, rtol=1e-3)
 
 
@@ -45,15 +51,15 @@ def test_gradients_against_differences():
     stream = rng.integers(0, w.layout.tokens, (7, 3))
     inputs, targets = stream[:-1], stream[1:]
     inputs[0, 0] = recurrent.END
-    h = rng.standard_normal((3, 4)) * 0.1
+    h = rng.standard_normal((4, 3)) * 0.1
 
     def loss():
         state, total = h, []
         into = w.parts["embed"] @ w.parts["into"] + w.parts["bias"]
         for t in range(6):
-            state = np.where((inputs[t] == recurrent.END)[:, None], 0, state)
-            state = recurrent._step(w.parts, into[inputs[t]], state, 4)[3]
-            total.append(recurrent.log_probability(w, state, targets[t]))
+            state = np.where(inputs[t] == recurrent.END, 0, state)
+            state = recurrent._step(w.parts["state"].T, into[inputs[t]].T.copy(), state, 4)[3]
+            total.append(_log_probability(w, state, targets[t]))
         return -np.mean(total)
 
     g, _ = recurrent._gradients(w, inputs, targets, h)
@@ -68,19 +74,19 @@ def test_gradients_against_differences():
             assert (up - down) / 2e-5 == pytest.approx(g[name].flat[at], abs=2e-5, rel=1e-2), name
 
 
-@pytest.mark.parametrize("window", [1, 4, 100])
-def test_state_is_carried_through_whole_texts(window):
+@pytest.mark.parametrize(("window", "lanes"), [(1, 9), (4, 2), (100, 3)])
+def test_state_is_carried_through_whole_texts(window, lanes):
     w = _weights()
     rng = np.random.default_rng(3)
     texts = [rng.integers(1, w.layout.tokens, n).tolist() + [recurrent.END] for n in (0, 1, 5, 33, 12, 0, 5)]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    found = recurrent.score(w, np.concatenate(texts).astype(np.int64), offsets, window)
+    found = recurrent.score(w, np.concatenate(texts).astype(np.int64), offsets, window, lanes)
     into = w.parts["embed"] @ w.parts["into"] + w.parts["bias"]
     for text, value in zip(texts, found, strict=True):
-        h, last, total = np.zeros((1, 6), np.float32), recurrent.END, 0.0
+        h, last, total = np.zeros((6, 1), np.float32), recurrent.END, 0.0
         for token in text:
-            h = recurrent._step(w.parts, into[[last]], h, 6)[3]
-            total += recurrent.log_probability(w, h, np.array([token]))[0]
+            h = recurrent._step(w.parts["state"].T, into[[last]].T.copy(), h, 6)[3]
+            total += _log_probability(w, h, np.array([token]))[0]
             last = token
         assert value == pytest.approx(total, rel=1e-5)
 
@@ -156,13 +162,13 @@ def test_every_token_is_learned_from():
     inputs, targets = rng.integers(0, n, (2, 7, 3))
     live = np.ones((7, 3), bool)
     live[4:, 2] = False
-    h = np.zeros((3, 5), np.float32)
+    h = np.zeros((5, 3), np.float32)
     found, _ = recurrent._gradients(w, inputs, targets, h, live)
     other = targets.copy()
     other[4:, 2] = recurrent.END
     changed, _ = recurrent._gradients(w, inputs, other, h, live)
-    whole, _ = recurrent._gradients(w, inputs[:, :2], targets[:, :2], h[:2])
-    short, _ = recurrent._gradients(w, inputs[:4, 2:], targets[:4, 2:], h[2:])
+    whole, _ = recurrent._gradients(w, inputs[:, :2], targets[:, :2], h[:, :2])
+    short, _ = recurrent._gradients(w, inputs[:4, 2:], targets[:4, 2:], h[:, 2:])
     for k in found:
         assert np.allclose(found[k], changed[k], atol=1e-6)
         assert np.allclose(18 * found[k], 14 * whole[k] + 4 * short[k], atol=1e-4)
