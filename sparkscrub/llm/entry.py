@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, kneser_ney, langid, quality_rules, toxicity
-from .common import doc_bucket
+from .common import Scratch, doc_bucket
 from .lm_scoring import score_documents
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .prefix_trie import rebuilt_trie
 from .projection_passes import near_vectors
-from .resharding import reshard
+from .resharding import reshard_files
 from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,11 +45,23 @@ def op2_mix_sources(spark, sf_dir):
 
 @query()
 def op3_reshard(spark, sf_dir):
-    """From 16 old shards by source, the hot one among them, to 24 with equal row counts."""
+    """From 16 old shards by source, the hot one among them, to 24 with equal row counts; affected files rewritten.
+
+    Rows of affected shards are read from the files written for them.
+    """
     docs = table(spark, sf_dir, "documents")
     old = F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % 16
-    placed, _ = reshard(docs, old, n_new=24)
-    return placed.select(
+    files, rest, _ = reshard_files(docs, old, f"{Scratch(spark).folder}/shards", n_new=24)
+    value = F.coalesce(F.col("text"), F.lit(""))
+    rewritten = files.select(
+        "doc_id",
+        (F.octet_length(value).cast("long") + 8).alias("size"),
+        F.crc32(value.cast("binary")).alias("text_crc32"),
+        old.cast("int").alias("old"),
+        "shard",
+        "slot",
+    )
+    return rewritten.unionByName(rest).select(
         "doc_id",
         "size",
         "text_crc32",

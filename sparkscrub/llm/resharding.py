@@ -11,10 +11,11 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import Scratch, partitions, ranked, small
 
 
 def min_cost_flow(n: int, edges: list[tuple[int, int, int, float]], source: int, sink: int) -> list[int]:
@@ -180,3 +181,98 @@ def rewrite(placed: DataFrame, moves: list[Move], n_new: int, path: str, max_rec
         "partitionOverwriteMode", "dynamic"
     ).option("maxRecordsPerFile", max_records).partitionBy("shard").parquet(path)
     return shards
+
+
+#: Bytes of text that a task writes.
+_TASK_BYTES = 128 << 20
+
+
+def reshard_files(
+    docs: DataFrame,
+    old: Column,
+    path: str,
+    n_new: int = 24,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> tuple[DataFrame, DataFrame, list[Move]]:
+    """Plan as :func:`reshard` does, and write the files of the affected shards (folders ``shard=N`` under ``path``).
+
+    Returns the rows of the affected shards, read from their files with ``shard`` and ``slot``; the rows of the
+    other shards, which keep their files (``doc_id``, ``size``, ``text_crc32``, ``old``, ``shard``, ``slot``); and the
+    moves. Nulls, ids, repeated rows and empty tables as there; columns of the input called ``shard`` or ``slot``
+    are replaced. Rows that are not read from files are written first.
+
+    Only ids, sizes and checksums are sorted to find the rows' places. The first row of every move is the bound by
+    which each whole row then finds its shard where it is read, so the texts are shuffled once. In a shard rows lie
+    by a hash, which spreads long texts evenly over the tasks; a row's slot is its place in that order, the
+    sum of the counts of the files before and its place in its own.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    place = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__line")
+    try:
+        rows = docs.select("*", *place)
+    except AnalysisException:
+        docs = scratch.save(docs, "docs")
+        rows = docs.select("*", *place)
+    value = F.coalesce(F.col(text), F.lit(""))
+    plan = {
+        "old": F.coalesce(old.cast("int"), F.lit(0)),
+        "size": F.octet_length(value).cast("long") + 8,
+        "doc_id": F.col(doc_id),
+        "text_crc32": F.crc32(value.cast("binary")),
+        "__file": F.col("__file"),
+        "__line": F.col("__line"),
+    }
+    by = [c for c in plan if c != "old"]
+    narrow = ranked(rows.select(*[c.alias(k) for k, c in plan.items()]), ["old"], by, "place", scratch)
+    blocks = narrow.groupBy("old", F.floor(2 * F.log2("size")).cast("int").alias("class"))
+    blocks = blocks.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).collect()
+    moves = plan_moves([tuple(b) for b in blocks], n_new)
+    shards = changed_shards(moves, n_new)
+    found = spark.createDataFrame(
+        [(m.old, m.new, m.first, m.last, m.slot) for m in moves],
+        "__from int, __to int, first long, last long, first_slot long",
+    )
+    found = F.broadcast(found)  # a row per move: at most one per old and new shard
+    same = F.col("old") == F.col("__from")
+    inside = same & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last"))
+    rest = narrow.join(found.where(~F.col("__to").isin(shards)), inside)
+    slot = (F.col("first_slot") + F.col("place") - F.col("first")).alias("slot")
+    rest = rest.select("doc_id", "size", "text_crc32", "old", F.col("__to").alias("shard"), slot)
+
+    bounds = narrow.join(found, same & (F.col("place") == F.col("first")))
+    bounds = bounds.select("__from", "__to", "first", F.struct(*by).alias("__low"))
+    above = F.lead("__low").over(Window.partitionBy("__from").orderBy("first"))
+    bounds = scratch.save(bounds.withColumn("__high", above).drop("first"), "bounds")
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    key = F.struct(*[plan[c].alias(c) for c in by])
+    wide = rows.select(
+        *[F.col(f"`{c}`") for c in own],
+        plan["old"].alias("__old"),
+        key.alias("__key"),
+        F.xxhash64("__file", "__line").alias("__place"),
+    )
+    on = (F.col("__old") == F.col("__from")) & (F.col("__key") >= F.col("__low"))
+    on &= F.col("__high").isNull() | (F.col("__key") < F.col("__high"))
+    wide = wide.join(F.broadcast(bounds.where(F.col("__to").isin(shards))), on)
+    wide = wide.select(*[F.col(f"`{c}`") for c in own], "__place", "__key.__file", "__key.__line", F.col("__to").alias("shard"))
+    n = max(partitions(spark), -(-sum(b["bytes"] for b in blocks) // _TASK_BYTES))
+    order = ["shard", "__place", "__file", "__line"]
+    wide = wide.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__place", "__file", "__line")
+    mono = F.monotonically_increasing_id()
+    wide = wide.withColumn("__part", F.shiftright(mono, 33)).withColumn("__nth", mono.bitwiseAND(2**33 - 1))
+    wide.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+
+    files = spark.read.schema(wide.schema).parquet(path).where(F.col("shard").isin(shards))
+    counts = files.groupBy("shard", "__part").agg(F.min("__nth").alias("__least"), F.count(F.lit(1)).alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(
+        F.col("shard").alias("__shard"),
+        F.col("__part").alias("__of"),
+        (F.coalesce(before, F.lit(0)) - F.col("__least")).alias("__shift"),
+    )
+    starts = small(scratch.save(starts, "starts"), 32)
+    files = files.join(starts, (F.col("shard") == F.col("__shard")) & (F.col("__part") == F.col("__of")))
+    slot = (F.col("__nth") + F.col("__shift")).alias("slot")
+    return files.select(*[F.col(f"`{c}`") for c in own], "shard", slot), rest, moves

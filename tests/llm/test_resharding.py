@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from sparkscrub.llm.entry import op3_reshard
-from sparkscrub.llm.resharding import changed_shards, min_cost_flow, plan_moves, reshard, rewrite
+from sparkscrub.llm.resharding import changed_shards, min_cost_flow, plan_moves, reshard, reshard_files, rewrite
 
 
 def _least_moved(rows: dict[int, list[int]], n_new: int) -> int:
@@ -88,6 +88,43 @@ def test_rewrites_only_what_changed(spark, odd, tmp_path):
     assert changed_shards(stay, 3) == []
 
 
+def test_files_hold_the_planned_rows(spark, odd, none, tmp_path):
+    """Repeated rows, nulls and clashing names: every row is in one file, each move has its rows, slots are gapless."""
+    docs = odd.unionAll(odd).unionAll(odd).withColumn("slot", F.lit(-1))
+    old = F.coalesce(F.col("doc_id") % 3, F.lit(1)) * 2  # shard 1 and 3 are new, 2 and 4 are old
+    files, rest, moves = reshard_files(docs, old, str(tmp_path / "many"), 4)
+    own = [c for c in odd.columns if c not in ("shard", "slot")]
+    rows = files.collect()
+    value = F.coalesce(F.col("text"), F.lit(""))
+    kept = ["doc_id", "size", "text_crc32", "old", "shard", "slot"]
+    read = files.select(
+        "doc_id", (F.octet_length(value) + 8).alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"),
+        old.alias("old"), "shard", "slot",
+    ).collect() + rest.select(*kept).collect()
+    _check(read, 4)
+    if not rest.count():
+        assert sorted(map(str, files.select(*own).collect())) == sorted(map(str, docs.select(*own).collect()))
+    assert len(rows) + rest.count() == docs.count()
+    went = defaultdict(int)
+    for r in read:
+        went[r["old"], r["shard"]] += 1
+    planned = defaultdict(int)
+    for m in moves:
+        planned[m.old, m.new] += m.last - m.first
+    assert went == planned
+    files, rest, moves = reshard_files(none, F.lit(0), str(tmp_path / "none"), 4)
+    assert (files.count(), rest.count(), moves) == (0, 0, [])
+
+
+def test_other_shards_keep_their_files(spark, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), (F.col("id") % 4).alias("was"))
+    moved = F.when(F.col("doc_id") == 0, 1).otherwise(F.col("was"))  # shard 1 has one too many, shard 0 one too few
+    files, rest, moves = reshard_files(docs, moved, str(tmp_path / "some"), 4)
+    assert changed_shards(moves, 4) == [0, 1]
+    assert {r["shard"] for r in files.collect()} == {0, 1} and {r["shard"] for r in rest.collect()} == {2, 3}
+    _check(files.select("shard", "slot").unionAll(rest.select("shard", "slot")).collect(), 4)
+
+
 def test_odd_and_empty(odd, none):
     rows = reshard(odd, F.col("doc_id") % 5, 4)[0].collect()
     assert len(rows) == odd.count()
