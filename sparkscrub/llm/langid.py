@@ -148,6 +148,7 @@ def train(
     train_chars: int = 40_000,
     all_chars: int = 400_000,
     row_chars: int = 2_000,
+    least_chars: int = 400,
     folds: int = 5,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -156,19 +157,24 @@ def train(
     """A model from a bounded sample of the rows with a language outside of fold 0 of their id.
 
     Rows are drawn by a hash of id and text, about 1.5 times as many as ``train_chars`` characters per
-    language need, each giving up to ``row_chars``; with many languages ``all_chars`` is shared among them.
-    Null languages and texts are left out. The sample, bounded by these parameters, reaches the driver.
+    language, and at least eight long rows, need, each giving up to ``row_chars`` from a place in it that the hash draws too; with many languages
+    ``all_chars`` is shared among them, but none has a share below ``least_chars``. Null languages and texts are
+    left out. The sample, bounded by these parameters and the number of languages, reaches the driver.
     """
     rows = docs.where(doc_bucket(F.col(doc_id), folds) != 0).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     size = F.least(F.length(text), F.lit(row_chars))
     known = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).agg(F.sum(size)).collect()}
-    each = min(train_chars, all_chars // max(1, len(known)))
+    each = min(train_chars, max(least_chars, all_chars // max(1, len(known))))
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)), F.lit(1_000_000))
+    places = F.greatest(F.length(text) - row_chars + 1, F.lit(1))
+    begin = 1 + F.pmod(F.xxhash64(F.lit("place"), F.col(doc_id).cast("string"), F.col(text)), places).cast("int")
     spark = docs.sparkSession
-    share = [(k, min(1_000_000, int(1.5e6 * each / max(1, n)) + 1)) for k, n in known.items()]
+    # Enough rows for a small share too that a language without any is next to impossible.
+    wanted = 1.5e6 * max(each, 8 * row_chars)
+    share = [(k, min(1_000_000, int(wanted / max(1, n)) + 1)) for k, n in known.items()]
     shares = spark.createDataFrame(share, "__lang string, __share int")
     drawn = rows.join(F.broadcast(shares), F.col(lang) == F.col("__lang")).select(
-        F.col(lang).alias("lang"), draw.alias("draw"), F.substring(text, 1, row_chars).alias("text"), "__share"
+        F.col(lang).alias("lang"), draw.alias("draw"), F.substring(text, begin, F.lit(row_chars)).alias("text"), "__share"
     )
     sample = drawn.where("draw < __share").select("lang", "draw", "text").collect()
     texts: dict[str, str] = {}

@@ -59,6 +59,23 @@ def test_labels_of_the_held_out_fold_do_not_matter(documents):
     assert sorted(langid.predict(documents, langid.train(changed)).collect()) == sorted(found)
 
 
+def test_any_part_of_a_long_text_is_learned_from(spark):
+    """The letters of xx come only after 10,000 letters that both languages share."""
+    rows = [(i, "yy" if i % 2 else "xx", "ab " * 3_333 + ("cd " if i % 2 else "ef ") * 3_333) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(docs, train_chars=20_000)
+    assert {chr(c) for c in model.codes} == set("abcdef")
+    found = langid.predict(spark.createDataFrame([(1, "cd cd"), (2, "ef ef")], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {1: "yy", 2: "xx"}
+
+
+def test_every_language_has_a_least_share(documents):
+    model = langid.train(documents, all_chars=2)
+    learned = documents.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    assert model.languages == sorted(r[0] for r in learned.select("lang").distinct().collect() if r[0])
+    assert min(model.bits) > np.log2(200)
+
+
 def test_odd_rows(odd, documents):
     model = langid.train(documents)
     rows = langid.predict(odd, model).collect()
