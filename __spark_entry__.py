@@ -1087,12 +1087,17 @@ def csv_quoted_text(spark, sf_dir):
     return ss.read_table(spark, path, "csv", schema=documents.schema, missing_tokens=())
 
 
+# A task writes about as much text into one file.
+_CSV_FILE_BYTES = 64 << 20
+
+
 @_query("SELECT doc_id, text, lang, source, n_chars, TRUE AS by_many_tasks FROM documents")
 def csv_split_quotes(spark, sf_dir):
-    """The same texts in one file of many small blocks, cut into records by as many tasks."""
+    """The same texts in one file of many small blocks (one for every 64 MB of text), cut into records by as many tasks."""
     path, setting = _new_folder(spark), "spark.sql.files.maxPartitionBytes"
     documents = _table(spark, sf_dir, "documents")
-    ss.write_table(documents.coalesce(1), path, "csv")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ss.write_table(documents.coalesce(1 + size // _CSV_FILE_BYTES), path, "csv")
     before = spark.conf.get(setting)
     spark.conf.set(setting, str(64 << 10))
     try:

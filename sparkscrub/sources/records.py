@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lookup import materialize
@@ -57,17 +57,27 @@ class QuoteCounts:
         quotes = any(row["quotes"] for row in found)
         #: May line breaks stand in quotes? Then a line has an odd number of quotes, or carriage returns hide it.
         self.any_open = any(row["open"] for row in found) or self.stray_returns and quotes
+        #: By block: do quotes opened before it go on in it?
         self.opens: dict[int, int] = {}
-        file, parity = None, 0
+        #: By block: the block in which the record that is open at its start began (its own start if none is).
+        self.begun: dict[int, int] = {}
+        file, parity, begun = None, 0, 0
         for row in sorted(found, key=lambda row: (row["file"], row["start"])):
             parity = parity if row["file"] == file else 0
             file = row["file"]
             self.opens[row["block"]] = parity
+            self.begun[row["block"]] = begun if parity else row["start"]
+            # A block with an odd line ends the record it begins with; what is open at its end began in it.
+            if row["open"] or not parity:
+                begun = row["start"]
             parity ^= row["parity"]
 
 
 def _cut(lines: DataFrame, opens) -> DataFrame:
-    """Rows ``record``, ``file``, ``start``, ``kind``, ``first`` (begins with the first line of its file)."""
+    """Rows ``record``, ``file``, ``begun``, ``start``, ``kind``, ``first`` (begins with the first line of its file).
+
+    ``begun`` tells where the block starts in which the record begins.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -77,16 +87,18 @@ def _cut(lines: DataFrame, opens) -> DataFrame:
         state = {"block": None, "inside": 0, "kind": _WHOLE, "first": False, "held": []}
 
         def out(records, kinds, firsts, batch, at: int):
-            n = len(records)
+            n, start = len(records), batch.column("start")[at].as_py()
+            begun = np.where(np.isin(kinds, (_HEAD, _INSIDE)), state.get("begun", start), start)
             return pa.RecordBatch.from_arrays(
                 [
                     records.cast(pa.string()),
                     pa.array([batch.column("file")[at].as_py()] * n, pa.string()),
-                    pa.array([batch.column("start")[at].as_py()] * n, pa.int64()),
+                    pa.array(begun, pa.int64()),
+                    pa.array([start] * n, pa.int64()),
                     pa.array(kinds, pa.int32()),
                     pa.array(firsts, pa.bool_()),
                 ],
-                names=["record", "file", "start", "kind", "first"],
+                names=["record", "file", "begun", "start", "kind", "first"],
             )
 
         def joined(parts: list, ends: list[int]):
@@ -109,12 +121,12 @@ def _cut(lines: DataFrame, opens) -> DataFrame:
                 values = batch.column("value").slice(a, b - a)
                 if block[a] != state["block"]:
                     yield from rest()
-                    inside = known.get(int(block[a]))
-                    if inside is None:
+                    found, start = known.get(int(block[a])), batch.column("start")[a].as_py()
+                    if found is None:
                         yield out(pa.array([""]), [_UNKNOWN], [False], batch, a)
-                        inside = 0
-                    at_start = batch.column("start")[a].as_py() == 0
-                    state = {"block": block[a], "inside": inside, "kind": _HEAD if inside else _WHOLE, "first": at_start, "held": []}
+                    inside, begun = found or (0, start)
+                    state = {"block": block[a], "inside": inside, "kind": _HEAD if inside else _WHOLE, "first": start == 0, "held": []}
+                    state["begun"] = begun
                 state["where"] = batch, a
                 odd = np.asarray(pc.count_substring(values, '"')) & 1
                 after = (state["inside"] + np.cumsum(odd)) & 1
@@ -138,16 +150,15 @@ def _cut(lines: DataFrame, opens) -> DataFrame:
                 yield out(records, kinds, firsts, batch, a)
         yield from rest()
 
-    return lines.mapInArrow(run, "record string, file string, start long, kind int, first boolean")
+    return lines.mapInArrow(run, "record string, file string, begun long, start long, kind int, first boolean")
 
 
 def _stitched(cut: DataFrame) -> DataFrame:
-    """Records that go over the ends of blocks: at most two fragments per block are joined."""
-    fragments = cut.where(F.col("kind") > _WHOLE)
-    so_far = Window.partitionBy("file").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = fragments.withColumn("number", F.count(F.when(F.col("kind") == _TAIL, 1)).over(so_far))
+    """Records that go over the ends of blocks: their fragments, at most two per block, name the block they begin in,
+    so that every record is joined on its own."""
     parts = F.array_sort(F.collect_list(F.struct("start", "kind", "record")))
-    joined = numbered.groupBy("file", "number").agg(parts.alias("parts"), F.bool_or("first").alias("first"))
+    fragments = cut.where(F.col("kind") > _WHOLE).groupBy("file", "begun")
+    joined = fragments.agg(parts.alias("parts"), F.bool_or("first").alias("first"))
     return joined.select(F.concat_ws("\n", F.col("parts.record")).alias("record"), "file", "first")
 
 
@@ -178,7 +189,8 @@ def quoted_records(spark: SparkSession, path: str, counts: QuoteCounts) -> DataF
             counts = QuoteCounts(spark, path)
         if counts.stray_returns:
             return None
-        opens = spark.sparkContext.broadcast(counts.opens)  # two numbers per block
+        # Three numbers per block.
+        opens = spark.sparkContext.broadcast({block: (counts.opens[block], counts.begun[block]) for block in counts.opens})
         cut = materialize(_cut(_lines(spark, path), opens))
         whole = cut.where(F.col("kind") == _WHOLE).select("record", "file", "first")
         records = whole.unionAll(_stitched(cut)).where("record <> ''")

@@ -112,3 +112,30 @@ def test_other_blocks_than_counted_are_noticed(spark, tmp_path, small_blocks):
         assert quoted_records(spark, str(path), counts) is None
     finally:
         records._ATTEMPTS = attempts
+
+
+def test_records_over_blocks_are_joined_each_on_its_own(spark, tmp_path, small_blocks):
+    """No task sees all fragments of a file: they are grouped by the block in which their record begins."""
+    lines = ["id,text"] + [f'{i},"' + "\n".join(f"{i} line {k}" for k in range(i % 90)) + '"' for i in range(300)]
+    path = tmp_path / "t.csv"
+    path.write_text("\n".join(lines))
+    counts = QuoteCounts(spark, str(path))
+    assert len(counts.begun) == len(counts.opens) and len(set(counts.begun.values())) > 20
+    found = quoted_records(spark, str(path), counts)
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "begun" in plan
+    assert sorted(r["record"] for r in found.collect()) == sorted(lines)
+
+
+def test_the_file_of_split_quotes_is_bounded(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(entry, "_CSV_FILE_BYTES", 1 << 16)
+    parts = []
+    write = ss.write_table
+    monkeypatch.setattr(ss, "write_table", lambda df, *a: parts.append(df.rdd.getNumPartitions()) or write(df, *a))
+    monkeypatch.setattr(entry, "_table", lambda s, d, name: ss.read_table(s, f"{d}/{name}.parquet").repartition(8))
+    folder = "/root/testdata/sf0.001"
+    found = entry.queries()["csv_split_quotes"](spark, folder)
+    documents = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert parts[0] > 1 and sorted(r[:5] for r in found.collect()) == sorted(tuple(r) for r in documents)
