@@ -11,8 +11,10 @@ rows take their places by their rank among the pieces of the same length.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -156,12 +158,29 @@ def placement(plan: list[tuple[Config, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "each", "sequence", "offset"), table.T, strict=True))
 
 
+#: How a known vocabulary file cuts words into pieces, and the same for words of simple characters: visible ASCII ones
+#: and lower-case letters up to U+024F, which no normaliser changes and all versions of Unicode take for letters.
+_CUT = [
+    {
+        "type": "Split",
+        "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        "behavior": "Removed",
+        "invert": True,
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_LETTER = r"a-z\u00df-\u00f6\u00f8-\u024f"
+_SIMPLE = re.compile(f"[!-@\\[-~{_LETTER}]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
+
+
 class _Words:
     """Token ids of words as little-endian bytes, remembered up to a bound.
 
     The vocabulary file drops white space, so no token spans two words and the ids of a text are those of its
     words one after the other. Words that its normaliser would not change go to a copy without one,
-    which is several times faster; A to Z are lowered here unless the text may hold a special token.
+    which is several times faster; A to Z are lowered here unless the text may hold a special token. Words of simple
+    characters are cut here if the file does so by ``_CUT``, and their pieces given to its model.
     """
 
     def __init__(self, path: str, remember: int):
@@ -173,11 +192,32 @@ class _Words:
         self.lowers = kinds == ["NFC", "Replace", "Lowercase"]
         self.plain = Tokenizer.from_str(json.dumps(definition | {"normalizer": None})) if self.lowers else self.whole
         self.remember, self.known = remember, {}
+        cut = (definition["pre_tokenizer"] or {}).get("pretokenizers")
+        special = all("<|" in t["content"] for t in definition["added_tokens"])
+        self.cuts = self.lowers and special and cut == _CUT and definition["model"]["type"] == "BPE"
+        last = max(self.whole.get_vocab().values(), default=-1)
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(last + 1)] if self.cuts else []
+        self.tokenize = self.plain.model.tokenize
+        # The character that stands for each byte: visible ones for themselves, the others from 256 on.
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = iter(range(256, 512))
+        self.shown = "".join(chr(b if b in shown else next(hidden)) for b in range(256))
+
+    def _encode_simple(self, text: str) -> bytes:
+        tokenize, bytes_of = self.tokenize, self.bytes_of
+        if not text.isascii():
+            pieces = [codecs.charmap_decode(p.encode(), "strict", self.shown)[0] for p in _PIECE.findall(text)]
+        else:
+            pieces = [text] if text.isalpha() else _PIECE.findall(text)
+        return b"".join([bytes_of[token.id] for piece in pieces for token in tokenize(piece)])
 
     def _encode_new(self, words: list[bytes]) -> None:
         plain, whole = [], []
         for word in words:
             text = word.decode()
+            if self.cuts and "<|" not in text and _SIMPLE.fullmatch(text) and text == text.lower():
+                self.known[word] = self._encode_simple(text)
+                continue
             stays = text.isprintable() and text == text.lower() and unicodedata.is_normalized("NFC", text)
             (plain if stays else whole).append((word, text))
         for tokenizer, part in ((self.plain, plain), (self.whole, whole)):

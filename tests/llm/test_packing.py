@@ -66,6 +66,19 @@ def test_words_are_forgotten_without_harm(remember):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_simple_words_are_cut_without_the_pipeline():
+    """Words of simple characters go to the model in pieces; the ids stay those of the whole tokenizer."""
+    words, tokenizer = _Words(tokenizer_path(), 1000), Tokenizer.from_file(tokenizer_path())
+    texts = ["don't we'll 's'' \"it's\"... 12x345 a_b ###", "Été, straße ñandú's þÿ÷×! ŉŷ2½", "a|b <|x|> x<|endoftext|>don't", "日本. ſß é"]
+    for text in texts:
+        ids = np.frombuffer(words.encode(text), "<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    words.plain = words.whole = None
+    simple = "new words, couldn't be 4 simpler: größe!! señor's"
+    ids = np.frombuffer(words.encode(simple), "<u4").tolist()
+    assert ids == tokenizer.encode(simple, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), min_size=1, max_size=20))
 def test_configurations_use_up_the_histogram(histogram):
