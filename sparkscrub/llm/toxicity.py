@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,9 @@ _BLOCK = 128
 _FIRST_BLOCKS = 4
 #: Cosines are compared to this many decimals, so that equal examples tie; and how far rounding may lift a sum.
 _DECIMALS, _SLACK = 12, 1e-9
+#: Texts searched for at once, the most terms that are laid out as rows then, and the share of examples that have
+#: such a term. A sum over so many terms in single precision is off by less than half of _WIDE.
+_MANY, _ROWS, _FEW, _WIDE = 64, 512, 16, 1e-4
 
 
 def term_counts(text: str) -> Counter:
@@ -110,6 +114,95 @@ class BlockMaxIndex:
         return best, self.order[who] if self.size else who
 
 
+    def __getstate__(self):
+        return {name: value for name, value in self.__dict__.items() if name != "_laid_out"}
+
+    @cached_property
+    def _laid_out(self) -> tuple:
+        """Rows of common terms, each term's row (-1: none), and the postings by example. Not sent with the index."""
+        n_terms = len(self.first) - 1
+        start = np.append(self.run, len(self.weight))[self.first]
+        held = np.diff(start)
+        common = np.argsort(-held, kind="stable")[:_ROWS]
+        common = np.sort(common[held[common] * _FEW > self.size])
+        row_of = np.full(n_terms, -1)
+        row_of[common] = np.arange(len(common))
+        rows = np.zeros((len(common), self.size), np.float32)
+        posts = _ranges(start[common], held[common])
+        rows[np.repeat(np.arange(len(common)), held[common]), self.at[posts]] = self.weight[posts]
+        by_example = np.argsort(self.at, kind="stable")
+        term = np.repeat(np.arange(n_terms, dtype=np.int32), held)[by_example]
+        first = np.concatenate([[0], np.cumsum(np.bincount(self.at, minlength=self.size))])
+        return rows, row_of, term, self.weight[by_example], first, np.arange(self.size) // _BLOCK, np.zeros(n_terms)
+
+    def nearest_of_many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator:
+        """:meth:`nearest` of each vector, with the same results.
+
+        The share of common terms in all cosines is one product in single precision, so that a block's bound
+        needs the largest weights of the other terms only and is close. Examples within its error of the k-th best
+        are scored again, from all their terms, in the order in which :meth:`nearest` adds.
+        """
+        if not self.size:
+            yield from ((np.zeros(0), np.zeros(0, np.int64)) for _ in vectors)
+            return
+        rows, row_of, *_ = self._laid_out
+        for at in range(0, len(vectors), _MANY):
+            some = vectors[at : at + _MANY]
+            weights = np.zeros((len(some), len(rows)), np.float32)
+            others = []
+            for i, (terms, w) in enumerate(some):
+                row = row_of[terms]
+                is_common = row >= 0
+                weights[i, row[is_common]] = w[is_common]
+                others.append((terms[~is_common], w[~is_common]))
+            shares = weights @ rows
+            for (terms, w), other, share in zip(some, others, shares, strict=True):
+                yield self._nearest_beside(terms, w, self._candidates(*other, share, k), k)
+
+    def _candidates(self, terms: np.ndarray, weights: np.ndarray, share: np.ndarray, k: int) -> np.ndarray:
+        """Places (ascending) of all examples that may be among the ``k`` nearest, given the ``share`` of common terms."""
+        block_of = self._laid_out[5]
+        lengths = self.first[terms + 1] - self.first[terms]
+        runs, lift = _ranges(self.first[terms], lengths), np.repeat(weights, lengths)
+        block = self.run_block[runs]
+        bound = np.bincount(block, lift * self.run_most[runs], minlength=self.n_blocks)
+        bound = bound + np.maximum.reduceat(share, np.arange(0, self.size, _BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        best, who, floor = np.zeros(0), np.zeros(0, np.int64), 0.0
+        turn, step = 0, _FIRST_BLOCKS
+        while turn < self.n_blocks:
+            now = order[turn : turn + step]
+            now = now[bound[now] > floor]
+            if len(now) == 0:
+                break
+            taken = np.zeros(self.n_blocks, bool)
+            taken[now] = True
+            some = np.flatnonzero(taken[block])
+            size = self.run_size[runs[some]]
+            posts = _ranges(self.run[runs[some]], size)
+            value = np.repeat(lift[some], size) * self.weight[posts]
+            found = np.bincount(self.at[posts], value, minlength=self.size) + share
+            name = np.flatnonzero((found > floor) & taken[block_of])
+            best, who = np.concatenate([best, found[name]]), np.concatenate([who, name])
+            if len(best) >= k:
+                floor = max(0.0, float(np.partition(best, -k)[-k]) - _WIDE)
+            turn, step = turn + step, step * 4
+        return np.sort(who[best > floor])
+
+    def _nearest_beside(self, terms: np.ndarray, weights: np.ndarray, places: np.ndarray, k: int) -> tuple:
+        """The ``k`` nearest of the examples at ``places``."""
+        _, _, term, weight, first, _, lifts = self._laid_out
+        size = first[places + 1] - first[places]
+        posts = _ranges(first[places], size)
+        lifts[terms] = weights
+        value = lifts[term[posts]] * weight[posts]
+        lifts[terms] = 0
+        found = np.round(np.bincount(np.repeat(np.arange(len(places)), size), value, minlength=len(places)), _DECIMALS)
+        top = np.lexsort((places, -found))[:k]
+        top = top[found[top] > 0]
+        return found[top], self.order[places[top]]
+
+
 def _isotonic(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps (vote, score) of the best nondecreasing score of a vote (pool adjacent violators)."""
     order = np.argsort(vote, kind="stable")
@@ -168,18 +261,18 @@ class Model:
         weight = self.stands_for[who] / (0.01 + 1 - np.minimum(cosine, 1))
         return float((weight * self.label[who]).sum() / weight.sum())
 
-    def score(self, text: str) -> tuple[float, list[tuple]]:
-        """Score of a whole text, and the three nearest examples (id, cosine, label) behind it."""
-        terms, weights = self.vector(term_counts(text))
-        if len(terms) == 0 or self.steps is None:
-            return self.rest, []
-        cosine, who = self.index.nearest(terms, weights, self.k)
-        vote = self._vote(cosine, who)
-        if vote is None:
-            return self.rest, []
-        at = max(int(np.searchsorted(self.steps[0], vote, side="right")) - 1, 0)
-        near = zip(cosine[:3].tolist(), who[:3].tolist(), strict=True)
-        return min(1.0, max(0.0, float(self.steps[1][at]))), [(self.ids[i], c, int(self.label[i])) for c, i in near]
+    def score(self, texts: list[str]) -> Iterator[tuple[float, list[tuple]]]:
+        """Score of each whole text, and the three nearest examples (id, cosine, label) behind it."""
+        vectors = [self.vector(term_counts(text)) for text in texts]
+        for cosine, who in self.index.nearest_of_many(vectors, self.k):
+            vote = self._vote(cosine, who)
+            if vote is None or self.steps is None:
+                yield self.rest, []
+                continue
+            at = max(int(np.searchsorted(self.steps[0], vote, side="right")) - 1, 0)
+            near = zip(cosine[:3].tolist(), who[:3].tolist(), strict=True)
+            evidence = [(self.ids[i], c, int(self.label[i])) for c, i in near]
+            yield min(1.0, max(0.0, float(self.steps[1][at]))), evidence
 
 
 def train(
@@ -283,7 +376,9 @@ def score(
 
         model = shared.value
         for batch in batches:
-            found = [model.score(v.as_py() or "") for v in batch.column(1)]
+            found = []
+            for at in range(0, len(batch), _MANY):
+                found += model.score([v.as_py() or "" for v in batch.column(1).slice(at, _MANY)])
             scores, evidence = np.array([f[0] for f in found], float), [f[1] for f in found]
             ends = pa.array(np.concatenate(([0], np.cumsum([len(e) for e in evidence]))), pa.int32())
             flat = [x for e in evidence for x in e]

@@ -52,6 +52,31 @@ def test_blocks_that_cannot_win_are_left_out():
     assert who.tolist() == [3] and len(counted) == 1
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 700])
+def test_many_at_once_find_the_same_and_read_less(n):
+    """Common and rare terms, equal examples and vectors without a neighbour: results are equal to the bit."""
+    rng = np.random.default_rng(n)
+    share = np.where(np.arange(400) < 40, 0.4, 0.01)
+    examples = rng.random((n, 400)) * (rng.random((n, 400)) < share)
+    if n > 600:
+        examples[[9, 80, 300, 601]] = examples[9]
+        examples[100:140] = examples[100]
+    examples /= np.maximum(np.sqrt((examples**2).sum(axis=1, keepdims=True)), 1e-300)
+    queries = [*rng.random((150, 400)) * (rng.random((150, 400)) < share), np.zeros(400), *examples[:200]]
+    index = toxicity.BlockMaxIndex(_sparse(examples), 400)
+    at, counted = index.at, []
+    rows = index._laid_out[0] if n else ()
+    assert n < 600 or 40 <= len(rows) < 60
+    index.at = type("Counted", (), {"__getitem__": lambda self, i: counted.append(len(i)) or at[i]})()
+    expected = [index.nearest(*v, 9) for v in _sparse(queries)]
+    each = sum(counted)
+    counted.clear()
+    found = list(index.nearest_of_many(_sparse(queries), 9))
+    assert len(found) == len(queries) and (n < 600 or sum(counted) < each / 4)
+    for (a, b), (c, d) in zip(found, expected, strict=True):
+        assert np.array_equal(a, c) and np.array_equal(b, d)
+
+
 def test_chi_square():
     found = toxicity.chi_square(np.array([10, 10, 100, 5]), np.array([10, 1, 10, 0]), 100, 10)
     assert np.allclose(found, [100, 0, 0, 100 * 50 * 50 / (5 * 95 * 10 * 90)])
