@@ -161,8 +161,7 @@ def with_tables(
     comes first in its partition and its documents stream past it. Documents are shuffled as compressed runs of
     rows of one block, which take far less room than single rows.
     """
-    values = [c for c in table.columns if c not in ("block", "deal", "key")]
-    kinds = {c: dict(table.dtypes)[c] for c in values}
+    kinds = {c: kind for c, kind in table.dtypes if c not in ("block", "deal", "key")}
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -173,11 +172,11 @@ def with_tables(
             key = np.asarray(batch.column("key"))
             rows: list[list] = [[], [], [], []]
             for a, b, block in _runs(np.asarray(batch.column("block"))):
-                columns = [np.asarray(batch.column(c))[a:b] for c in values]
+                columns = [np.asarray(batch.column(c))[a:b] for c in kinds]
                 rows[0].append(block)
                 rows[3].append(batch.column("deal")[a].as_py())
                 rows[1].append(_pack(key[a:b]))
-                rows[2].append(squeeze(b"".join(np.ascontiguousarray(c, "f4" if kinds[n] == "float" else "i8").tobytes() for n, c in zip(values, columns, strict=True))))
+                rows[2].append(squeeze(b"".join(np.ascontiguousarray(c, "f4" if kinds[n] == "float" else "i8").tobytes() for n, c in zip(kinds, columns, strict=True))))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows[0], pa.int64()),
@@ -190,6 +189,19 @@ def with_tables(
 
     packed = table.repartitionById(parts, F.col("deal")).sortWithinPartitions("block", "key")
     packed = packed.mapInArrow(giving_back(pack), "block long, deal int, keys binary, values binary")
+    return meet(blocked, parts, packed, kinds, work, schema)
+
+
+def meet(
+    blocked: DataFrame,
+    parts: int,
+    packed: DataFrame,
+    kinds: dict[str, str],
+    work: Callable[[np.ndarray, dict[str, np.ndarray], Iterator], Iterator],
+    schema: str,
+) -> DataFrame:
+    """:func:`with_tables` for tables packed already: ``block``, ``deal``, ``keys`` (sorted), ``values`` (columns of
+    ``kinds``, one after another). A block may have several such rows, also with keys in common."""
     names = [c for c in blocked.columns if c not in ("block", "deal")]
 
     def squeeze(batches: Iterator) -> Iterator:
@@ -253,17 +265,18 @@ def with_tables(
 
         while state["ahead"] is not None:
             block = state["ahead"][0][0]
-            keys, columns = [], {c: [] for c in values}
+            keys, columns = [], {c: [] for c in kinds}
             for part in take((block, 0)):
                 for k, v in zip(part.column("keys"), part.column("values"), strict=True):
                     keys.append(_unpack(k.as_py(), np.int64))
                     raw, at = loose(v.as_py()), 0
-                    for c in values:
+                    for c in kinds:
                         kind = np.dtype("f4" if kinds[c] == "float" else "i8")
                         columns[c].append(np.frombuffer(raw, kind, len(keys[-1]), at))
                         at += kind.itemsize * len(keys[-1])
             key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             order = np.argsort(key, kind="stable")
+            order = order[np.diff(key[order], prepend=~key[order[:1]]) != 0]
             found = {c: (np.concatenate(v) if v else np.zeros(0))[order] for c, v in columns.items()}
             yield from work(key[order], found, rows((block, 1)))
             for _ in take((block, 1)):  # whatever was not read

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recurrent
-from .blocks import needed_keys, with_blocks, with_tables
+from .blocks import with_blocks
 from .common import Scratch, added_up, doc_bucket, giving_back, in_runs, utf8
 from .shingles import word_hashes
+from .word_counts import Places, add_up, list_words, n_ranges, with_counts
 
 _TEXT_BYTES = 1 << 20
 #: Tokens of one pass of the optimiser inside a task; texts scored side by side, in bytes.
@@ -42,50 +43,27 @@ def _words(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarra
         yield a, b, hashes.view(np.int64), text, _SHAPE[last]
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """Rows ``key``, ``shape``, ``n`` of the words in the column ``text``; the row of the null key counts the texts."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for a, b, key, _, shape in _words(batch.column(0)):
-                found, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([pa.array(found), pa.array([None], pa.int64())]),
-                        pa.array(np.append(shape[first], -1).astype(np.int32)),
-                        pa.array(np.append(n, b - a)),
-                    ],
-                    names=["key", "shape", "n"],
-                )
-
-    counted = texts.select("text").mapInArrow(giving_back(run), "key long, shape int, n long")
-    return counted.groupBy("key").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
-
-
 class _Tokens:
     """Tokens of texts: the end, an ending, or a frequent word."""
 
     def __init__(self, keys: np.ndarray, layout: recurrent.Layout):
-        self.layout = layout
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-
-    def words(self, key: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        if len(self.keys) == 0:
-            return 1 + shape
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.layout.single + self.order[at], 1 + shape)
-
-    def stream(self, n: int, key: np.ndarray, text: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of ``n`` texts one after another, each with its end; their offsets; the words' places."""
+        order = np.argsort(keys, kind="stable")
+        self.places = Places(keys[order])
+        self.numbers = np.append(layout.single + order, -1)
+
+    def frequent(self, key: np.ndarray) -> np.ndarray:
+        """The token of every frequent word, -1 for others."""
+        return self.numbers.take(self.places(key))
+
+    @staticmethod
+    def stream(n: int, frequent: np.ndarray, text: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of ``n`` texts one after another, each with its end, and their offsets; of the words given are the
+        tokens that they have if they are ``frequent``, their texts and endings."""
         size = np.bincount(text, minlength=n)
         offsets = np.concatenate(([0], np.cumsum(size + 1)))
         out = np.full(offsets[-1], recurrent.END, np.int64)
-        places = np.arange(len(key)) + text
-        out[places] = self.words(key, shape)
-        return out, offsets, places
+        out[np.arange(len(text)) + text] = np.where(frequent < 0, 1 + shape, frequent)
+        return out, offsets
 
 
 def _train_round(docs: DataFrame, weights: recurrent.Weights, keys: np.ndarray, rate: float) -> recurrent.Weights:
@@ -103,7 +81,7 @@ def _train_round(docs: DataFrame, weights: recurrent.Weights, keys: np.ndarray,
 
         for batch in batches:
             for a, b, key, text, shape in _words(batch.column(0)):
-                held.append(tokens.stream(b - a, key, text, shape)[0])
+                held.append(tokens.stream(b - a, tokens.frequent(key), text, shape)[0])
                 size += len(held[-1])
                 if size >= _PASS_TOKENS:
                     now, total = learn(now), total + size
@@ -146,10 +124,12 @@ def score_documents(
         (doc_bucket(F.col(doc_id), folds) == 0).alias("held_out"),
     )
     training = rows.where("not held_out")
-    counted = scratch.save(count_words(training), "counts")
-    words = counted.where("key is not null")
+    blocked, parts = with_blocks(rows, scratch)
+    ranges = n_ranges(docs, parts)
+    lists = list_words(blocked, _words, "not held_out", ranges, scratch)
+    words = add_up(lists, ranges, scratch)
     per_shape = words.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
-    n_texts = (counted.where("key is null").first() or {"n": 0})["n"]
+    n_texts = training.count()
     n_all = sum(r["n"] for r in per_shape) + n_texts
     kinds = sum(r["kinds"] for r in per_shape) + (n_texts > 0)
     under = np.log10(n_all + _SMOOTH * (kinds + 1))
@@ -168,9 +148,6 @@ def score_documents(
     for k in range(rounds):
         weights = _train_round(training.where(turn == k), weights, keys, rate)
 
-    blocked, parts = with_blocks(rows, scratch)
-    pairs = needed_keys(blocked, parts, lambda data, offsets: word_hashes(data, offsets)[0].view(np.int64), scratch, "pairs")
-    table = pairs.join(words.select("key", "n"), "key").select("block", "deal", "key", "n")
     shared = docs.sparkSession.sparkContext.broadcast((weights, keys, rest))
     kept = ["doc_id", "held_out"]
 
@@ -178,8 +155,10 @@ def score_documents(
         import pyarrow as pa
 
         weights, keys, rest = shared.value
-        tokens = _Tokens(keys, weights.layout)
-        counts = np.append(values["n"], 0).astype(np.int64)
+        tokens, places = _Tokens(keys, weights.layout), Places(known)
+        # Per known word, and last for a word without a count.
+        numbers, log_count = np.append(tokens.frequent(known), -1), np.log10(np.append(values["n"], 0) + _SMOOTH)
+        log_rest = np.log10(rest)
 
         def out(parts: list):
             columns = [pa.concat_arrays([p[0][i] for p in parts]) for i in range(len(kept))]
@@ -204,15 +183,13 @@ def score_documents(
         for batch in batches:
             for a, b, key, text, shape in _words(batch.column("text")):
                 n = b - a
-                stream, offsets, places = tokens.stream(n, key, text, shape)
-                at = np.searchsorted(known, key)
-                at[at == len(known)] = len(known) - 1
-                c = np.where(known[at] == key, counts[at], 0) if len(known) else np.zeros(len(key), np.int64)
-                logs = np.log10(c + _SMOOTH)
+                at = places(key)
+                frequent, logs = numbers.take(at), log_count.take(at)
+                stream, offsets = tokens.stream(n, frequent, text, shape)
                 base = np.bincount(text, weights=logs - under, minlength=n) + np.log10(n_texts + _SMOOTH) - under
-                rare = stream[places] <= _SHAPES
-                share = np.bincount(text[rare], weights=(logs - np.log10(rest)[shape])[rare], minlength=n)
-                n_known = np.bincount(text[c > 0], minlength=n) + (n_texts > 0)
+                rare = np.where(frequent < 0, logs - log_rest.take(shape), 0)
+                share = np.bincount(text, weights=rare, minlength=n)
+                n_known = np.bincount(text, minlength=n) - np.bincount(text[at == len(known)], minlength=n) + (n_texts > 0)
                 columns = [batch.column(k).slice(a, n) for k in kept]
                 held.append((columns, stream, offsets, share, n_known, base))
                 size += len(stream) * 7
@@ -227,4 +204,4 @@ def score_documents(
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double"
     )
-    return with_tables(blocked, parts, table, work, schema)
+    return with_counts(blocked, parts, lists, words, ranges, work, schema)

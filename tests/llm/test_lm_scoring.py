@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sparkscrub.llm.blocks as blocks
-from sparkscrub.llm import recurrent
+from sparkscrub.llm import lm_scoring, recurrent, word_counts
 from sparkscrub.llm.common import Scratch
 from sparkscrub.llm.entry import op6_recurrent_scores
 from sparkscrub.llm.lm_scoring import score_documents
@@ -181,3 +181,45 @@ def test_equal_rows_use_many_blocks(spark):
     assert len(sizes) > 80 and max(sizes) < 400
     deals = [r["count"] for r in blocked.groupBy("deal").count().collect()]
     assert len(deals) > parts // 3 and max(deals) < 1_500
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(4)
+    ends = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    for known in (rng.integers(*ends, 3_000), np.arange(500), np.array(ends), np.zeros(0, np.int64)):
+        known = np.unique(known)
+        asked = np.concatenate((known[::2], known[:9] + 1, rng.integers(*ends, 50), ends, [0]))
+        expected = [known.tolist().index(k) if k in set(known.tolist()) else len(known) for k in asked.tolist()]
+        assert word_counts.Places(known)(asked).tolist() == expected
+
+
+@pytest.mark.parametrize("held", [3, 1_000_000])
+def test_counts_and_lists_of_blocks_come_from_one_pass(spark, tmp_path, monkeypatch, held):
+    """Words reach counts and blocks as packed lists; no word becomes a row of a join."""
+    monkeypatch.setattr(word_counts, "_HELD_KEYS", held)
+    texts = [None, "", "a b a c", "A b", "x " * 40, "b, c! 7 \u00e9"] * 30
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs, scratch = spark.read.parquet(f"{tmp_path}/docs"), Scratch(spark)
+    blocked, parts = blocks.with_blocks(docs, scratch, 400)
+    ranges = word_counts.n_ranges(docs, parts)
+    lists = word_counts.list_words(blocked, lm_scoring._words, "not held_out", ranges, scratch)
+    counts = word_counts.add_up(lists, ranges, scratch)
+    expected = Counter(w for _, t, out in rows if not out for w in (t or "").lower().encode().split())
+    hashed = lambda w: int(lm_scoring.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0])
+    assert {r["key"]: r["n"] for r in counts.collect()} == {hashed(w): n for w, n in expected.items()}
+    assert counts.count() == len(expected)
+
+    def work(known, values, batches):
+        import pyarrow as pa
+
+        n = dict(zip(known.tolist(), values["n"].tolist(), strict=True))
+        for batch in batches:
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = [n.get(hashed(w), 0) for w in (t or "").lower().encode().split()]
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([found], pa.list_(pa.int64()))], names=["id", "n"])
+
+    told = word_counts.with_counts(blocked, parts, lists, counts, ranges, work, "id long, n array<long>")
+    assert "SortMergeJoin" not in told._jdf.queryExecution().toString()
+    found = {r["id"]: r["n"] for r in told.collect()}
+    assert found == {i: [expected[w] for w in (t or "").lower().encode().split()] for i, t, _ in rows}
