@@ -9,6 +9,7 @@ shuffle of the texts. Blocks are many and bounded in bytes, whatever the size of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -58,16 +59,20 @@ def with_blocks(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTE
     return at.select(*[f"`{c}`" for c in docs.columns], block.alias("block"), deal.alias("deal")), n
 
 
-def _pack(values: np.ndarray) -> bytes:
+@cache
+def zstd() -> tuple[Callable, Callable]:
+    """Squeezes and loosens bytes; made once, as that takes longer than a short run of numbers."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
-def _unpack(data: bytes, kind) -> np.ndarray:
-    import zstandard
+def _pack(values: np.ndarray) -> bytes:
+    return zstd()[0](np.diff(values, prepend=values.dtype.type(0)).tobytes())
+
 
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind), dtype=kind)
+def _unpack(data: bytes, kind) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstd()[1](data), kind), dtype=kind)
 
 
 def needed_keys(

@@ -13,13 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import _pack, _runs, _unpack, meet
+from .blocks import _pack, _runs, _unpack, meet, zstd
 from .common import Scratch, giving_back
 
 #: Hashes that a task holds before it puts equal ones together.
 _HELD_KEYS = 1_000_000
-#: Blocks for which there is one range of hashes, at least.
-_BLOCKS = 4
+#: Blocks for which there is one range of hashes, so that words of which none occurs twice fit into a task, too.
+_BLOCKS = 2
 
 
 class Places:
@@ -76,15 +76,11 @@ class _Sums:
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    return zstd()[0](values.tobytes())
 
 
 def _loose(data: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.frombuffer(zstd()[1](data), kind)
 
 
 def _in_ranges(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
