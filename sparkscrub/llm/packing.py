@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, giving_back, ranked
+from .common import Scratch, giving_back, hand_back, ranked, text_batches
 
 Config = tuple[tuple[int, int], ...]
 
@@ -184,18 +184,28 @@ class _Words:
     """
 
     def __init__(self, path: str, remember: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
-        self.whole = Tokenizer.from_file(path)
-        definition = json.loads(self.whole.to_str())
+        self.whole = whole = Tokenizer.from_file(path)
+        shell = Tokenizer(models.BPE())  # what stands before the model, without its vocabulary: that is large as JSON
+        shell.normalizer, shell.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        definition = json.loads(shell.to_str())
         kinds = [n["type"] for n in (definition["normalizer"] or {}).get("normalizers", [])]
         self.lowers = kinds == ["NFC", "Replace", "Lowercase"]
-        self.plain = Tokenizer.from_str(json.dumps(definition | {"normalizer": None})) if self.lowers else self.whole
+        self.added = [token.content for token in whole.get_added_tokens_decoder().values()]
+        self.plain = whole
+        if self.lowers:
+            self.plain = Tokenizer(whole.model)
+            self.plain.pre_tokenizer = whole.pre_tokenizer
+            if whole.truncation:
+                self.plain.enable_truncation(**whole.truncation)
+            if whole.padding:
+                self.plain.enable_padding(**whole.padding)
         self.remember, self.known = remember, {}
         cut = (definition["pre_tokenizer"] or {}).get("pretokenizers")
-        special = all("<|" in t["content"] for t in definition["added_tokens"])
-        self.cuts = self.lowers and special and cut == _CUT and definition["model"]["type"] == "BPE"
-        last = max(self.whole.get_vocab().values(), default=-1)
+        special = all("<|" in content for content in self.added)
+        self.cuts = self.lowers and special and cut == _CUT and isinstance(whole.model, models.BPE)
+        last = max(whole.get_vocab().values(), default=-1)
         self.bytes_of = [i.to_bytes(4, "little") for i in range(last + 1)] if self.cuts else []
         self.tokenize = self.plain.model.tokenize
         # The character that stands for each byte: visible ones for themselves, the others from 256 on.
@@ -219,6 +229,7 @@ class _Words:
                 self.known[word] = self._encode_simple(text)
                 continue
             stays = text.isprintable() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+            stays = stays and not any(content in text for content in self.added)  # only the whole one knows them
             (plain if stays else whole).append((word, text))
         for tokenizer, part in ((self.plain, plain), (self.whole, whole)):
             for k in range(0, len(part), 4096):
@@ -247,7 +258,9 @@ class _Words:
 def _words(path: str, remember: int) -> _Words:
     """One per worker process, so that its tasks share what it remembers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return _Words(path, remember)
+    words = _Words(path, remember)
+    hand_back()  # of what was read to make it
+    return words
 
 
 def token_pieces(
@@ -321,7 +334,8 @@ def pack(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    pieces = scratch.save(token_pieces(docs, tokenizer, capacity, end_id, doc_id, text, remember), "pieces")
+    with text_batches(spark):
+        pieces = scratch.save(token_pieces(docs, tokenizer, capacity, end_id, doc_id, text, remember), "pieces")
     histogram = {row[0]: row[1] for row in pieces.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(placement(solve_configurations(histogram, capacity)))
     placed = ranked(pieces, ["length"], ["doc_id", "piece"], "__rank", scratch)

@@ -79,3 +79,15 @@ def test_odd_rows(odd):
 def test_empty(none):
     assert mix(none).count() == 0
     assert mixed_documents(none).count() == 0
+
+
+def test_small_tables_need_no_python_on_the_executors(spark, documents, monkeypatch):
+    """A plain list of rows starts a Python daemon and workers on each executor, which stay."""
+
+    def plain(*_, **__):
+        raise AssertionError("rows are unpickled by Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", plain)
+    found = mix(documents)
+    assert found.count() == documents.count()
+    assert mix(documents.limit(0)).count() == 0
