@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, giving_back, in_runs, partitions, utf8
+from .common import Scratch, distinct, giving_back, in_runs, partitions, utf8
 
 #: Bytes of text of an average block.
 BLOCK_BYTES = 16 << 20
@@ -68,7 +68,9 @@ def zstd() -> tuple[Callable, Callable]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstd()[0](np.diff(values, prepend=values.dtype.type(0)).tobytes())
+    steps = values.copy()
+    np.subtract(values[1:], values[:-1], out=steps[1:])
+    return zstd()[0](steps)
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
@@ -79,7 +81,7 @@ def needed_keys(
     blocked: DataFrame, parts: int, keys: Callable[[np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, name: str
 ) -> DataFrame:
     """Distinct rows ``block``, ``deal``, ``key`` (written): the keys that ``keys(bytes, offsets)`` finds in a block's
-    texts. ``blocked`` and ``parts`` are those of :func:`with_blocks`."""
+    texts (an array that may be sorted in place). ``blocked`` and ``parts`` are those of :func:`with_blocks`."""
 
     def collect(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -88,7 +90,7 @@ def needed_keys(
         size = 0
 
         def out():
-            packed = [_pack(np.unique(np.concatenate(found))) for found in held.values()]
+            packed = [_pack(distinct(np.concatenate(found))) for found in held.values()]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([block for block, _ in held], pa.int64()),
@@ -103,7 +105,7 @@ def needed_keys(
                 data, offsets = utf8(batch.column("text").slice(a, b - a))
                 at = block, batch.column("deal")[a].as_py()
                 for i, j in in_runs(np.diff(offsets).tolist(), _TEXT_BYTES):
-                    found = np.unique(keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                    found = distinct(keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                     held.setdefault(at, []).append(found)
                     size += len(found)
                     if size > _HELD_KEYS:
@@ -119,7 +121,9 @@ def needed_keys(
         now, found, size = None, [], 0
 
         def out():
-            keys = np.unique(np.concatenate(found))
+            keys = np.concatenate(found)
+            found.clear()
+            keys = distinct(keys)
             for k in range(0, len(keys), 1 << 18):
                 part = keys[k : k + (1 << 18)]
                 yield pa.RecordBatch.from_arrays(
@@ -136,7 +140,10 @@ def needed_keys(
                 found.append(_unpack(packed.as_py(), np.int64))
                 size += len(found[-1])
                 if size > 2 * _HELD_KEYS:
-                    found = [np.unique(np.concatenate(found))]
+                    keys = np.concatenate(found)
+                    found.clear()
+                    found.append(distinct(keys))
+                    del keys
                     size = len(found[0])
         if found:
             yield from out()

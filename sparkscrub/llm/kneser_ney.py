@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import needed_keys, with_blocks, with_tables
-from .common import Scratch, doc_bucket, giving_back, in_runs, row_key, small, utf8, without
+from .common import Scratch, doc_bucket, giving_back, in_runs, row_key, small, text_batches, utf8, without
 
 ORDER = 5
 #: Bytes that no UTF-8 text has: before the start, after the end.
@@ -186,7 +186,8 @@ def classify(
     trusted = rows.where(F.col("text").isNotNull() & (doc_bucket(F.col("doc_id"), folds) != 0))
     trusted = trusted.join(small(good, 32), F.col("doc_id") == F.col("__id"), "left_semi")
     work = Scratch(docs.sparkSession)
-    found = scratch.save(perplexities(rows, trusted, work), "found")
+    with text_batches(docs.sparkSession):
+        found = scratch.save(perplexities(rows, trusted, work), "found")
     work.release()
     size_class = F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2).cast("int")
     found = found.withColumn("class", size_class)

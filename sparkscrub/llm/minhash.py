@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, giving_back, in_runs, small, union_find, utf8
+from .common import Scratch, components, giving_back, in_runs, small, text_batches, union_find, utf8
 from .pairs import chunk_pairs, in_pairs, map_groups
 from .shingles import mix64, shingle_sets
 
@@ -160,7 +160,8 @@ def near_duplicates(
     scratch = scratch or Scratch(docs.sparkSession)
     ids = F.col(doc_id).cast("long").alias("doc_id")
     texts = docs.select(ids, F.col(text).alias("text"))
-    signed = scratch.save(_signatures(texts, coordinates), "signatures")
+    with text_batches(docs.sparkSession):
+        signed = scratch.save(_signatures(texts, coordinates), "signatures")
     key = ["n_shingles", "f1", "f2"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key)
     classes = scratch.save(
@@ -180,7 +181,8 @@ def near_duplicates(
     members = rare.join(held, "key").join(classes.select("rep", "n_shingles", "signature"), "rep")
     cut = chunk_pairs(members, "rep", F.ceil(F.col("held") / _CHUNK))
     near = map_groups(cut, ["key", "__c1", "__c2"], _same_signature(coordinates, matches, percent), "a long, b long")
-    groups = scratch.save(components(near, scratch, "near"), "groups")
+    with text_batches(docs.sparkSession):
+        groups = scratch.save(components(near, scratch, "near"), "groups")
     scratch.drop("shared", "prefixes")
 
     roots = groups.select(F.col("root").alias("node"), "root").distinct()
@@ -208,7 +210,8 @@ def near_duplicates(
     )
     cut = chunk_pairs(full, "rep", F.col("chunks"))
     linked = map_groups(cut, ["root", "__c1", "__c2"], _same_sets(percent), "a long, b long")
-    linked = scratch.save(components(linked, scratch, "linked"), "linked")
+    with text_batches(docs.sparkSession):
+        linked = scratch.save(components(linked, scratch, "linked"), "linked")
 
     # Only classes with copies or links need to be looked up; other documents are their own component.
     known = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or root is not null")

@@ -19,14 +19,13 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, giving_back, hand_back, ranked, text_batches
+from .common import Scratch, giving_back, hand_back, kept, ranked, text_batches
 
 Config = tuple[tuple[int, int], ...]
 
@@ -254,13 +253,16 @@ class _Words:
         return b"".join(found)
 
 
-@cache
 def _words(path: str, remember: int) -> _Words:
-    """One per worker process, so that its tasks share what it remembers."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    words = _Words(path, remember)
-    hand_back()  # of what was read to make it
-    return words
+    """One per worker process, so that its tasks share what it remembers; later stages' tasks drop it."""
+
+    def make() -> _Words:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        words = _Words(path, remember)
+        hand_back()  # of what was read to make it
+        return words
+
+    return kept(("words", path, remember), make)
 
 
 def token_pieces(
@@ -310,7 +312,7 @@ def token_pieces(
                 names=names,
             )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(giving_back(cut), schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(giving_back(cut, keeps=True), schema)
 
 
 def pack(
@@ -347,7 +349,7 @@ def pack(
         ]
     )
 
-    kept = pieces.columns
+    names = pieces.columns
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -361,7 +363,7 @@ def pack(
             past = rank - table["first"][at]
             sequence = table["sequence"][at] + past // table["each"][at]
             offset = table["offset"][at] + past % table["each"][at] * length
-            columns = [batch.column(name) for name in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
+            columns = [batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return placed.mapInArrow(giving_back(place), schema)

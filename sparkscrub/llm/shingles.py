@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import in_runs
+from .common import distinct, in_runs
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,7 +85,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
     for i in range(n):
         a, b = firsts[i], firsts[i + 1]
         if b - a >= width:
-            sets.append(np.unique(windows[a : b - width + 1]))
+            sets.append(distinct(windows[a : b - width + 1]))
         elif b > a:
             short = (hashes[a:b] * _WINDOW[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
             sets.append(mix64(np.array([short], np.uint64)))

@@ -10,8 +10,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sparkscrub.llm.entry import op4_pack, tokenizer_path
-from sparkscrub.llm.common import TEXT_BATCH_BYTES, Scratch, text_batches
-from sparkscrub.llm.packing import _best_fit, _Words, pack, placement, solve_configurations
+from sparkscrub.llm.common import TEXT_BATCH_BYTES, Scratch, giving_back, text_batches
+from sparkscrub.llm.packing import _best_fit, _Words, _words, pack, placement, solve_configurations
 
 
 def _expected(text, capacity, tokenizer):
@@ -173,3 +173,12 @@ def test_texts_reach_workers_in_small_batches(spark, documents, monkeypatch):
         assert spark.conf.get(setting) == "1m"
     finally:
         spark.conf.set(setting, before)
+
+
+def test_other_work_drops_the_vocabulary():
+    """A worker that went on to other stages held the vocabulary and up to 200,000 words to its end."""
+    words = _words(tokenizer_path(), 1000)
+    list(giving_back(iter, keeps=True)([]))
+    assert _words(tokenizer_path(), 1000) is words
+    list(giving_back(iter)([]))
+    assert _words(tokenizer_path(), 1000) is not words

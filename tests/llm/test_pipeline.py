@@ -1,12 +1,15 @@
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from sparkscrub.llm import kneser_ney, quality_rules
-from sparkscrub.llm.common import Scratch, components, in_runs, ranked, union_find
+from sparkscrub.llm import blocks, kneser_ney, quality_rules
+from sparkscrub.llm.common import TEXT_BATCH_BYTES, Scratch, components, distinct, in_runs, ranked, union_find
 from sparkscrub.llm.entry import QUERIES, tokenizer_path
 from sparkscrub.llm.minhash import near_duplicates
 
@@ -97,3 +100,54 @@ def test_small_helpers():
     assert list(in_runs([3, 3, 3, 20, 1, 1], 6)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
     assert list(in_runs([], 6)) == []
     assert union_find(6, np.array([[4, 5], [1, 4], [2, 3]])).tolist() == [0, 1, 2, 2, 1, 1]
+
+
+_DISTINCT = """
+import re, sys
+import numpy as np
+from sparkscrub.llm import shingles
+
+def highest():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+windows = np.random.default_rng(1).integers(0, 2**40, 2_000_000).astype(np.uint64)
+shingles.word_hashes = lambda data, offsets: (windows, np.zeros(len(windows), np.int64), None)
+shingles.mix64 = lambda x: windows
+open("/proc/self/clear_refs", "w").write("5")
+before = highest()
+shingles.shingle_sets(np.zeros(1, np.uint8), np.array([0, 1]), width=1)
+print(highest() - before)
+"""
+
+
+def test_distinct_numbers_need_no_hash_table():
+    """Two million numbers took 113 MB besides themselves."""
+    found = subprocess.run([sys.executable, "-c", _DISTINCT], capture_output=True, text=True, check=True).stdout
+    assert float(found) < 80
+
+
+def test_distinct():
+    random = np.random.default_rng(1)
+    for kind in (np.int64, np.uint64):
+        for n in (0, 1, 2, 5000):
+            values = random.integers(0, 1000, n).astype(kind) * kind(2**52)
+            expected = np.unique(values)
+            assert expected.tolist() == distinct(values).tolist()
+            assert expected.tolist() == blocks._unpack(blocks._pack(expected), kind).tolist()
+
+
+def test_texts_reach_workers_of_all_stages_in_small_batches(spark, documents, labels, monkeypatch):
+    """In batches of 10,000 rows an executor held some 20 MB of texts several times for each task."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, save = spark.conf.get(setting), {}, Scratch.save
+
+    def saved(self, df, name):
+        seen[name] = spark.conf.get(setting)
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    corpus_pipeline.quality_classifier(spark, documents, SF)
+    corpus_pipeline.near_dedup(spark, documents, SF)
+    small = {"counts5", "pairs", "signatures", "near_edges0", "linked_edges0"}
+    assert {seen[name] for name in small} == {f"{TEXT_BATCH_BYTES}b"}
+    assert spark.conf.get(setting) == before
